@@ -6,7 +6,7 @@ from importlib import import_module
 
 from textloom.plans.book import Book
 
-BOOKS = ("stats", "corpus")
+BOOKS = ("stats", "corpus", "retrieve")
 
 
 def all_books() -> list[Book]:

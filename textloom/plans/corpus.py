@@ -194,7 +194,7 @@ def dedup_anti_join(t):
     return hashed.filter("doc_id % 2 = 1").join(hashed.filter("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
 
 
-@book.query("D04_title_join", sql(CHATS + ", " + CHUNKS.replace("RECURSIVE ", "") if False else f"RECURSIVE {CHATS}, {CHUNKS.removeprefix('RECURSIVE ')}", "SELECT chunk_id, coalesce(nullif(title, ''), 'Doc ' || right(c.chat_id, 8)) AS title FROM chunks c LEFT JOIN (SELECT id, title FROM chats WHERE id::BIGINT % 3 <> 0) x ON x.id = c.chat_id"))
+@book.query("D04_title_join", sql(f"RECURSIVE {CHATS}, {CHUNKS.removeprefix('RECURSIVE ')}", "SELECT chunk_id, coalesce(nullif(title, ''), 'Doc ' || right(c.chat_id, 8)) AS title FROM chunks c LEFT JOIN (SELECT id, title FROM chats WHERE id::BIGINT % 3 <> 0) x ON x.id = c.chat_id"))
 def title_join(t):
     known = chats(t).filter("cast(id as long) % 3 <> 0").select("id", "title")
     c = chunks(t)
