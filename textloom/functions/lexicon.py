@@ -88,3 +88,82 @@ DE_NO_COMPOUNDS = tuple(
 
 #: Letters of a word: Latin with common accents, Cyrillic, Greek, Hebrew.
 LETTERS = "a-zA-ZäöüÄÖÜßáàéèíìóòúùЀ-ӿԀ-ԯͰ-Ͽἀ-῿֐-׿"
+
+# Names that a speaker line can open with.
+SPEAKERS = ("ChatGPT", "GPT", "Claude", "Gemini", "DeepSeek", "Grok", "Kimi", "GLM", "Perplexity", "User")
+
+# What tells the kind of a chunk.
+QUESTION_WORDS = ("was ", "wie ", "warum ", "welche ", "wozu ", "wer ", "wann ", "wo ", "weshalb ", "wieso ")
+REFLECTION = ("ich denke", "meine einschätzung", "aus meiner sicht", "meiner meinung", "ich fühle", "mein algorithmus", "meine programmierung", "als ki", "als sprachmodell")
+COMPARISON = ("im gegensatz", "während", "beide", "verglichen mit", "unterschied", "ähnlich wie", "dagegen", "im vergleich", "versus", "vs.", "anders als")
+
+# Patterns that tell a discourse from an exegesis question.
+DISCOURSE = ("vergleich", "unterschied", "gegenüberstellung", r"vs\.", "versus", "anders als", "diskutiere", "positionen", "meinungen", "konsens", "divergenz", "kontroverse", "wie sehen.*modelle", "was sagen.*systeme")
+EXEGESIS = ("was ist", "was bedeutet", "was wäre", "definier", "bedeutung von", "erkläre", "erläutere", "wie funktioniert", "warum", "wieso", "weshalb", "analyse", "interpretier", "hintergrund", "kontext", "einordnung")
+
+# Signals of literary and analytical queries.
+LITERARY = tuple(
+    """gedicht|übersetzung|musikalität|rhythmus|metapher|poem|poetry|translation|verse|stanza|поэзия|стих|перевод|poesia|verso|tradução|essay|essai|эссе|ensaio|gattung|genre|жанр|literarische analyse|literary analysis|литературный анализ|stilistik|style|стиль|prosa|prose|проза|definition|definiert|defines|text|texte|текст|autor|author|автор|adorno|chesterton|valéry|valery|шкловский|shklovskii|shklovsky|тынянов|tynyanov|tynianov|pessoa|celan|ayer|voltaire""".split("|")
+)
+ANALYTICAL = ("vergleiche", "analyse", "unterschied", "entwicklung", "compare", "analyze", "difference", "evolution", "сравни", "анализ", "различие")
+
+# Title words of primary sources and of analyses.
+PRIMARY_TITLES = ("brief", "tagebuch", "tagebuchnotiz", "notiz", "protokoll", "aufzeichnung", "manuskript", "vorlesung", "briefwechsel", "korrespondenz", "stundennotiz", "sitzungsprotokoll")
+ANALYSIS_TITLES = ("analyse", "gutachten", "supervision", "handoff", "fallstudie", "interpretation", "kommentar", "kritik")
+
+# Words that keyword extraction leaves out.
+KEYWORD_STOPS = ("wie", "was", "wo", "und", "oder", "der", "die", "das", "bei", "mit", "von", "über", "ist", "sind", "jeweils", "erwähnung", "auf", "den", "dem", "sagen", "meinen")
+
+# Words that do not count in the echo measure.
+ECHO_STOPS = tuple(
+    """der die das ein eine einer eines einem einen ich du er sie es wir ihr mich dich sich mir dir uns euch mein dein sein unser euer
+    dieser diese dieses jener jene jenes welcher welche man irgend
+    in auf mit bei zu von für an aus durch um über unter vor nach neben zwischen hinter ohne statt trotz wegen während innerhalb außerhalb
+    und oder aber sondern weil dass wenn als ob damit bevor nachdem seit bis sobald solange
+    bin bist ist sind war waren werde wirst wird werden habe hast hat haben hatte hatten
+    nicht auch noch schon nur sehr mehr etwas alles nichts wieder immer vielleicht ja nein doch halt eben mal
+    was wer wo wann warum wie woher wohin deshalb trotzdem allerdings jedoch denn nämlich
+    geht gehe gehen mache machst macht machen will willst wollen möchte möchten soll sollen
+    kann kannst können muss musst müssen darf dürfen brauche brauchst brauchen
+    so da hier dort drin rein raus rum echt wirklich ganz total voll welches""".split()
+)
+
+# Weight, name and pattern of crisis signs, in the order in which they are added up.
+CRISIS = (
+    (3, "suizid", r"suizid"), (3, "selbstmord", r"selbstmord"), (3, "lebensmuede", r"lebensm[üu]d"),
+    (3, "sich_etwas_antun", r"(?:sich|mir|mich)\s+(?:\w+\s+){0,3}(?:etwas|das|nichts|alles)\s+antun"),
+    (3, "nicht_mehr_leben", r"nicht\s+mehr\s+leben"),
+    (3, "tot_sein_wollen", r"(?:will|wollte|möchte)\s+(?:\w+\s+){0,3}(?:tot|fort|weg)\s+(?:sein|werden)"),
+    (3, "tot_sein_aussage", r"(?:einfach\s+)?(?:tot|fort)\s+sein"),
+    (3, "umbringen", r"(?:sich|mir|mich)\s+(?:\w+\s+){0,2}umbring"),
+    (3, "umbringen_konjugiert", r"bring(?:e|st|en|t)?\s+(?:mich|sich|dich|uns)\s+um"),
+    (3, "telefonseelsorge_explicit", r"telefonseelsorge|0800\s*111\s*0\s*111"),
+    (2, "schluss_machen", r"schluss\s+mach(?:en|t)"), (2, "keinen_sinn_mehr", r"kein(?:en|e|er)?\s+sinn\s+(?:mehr\s+)?macht?"),
+    (2, "aufgeben_leben", r"aufgeb(?:en|t)\s+(?:das\s+)?leben"), (2, "schmerzen_zufuegen", r"schmerz(?:en)?\s+(?:selbst\s+)?zufüg(?:en|t)"),
+    (3, "sich_selbst_verletzen", r"(?:sich|mir|mich)\s+(?:\w+\s+){0,4}selbst\s+verletz(?:en|t|e)"),
+    (2, "sich_verletzen", r"(?:sich|mir|mich)\s+(?:\w+\s+){0,4}verletz(?:en|t|e)"), (3, "ritzen", r"ritz(?:en|t|e)"),
+    (2, "nicht_mehr_weiter_wissen", r"nicht\s+mehr\s+weiter(?:\s+wissen)?"),
+    (2, "besseres_gehen", r"es\s+(?:w[äa]re|ist)\s+(?:besser|besseres)\s+(?:wenn\s+)?ich\s+(?:gehe|fortgehe|fortbin|verschwind)"),
+    (3, "fuer_immer_weg_wollen", r"(?:will|möchte)\s+(?:\w+\s+){0,3}(?:weg|fort).{0,30}(?:für\s+immer|endgültig)"),
+    (3, "fuer_immer_weg_wollen_v2", r"(?:weg|fort).{0,30}(?:für\s+immer|endgültig)"),
+    (2, "einfach_weg_wollen", r"(?:einfach\s+)?will\s+(?:einfach\s+)?(?:weg|fort)"),
+    (1, "tod_gedanke", r"(?:tod|tot)\s+(?:gedanke|gedanken|sehnsucht)"), (1, "verzweifelt", r"verzweifelt"), (1, "hoffnungslos", r"hoffnungslos"),
+    (1, "aushalten_nicht_mehr", r"nicht\s+mehr\s+aushalt(?:en|en_k[öo]nnen|en_kann)"), (1, "halte_nicht_aus", r"halt(?:e|en)\s+(?:\w+\s+){0,3}nicht\s+(?:mehr\s+)?aus"),
+    (1, "alles_sinnlos", r"alles\s+ist\s+sinnlos|sinnlos"),
+)
+CRISIS_THRESHOLDS = {"IFS_FIGHT": 2, "IFS_CONTROL": 3, "IFS_FEAR": 2, "NAMASTE": 2}
+
+# German months in order.
+MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
+
+# Marks of a dialogue with inner parts, and the labels of the parts.
+PARTS_CONTEXT = (r"\b(Stimme der Kontrolle|Kontroll-Stimme|IFS_CONTROL)\b", r"\b(Stimme des Kampfes|Kampf-Stimme|IFS_FIGHT)\b", r"\b(Stimme der Furcht|Furcht-Stimme|IFS_FEAR)\b", r"\b(Inneres Familiensystem|IFS-Resonanzraum|Resonanzraum)\b", r"\b(Manager|Exile|Firefighter)\b")
+PARTS = {
+    "ifs_control": (r"^\s*(Stimme der Kontrolle|Kontroll-Stimme|IFS_CONTROL)\s*:", "STIMME DER KONTROLLE"),
+    "ifs_fight": (r"^\s*(Stimme des Kampfes|Kampf-Stimme|IFS_FIGHT)\s*:", "STIMME DES KAMPFES"),
+    "ifs_fear": (r"^\s*(Stimme der Furcht|Furcht-Stimme|IFS_FEAR)\s*:", "STIMME DER FURCHT"),
+}
+
+# Fields of a structured answer that are no claims.
+CLAIM_FIELDS = ("DOKUMENTTYP", "BEFUND", r"RHETORISCHE\s+STRATEGIE", "MOTIV", r"FUNKTIONALES\s+MOTIV", "KONSEQUENZ", r"DISKURSIVE\s+KONSEQUENZ", "FAZIT", r"METHODISCHER\s+ANSATZ", r"ZENTRALE\s+ERKENNTNIS", r"ARGUMENTATIVE\s+STRATEGIE", r"BLINDE\s+FLECKEN", "STÄRKEN")
+SYNTHESIS_FIELDS = ("ENTWICKLUNGSLINIE", "KONVERGENZEN", "DIVERZENZEN", r"STRUKTURELLES\s+FAZIT")
