@@ -64,9 +64,9 @@ def registry(t):
 REGISTRY = CHUNKS + ", registry AS (SELECT chunk_id, chat_id, content_hash, row_number() OVER (ORDER BY chat_id::BIGINT, chunk_index) AS seq FROM chunks)"
 
 
-@book.query("A37_iter_all_chunks", sql(REGISTRY, "SELECT r.seq, r.chunk_id FROM registry r JOIN (SELECT chunk_id FROM chunks WHERE chunk_index % 9 <> 8) c USING (chunk_id) WHERE r.seq <= 500"))
+@book.query("A37_iter_all_chunks", sql(REGISTRY, "SELECT r.seq, r.chunk_id FROM registry r JOIN (SELECT chunk_id FROM chunks WHERE chunk_index % 9 <> 8) c USING (chunk_id)"))
 def iter_all_chunks(t):
-    return registry(t).join(chunks(t).filter("chunk_index % 9 <> 8").select("chunk_id"), "chunk_id").filter("seq <= 500").select("seq", "chunk_id")
+    return registry(t).join(chunks(t).filter("chunk_index % 9 <> 8").select("chunk_id"), "chunk_id").select("seq", "chunk_id")
 
 
 # Projections and filters
@@ -188,15 +188,15 @@ def chats_fts(t):
     return fts(c, "id", "title", ["src1"]).join(c.select("id", "title"), "id").select("id", "title")
 
 
-@book.query("D03_dedup_anti_join", "SELECT doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND sha256(b.text) = sha256(a.text)) AND doc_id % 2 = 1")
+@book.query("D03_dedup_anti_join", "SELECT doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.lang = 'en' AND sha256(b.text) = sha256(a.text)) AND lang <> 'en'")
 def dedup_anti_join(t):
-    hashed = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
-    return hashed.filter("doc_id % 2 = 1").join(hashed.filter("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
+    hashed = t.documents.select("doc_id", "lang", F.sha2("text", 256).alias("h"))
+    return hashed.filter("lang <> 'en'").join(hashed.filter("lang = 'en'").select("h"), "h", "left_anti").select("doc_id")
 
 
-@book.query("D04_title_join", sql(f"RECURSIVE {CHATS}, {CHUNKS.removeprefix('RECURSIVE ')}", "SELECT chunk_id, coalesce(nullif(title, ''), 'Doc ' || right(c.chat_id, 8)) AS title FROM chunks c LEFT JOIN (SELECT id, title FROM chats WHERE id::BIGINT % 3 <> 0) x ON x.id = c.chat_id"))
+@book.query("D04_title_join", sql(f"RECURSIVE {CHATS}, {CHUNKS.removeprefix('RECURSIVE ')}", "SELECT chunk_id, coalesce(nullif(title, ''), 'Doc ' || right(c.chat_id, 8)) AS title FROM chunks c LEFT JOIN (SELECT id, title FROM chats WHERE model_name IS NOT NULL) x ON x.id = c.chat_id"))
 def title_join(t):
-    known = chats(t).filter("cast(id as long) % 3 <> 0").select("id", "title")
+    known = chats(t).filter("model_name is not null").select("id", "title")
     c = chunks(t)
     return c.join(known, c["chat_id"] == known["id"], "left").select("chunk_id", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Doc "), F.right("chat_id", F.lit(8)))).alias("title"))
 
@@ -206,17 +206,17 @@ def registry_join(t):
     return registry(t).join(chunks(t).filter("chunk_index % 9 <> 8").select("chunk_id"), "chunk_id").select("seq", "chunk_id")
 
 
-@book.query("D07_missing_documents", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND doc_id % 10 = 3)")
-@book.query("H03_set_difference", "SELECT source FROM documents EXCEPT SELECT source FROM documents WHERE lang = 'es' AND doc_id % 10 = 3")
+@book.query("D07_missing_documents", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars < 500)")
+@book.query("H03_set_difference", "SELECT source FROM documents EXCEPT SELECT source FROM documents WHERE lang = 'es' AND n_chars < 500")
 def missing_documents(t):
-    return t.documents.select("source").distinct().join(t.documents.filter("lang = 'es' and doc_id % 10 = 3").select("source"), "source", "left_anti")
+    return t.documents.select("source").distinct().join(t.documents.filter("lang = 'es' and n_chars < 500").select("source"), "source", "left_anti")
 
 
-@book.query("D12_cache_probe", "SELECT a.doc_id, b.h IS NOT NULL AS hit FROM documents a LEFT JOIN (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id < 100) b ON b.h = sha256(a.text) WHERE a.doc_id >= 100")
+@book.query("D12_cache_probe", "SELECT a.doc_id, b.h IS NOT NULL AS hit FROM documents a LEFT JOIN (SELECT DISTINCT sha256(text) AS h FROM documents WHERE lang = 'fr') b ON b.h = sha256(a.text)")
 def cache_probe(t):
-    hashed = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
-    known = hashed.filter("doc_id < 100").select(F.col("h").alias("k")).distinct()
-    return hashed.filter("doc_id >= 100").join(known, F.col("h") == F.col("k"), "left").select("doc_id", F.col("k").isNotNull().alias("hit"))
+    hashed = t.documents.select("doc_id", "lang", F.sha2("text", 256).alias("h"))
+    known = hashed.filter("lang = 'fr'").select(F.col("h").alias("k")).distinct()
+    return hashed.join(known, F.col("h") == F.col("k"), "left").select("doc_id", F.col("k").isNotNull().alias("hit"))
 
 
 @book.query("D18_delete_last_message", sql(MESSAGES, "SELECT id FROM messages m WHERE turn < (SELECT max(turn) FROM messages n WHERE n.chat_id = m.chat_id)"))
@@ -376,9 +376,9 @@ def union_titles_first(t):
     return both.groupBy("id").agg(F.min("p").alias("priority"))
 
 
-@book.query("H02_bag_union", "SELECT source FROM documents WHERE doc_id < 30 UNION ALL SELECT source FROM documents WHERE doc_id < 20")
+@book.query("H02_bag_union", "SELECT source FROM documents UNION ALL SELECT lang FROM documents")
 def bag_union(t):
-    return t.documents.filter("doc_id < 30").select("source").unionAll(t.documents.filter("doc_id < 20").select("source"))
+    return t.documents.select("source").unionAll(t.documents.select("lang"))
 
 
 @book.query("H04_quote_dedup", "SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang, text[1:100]")
@@ -433,9 +433,9 @@ def update_chat_metadata(t):
     return update_metadata(chats(t), "4", {"model_name": "claude", "updated": 1}).select("id", "title", "model_name", "updated")
 
 
-@book.query("I08_mark_reviewed", sql(REVIEWS, "SELECT id, CASE WHEN id % 6 = 0 THEN 1 ELSE human_valid END AS human_valid FROM reviews"))
+@book.query("I08_mark_reviewed", sql(REVIEWS, "SELECT id, CASE WHEN confidence > 0.5 THEN 1 ELSE human_valid END AS human_valid FROM reviews"))
 def mark_reviewed(t):
-    return reviews(t).select("id", F.when(F.col("id") % 6 == 0, 1).otherwise(F.col("human_valid")).alias("human_valid"))
+    return reviews(t).select("id", F.when(F.col("confidence") > 0.5, 1).otherwise(F.col("human_valid")).alias("human_valid"))
 
 
 @book.query("I09_register_chunks", sql(CHUNKS, "SELECT chunk_id FROM chunks WHERE chunk_index = 0 UNION SELECT chunk_id FROM chunks WHERE chunk_index <= 1"))
@@ -524,13 +524,13 @@ def chat_markdown(t):
     return messages(t).groupBy("chat_id").agg(F.md5(F.array_join(F.transform(parts, lambda p: p["line"]), "\n\n")).alias("markdown_md5"))
 
 
-@book.query("B12_chunk_dump", sql(REGISTRY, "SELECT chunk_id FROM (SELECT r.chunk_id, r.chat_id FROM registry r ORDER BY seq LIMIT 1000) WHERE chat_id::BIGINT % 5 = 0"))
+@book.query("B12_chunk_dump", sql(REGISTRY, "SELECT chunk_id FROM (SELECT * FROM registry ORDER BY seq LIMIT 1000) JOIN chunks USING (chunk_id) WHERE contains(lower(content), 'the')"))
 def chunk_dump(t):
-    return registry(t).orderBy("seq").limit(1000).filter("cast(chat_id as long) % 5 = 0").select("chunk_id")
+    return registry(t).orderBy("seq").limit(1000).join(chunks(t).select("chunk_id", "content"), "chunk_id").filter(F.contains(F.lower("content"), F.lit("the"))).select("chunk_id")
 
 
-@book.query("B15_insert_or_ignore", sql(REVIEWS, "SELECT id, version FROM reviews WHERE version = 'v0' UNION SELECT id, 'v0' FROM reviews WHERE id % 10 = 0"))
+@book.query("B15_insert_or_ignore", sql(REVIEWS, "SELECT id, version FROM reviews WHERE version = 'v0' UNION SELECT id, 'v0' FROM reviews WHERE confidence > 0.5"))
 def insert_or_ignore(t):
     old = reviews(t).filter("version = 'v0'").select("id", "version")
-    new = reviews(t).filter("id % 10 = 0").select("id", F.lit("v0").alias("version")).distinct()
+    new = reviews(t).filter("confidence > 0.5").select("id", F.lit("v0").alias("version")).distinct()
     return old.union(new.join(old, ["id", "version"], "left_anti"))

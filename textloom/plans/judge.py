@@ -48,17 +48,17 @@ def version_in_title(t):
     return titled(t).select("doc_id", J.version_in_title(F.col("title"), F.lit("")).alias("version"))
 
 
-@book.query("J03_metadata_date", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN '2025-05-01' ELSE NULL END AS iso FROM events WHERE event_id < 1000")
-@book.query("G07_chronological", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN '2025-05-01' ELSE NULL END AS iso FROM events WHERE event_id < 1000")
+@book.query("J03_metadata_date", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN '2025-05-01' ELSE NULL END AS iso FROM events")
+@book.query("G07_chronological", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN '2025-05-01' ELSE NULL END AS iso FROM events")
 def metadata_date(t):
     i = F.col("event_id")
     raw = F.when(i % 4 == 0, F.date_format("ts", "dd.MM.yyyy")).when(i % 4 == 1, "Mai 2025").when(i % 4 == 2, "o.D.").otherwise("")
-    return t.events.filter("event_id < 1000").select("event_id", F.date_format(J.metadata_date(raw), "yyyy-MM-dd").alias("iso")).orderBy(F.asc_nulls_first("iso"), "event_id")
+    return t.events.select("event_id", F.date_format(J.metadata_date(raw), "yyyy-MM-dd").alias("iso")).orderBy(F.asc_nulls_first("iso"), "event_id")
 
 
-@book.query("J05_keywords", f"SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(translate(text[1:300], '-_', '  '), '{WS}+'), lambda w: w <> ''), lambda w: regexp_replace(lower(w), '^[?\".,!:]+|[?\".,!:]+$', '', 'g')), lambda w: NOT list_contains({lit(lx.KEYWORD_STOPS)}, w) AND length(w) > 2), ' ') AS keywords FROM documents")
+@book.query("J05_keywords", f"SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(translate(text, '-_', '  '), '{WS}+'), lambda w: w <> ''), lambda w: regexp_replace(lower(w), '^[?\".,!:]+|[?\".,!:]+$', '', 'g')), lambda w: NOT list_contains({lit(lx.KEYWORD_STOPS)}, w) AND length(w) > 2), ' ') AS keywords FROM documents")
 def keywords(t):
-    return t.documents.select("doc_id", F.array_join(J.keywords(F.substring("text", 1, 300)), " ").alias("keywords"))
+    return t.documents.select("doc_id", F.array_join(J.keywords(F.col("text")), " ").alias("keywords"))
 
 
 @book.query("J06_citation_format", "SELECT doc_id, 'a [' || doc_id || '] b [' || doc_id || ']' AS cleaned FROM documents")
@@ -74,9 +74,9 @@ def thought_and_speech(t):
     return t.documents.filter("text is not null").select("doc_id", thought.alias("thought"), F.md5(speech).alias("speech_md5"))
 
 
-@book.query("J13_sanitize_term", "SELECT doc_id, regexp_replace(text[1:40], '[^\\p{L}\\p{N}_]', '', 'g') AS term FROM documents")
+@book.query("J13_sanitize_term", "SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g') AS term FROM documents")
 def sanitize_term(t):
-    return t.documents.select("doc_id", F.regexp_replace(F.substring("text", 1, 40), "[^\\p{L}\\p{N}_]", "").alias("term"))
+    return t.documents.select("doc_id", F.regexp_replace("text", "[^\\p{L}\\p{N}_]", "").alias("term"))
 
 
 @book.query("J14_normalize_whitespace", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS text_md5 FROM documents")
@@ -84,17 +84,17 @@ def normalize_whitespace(t):
     return t.documents.select("doc_id", F.md5(T.squeeze(F.col("text"))).alias("text_md5"))
 
 
-@book.query("J28_normalize_for_rhyme", f"SELECT DISTINCT w, CASE WHEN length(w) > 2 AND right(w, 1) = 'e' AND NOT contains('aeiouäöü', w[-2:-2]) THEN w[:-2] ELSE w END AS rhyme FROM (SELECT unnest(regexp_extract_all(lower(text[1:500]), '[{lx.LETTERS}]+')) AS w FROM documents)")
+@book.query("J28_normalize_for_rhyme", f"SELECT DISTINCT w, CASE WHEN length(w) > 2 AND right(w, 1) = 'e' AND NOT contains('aeiouäöü', w[-2:-2]) THEN w[:-2] ELSE w END AS rhyme FROM (SELECT unnest(regexp_extract_all(lower(text), '[{lx.LETTERS}]+')) AS w FROM documents)")
 def normalize_for_rhyme(t):
     w = F.col("w")
     mute = (F.length(w) > 2) & F.endswith(w, F.lit("e")) & (F.instr(F.lit("aeiouäöü"), F.substring(w, -2, 1)) == 0)
-    d = t.documents.select(F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, 500)), F.lit(f"[{lx.LETTERS}]+"), F.lit(0))).alias("w")).distinct()
+    d = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[{lx.LETTERS}]+"), F.lit(0))).alias("w")).distinct()
     return d.select("w", F.when(mute, F.left(w, F.length(w) - 1)).otherwise(w).alias("rhyme"))
 
 
-@book.query("J30_strip_punctuation", "SELECT doc_id, translate(text[1:200], ',.;:!?(\"«»—–-…', '') AS bare FROM documents")
+@book.query("J30_strip_punctuation", "SELECT doc_id, translate(text, ',.;:!?(\"«»—–-…', '') AS bare FROM documents")
 def strip_punctuation(t):
-    return t.documents.select("doc_id", F.translate(F.substring("text", 1, 200), ',.;:!?("«»—–-…', "").alias("bare"))
+    return t.documents.select("doc_id", F.translate("text", ',.;:!?("«»—–-…', "").alias("bare"))
 
 
 ECHO = f"list_distinct(list_filter(list_transform(regexp_extract_all({{}}, '[a-zA-ZäöüÄÖÜß]+'), lambda w: lower(w)), lambda w: NOT list_contains({lit(lx.ECHO_STOPS)}, w) AND length(w) >= 3))"
@@ -115,16 +115,15 @@ def text_hash(t):
     return t.documents.filter("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
 
 
-@book.query("J36_cache_key", "SELECT lang, md5(string_agg(text, '' ORDER BY doc_id)) AS k FROM documents WHERE doc_id < 50 GROUP BY lang")
+@book.query("J36_cache_key", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS k FROM conversations GROUP BY conv_id")
 def cache_key(t):
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
-    return t.documents.filter("doc_id < 50").groupBy("lang").agg(F.md5(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("k"))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return t.conversations.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("k"))
 
 
-@book.query("J37_claim_hash", "SELECT doc_id, sha256(lower(trim(text[1:80])) || doc_id)[1:16] AS h FROM documents WHERE text[1:80] = trim(text[1:80], ' ' || chr(10))")
+@book.query("J37_claim_hash", "SELECT doc_id, sha256(lower(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) || doc_id)[1:16] AS h FROM documents WHERE text IS NOT NULL")
 def claim_hash(t):
-    head = F.substring("text", 1, 80)
-    return t.documents.filter(head == T.strip(head)).select("doc_id", J.claim_hash(head, F.col("doc_id")).alias("h"))
+    return t.documents.filter("text is not null").select("doc_id", J.claim_hash(F.col("text"), F.col("doc_id")).alias("h"))
 
 
 @book.query("M01_classify_speaker", sql(TITLED, "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'DeepSeek-R1' WHEN 1 THEN 'ChatGPT-4o' WHEN 2 THEN 'claude' END AS raw, CASE WHEN doc_id % 5 < 3 THEN 0.95 ELSE 0.6 END::DOUBLE AS confidence FROM titled"))

@@ -197,13 +197,14 @@ def imbalance_only(t):
 @book.query("L16_token_budget")
 def token_budget(t):
     """Checked against a fold in plain Python by the tests."""
-    c = chunks(t).filter("cast(chat_id as long) < 40").select("chat_id", "chunk_id", "content", F.row_number().over(W.orderBy(F.length("content").desc(), "chunk_id")).alias("rank"))
+    best = chunks(t).orderBy(F.length("content").desc(), "chunk_id").limit(100)  # the results of one answer
+    c = best.select("chat_id", "chunk_id", "content", F.row_number().over(W.orderBy(F.length("content").desc(), "chunk_id")).alias("rank"))
     return R.token_budget(c, 6000).select("chunk_id", "chat_id", "rank")
 
 
-@book.query("F08_running_budget", "WITH RECURSIVE x AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, length(text) // 4 AS k FROM documents WHERE doc_id < 60), f AS (SELECT r, doc_id, k <= 6000 AS took, CASE WHEN k <= 6000 THEN k ELSE 0 END AS used FROM x WHERE r = 1 UNION ALL SELECT x.r, x.doc_id, used + x.k <= 6000, CASE WHEN used + x.k <= 6000 THEN used + x.k ELSE used END FROM f JOIN x ON x.r = f.r + 1) SELECT doc_id, took FROM f")
+@book.query("F08_running_budget", "WITH RECURSIVE x AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, length(text) // 4 AS k FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100)), f AS (SELECT r, doc_id, k <= 6000 AS took, CASE WHEN k <= 6000 THEN k ELSE 0 END AS used FROM x WHERE r = 1 UNION ALL SELECT x.r, x.doc_id, used + x.k <= 6000, CASE WHEN used + x.k <= 6000 THEN used + x.k ELSE used END FROM f JOIN x ON x.r = f.r + 1) SELECT doc_id, took FROM f")
 def running_budget(t):
-    rows = t.documents.filter("doc_id < 60").select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("k"))
+    rows = t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(100).select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("k"))
     return R.greedy(rows, "doc_id", "k", 6000)
 
 
