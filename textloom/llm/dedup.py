@@ -7,8 +7,9 @@
    others, and the least member in two seeded orders).
 3. Candidates below the collision-corrected estimate less five standard deviations go;
    the others are confirmed on their full shingle sets.
-4. Components are contracted, and only pairs of a bucket that still lie in different
-   components are compared, so no link between components is lost.
+4. Components are contracted. The members of buckets that still hold different components
+   are compared across these by an exact prefix filter on their shingles, so no link between
+   components is lost, and no group is expanded into all its pairs.
 
 Bands of ``rows`` minima are dealt so that a pair at the threshold shares no band with a
 probability below 1e-6. Nulls: a null or wordless text has no shingle and joins nothing;
@@ -40,7 +41,7 @@ class NearDup:
 
     words: int = 5
     percent: int = 80
-    rows: int = 5
+    rows: int = 4
     miss: float = 1e-6
     seed: int = 20240601
     bits: int = 4  # of each minimum that the packed signature keeps
@@ -52,7 +53,7 @@ class NearDup:
 
     @property
     def minima(self) -> int:
-        return -(-self.bands * self.rows // 16) * 16
+        return max(128, -(-self.bands * self.rows // 16) * 16)
 
     @property
     def least_equal(self) -> int:
@@ -173,18 +174,59 @@ def _plausible(pairs: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
     return both.filter(differing(F.col("sig_a"), F.col("sig_b")) <= cfg.minima - cfg.least_equal).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: NearDup) -> DataFrame:
-    """The pairs (a, b), given once each, that hold on the full shingle sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "cls", "rep", "text_key"), "node")
+def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: NearDup) -> DataFrame:
+    """(node, found) for classes given by node, cls, rep and text_key: one text of each is read."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     rows = texts.join(nodes, (texts["key"] == nodes["text_key"]) & texts["id"].eqNullSafe(nodes["rep"]))
-    sets = shingle_sets(rows, cfg).groupBy("node").agg(F.first("found").alias("found"))
-    sets = settle(sets)
+    return shingle_sets(rows, cfg).groupBy("node").agg(F.first("found").alias("found"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, cfg: NearDup) -> DataFrame:
+    """The pairs (a, b), given once each, that hold on the full shingle sets."""
     left = sets.select(F.col("node").alias("a"), F.col("found").alias("found_a"))
     right = sets.select(F.col("node").alias("b"), F.col("found").alias("found_b"))
     return settle(confirmed(pairs.join(left, "a").join(right, "b"), cfg.percent))
 
 
+def _tokens(rows: DataFrame) -> DataFrame:
+    """(node, root, found) to (node, root, n, found as longs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longs = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, longs), pa.int64()), pa.array(longs, pa.list_(pa.int64()))], names=["node", "root", "n", "tokens"])
+
+    return rows.select("node", "root", "found").mapInArrow(run, "node long, root long, n long, tokens array<long>")
+
+
+def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots that can reach the threshold, of rows (node, root, found).
+
+    Exact prefix filter: with shingles in one order, rarest first, two sets at the threshold
+    share one of their first n - t n + 1, and the places of the first one they share bound how
+    many they can share at all. What only one set has comes first and needs no row.
+    """
+    sets = _tokens(rows)
+    every = sets.select("node", "root", "n", F.explode("tokens").alias("token"))
+    often = every.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = every.join(often.filter("df > 1").select("token", "df", "lo", "hi"), "token")
+    ordered = shared.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token", (F.col("lo") < F.col("hi")).alias("torn")))).alias("sorted"))
+    alone = (F.col("n") - F.size("sorted")).cast("int")
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    cut = ordered.withColumn("alone", alone).withColumn("take", prefix - F.col("alone")).filter("take > 0")
+    heads = settle(cut.select("node", "root", "n", "alone", F.posexplode(F.slice("sorted", F.lit(1), F.col("take"))).alias("pos", "s")).filter("s.torn").select("node", "root", "n", F.col("s.token").alias("token"), (F.col("pos") + F.col("alone")).alias("at")))
+    per = heads.groupBy("token", "root").agg(F.count("*").alias("k"))
+    major = per.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1").select("token", "major")
+    torn = heads.join(major, "token")
+    x = torn.filter("root <> major").select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = torn.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    need = (100 + percent) * room >= percent * (F.col("na") + F.col("nb"))
+    near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    found = x.join(y, (x["token"] == y["token"]) & (x["ra"] != y["rb"]) & near & need)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of the edges (a, b), by alternating star contraction.
 
@@ -232,19 +274,17 @@ def groups(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "doc_id", te
     hub = members.join(hubs, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("hub"))
     star = members.select("node", F.col("centre").alias("to")).union(members.join(hub, "key").select("node", F.col("hub").alias("to")))
     pairs = star.filter("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-    tried = settle(_plausible(pairs, classes, cfg))
-    links = _verified(tried, classes, docs, id_col, text_col, cfg)
+    nodes = classes.select("node", "cls", "rep", "text_key").join(members.select("node").distinct(), "node")
+    sets = settle(_sets(nodes, docs, id_col, text_col, cfg))
+    links = _verified(_plausible(pairs, classes, cfg), sets, cfg)
 
     roots = components(links)
     placed = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     torn = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = placed.join(torn, "key")
-    left = rest.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    more = left.join(right, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = settle(_plausible(more, classes, cfg))
+    rest = placed.join(torn, "key").select("node", "root").distinct()
+    more = settle(_plausible(_prefix_pairs(rest.join(sets, "node"), cfg.percent), classes, cfg))
     if not more.isEmpty():
-        found = _verified(more, classes, docs, id_col, text_col, cfg)
+        found = _verified(more, sets, cfg)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
     named = classes.select("node", "cls", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

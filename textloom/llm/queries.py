@@ -36,7 +36,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup.groups(table(spark, sf_dir, "documents"), dedup.NearDup(words=3, percent=85, rows=6))
+    found = dedup.groups(table(spark, sf_dir, "documents"), dedup.NearDup(words=3, percent=85, rows=5))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
