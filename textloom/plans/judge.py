@@ -197,11 +197,11 @@ def crisis_threshold(t):
     return crisis_text(t).select("doc_id", J.crisis_threshold(F.col("mode")).alias("threshold"))
 
 
-@book.query("R56_replace_output", "SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 4) THEN 'NOTFALL' ELSE 'frei' END AS shown FROM documents WHERE doc_id % 2 = 0")
-@book.query("R57_emergency_text", "SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 4) THEN 'NOTFALL' ELSE 'frei' END AS shown FROM documents WHERE doc_id % 2 = 0")
+@book.query("R56_replace_output", "SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 4) OR doc_id % 2 = 1 AND doc_id % 7 < 5 THEN 'NOTFALL' ELSE 'frei' END AS shown FROM documents")
+@book.query("R57_emergency_text", "SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 4) OR doc_id % 2 = 1 AND doc_id % 7 < 5 THEN 'NOTFALL' ELSE 'frei' END AS shown FROM documents")
 def replace_output(t):
     score = F.aggregate(J.crisis_hits(F.col("x")), F.lit(0), lambda s, w: s + w)
-    return crisis_text(t).filter("doc_id % 2 = 0").select("doc_id", F.when(score >= J.crisis_threshold(F.col("mode")), "NOTFALL").otherwise("frei").alias("shown"))
+    return crisis_text(t).select("doc_id", F.when(score >= J.crisis_threshold(F.col("mode")), "NOTFALL").otherwise("frei").alias("shown"))
 
 
 PAIRS = f"pairs AS (SELECT id, content, lag(content) OVER (PARTITION BY chat_id ORDER BY turn) AS said, role FROM messages), e AS (SELECT id, {ECHO.format('content')} AS mine, {ECHO.format('said')} AS theirs FROM pairs WHERE role = 'model' AND said IS NOT NULL), o AS (SELECT id, CASE WHEN len(mine) = 0 THEN 0 ELSE len(list_intersect(mine, theirs)) / len(mine)::DOUBLE END::DOUBLE AS overlap FROM e)"
