@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textloom.functions import text as T
+from textloom.session import settle
 
 RRF = 60
 
@@ -45,6 +46,21 @@ def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.5, b: float = 0.75
     return hits.groupBy(id_col).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "seq") -> DataFrame:
+    """Places 1, 2, ... of all rows in an order, without gathering them in one task.
+
+    Rows are dealt by ranges of the order and counted there; each range is numbered on its
+    own from the sum of the counts before it. The order has to be total.
+    """
+    dealt = settle(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = counts.select(F.col("__part").alias("__p"), before.alias("__before"))
+    within = dealt.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    out = within.join(F.broadcast(starts), F.col("__part") == F.col("__p"))  # as many rows as partitions
+    return out.withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__p", "__before", "__at")
+
+
 def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 

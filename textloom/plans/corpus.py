@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textloom.operators import corpus as C
+from textloom.operators import ranking as R
 from textloom.plans.book import Book
 
 book = Book()
@@ -57,8 +58,8 @@ def chunk_text(t):
 
 def registry(t):
     """Chunks in registry order; every ninth chunk has no stored vector."""
-    order = W.orderBy(F.col("chat_id").cast("long"), "chunk_index")
-    return chunks(t).select("chunk_id", "chat_id", "content_hash", F.row_number().over(order).cast("long").alias("seq"))
+    rows = chunks(t).select("chunk_id", "chat_id", "chunk_index", "content_hash")
+    return R.numbered(rows, F.col("chat_id").cast("long"), F.col("chunk_index")).drop("chunk_index")
 
 
 REGISTRY = CHUNKS + ", registry AS (SELECT chunk_id, chat_id, content_hash, row_number() OVER (ORDER BY chat_id::BIGINT, chunk_index) AS seq FROM chunks)"

@@ -69,8 +69,8 @@ def dense_top(t):
 @book.query("D06_rank_lists_union", f"WITH {VEC} SELECT vec_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM dense UNION ALL SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) FROM dense) GROUP BY vec_id")
 def reciprocal_rank(t):
     d = dense(t)
-    first = R.ranked(d.select("vec_id", "score"), [F.desc("score"), F.col("vec_id")])
-    second = R.ranked(d.select("vec_id", "label"), [F.col("label"), F.col("vec_id")])
+    first = R.numbered(d.select("vec_id", "score"), F.desc("score"), F.col("vec_id"), name="rank")
+    second = R.numbered(d.select("vec_id", "label"), F.col("label"), F.col("vec_id"), name="rank")
     return R.fuse(first.select("vec_id", "rank").union(second.select("vec_id", "rank")), "vec_id").select("vec_id", F.round("rrf", 9).alias("rrf"))
 
 
