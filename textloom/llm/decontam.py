@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +117,16 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> It
         yield block
 
 
+def _broadcast_blocks(items: DataFrame, window: int, k: int, id_col: str, text_col: str, block_bytes: int) -> Iterator[Broadcast]:
+    """An index a block, or an empty one; the driver holds one block at a time."""
+    made = False
+    for block in blocks(items, id_col, text_col, block_bytes):
+        made = True
+        yield items.sparkSession.sparkContext.broadcast(Index(block, window, k))
+    if not made:
+        yield items.sparkSession.sparkContext.broadcast(Index([], window, k))
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(spans):
@@ -131,8 +142,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<lo:long,hi:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
-    for block in list(blocks(items, id_col=item_id, text_col=item_text, block_bytes=block_bytes)) or [[]]:
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, window, k))
+    for shared in _broadcast_blocks(items, window, k, item_id, item_text, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -159,8 +169,7 @@ def report(scanned: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    for block in list(blocks(items, id_col=item_id, text_col=item_text, block_bytes=block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, window, k))
+    for shared in _broadcast_blocks(items, window, k, item_id, item_text, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
