@@ -34,34 +34,26 @@ DIMS = ("source", "lang", "topic")
 class Mix:
     temper: float = 0.7
     budget: float = 0.75
-    sweeps: int = 6
+    sweeps: int = 4
     seed: int = 7
     broadcast_cells: int = 100_000
 
 
-def topic_of(text_col: str) -> Column:
-    """The form of a text, from counts that Spark makes itself."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.regexp_count(t, F.lit(WORD))
-    chars = F.length(t)
-    upper = chars - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    odd = chars - F.length(F.translate(t, "#$%&*!|", ""))
-    pipes = chars - F.length(F.translate(t, "|", ""))
-    return F.when(n < 20, "fragment").when(pipes * 5 >= n, "table").when(upper * 2 >= chars, "shout").when(odd * 10 >= chars, "noise").when(n >= 1500, "long").otherwise("prose")
+def topic_of(words: Column, pipes: Column, capitals: Column, marks: Column) -> Column:
+    """The form of a text, from the counts that ``measured`` makes."""
+    return F.when(words < 20, "fragment").when(pipes * 5 >= words, "table").when(capitals * 2 >= words, "shout").when(marks * 3 >= words, "noise").when(words >= 1500, "long").otherwise("prose")
 
 
 def measured(docs: DataFrame, cfg: Mix, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> DataFrame:
     """``docs`` with __source, __lang, __topic, __tokens and __draw, uniform in [0, 1)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.concat_ws("|", F.lit(str(cfg.seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.octet_length(F.col(text_col)), F.lit(-1)).cast("string"))
-    return docs.withColumns(
-        {
-            "__source": F.col(source_col),
-            "__lang": F.col(lang_col),
-            "__topic": F.col(topic_col) if topic_col else topic_of(text_col),
-            "__tokens": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"),
-            "__draw": F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2**32,
-        }
-    )
+    draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2**32
+    counts = {"__tokens": WORD} | ({} if topic_col else {"__pipes": "\\|", "__capitals": "[A-ZÀ-Þ]{2,}", "__marks": "[#$%&*!]{2,}"})
+    # Counted one projection below their use, so that each pattern runs once a row.
+    rows = docs.withColumns({name: F.regexp_count(text, F.lit(pattern)).cast("long") for name, pattern in counts.items()})
+    topic = F.col(topic_col) if topic_col else topic_of(*(F.col(c) for c in counts))
+    return rows.withColumns({"__source": F.col(source_col), "__lang": F.col(lang_col), "__topic": topic, "__draw": draw}).drop("__pipes", "__capitals", "__marks")
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -114,7 +106,7 @@ def mix(docs: DataFrame, cfg: Mix = Mix(), id_col: str = "doc_id", text_col: str
     """Per row: doc_id, source, lang, topic, tokens, weight, probability, sampled."""
     used = docs.select(*dict.fromkeys(c for c in (id_col, text_col, source_col, lang_col, topic_col) if c))
     rows = measured(used, cfg, id_col, text_col, source_col, lang_col, topic_col).select(F.col(id_col).cast("long").alias("doc_id"), *(f"__{d}" for d in DIMS), "__tokens", "__draw")
-    out = drawn(rows, cfg)
+    out = drawn(settle(rows), cfg)  # the texts are read once
     return out.select("doc_id", *(F.col(f"__{n}").alias(n) for n in (*DIMS, "tokens", "weight", "probability", "sampled")))
 
 
