@@ -32,7 +32,8 @@ class Machine:
     rank: int = 6
     bound: int = 12000
     epochs: int = 12
-    rate: float = 0.05
+    updates: int = 600  # at least; few rows are gone through more often
+    rate: float = 0.2
     decay: float = 1e-4
     seed: int = 5
 
@@ -65,10 +66,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], cfg: Machine) -> tuple[f
     share = float(y_all.mean()) if len(rows) else 0.5
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, cfg.rank))
     bias = float(np.log(min(max(share, 0.01), 0.99) / (1 - min(max(share, 0.01), 0.99))))
-    if not 0 < share < 1:
+    if not rows or not 0 < share < 1:
         return bias, w, np.zeros_like(v)
     gb, gw, gv = 1e-2, np.full(size, 1e-2), np.full((size, cfg.rank), 1e-2)
-    for _ in range(cfg.epochs):
+    for _ in range(max(cfg.epochs, -(-cfg.updates // -(-len(rows) // 128)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 128):
             part = [rows[i] for i in order[at : at + 128]]
