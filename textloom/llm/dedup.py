@@ -174,11 +174,15 @@ def _plausible(pairs: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
     return both.filter(differing(F.col("sig_a"), F.col("sig_b")) <= cfg.minima - cfg.least_equal).select("a", "b")
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: NearDup) -> DataFrame:
-    """(node, found) for classes given by node, cls, rep and text_key: one text of each is read."""
+def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: NearDup, unique: bool) -> DataFrame:
+    """(node, found) for classes given by node, cls, rep and text_key: one text of each is read.
+
+    ``unique`` says that no id comes with one text twice, so nothing has to be gathered.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     rows = texts.join(nodes, (texts["key"] == nodes["text_key"]) & texts["id"].eqNullSafe(nodes["rep"]))
-    return shingle_sets(rows, cfg).groupBy("node").agg(F.first("found").alias("found"))
+    sets = shingle_sets(rows, cfg)
+    return sets if unique else sets.groupBy("node").agg(F.first("found").alias("found"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, cfg: NearDup) -> DataFrame:
@@ -275,7 +279,8 @@ def groups(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "doc_id", te
     star = members.select("node", F.col("centre").alias("to")).union(members.join(hub, "key").select("node", F.col("hub").alias("to")))
     pairs = star.filter("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
     nodes = classes.select("node", "cls", "rep", "text_key").join(members.select("node").distinct(), "node")
-    sets = settle(_sets(nodes, docs, id_col, text_col, cfg))
+    unique = rows.groupBy("id", "text_key").count().filter("count > 1").isEmpty()
+    sets = settle(_sets(nodes, docs, id_col, text_col, cfg, unique))
     links = _verified(_plausible(pairs, classes, cfg), sets, cfg)
 
     roots = components(links)

@@ -3,12 +3,13 @@
 Grades 0 to 3 share one weight vector across the ordered thresholds:
 P(grade >= j) = sigmoid(weights x - threshold_j). A score is the expected grade, the sum
 of these probabilities. The label table only says toxic or not, so the grades of toxic
-training rows come from how much of the text its telling words make up: a first fit with
-one threshold finds the words, and the toxic rows are cut at the terciles of their share.
+training rows come from how much evidence their words give: a first fit with one threshold
+weighs it, the toxic rows are cut at its terciles, and the ordinal fit goes on from there.
 
-Features are hashed words, each present or not, with a bounded weight for repeats, so one
-telling word counts in a long text as in a short one. Words with weights that the evidence
-does not carry are held at zero by an L1 step. It is fitted from at most ``bound`` labelled rows.
+Features are hashed words and the beginnings of longer words (so inflected forms share
+one), each present or not, so one telling word counts in a long text as in a short one.
+Features whose rows are not toxic for the most part are screened out before the fit.
+It is fitted from at most ``bound`` labelled rows, which alone reach the driver.
 Null, empty and wordless texts have no features and grade 0. Equal texts grade equally.
 Without toxic training rows nothing is rejected.
 """
@@ -23,60 +24,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import features
+from textloom.llm import features, wordkit
+from textloom.session import settle
 
 
 @dataclass(frozen=True)
 class Ordinal:
     """Production parameters; ``bound`` limits the labelled rows that are read for fitting."""
 
-    dim: int = 1 << 17
-    bound: int = 16000
-    steps: int = 120
-    l1: float = 2e-4
+    dim: int = 1 << 30  # so many that features hardly share a place
+    stems: range = range(4, 9)  # bytes of the beginnings of words
+    bound: int = 8000
+    sure: float = 0.3  # least share of toxic rows among those with a feature, by Wilson's lower bound
+    steps: int = 600
+    start: float = 0.5  # share of the log odds of a feature that its weight starts from
+    l1: float = 1e-6
     grades: int = 3
     cut: float = 0.5
     seed: int = 10
 
 
-def inputs(text: bytes | None, dim: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Places and values of the words, and the number of words."""
-    where, often, n = features.hashed(text, dim)
-    return where, 1 + np.log1p(often - 1) / 4, n
+def inputs(text: bytes | None, cfg: Ordinal) -> np.ndarray:
+    """Distinct places of the features of a text."""
+    found = np.concatenate(wordkit.words_and_stems(text, wordkit.ALNUM, cfg.stems))
+    return np.unique((found & np.uint64(cfg.dim - 1)).astype(np.int32))
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-class _Sparse:
-    """Rows of (places, values) as flat arrays, over the places that more than one row has."""
+@dataclass
+class Rows:
+    """Training rows as flat arrays: entry i says that row ``row[i]`` has the feature ``used[col[i]]``."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], dim: int) -> None:
-        self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(x[0]) for x in rows])
-        place = np.concatenate([x[0] for x in rows] or [np.empty(0, dtype=np.int64)])
-        value = np.concatenate([x[1] for x in rows] or [np.empty(0)])
-        keep = np.bincount(place, minlength=dim)[place] > 1
-        self.row, place, self.value = self.row[keep], place[keep], value[keep]
-        self.used, self.col = np.unique(place, return_inverse=True)
+    toxic: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    used: np.ndarray
+    odds: np.ndarray  # log odds of the features against those of all rows
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.col], minlength=self.n)
+        return np.bincount(self.row, w[self.col], minlength=len(self.toxic))
 
     def back(self, e: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.value * e[self.row], minlength=len(self.used))
+        return np.bincount(self.col, e[self.row], minlength=len(self.used))
 
 
-def fit_ordinal(x: _Sparse, grade: np.ndarray, cfg: Ordinal, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds; Adam steps on the mean log loss, then soft thresholds."""
+def fit_ordinal(x: Rows, grade: np.ndarray, cfg: Ordinal, w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds: Adam steps on the mean log loss from the given ones."""
+    levels = len(theta)
     at_least = np.stack([(grade >= j + 1).astype(float) for j in range(levels)])
-    share = np.clip(at_least.mean(axis=1), 1e-3, 1 - 1e-3)
-    w, theta = np.zeros(len(x.used)), np.maximum.accumulate(np.log((1 - share) / share))
     m, s = np.zeros(len(w) + levels), np.zeros(len(w) + levels)
     for t in range(1, cfg.steps + 1):
         z = x.dot(w)
-        e = (sigmoid(z[None, :] - theta[:, None]) - at_least) / max(1, x.n)
+        e = (sigmoid(z[None, :] - theta[:, None]) - at_least) / max(1, len(x.toxic))
         g = np.concatenate([x.back(e.sum(axis=0)), -e.sum(axis=1)])
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-5)
@@ -86,43 +88,70 @@ def fit_ordinal(x: _Sparse, grade: np.ndarray, cfg: Ordinal, levels: int) -> tup
     return w, theta
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int, int]], cfg: Ordinal) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of all places and the thresholds, from (places, values, words, toxic) rows."""
-    toxic = np.array([r[3] for r in rows], dtype=int)
-    weights = np.zeros(cfg.dim)
-    if not len(rows) or not toxic.any():
-        return weights, np.full(cfg.grades, 30.0)
-    x = _Sparse([(r[0], r[1]) for r in rows], cfg.dim)
-    w, _ = fit_ordinal(x, toxic, cfg, 1)
-    telling = np.bincount(x.row, x.value * (w[x.col] > 0.5 * w.max()), minlength=x.n) / np.maximum(1, [r[2] for r in rows])
-    cuts = np.quantile(telling[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + (telling > cuts[0]) + (telling > cuts[1]), 0)
-    w, theta = fit_ordinal(x, grade, cfg, cfg.grades)
-    weights[x.used] = w
-    return weights, theta
-
-
-def train(docs: DataFrame, labels: DataFrame, cfg: Ordinal = Ordinal(), label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The fitted model. Features are made on the executors, at most ``bound`` ids come back."""
-    rows = features.labelled(docs, labels, label, cfg.bound, cfg.seed, id_col, text_col)
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]  # places in ascending order, their weights, the thresholds
+
+
+def no_model(cfg: Ordinal) -> Model:
+    """Grade 0 for every text."""
+    return np.empty(0, dtype=np.int32), np.empty(0), np.full(cfg.grades, 30.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [inputs(x.as_py(), cfg.dim) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([x[2] for x in made], pa.int64()), pa.array([x[0].astype(np.int32) for x in made], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in made], pa.list_(pa.float32()))], names=["id", "label", "n", "place", "value"])
 
-    table = rows.select("id", "label", "text").mapInArrow(run, "id long, label int, n long, place array<int>, value array<float>").limit(2 * cfg.bound).toArrow().sort_by([("id", "ascending"), ("n", "ascending")])
-    cols = [table.column(c) for c in ("place", "value", "n", "label")]
-    return fit([(p.values.to_numpy(zero_copy_only=False).astype(np.int64), v.values.to_numpy(zero_copy_only=False).astype(float), n.as_py(), m.as_py()) for p, v, n, m in zip(*cols, strict=True)], cfg)
+def fit(x: Rows, cfg: Ordinal) -> Model:
+    """One threshold first, then all of them on grades of evidence."""
+    share = x.toxic.mean()
+    w, first = fit_ordinal(x, x.toxic, cfg, cfg.start * x.odds, np.array([1 - np.log(share / (1 - share))]))
+    evidence = x.dot(w)
+    cuts = np.quantile(evidence[x.toxic == 1], np.arange(1, cfg.grades) / cfg.grades)
+    grade = np.where(x.toxic == 1, 1 + (evidence[:, None] > cuts).sum(axis=1), 0)
+    w, theta = fit_ordinal(x, grade, cfg, w, np.maximum.accumulate(np.concatenate([first, cuts])))
+    return x.used[w != 0], w[w != 0], theta
 
 
-def probabilities(text: bytes | None, model: tuple[np.ndarray, np.ndarray], cfg: Ordinal) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, cfg: Ordinal = Ordinal(), label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The fitted model. Features are made and screened on the executors; what they tell of at
+    most ``bound`` labelled ids comes back."""
+    rows = features.labelled(docs, labels, label, cfg.bound, cfg.seed, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([inputs(x.as_py(), cfg) for x in batch.column("text")], pa.list_(pa.int32()))], names=["id", "label", "place"])
+
+    made = rows.select("id", "label", "text").mapInArrow(run, "id long, label int, place array<int>")
+    made = settle(made.select(F.monotonically_increasing_id().alias("row"), "id", "label", "place"))
+    marks = made.select("row", "id", "label").toArrow().sort_by([("id", "ascending"), ("row", "ascending")])
+    toxic = np.minimum(marks.column("label").to_numpy(), 1)
+    if not len(toxic) or not 0 < toxic.mean() < 1:
+        return no_model(cfg)
+    entries = made.select("row", F.explode("place").alias("place"), F.least("label", F.lit(1)).alias("label"))
+    n, bad = F.col("n"), F.col("bad")
+    p = bad / n
+    low = (p + 2 / n - 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n)  # Wilson's bound at two deviations
+    counts = entries.groupBy("place").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).filter("bad > 0").filter(low >= cfg.sure)
+    telling = settle(counts)
+    told = telling.toArrow().sort_by("place")
+    if not told.num_rows:
+        return no_model(cfg)
+    used, n, bad = (told.column(c).to_numpy() for c in ("place", "n", "bad"))
+    hits = entries.select("row", "place").join(telling.select("place"), "place").toArrow().sort_by([("row", "ascending"), ("place", "ascending")])
+    names = marks.column("row").to_numpy()
+    order = np.argsort(names)
+    row = order[np.searchsorted(names[order], hits.column("row").to_numpy())]
+    odds = np.log((bad + 0.2) / (n - bad + 0.2)) - np.log(toxic.mean() / (1 - toxic.mean()))
+    return fit(Rows(toxic, row, np.searchsorted(used, hits.column("place").to_numpy()), used, odds), cfg)
+
+
+def probabilities(text: bytes | None, model: Model, cfg: Ordinal) -> np.ndarray:
     """P(grade >= j) for each threshold."""
-    where, value, n = inputs(text, cfg.dim)
-    return sigmoid(model[0][where] @ value - model[1]) if n else np.zeros(cfg.grades)
+    places, weights, theta = model
+    where = inputs(text, cfg)
+    if not len(where):
+        return np.zeros(cfg.grades)
+    at = np.minimum(np.searchsorted(places, where), max(0, len(places) - 1))
+    z = weights[at[places[at] == where]].sum() if len(places) else 0.0
+    return sigmoid(z - theta)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cfg: Ordinal = Ordinal(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, cfg: Ordinal = Ordinal(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, severity (expected grade), p_toxic (of grade 1 or more), grade and rejected for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -136,7 +165,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cfg: Ordinal =
     return rows.mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, rejected boolean")
 
 
-def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cfg: Ordinal = Ordinal(), text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, cfg: Ordinal = Ordinal(), text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the model rejects; every column comes back as it was."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

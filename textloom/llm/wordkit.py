@@ -73,28 +73,45 @@ def _segments(raw: np.ndarray, word: np.ndarray):
         lo = hi
 
 
-def words(data: bytes | None, word: np.ndarray) -> np.ndarray:
-    """Hashes of the words of a text in order, A-Z counted as a-z."""
-    if not data:
-        return np.empty(0, dtype=U64)
-    raw = np.frombuffer(data, dtype=np.uint8)
-    out = []
+def _runs(data: bytes | None, word: np.ndarray):
+    """For each piece of a text: prefix sums of its bytes, inverse powers, and where words start and end."""
+    raw = np.frombuffer(data or b"", dtype=np.uint8)
     for lo, hi in _segments(raw, word):
         part = raw[lo:hi]
         inside = np.zeros(len(part) + 2, dtype=np.int8)
         inside[1:-1] = word[part]
         step = np.diff(inside)
         start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        if not len(start):
-            continue
-        up, down = _POWERS.upto(len(part) + 1)
-        total = np.zeros(len(part) + 1, dtype=U64)
-        np.cumsum(_CODE[part] * up[: len(part)], out=total[1:])
-        h = (total[end] - total[start]) * down[start]
-        out.append(mix(h ^ (end - start).astype(U64)))
+        if len(start):
+            up, down = _POWERS.upto(len(part) + 1)
+            total = np.zeros(len(part) + 1, dtype=U64)
+            np.cumsum(_CODE[part] * up[: len(part)], out=total[1:])
+            yield total, down, start, end
+
+
+def _hash(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix(((total[end] - total[start]) * down[start]) ^ (end - start).astype(U64))
+
+
+def words(data: bytes | None, word: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a text in order, A-Z counted as a-z."""
+    out = [_hash(*run) for run in _runs(data, word)]
     return np.concatenate(out) if out else np.empty(0, dtype=U64)
 
 
+def words_and_stems(data: bytes | None, word: np.ndarray, lengths: range) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct words, and sorted distinct beginnings (of so many bytes) of longer words."""
+    found, stems = [np.empty(0, dtype=U64)], [np.empty(0, dtype=U64)]
+    for total, down, start, end in _runs(data, word):
+        h, first = np.unique(_hash(total, down, start, end), return_index=True)
+        found.append(h)
+        start, end = start[first], end[first]
+        for k in lengths:
+            longer = start[end - start > k]
+            stems.append(np.unique(_hash(total, down, longer, longer + k) ^ U64(0x5BD1E9955BD1E995)))
+    return np.unique(np.concatenate(found)), np.unique(np.concatenate(stems))
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` words, in order."""
     if len(h) < k:
