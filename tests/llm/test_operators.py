@@ -68,6 +68,23 @@ def test_site_noise_is_cut_by_entropy(spark):
     assert rows == {i: f"wort{i} erster Absatz mit vielen eigenen Wörtern wort{i}\n\nzweiter wort{i} Absatz" for i in range(8)}
 
 
+def test_site_tree_judges_marked_branches(spark):
+    page = "<body><article><h1>Titel {0}</h1><p>{0} erster Absatz mit vielen eigenen Wörtern</p><div class=box><p>Folgen Sie uns überall</p></div></article>"
+    pages = spark.createDataFrame([(i % 12, "https://site.example/p", page.format(f"wort{i % 12}")) for i in range(24)], "page_id long, url string, html string")
+    want = {i: f"Titel wort{i}\n\nwort{i} erster Absatz mit vielen eigenen Wörtern" for i in range(12)}
+    for paths in (1 << 17, 0):  # sent to all tasks, joined by host and path
+        rows = sitetree.extract(pages, broadcast_paths=paths).collect()
+        assert len(rows) == 24 and {r["page_id"]: r["text"] for r in rows} == want
+    copies = pages.filter("page_id = 3")
+    assert "Folgen" in sitetree.extract(copies.union(copies).union(copies).union(copies)).first()["text"]
+
+
+def test_teaser_articles_do_not_hide_the_main_text(spark):
+    page = "<body><div class=text><p>{0} Absatz mit vielen eigenen Wörtern, die nur auf dieser Seite stehen</p></div><article><p>Lesen Sie auch: Lösungen</p></article>"
+    pages = spark.createDataFrame([(i, "https://site.example/p", page.format(f"wort{i}")) for i in range(8)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in sitetree.extract(pages).collect()} == {i: f"wort{i} Absatz mit vielen eigenen Wörtern, die nur auf dieser Seite stehen" for i in range(8)}
+
+
 def test_extraction_matches_the_generated_articles(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     wanted = {}

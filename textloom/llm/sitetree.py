@@ -1,17 +1,19 @@
 """Main text of web pages by site style trees (operator 1).
 
 Pages of one host are merged into a tree of element paths. A leaf path is important if
-its content differs between the pages: its importance is one minus the mean entropy (to
-the base of the page count) of its contents over the pages. An inner path combines the
+its content differs between the pages that have it: its importance is one minus the mean
+entropy (to the base of their number) of its contents over them. An inner path combines the
 entropy of its presentation (the sequence of its child tags) with the importance of its
-leaves, damped by the number of children. Paths that at least half of a host's pages have
-and whose importance is below ``threshold`` are noise and are cut from each page, as are
-branches that the markup itself names as menus, adverts, notices, forms, comments and so on.
-Where a page marks its article, the marked branch stays and what lies outside goes.
+leaves, damped by the number of children. A leaf is cut if its importance, drawn towards
+what the markup says as if that were two further pages, is below ``threshold``. The markup
+says so where a page marks its article: important inside, unimportant outside. It says
+nothing where the marked text is not the page's main branch, which is the one with most text
+that is not cut, weighted by the importance of the inner path. Branches that the markup names
+as menus, adverts, notices, forms, comments and so on have no part in the tree and are cut.
 
-The counts are grouped by (host, path, content) with partial sums, so a host with a third
-of the pages is counted where its pages lie. Noise paths are few: each is on at least half
-of the pages of its host, so a host has at most twice as many as a page has paths.
+Pages of a host that say the same are one page to the tree. The nodes are grouped by (host,
+path, content) with partial sums, so a host with a third of the pages is counted where its
+pages lie. Paths of one page are left out of the tree: nothing is known of them.
 
 Nulls: null html is the empty page; a null or odd url has the empty host. An empty page
 has empty text. Repeated rows come back as often as they came in. Only the id, url and
@@ -55,6 +57,10 @@ class Block:
     links: int = 0
 
 
+#: (path, leaf) to importance and number of pages; a path that is not in it is on one page.
+Tree = dict[tuple[int, bool], tuple[float, int]]
+
+
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
@@ -134,18 +140,27 @@ def parse(html: str | None) -> Page:
     return page
 
 
-def main_text(page: Page, noise: set[int]) -> str:
-    """The article: blocks that neither markup nor the site's noise paths exclude."""
-    marked = [b for b in page.blocks if b.marked and not b.noise]
-    if marked:
-        return "\n\n".join(b.text for b in marked)
+def main_text(page: Page, tree: Tree, threshold: float = 0.3, prior: float = 2.0) -> str:
+    """The article: blocks outside named noise whose importance is not low.
+
+    The markup weighs as much as ``prior`` further pages: inside the marked branch it says
+    important, beside it unimportant. Where the main branch is not marked, it says neither.
+    """
+
+    def belief(path: int, leaf: bool, says: float) -> float:
+        importance, on = tree.get((path, leaf), (1.0, 1))
+        return ((on - 1) * importance + prior * says) / (on - 1 + prior)
+
     open_blocks = [b for b in page.blocks if not b.noise]
-    weight: dict[int, int] = {}
+    weight: dict[int | None, float] = {}
     for b in open_blocks:
-        weight[b.parent] = weight.get(b.parent, 0) + len(b.text) - b.links
-    best = max(weight, key=lambda p: weight[p], default=None)  # the branch with most text stays
-    kept = [b for b in open_blocks if b.parent == best or b.path not in noise and b.parent not in noise]
-    return "\n\n".join(b.text for b in kept if b.parent == best or b.links < 0.8 * len(b.text))
+        says = 1.0 if b.marked else 0.5
+        if belief(b.path, True, says) >= threshold:
+            branch = None if b.marked else b.parent  # marked text is one branch
+            weight[branch] = weight.get(branch, 0.0) + (len(b.text) - b.links) * belief(b.parent, False, says)
+    best = max(weight, key=lambda p: weight[p], default=0)
+    kept = [b for b in open_blocks if belief(b.path, True, 0.5 if best is not None else float(b.marked)) >= threshold]
+    return "\n\n".join(b.text for b in kept if (None if b.marked else b.parent) == best or b.links < 0.8 * len(b.text))
 
 
 def host(url_col: str):
@@ -153,52 +168,72 @@ def host(url_col: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def noise_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = 0.3, damping: float = 0.9, least_pages: int = 4) -> DataFrame:
-    """(host, noise): the paths of each host whose composite importance is low."""
+def paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, html_key, page, path, parent, leaf, content, first): the nodes of each page's tree.
+
+    ``page`` is a hash of what a page says and ``first`` marks one row of each of its paths.
+    """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("host", "html_key", "page", "path", "parent", "leaf", "content", "first")
         for batch in batches:
-            rows: dict[str, list] = {"host": [], "path": [], "parent": [], "leaf": [], "content": []}
-            for name, html in zip(batch.column(0), batch.column(1), strict=True):
+            rows: dict[str, list] = {name: [] for name in names}
+            for name, html, key in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 page = parse(html.as_py())
-                seen = {(b.path, b.parent, True, _hash(b.text)) for b in page.blocks if not b.noise and not b.marked}
-                inner = {b.parent for b in page.blocks if not b.noise and not b.marked}
+                blocks = [b for b in page.blocks if not b.noise]
+                seen = {(b.path, b.parent, True, _hash(b.text)) for b in blocks}
+                inner = {b.parent for b in blocks}
                 seen |= {(path, path, False, style) for path, style in page.styles if path in inner}
+                says, met = _hash(*(b.text for b in blocks)), set()
                 for one in sorted(seen):
-                    for key, value in zip(rows, (name.as_py(), *one), strict=True):
-                        rows[key].append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("host", pa.string()), ("path", pa.int64()), ("parent", pa.int64()), ("leaf", pa.bool_()), ("content", pa.int64())]))
-
-    rows = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = rows.mapInArrow(nodes, "host string, path long, parent long, leaf boolean, content long").groupBy("host", "path", "parent", "leaf", "content").agg(F.count("*").alias("k"))
-    sums = seen.groupBy("host", "path", "parent", "leaf").agg(F.sum("k").alias("on"), F.count("*").alias("kinds"), F.sum(F.col("k") * F.log("k")).alias("klogk")).join(sizes, "host").filter((F.col("pages") >= least_pages) & (2 * F.col("on") >= F.col("pages")))
-    of_leaf = 1 - F.col("klogk") / F.col("on") / F.log("pages")  # mean of log_m k: all pages alike gives 1
-    of_style = F.greatest(F.lit(0.0), (F.log("on") - F.col("klogk") / F.col("on")) / F.log("pages"))
+                    for column, value in zip(names, (name.as_py(), key.as_py(), says, *one, (one[0], one[2]) not in met), strict=True):
+                        rows[column].append(value)
+                    met.add((one[0], one[2]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("host", pa.string()), *((n, pa.int64()) for n in names[1:5]), ("leaf", pa.bool_()), ("content", pa.int64()), ("first", pa.bool_())]))
+
+    rows = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("html_key"))
+    return rows.mapInArrow(nodes, "host string, html_key long, page long, path long, parent long, leaf boolean, content long, first boolean")
+
+
+def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html", damping: float = 0.9) -> DataFrame:
+    """(host, path, leaf, importance, on) of the paths that two or more different pages have."""
+    seen = paths(pages, url_col, html_col).drop("html_key").distinct()
+    kinds = seen.groupBy("host", "path", "parent", "leaf", "content").agg(F.count("*").alias("k"), F.sum(F.col("first").cast("long")).alias("firsts"))
+    sums = kinds.groupBy("host", "path", "parent", "leaf").agg(F.sum("k").alias("all"), F.sum("firsts").alias("on"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
+    mean_log = F.col("klogk") / F.col("all")
+    of_leaf = 1 - mean_log / F.log("on")  # mean of log_on k: all pages alike gives 1
+    of_style = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.log("all") - mean_log) / F.log("on")))
     sums = settle(sums)  # a row a host and path; the pages are parsed once for it
-    scored = sums.select("host", "path", "parent", "leaf", "kinds", F.when(F.col("leaf"), of_leaf).otherwise(of_style).alias("importance"))
+    scored = sums.select("host", "path", "parent", "leaf", "on", F.when(F.col("on") < 2, 1.0).when(F.col("leaf"), of_leaf).otherwise(of_style).alias("importance"))
     leaves = scored.filter("leaf")
-    under = leaves.groupBy("host", "parent").agg(F.avg("importance").alias("mean"), F.count("*").alias("children"))
-    damp = F.pow(F.lit(damping), F.col("children"))
-    inner = scored.filter("not leaf").select("host", F.col("path").alias("parent"), "importance").join(under, ["host", "parent"]).select("host", F.col("parent").alias("path"), ((1 - damp) * F.col("importance") + damp * F.col("mean")).alias("importance"))
-    low = leaves.select("host", "path", "importance").union(inner).filter(F.col("importance") < threshold)
-    return low.groupBy("host").agg(F.collect_set("path").alias("noise"))
+    under = leaves.groupBy("host", "parent").agg((F.sum(F.col("importance") * F.col("on")) / F.sum("on")).alias("mean"), F.sum("on").alias("children"))
+    damp = F.pow(F.lit(damping), F.col("children") / F.col("on"))  # by the children on a page
+    inner = scored.filter("not leaf").select("host", F.col("path").alias("parent"), "importance", "on").join(under, ["host", "parent"])
+    inner = inner.select("host", F.col("parent").alias("path"), F.lit(False).alias("leaf"), ((1 - damp) * F.col("importance") + damp * F.col("mean")).alias("importance"), "on")
+    return leaves.select("host", "path", "leaf", "importance", "on").union(inner).filter("on > 1")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_paths: int = 1 << 20) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_paths: int = 1 << 17) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
-    The noise paths are sent to all tasks if they number at most ``broadcast_paths`` (8 bytes
-    each), and are joined by host otherwise.
+    The importances are sent to all tasks if they number at most ``broadcast_paths`` (25
+    bytes each). Otherwise they are joined by host and path to the paths of each page.
     """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [main_text(parse(html.as_py()), set(noise.as_py() or ())) for html, noise in zip(batch.column(2), batch.column(3), strict=True)]
+            out = []
+            for html, found in zip(batch.column(2), batch.column(3), strict=True):
+                columns = [found.values.field(i).to_pylist() for i in range(4)] if found.is_valid else [[]] * 4
+                out.append(main_text(parse(html.as_py()), {(path, leaf): (importance, on) for path, leaf, importance, on in zip(*columns)}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    noise = settle(noise_paths(pages, url_col, html_col)).withColumnRenamed("host", "__host")
-    size = noise.agg(F.coalesce(F.sum(F.size("noise") + 8), F.lit(0))).first()[0]
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
-    joined = rows.join(F.broadcast(noise) if size <= broadcast_paths else noise, rows["host"] == noise["__host"], "left").select("page_id", "url", "html", "noise")
-    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    found = settle(importances(pages, url_col, html_col))
+    tree = F.collect_list(F.struct("path", "leaf", "importance", "on")).alias("tree")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"), F.xxhash64(html_col).alias("html_key"))
+    if found.count() <= broadcast_paths:
+        joined = rows.join(F.broadcast(found.groupBy("host").agg(tree)), ["host"], "left")
+    else:
+        own = paths(pages, url_col, html_col).select("host", "html_key", "path", "leaf").distinct().join(found, ["host", "path", "leaf"])
+        joined = rows.join(own.groupBy("host", "html_key").agg(tree), ["host", "html_key"], "left")
+    return joined.select("page_id", "url", "html", "tree").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
