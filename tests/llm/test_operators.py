@@ -85,6 +85,15 @@ def test_teaser_articles_do_not_hide_the_main_text(spark):
     assert {r["page_id"]: r["text"] for r in sitetree.extract(pages).collect()} == {i: f"wort{i} Absatz mit vielen eigenen Wörtern, die nur auf dieser Seite stehen" for i in range(8)}
 
 
+def test_noise_of_a_part_of_a_host_is_cut(spark):
+    """A text on 4 of 12 pages, longer than the article, and one on a host of three pages."""
+    legal = "<section class=x><p>" + "Alle Angaben ohne Gewähr. " * 20 + "</p></section>"
+    html = lambda i, more: f"<body><div class=body><p>wort{i} erster Absatz mit eigenen Wörtern</p></div>{more}"
+    rows = [(i, "https://a.example/p", html(i, legal if i < 4 else "")) for i in range(12)] + [(i, "https://b.example/p", html(i, legal)) for i in range(20, 23)]
+    found = sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {i: f"wort{i} erster Absatz mit eigenen Wörtern" for i, _, _ in rows}
+
+
 def test_extraction_matches_the_generated_articles(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     wanted = {}
