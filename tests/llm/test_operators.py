@@ -324,6 +324,35 @@ def test_raking_meets_its_marginals(spark):
     assert 0.5 < sum(r["sampled"] for r in rows) / len(rows) < 1
 
 
+def cell_docs(spark, cells):
+    """A document a cell, of so many words."""
+    return spark.createDataFrame([(i, "w " * n, *c) for i, (c, n) in enumerate(cells.items())], "doc_id long, text string, source string, lang string, topic string")
+
+
+def test_correlated_dimensions_meet_their_marginals(spark):
+    """Twenty sources, each almost wholly in one language and topic, one of them hot."""
+    rng = random.Random(5)
+    cells = {(f"s{i}", f"l{l}", f"t{t}"): 1 + round((400 if i == 0 else 40) * (97 if (l, t) == (i % 4, i % 5) else rng.random())) for i in range(20) for l in range(4) for t in range(5)}
+    cfg = mixing.Mix()
+    rows = mixing.mix(cell_docs(spark, cells), cfg, topic_col="topic").collect()
+    total = sum(r["tokens"] for r in rows)
+    for dim in mixing.DIMS:
+        have, weighted = {}, {}
+        for r in rows:
+            have[r[dim]] = have.get(r[dim], 0) + r["tokens"]
+            weighted[r[dim]] = weighted.get(r[dim], 0) + r["tokens"] * r["weight"]
+        powers = {k: v**cfg.temper for k, v in have.items()}
+        assert all(weighted[k] / total == pytest.approx(powers[k] / sum(powers.values()), rel=1e-3) for k in have)
+
+
+def test_raking_by_spark_agrees_with_arrays(spark):
+    found = spark.createDataFrame([("a", "x", "p", 900), ("a", "y", "q", 60), ("b", "x", "q", 80), ("b", "y", "p", 70), (None, "y", "p", 40)], "source string, lang string, topic string, tokens long")
+    (small, one), (large, two) = mixing.fitted(found, mixing.Mix(sweeps=2)), mixing.fitted(found, mixing.Mix(sweeps=2, broadcast_cells=0))
+    key = lambda df: {r[:3]: r[3:] for r in df.select(*mixing.DIMS, "factor", "probability").collect()}
+    a, b = key(small), key(large)
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a) and one == pytest.approx(two, rel=1e-3, abs=1e-6)
+
+
 def test_mixing_odd_rows(spark):
     docs = table(spark, ODD, [*range(len(ODD) - 1), None])
     rows = {r["doc_id"]: r for r in mixing.mix(docs).collect()}

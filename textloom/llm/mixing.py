@@ -2,9 +2,12 @@
 
 Token weights of the cells (source, language, topic) are raked until the weighted shares
 of each source, language and topic meet their targets; by default a target is the share
-found, raised to ``temper`` and made to sum to one, which flattens a hot source. The cell
-factors are then calibrated to inclusion probabilities min(1, c * factor), with c such
-that ``budget`` of all tokens is expected, and each row is drawn by a seeded hash.
+found, raised to ``temper`` and made to sum to one, which flattens a hot source. Sweeps go
+on until no marginal is further than ``tolerance`` from its target. The inclusion
+probabilities are raked likewise, to the same shares of the ``budget``: cells at probability
+one stay there and the others make up for them. What a value has too few tokens for, even
+with all of them drawn, goes to the other values of its dimension in proportion to their
+targets. An error that no sweep can lessen is logged. Each row is drawn by a seeded hash.
 
 The topic is told by the form of a text (fragment, table, shout, noise, long, prose)
 unless a column is named. Cells are summed before they are moved; the raking works on
@@ -17,24 +20,30 @@ Columns of the input whose names clash do no harm: only named columns are read.
 
 from __future__ import annotations
 
+import logging
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.session import settle
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-GRID = 64
+BOUNDS = (1e-12, 1e12)
 DIMS = ("source", "lang", "topic")
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Mix:
     temper: float = 0.7
     budget: float = 0.75
-    sweeps: int = 4
+    sweeps: int = 1000  # at most
+    tolerance: float = 1e-4  # of each marginal, relative
     seed: int = 7
     broadcast_cells: int = 100_000
 
@@ -62,40 +71,141 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return settle(rows.groupBy(*names).agg(F.sum("__tokens").alias("tokens")).filter("tokens > 0"))
 
 
-def rake(cells: DataFrame, cfg: Mix) -> DataFrame:
-    """Adds the raked ``weight`` of each cell."""
-    for dim in DIMS:
-        marginal = cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(cfg.temper)).alias("p"))
-        shares = marginal.crossJoin(marginal.agg(F.sum("p").alias("all"))).select(F.col(dim).alias("v"), (F.col("p") / F.col("all")).alias(f"target_{dim}"))  # by one row
-        cells = cells.join(shares, cells[dim].eqNullSafe(shares["v"])).drop("v")
-    cells = settle(cells.withColumn("weight", F.col("tokens").cast("double")))
-    whole = cells.agg(F.sum("weight")).first()[0] or 0.0
-    for _ in range(cfg.sweeps):
-        for dim in DIMS:
-            have = F.sum("weight").over(W.partitionBy(dim))
-            cells = cells.withColumn("weight", F.col("weight") * F.col(f"target_{dim}") * F.lit(whole) / have)
-    return settle(cells.select(*DIMS, "tokens", "weight"))
-
-
-def calibrated(cells: DataFrame, cfg: Mix) -> DataFrame:
-    """Adds ``factor`` and ``probability``: min(1, c * factor), with the c that expects the budget."""
-    cells = cells.withColumn("factor", F.col("weight") / F.col("tokens"))
-    least, whole = cells.agg(F.min("factor"), F.sum("tokens")).first()
-    if not whole:
-        return cells.withColumn("probability", F.lit(1.0))
-    low, high = 0.0, 1.0 / least
-    for _ in range(5):  # each pass narrows the bracket by the size of the grid
-        tries = [low + (high - low) * i / GRID for i in range(1, GRID)]
-        sums = cells.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("factor"))).alias(f"s{i}") for i, c in enumerate(tries))).first()
-        below = sum(x <= cfg.budget * whole for x in sums)
-        edge = [low, *tries, high]
-        low, high = edge[below], edge[below + 1]
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(low) * F.col("factor")))
+def reached(budget: float, sums: Callable[[float], tuple[float, float]]) -> float:
+    """The ``a`` with sum(min(t, a * p)) = budget; ``sums(a)`` gives the t at their cap and the p below."""
+    a = -1.0
+    held, free = sums(0.0)
+    while free > 0 and (new := (budget - held) / free) > a * (1 + 1e-12):
+        a = new
+        held, free = sums(a)
+    return a if free > 0 else math.inf
+
+
+class Arrays:
+    """Few cells, raked on the driver."""
+
+    def __init__(self, cells: DataFrame, cfg: Mix) -> None:
+        self.table, self.spark, self.cfg = cells.toArrow(), cells.sparkSession, cfg
+        self.tokens = self.table["tokens"].to_numpy().astype(float)
+        self.codes = [self.table[d].combine_chunks().dictionary_encode("encode").indices.to_numpy() for d in DIMS] + [np.zeros(len(self.tokens), int)]
+        self.f = np.ones(len(self.tokens))
+        self.columns: dict[str, np.ndarray] = {}
+
+    def aim(self, budget: float, capped: bool) -> None:
+        self.targets = []
+        for code in self.codes:
+            t = np.bincount(code, self.tokens)
+            p = t**self.cfg.temper
+            a = reached(budget, lambda a: (t[a * p >= t].sum(), p[a * p < t].sum())) if capped else budget / p.sum()
+            self.targets.append(np.minimum(t, np.minimum(a, 1e300) * p) if capped else a * p)
+
+    def sweep(self, dims: list[int], capped: bool) -> None:
+        for d in dims:
+            code, target = self.codes[d], self.targets[d]
+            have = np.bincount(code, self.tokens * (np.minimum(1, self.f) if capped else self.f))
+            full = np.bincount(code, self.tokens * (self.f >= 1)) if capped else 0 * have
+            free = have - full
+            with np.errstate(all="ignore"):
+                ratio = np.where((free > 1e-9 * have) & (target > full), (target - full) / free, target / have)
+            self.f = np.clip(self.f * ratio[code], *BOUNDS)
+
+    def residual(self, dims: list[int], capped: bool) -> float:
+        x = self.tokens * (np.minimum(1, self.f) if capped else self.f)
+        return max(float(np.abs(np.bincount(self.codes[d], x) / self.targets[d] - 1).max()) for d in dims)
+
+    def keep(self, name: str, capped: bool) -> None:
+        self.columns[name] = np.minimum(1, self.f) if capped else self.f.copy()
+
+    def frame(self) -> DataFrame:
+        out = self.table.select(list(DIMS))
+        for name, values in self.columns.items():
+            out = out.append_column(name, pa.array(values))
+        return self.spark.createDataFrame(out)
+
+
+class Frames:
+    """Any number of cells, raked by Spark; the lineage is cut after every step."""
+
+    def __init__(self, cells: DataFrame, cfg: Mix) -> None:
+        self.cfg, self.names = cfg, [*DIMS, "__all"]
+        self.cells = cells.withColumns({"__all": F.lit(0), "f": F.lit(1.0)})
+
+    def aim(self, budget: float, capped: bool) -> None:
+        cells = self.cells.drop(*(f"target_{d}" for d in self.names))
+        for dim in self.names:
+            sums = settle(cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).withColumn("p", F.pow("t", F.lit(self.cfg.temper))))
+            held = lambda a: sums.agg(F.coalesce(F.sum(F.when(F.col("p") * a >= F.col("t"), F.col("t"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("p") * a < F.col("t"), F.col("p"))), F.lit(0.0))).first()  # noqa: E731, B023
+            a = reached(budget, held) if capped else budget / sums.agg(F.sum("p")).first()[0]
+            target = F.least("t", F.col("p") * min(a, 1e300)) if capped else F.col("p") * a
+            sums = sums.select(F.col(dim).alias("v"), target.alias(f"target_{dim}"))
+            cells = cells.join(sums, cells[dim].eqNullSafe(sums["v"])).drop("v")
+        self.cells = settle(cells)
+
+    def held(self, capped: bool) -> Column:
+        return F.col("tokens") * (F.least(F.lit(1.0), F.col("f")) if capped else F.col("f"))
+
+    def sums(self, dim: str, capped: bool) -> DataFrame:
+        """(v, have, full): partial sums, so that one hot value is not one task."""
+        full = F.sum(F.when(F.col("f") >= 1, F.col("tokens")).otherwise(0).cast("double")) if capped else F.lit(0.0)
+        return self.cells.groupBy(F.col(dim).alias("v")).agg(F.sum(self.held(capped)).alias("have"), full.alias("full"), F.first(f"target_{dim}").alias("target"))
+
+    def sweep(self, dims: list[int], capped: bool) -> None:
+        for d in dims:
+            dim, free = self.names[d], F.col("have") - F.col("full")
+            ratio = F.when((free > 1e-9 * F.col("have")) & (F.col("target") > F.col("full")), (F.col("target") - F.col("full")) / free).otherwise(F.col("target") / F.col("have"))
+            sums = self.sums(dim, capped).select("v", ratio.alias("ratio"))
+            f = F.greatest(F.lit(BOUNDS[0]), F.least(F.lit(BOUNDS[1]), F.col("f") * F.col("ratio")))
+            self.cells = settle(self.cells.join(sums, self.cells[dim].eqNullSafe(sums["v"])).withColumn("f", f).drop("v", "ratio"))
+
+    def residual(self, dims: list[int], capped: bool) -> float:
+        return max(self.sums(self.names[d], capped).agg(F.max(F.abs(F.col("have") / F.col("target") - 1))).first()[0] for d in dims)
+
+    def keep(self, name: str, capped: bool) -> None:
+        self.cells = self.cells.withColumn(name, F.least(F.lit(1.0), F.col("f")) if capped else F.col("f"))
+
+    def frame(self) -> DataFrame:
+        return self.cells.select(*DIMS, "factor", "probability")
+
+
+def rake(cells: Arrays | Frames, dims: list[int], capped: bool, cfg: Mix) -> float:
+    """Sweeps until all marginals of ``dims`` are met; the largest relative error that is left.
+
+    It gives up if 20 sweeps do not lessen the error by a hundredth, as where targets of two
+    dimensions contradict each other.
+    """
+    errors = [cells.residual(dims, capped)]
+    while errors[-1] > cfg.tolerance and len(errors) <= cfg.sweeps:
+        cells.sweep(dims, capped)
+        errors.append(cells.residual(dims, capped))
+        if len(errors) > 40 and min(errors[-20:]) > 0.99 * min(errors[:-20]):
+            break
+    return errors[-1]
+
+
+def fitted(found: DataFrame, cfg: Mix) -> tuple[DataFrame, dict[str, float]]:
+    """``found`` with ``factor`` and ``probability`` of each cell, and the errors left of both."""
+    n, whole = found.agg(F.count("*"), F.sum("tokens")).first()
+    if not n:
+        return found.select(*DIMS, F.lit(1.0).alias("factor"), F.lit(1.0).alias("probability")), {}
+    cells, each, errors = (Arrays if n <= cfg.broadcast_cells else Frames)(found, cfg), [0, 1, 2], {}
+    cells.aim(float(whole), False)
+    errors["weight"] = rake(cells, each, False, cfg)
+    cells.keep("factor", False)
+    cells.aim(min(1.0, cfg.budget) * whole, True)
+    rake(cells, [3], True, cfg)
+    errors["probability"] = rake(cells, each, True, cfg)
+    rake(cells, [3], True, cfg)  # the budget holds even where a marginal does not
+    errors["probability"] = max(errors["probability"], cells.residual(each, True))
+    cells.keep("probability", True)
+    for name, error in errors.items():
+        if error > 2 * cfg.tolerance:
+            log.warning("mixing: a marginal of the %s is %.3g off its target", name, error)
+    return cells.frame(), errors
 
 
 def drawn(rows: DataFrame, cfg: Mix) -> DataFrame:
     """``rows`` with __weight, __probability and __sampled of their cell."""
-    found = settle(calibrated(rake(cells_of(rows), cfg), cfg)).select(*(F.col(d).alias(f"__c_{d}") for d in DIMS), F.col("factor").alias("__weight"), F.col("probability").alias("__probability"))
+    found = settle(fitted(cells_of(rows), cfg)[0]).select(*(F.col(d).alias(f"__c_{d}") for d in DIMS), F.col("factor").alias("__weight"), F.col("probability").alias("__probability"))
     cells = F.broadcast(found) if found.count() <= cfg.broadcast_cells else found
     on = [rows[f"__{d}"].eqNullSafe(found[f"__c_{d}"]) for d in DIMS]
     keep = (F.col("__tokens") == 0) | F.coalesce(F.col("__draw") < F.col("__probability"), F.lit(True))
