@@ -345,6 +345,29 @@ def test_correlated_dimensions_meet_their_marginals(spark):
         assert all(weighted[k] / total == pytest.approx(powers[k] / sum(powers.values()), rel=1e-3) for k in have)
 
 
+def test_drawn_shares_meet_what_can_be_met(spark):
+    cfg, rng = mixing.Mix(), random.Random(6)
+    parts = {"s": [3, 1, 1, 1, 1, 1], "l": [60, 15, 15, 9], "t": [73, 18, 4, 4, 1]}
+    cells = {(f"s{i}", f"l{j}", f"t{k}"): 1 + round(a * b * c * (0.9 + 0.2 * rng.random())) for i, a in enumerate(parts["s"]) for j, b in enumerate(parts["l"]) for k, c in enumerate(parts["t"])}
+    rows = mixing.mix(cell_docs(spark, cells), cfg, topic_col="topic").collect()
+    budget = cfg.budget * sum(r["tokens"] for r in rows)
+    for dim in mixing.DIMS:
+        have, drawn = {}, {}
+        for r in rows:
+            have[r[dim]] = have.get(r[dim], 0) + r["tokens"]
+            drawn[r[dim]] = drawn.get(r[dim], 0) + r["tokens"] * r["probability"]
+        wanted, free = {}, {k: v**cfg.temper for k, v in have.items()}
+        while True:  # what a value has too few tokens for goes to the others
+            part = {k: p / sum(free.values()) * (budget - sum(wanted.values())) for k, p in free.items()}
+            short = [k for k in part if part[k] > have[k]]
+            if not short:
+                break
+            for k in short:
+                wanted[k] = have[k]
+                del free[k]
+        assert drawn == pytest.approx(wanted | part, rel=1e-3)
+
+
 def test_raking_by_spark_agrees_with_arrays(spark):
     found = spark.createDataFrame([("a", "x", "p", 900), ("a", "y", "q", 60), ("b", "x", "q", 80), ("b", "y", "p", 70), (None, "y", "p", 40)], "source string, lang string, topic string, tokens long")
     (small, one), (large, two) = mixing.fitted(found, mixing.Mix(sweeps=2)), mixing.fitted(found, mixing.Mix(sweeps=2, broadcast_cells=0))
