@@ -93,9 +93,10 @@ HEBREW = "בְּרֵאשִׁית בָּרָא אֱלֹהִים אֵת הַשָּ
 
 
 def script_rows(t):
+    """Whole texts; the tables hold no Greek or Hebrew, so two thirds end with such a passage."""
     i = F.col("doc_id")
-    x = F.when(i % 3 == 0, GREEK).when(i % 3 == 1, HEBREW).otherwise(F.col("text"))
-    return t.documents.filter("text is not null").select("doc_id", x.alias("text"))
+    more = F.when(i % 3 == 0, "\n" + GREEK).when(i % 3 == 1, "\n" + HEBREW).otherwise("")
+    return t.documents.filter("text is not null").select("doc_id", F.concat("text", more).alias("text"))
 
 
 @book.query("J15_is_greek", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'greek' WHEN 1 THEN 'hebrew' ELSE 'other' END AS script FROM documents WHERE text IS NOT NULL")
@@ -108,12 +109,12 @@ def per_script(name: str, fn: Callable[[str], tuple], schema: str) -> None:
     book.query(name)(lambda t: mapped(script_rows(t), fn, schema))
 
 
-per_script("J17_normalize_greek", lambda x: (" ".join(map(scripts.greek_form, x.split()))[:200],), "forms string")
-per_script("J20_tokenize_greek", lambda x: (scripts.greek_words(x)[:50],), "words array<string>")
+per_script("J17_normalize_greek", lambda x: (" ".join(map(scripts.greek_form, x.split())),), "forms string")
+per_script("J20_tokenize_greek", lambda x: (scripts.greek_words(x),), "words array<string>")
 per_script("J21_split_sentences_greek", lambda x: (len(scripts.greek_sentences(x)),), "n long")
-per_script("J22_tokenize_hebrew", lambda x: (scripts.hebrew_words(x)[:50],), "words array<string>")
+per_script("J22_tokenize_hebrew", lambda x: (scripts.hebrew_words(x),), "words array<string>")
 per_script("J23_split_sentences_hebrew", lambda x: (len(scripts.hebrew_sentences(x)),), "n long")
-per_script("J24_strip_cantillation", lambda x: (scripts.hebrew_word(x)[:200],), "word string")
+per_script("J24_strip_cantillation", lambda x: (scripts.hebrew_word(x),), "word string")
 per_script("J29_greek_syllables", lambda x: (sum(map(scripts.greek_syllables, x.split())),), "n long")
 per_script("J32_greek_clause", lambda x: ([scripts.greek_clause(s) for s in scripts.greek_sentences(x)],), "kinds array<string>")
 per_script("K02_analyze_greek", lambda x: (json.dumps(scripts.analyze_greek(x), ensure_ascii=False),), "stats string")
@@ -245,7 +246,7 @@ def wikisource(t):
 @book.query("A20_markdown_note")
 @book.query("A21_markdown_chat")
 def markdown_chat(t):
-    note = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Kopf\nUser: a\nAssistant: b\nUser: "), F.substring("text", 1, 50))).otherwise(F.col("text"))
+    note = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Kopf\nUser: a\nAssistant: b\nUser: "), F.col("text"))).otherwise(F.col("text"))
     files = t.documents.filter("text is not null").select("doc_id", note.alias("content"), F.lit("markdown").alias("platform"))
     return importers.flat(importers.read_messages(files, "doc_id", "content", "platform")).select(F.col("id").alias("doc_id"), "pos", "role", F.md5("content").alias("content_md5"))
 
