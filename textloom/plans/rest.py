@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 from html import escape
@@ -21,6 +20,7 @@ from textloom.plans import corpus as P
 from textloom.plans.book import Book
 from textloom.plans.corpus import CHATS, CHUNKS, MESSAGES, chats, chunks, messages, sql
 from textloom.sources import dom, importers
+from textloom.session import shared_folder
 from textloom.streaming import events as E
 
 book = Book()
@@ -218,7 +218,7 @@ def incremental_index(t):
     """Documents arrive as a stream; each batch adds its postings to the index."""
     from textloom.plans.streams import stream
 
-    at = f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='textloom-index-')}/index-{uuid.uuid4().hex}"
+    at = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
     stream(t, "documents").select("doc_id", "text").writeStream.foreachBatch(E.index_appender(at)).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(at).groupBy("doc_id").agg(F.count("*").alias("n_terms"))
 

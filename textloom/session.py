@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +22,7 @@ def local_session(cores: str = "8", app: str = "textloom", shuffle: int = 8) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -28,14 +33,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    """One folder of this process, gone when it ends."""
+    at = tempfile.mkdtemp(prefix="textloom-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return at
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a session on one machine may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[[^,]*\]|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark knows."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared folder of ``spark.checkpoint.dir``.
+    """Cut the lineage of ``df`` in the shared folder.
 
-    A session without that setting (tests, laptops) gets a temporary folder.
+    Spark deletes a checkpoint that nothing refers to any more where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set. The size that Catalyst guessed
+    for the old plan is not carried on: in a loop of joins it would grow without bound.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-ckpt-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    held = df.checkpoint(eager=True)._jdf
+    fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False)
+    return DataFrame(fresh, df.sparkSession)
