@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontam, dedup, mixing, sharding, toxicity
-from textloom.session import table
+from textloom.session import remove, shared_folder, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,17 +45,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written as Parquet and read again.
 
-    The files go to the shared folder of ``spark.checkpoint.dir``, or to a temporary one
-    where that is unset.
+    The files go to the shared folder of ``spark.checkpoint.dir``; a stage's files are
+    deleted once the next stage is written.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="textloom-pipeline-")
-    at = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before is not None:
+            remove(spark, before)
+        before = f"{at}/{name}"
     return docs
