@@ -1,17 +1,22 @@
 """Two-pass external shuffle into shards (operator 8, native).
 
 Pass 1 scatters records by a seeded hash into buckets of about ``bucket_bytes``. Pass 2
-shuffles each bucket and deals the buckets, one after the other, round robin over the
-shards (law ``rows``: shard sizes differ by one row at most).
+shuffles each bucket by Fisher-Yates (Spark's seeded ``shuffle`` of an array, here of the
+places in the bucket) and deals the buckets, one after the other, round robin over the
+shards (law ``rows``: shard sizes differ by one row at most). ``plan`` says where each
+record goes and ``deal`` hands out the records themselves; both use the same key, so they
+agree. Rows of ``deal`` lie bucket by bucket in shuffled order, and are written so.
 
-The shuffle inside a bucket draws a seeded 64-bit number for each record and sorts by it.
-That is the same uniform permutation that Fisher-Yates gives, but it depends on the
-records alone: a bucket that is made again after a lost executor comes out in the same
-order, which swaps driven by a task's random state do not promise. It also spills.
+The key of a record is 128 bits of a hash of all its columns, with a number for each copy of
+a repeated record. So copies, however many, are scattered like other records, and ties are
+equal in every column. The swaps of a bucket depend on the seed, on the number of shuffle
+partitions and on the sizes of the buckets, but on no row order: a bucket that is made again
+after a lost executor comes out in the same order.
 
 Nulls: a null text has size 8 and the crc32 of no bytes; a null id is a value like any
-other. Equal rows are dealt like others. An empty table gives an empty result. In ``deal``
-columns that clash with shard and slot are replaced.
+other. Very long texts fill a bucket of their own size. An empty table gives an empty
+result. In ``deal`` an input column called shard or slot comes back as input_shard or
+input_slot. Columns of map type cannot be hashed and are not supported.
 """
 
 from __future__ import annotations
@@ -20,39 +25,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.session import settle
+
 BUCKET_BYTES = 64 << 20
 PAD = 8
+COPIES = 10_000  # of a repeated record that one task makes at a time
 
 
 def size_of(text_col: str) -> Column:
     return (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + PAD).cast("long")
 
 
+def _keyed(docs: DataFrame, row: Column, text_col: str) -> DataFrame:
+    """(row, size, a, b): what is carried of each record, and 128 bits of all its columns."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    a, b = (F.xxhash64(F.lit(seed), *columns, *(c.isNull() for c in columns)) for seed in (1, 2))
+    return docs.select(row.alias("row"), size_of(text_col).alias("size"), a.alias("a"), b.alias("b"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``copy``: 0 for the only record of a key, 0, 1, 2 ... for repeated ones.
+
+    Only repeated records are moved; partial aggregation makes one of them where they lie, and
+    their copies are made in chunks by many tasks.
+    """
+    often = settle(rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"))
+    once = rows.join(often, ["a", "b"], "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    again = rows.join(often, ["a", "b"], "left_semi").select("row", "size", "a", "b").groupBy("a", "b").agg(F.first("row").alias("row"), F.first("size").alias("size"), F.count("*").alias("n"))
+    zero, step = F.lit(0).cast("long"), F.lit(COPIES).cast("long")
+    chunks = again.withColumn("chunk", F.explode(F.sequence(zero, F.floor((F.col("n") - 1) / step)))).repartition("a", "b", "chunk")
+    copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk") * step, F.least((F.col("chunk") + 1) * step, F.col("n")) - 1)))
+    return once.select("row", "size", "a", "b", "copy").union(copies.select("row", "size", "a", "b", "copy"))
+
+
 def _places(rows: DataFrame, n_shards: int, seed: int, bucket_bytes: int) -> DataFrame:
-    """Adds __bucket, shard and slot to rows that have __size and __key (a hash of the record)."""
-    total = rows.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
-    n = max(1, -(-total // bucket_bytes))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), "__key"), F.lit(n)))
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)  # a row a bucket
-    starts = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    dealt = W.partitionBy("__bucket").orderBy(F.xxhash64(F.lit(seed + 1), "__key"), "__key", "__size")
-    at = rows.withColumn("__rank", F.row_number().over(dealt) - 1).join(starts, F.col("__bucket") == F.col("__b")).withColumn("__at", F.col("__start") + F.col("__rank"))
-    return at.withColumn("shard", F.pmod("__at", F.lit(n_shards)).cast("int")).withColumn("slot", F.floor(F.col("__at") / n_shards).cast("long"))
+    """(row, size, bucket, place, shard, slot) of rows that have size, a and b."""
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n_buckets = max(1, -(-total // bucket_bytes))
+    rows = _numbered(rows).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "a", "b", "copy"), F.lit(n_buckets)))
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # a row a bucket
+    starts = counts.select("bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_turn = starts.repartition(parts, "bucket").sortWithinPartitions("bucket")  # the draws go on from bucket to bucket
+    swapped = in_turn.select(F.col("bucket").alias("of"), "start", F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(seed)).alias("swapped"))
+    at = rows.withColumn("pos", (F.row_number().over(W.partitionBy("bucket").orderBy("a", "b", "copy")) - 1).cast("int"))
+    at = at.join(swapped, F.col("bucket") == F.col("of")).select("row", "size", "bucket", (F.col("start") + F.col("swapped")[F.col("pos")]).alias("place"))
+    return at.withColumns({"shard": F.pmod("place", F.lit(n_shards)).cast("int"), "slot": F.floor(F.col("place") / n_shards).cast("long")})
 
 
 def plan(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where each record goes: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), size_of(text_col).alias("__size"), crc.alias("text_crc32"))
-    rows = rows.withColumn("__key", F.xxhash64("doc_id", "text_crc32", "__size"))
-    out = _places(rows, n_shards, seed, bucket_bytes)
-    return out.select("doc_id", F.col("__size").alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    row = F.struct(F.col(id_col).alias("doc_id"), crc.alias("text_crc32"))
+    out = _places(_keyed(docs, row, text_col), n_shards, seed, bucket_bytes)
+    return out.select("row.doc_id", "size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def deal(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The records themselves with their shard and slot, each bucket in shuffled order."""
-    docs = docs.drop("shard", "slot") if id_col not in ("shard", "slot") else docs
-    names = docs.columns
-    rows = docs.withColumn("__size", size_of(text_col)).withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return _places(rows, n_shards, seed, bucket_bytes).select(*names, "shard", "slot")
+    names = {c: f"input_{c}" if c in ("shard", "slot") else c for c in docs.columns}
+    row = F.struct(*(F.col(f"`{c}`").alias(name) for c, name in names.items()))
+    out = _places(_keyed(docs, row, text_col), n_shards, seed, bucket_bytes).sortWithinPartitions("bucket", "place")
+    return out.select(*(F.col("row").getField(name).alias(name) for name in names.values()), "shard", "slot")
