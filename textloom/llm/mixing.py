@@ -3,19 +3,22 @@
 Token weights of the cells (source, language, topic) are raked until the weighted shares
 of each source, language and topic meet their targets; by default a target is the share
 found, raised to ``temper`` and made to sum to one, which flattens a hot source. Sweeps go
-on until no marginal is further than ``tolerance`` from its target. The inclusion
+on until no marginal is further than ``tolerance`` from its target. Targets can be given as
+tables (value, share), one a dimension; a value that such a table lacks has share 0. The inclusion
 probabilities are raked likewise, to the same shares of the ``budget``: cells at probability
 one stay there and the others make up for them. What a value has too few tokens for, even
 with all of them drawn, goes to the other values of its dimension in proportion to their
-targets. An error that no sweep can lessen is logged. Each row is drawn by a seeded hash.
+targets. An error that no sweep can lessen is logged, or raised if ``strict``. Each row is
+drawn by a seeded hash of its id and text.
 
 The topic is told by the form of a text (fragment, table, shout, noise, long, prose)
 unless a column is named. Cells are summed before they are moved; the raking works on
 cells alone, so a hot source is one row a language and topic there.
 
 Nulls: a null source, language or topic is a value of its own; a null text has no tokens
-and is always kept, as are other rows without tokens. Repeated rows are drawn alike.
-Columns of the input whose names clash do no harm: only named columns are read.
+and is always kept, as are other rows without tokens. Repeated rows are drawn alike. Very
+long texts count with all their tokens. An empty table gives an empty result. The input's
+columns travel in one struct, so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -43,7 +46,8 @@ class Mix:
     temper: float = 0.7
     budget: float = 0.75
     sweeps: int = 1000  # at most
-    tolerance: float = 1e-4  # of each marginal, relative
+    tolerance: float = 1e-6  # of each marginal, relative
+    strict: bool = False
     seed: int = 7
     broadcast_cells: int = 100_000
 
@@ -54,21 +58,28 @@ def topic_of(words: Column, pipes: Column, capitals: Column, marks: Column) -> C
 
 
 def measured(docs: DataFrame, cfg: Mix, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> DataFrame:
-    """``docs`` with __source, __lang, __topic, __tokens and __draw, uniform in [0, 1)."""
+    """(row, source, lang, topic, tokens, draw): all columns of a row, and a draw uniform in [0, 1)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.concat_ws("|", F.lit(str(cfg.seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.octet_length(F.col(text_col)), F.lit(-1)).cast("string"))
-    draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2**32
-    counts = {"__tokens": WORD} | ({} if topic_col else {"__pipes": "\\|", "__capitals": "[A-ZÀ-Þ]{2,}", "__marks": "[#$%&*!]{2,}"})
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(cfg.seed), F.col(id_col), F.col(text_col)), 11).cast("double") / 2.0**53
+    counts = {"tokens": WORD} | ({} if topic_col else {"pipes": "\\|", "capitals": "[A-ZÀ-Þ]{2,}", "marks": "[#$%&*!]{2,}"})
+    named = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": F.col(topic_col) if topic_col else F.lit(None), "draw": draw}
     # Counted one projection below their use, so that each pattern runs once a row.
-    rows = docs.withColumns({name: F.regexp_count(text, F.lit(pattern)).cast("long") for name, pattern in counts.items()})
-    topic = F.col(topic_col) if topic_col else topic_of(*(F.col(c) for c in counts))
-    return rows.withColumns({"__source": F.col(source_col), "__lang": F.col(lang_col), "__topic": topic, "__draw": draw}).drop("__pipes", "__capitals", "__marks")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(x.alias(n) for n, x in named.items()), *(F.regexp_count(text, F.lit(pattern)).cast("long").alias(n) for n, pattern in counts.items()))
+    return rows.select("row", "source", "lang", (F.col("topic") if topic_col else topic_of(*(F.col(c) for c in counts))).alias("topic"), "tokens", "draw")
 
 
-def cells_of(rows: DataFrame) -> DataFrame:
-    """(source, lang, topic, tokens): the cells that hold tokens."""
-    names = [F.col(f"__{d}").alias(d) for d in DIMS]
-    return settle(rows.groupBy(*names).agg(F.sum("__tokens").alias("tokens")).filter("tokens > 0"))
+Targets = dict[str, DataFrame]
+
+
+def cells_of(rows: DataFrame, targets: Targets | None = None) -> DataFrame:
+    """(source, lang, topic, tokens) of the cells that hold tokens, and share_* of the dimensions with given targets."""
+    cells = settle(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"))
+    for dim, given in (targets or {}).items():
+        if dim not in DIMS:
+            raise ValueError(f"no dimension {dim}")
+        given = given.groupBy(F.col("value").alias("v")).agg(F.greatest(F.sum("share"), F.lit(0.0)).cast("double").alias("s"))
+        cells = cells.join(given, cells[dim].eqNullSafe(given["v"]), "left").withColumn(f"share_{dim}", F.coalesce("s", F.lit(0.0))).drop("v", "s")
+    return settle(cells) if targets else cells
 
 
 def reached(budget: float, sums: Callable[[float], tuple[float, float]]) -> float:
@@ -91,11 +102,22 @@ class Arrays:
         self.f = np.ones(len(self.tokens))
         self.columns: dict[str, np.ndarray] = {}
 
+    def powers(self, d: int, t: np.ndarray) -> np.ndarray:
+        """What the targets of a dimension are in proportion to."""
+        name = f"share_{DIMS[d]}" if d < len(DIMS) else ""
+        if name not in self.table.column_names:
+            return t**self.cfg.temper
+        p = np.zeros(len(t))
+        p[self.codes[d]] = self.table[name].to_numpy()
+        if not p.sum():
+            raise ValueError(f"no target of {DIMS[d]} has tokens")
+        return p
+
     def aim(self, budget: float, capped: bool) -> None:
-        self.targets = []
-        for code in self.codes:
+        self.targets, self.floor = [], 1e-6 * budget
+        for d, code in enumerate(self.codes):
             t = np.bincount(code, self.tokens)
-            p = t**self.cfg.temper
+            p = self.powers(d, t)
             a = reached(budget, lambda a: (t[a * p >= t].sum(), p[a * p < t].sum())) if capped else budget / p.sum()
             self.targets.append(np.minimum(t, np.minimum(a, 1e300) * p) if capped else a * p)
 
@@ -111,7 +133,7 @@ class Arrays:
 
     def residual(self, dims: list[int], capped: bool) -> float:
         x = self.tokens * (np.minimum(1, self.f) if capped else self.f)
-        return max(float(np.abs(np.bincount(self.codes[d], x) / self.targets[d] - 1).max()) for d in dims)
+        return max(float((np.abs(np.bincount(self.codes[d], x) - self.targets[d]) / np.maximum(self.targets[d], self.floor)).max()) for d in dims)
 
     def keep(self, name: str, capped: bool) -> None:
         self.columns[name] = np.minimum(1, self.f) if capped else self.f.copy()
@@ -129,11 +151,17 @@ class Frames:
     def __init__(self, cells: DataFrame, cfg: Mix) -> None:
         self.cfg, self.names = cfg, [*DIMS, "__all"]
         self.cells = cells.withColumns({"__all": F.lit(0), "f": F.lit(1.0)})
+        self.floor = 0.0
 
     def aim(self, budget: float, capped: bool) -> None:
         cells = self.cells.drop(*(f"target_{d}" for d in self.names))
+        self.floor = 1e-6 * budget
         for dim in self.names:
-            sums = settle(cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).withColumn("p", F.pow("t", F.lit(self.cfg.temper))))
+            given = f"share_{dim}" in cells.columns
+            p = F.first(f"share_{dim}") if given else F.pow(F.sum("tokens").cast("double"), F.lit(self.cfg.temper))
+            sums = settle(cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t"), p.alias("p")))
+            if given and not sums.agg(F.sum("p")).first()[0]:
+                raise ValueError(f"no target of {dim} has tokens")
             held = lambda a: sums.agg(F.coalesce(F.sum(F.when(F.col("p") * a >= F.col("t"), F.col("t"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("p") * a < F.col("t"), F.col("p"))), F.lit(0.0))).first()  # noqa: E731, B023
             a = reached(budget, held) if capped else budget / sums.agg(F.sum("p")).first()[0]
             target = F.least("t", F.col("p") * min(a, 1e300)) if capped else F.col("p") * a
@@ -158,7 +186,7 @@ class Frames:
             self.cells = settle(self.cells.join(sums, self.cells[dim].eqNullSafe(sums["v"])).withColumn("f", f).drop("v", "ratio"))
 
     def residual(self, dims: list[int], capped: bool) -> float:
-        return max(self.sums(self.names[d], capped).agg(F.max(F.abs(F.col("have") / F.col("target") - 1))).first()[0] for d in dims)
+        return max(self.sums(self.names[d], capped).agg(F.max(F.abs(F.col("have") - F.col("target")) / F.greatest("target", F.lit(self.floor)))).first()[0] for d in dims)
 
     def keep(self, name: str, capped: bool) -> None:
         self.cells = self.cells.withColumn(name, F.least(F.lit(1.0), F.col("f")) if capped else F.col("f"))
@@ -198,28 +226,30 @@ def fitted(found: DataFrame, cfg: Mix) -> tuple[DataFrame, dict[str, float]]:
     errors["probability"] = max(errors["probability"], cells.residual(each, True))
     cells.keep("probability", True)
     for name, error in errors.items():
+        if error > 2 * cfg.tolerance and cfg.strict:
+            raise ValueError(f"mixing: a marginal of the {name} is {error:.3g} off its target")
         if error > 2 * cfg.tolerance:
             log.warning("mixing: a marginal of the %s is %.3g off its target", name, error)
     return cells.frame(), errors
 
 
-def drawn(rows: DataFrame, cfg: Mix) -> DataFrame:
-    """``rows`` with __weight, __probability and __sampled of their cell."""
-    found = settle(fitted(cells_of(rows), cfg)[0]).select(*(F.col(d).alias(f"__c_{d}") for d in DIMS), F.col("factor").alias("__weight"), F.col("probability").alias("__probability"))
+def drawn(rows: DataFrame, cfg: Mix, targets: Targets | None = None) -> DataFrame:
+    """``rows`` with weight, probability and sampled of their cell."""
+    found = settle(fitted(cells_of(rows, targets), cfg)[0]).select(*(F.col(d).alias(f"c_{d}") for d in DIMS), F.col("factor").alias("weight"), "probability")
     cells = F.broadcast(found) if found.count() <= cfg.broadcast_cells else found
-    on = [rows[f"__{d}"].eqNullSafe(found[f"__c_{d}"]) for d in DIMS]
-    keep = (F.col("__tokens") == 0) | F.coalesce(F.col("__draw") < F.col("__probability"), F.lit(True))
-    return rows.join(cells, on, "left").drop(*(f"__c_{d}" for d in DIMS)).withColumn("__sampled", keep)
+    on = [rows[d].eqNullSafe(found[f"c_{d}"]) for d in DIMS]
+    keep = (F.col("tokens") == 0) | F.coalesce(F.col("draw") < F.col("probability"), F.lit(True))
+    return rows.join(cells, on, "left").drop(*(f"c_{d}" for d in DIMS)).withColumn("sampled", keep)
 
 
-def mix(docs: DataFrame, cfg: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, cfg: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: Targets | None = None) -> DataFrame:
     """Per row: doc_id, source, lang, topic, tokens, weight, probability, sampled."""
     used = docs.select(*dict.fromkeys(c for c in (id_col, text_col, source_col, lang_col, topic_col) if c))
-    rows = measured(used, cfg, id_col, text_col, source_col, lang_col, topic_col).select(F.col(id_col).cast("long").alias("doc_id"), *(f"__{d}" for d in DIMS), "__tokens", "__draw")
-    out = drawn(settle(rows), cfg)  # the texts are read once
-    return out.select("doc_id", *(F.col(f"__{n}").alias(n) for n in (*DIMS, "tokens", "weight", "probability", "sampled")))
+    rows = measured(used, cfg, id_col, text_col, source_col, lang_col, topic_col).select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), *DIMS, "tokens", "draw")
+    return drawn(settle(rows), cfg, targets).select("doc_id", *DIMS, "tokens", "weight", "probability", "sampled")  # the texts are read once
 
 
-def keep_drawn(docs: DataFrame, cfg: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
+def keep_drawn(docs: DataFrame, cfg: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: Targets | None = None) -> DataFrame:
     """The rows of ``docs`` that are drawn; every column comes back as it was."""
-    return drawn(measured(docs, cfg, id_col, text_col, source_col, lang_col, topic_col), cfg).filter("__sampled").select(*docs.columns)
+    rows = measured(docs, cfg, id_col, text_col, source_col, lang_col, topic_col)
+    return drawn(rows, cfg, targets).filter("sampled").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
