@@ -7,19 +7,30 @@
    others, and the least member in two seeded orders).
 3. Candidates below the collision-corrected estimate less five standard deviations go;
    the others are confirmed on their full shingle sets.
-4. Components are contracted. The members of buckets that still hold different components
-   are compared across these by an exact prefix filter on their shingles, so no link between
-   components is lost, and no group is expanded into all its pairs.
+4. Components are contracted. While buckets hold different components, each member is
+   compared with a seeded member of another component of its buckets, the most similar by
+   signature is confirmed, and components are contracted again, as long as rounds link enough
+   of the members that lie outside of the greatest components. So a family of many texts near the threshold, whose
+   links are few but enough, becomes one component by a number of comparisons in proportion
+   to its size.
+5. What is still torn is compared across components by an exact prefix filter on the
+   shingles (length and position bounds), so no link between components is lost. A shingle
+   that many of them have is dealt over several tasks, and its pairs are held against the
+   signatures inside the join, so pairs far below the threshold are never written.
+
+A family without links whose similarities lie within five deviations below the threshold is
+the one case where step 5 still writes pairs in proportion to the square of its size.
 
 Bands of ``rows`` minima are dealt so that a pair at the threshold shares no band with a
 probability below 1e-6. Nulls: a null or wordless text has no shingle and joins nothing;
 a row without an id takes part, but never names a component unless its class has no id.
-Equal rows share a class. Empty tables give empty results. Only the id and text columns
-are read, so other columns cannot clash.
+Equal rows share a class. Very long texts are read whole, one at a time. Empty tables give
+empty results. Only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,9 +69,16 @@ class NearDup:
     @property
     def least_equal(self) -> int:
         """Equal b-bit values that a pair at the threshold has, but once in millions."""
-        chance = 2.0**-self.bits
-        p = self.percent / 100 + (1 - self.percent / 100) * chance
-        return math.floor(self.minima * p - 5 * math.sqrt(self.minima * p * (1 - p)))
+        return self._equal(5)
+
+    @property
+    def likely_equal(self) -> int:
+        """Equal b-bit values that most pairs at the threshold have."""
+        return self._equal(1)
+
+    def _equal(self, deviations: float) -> int:
+        p = self.percent / 100 + (1 - self.percent / 100) * 2.0**-self.bits
+        return math.floor(self.minima * p - deviations * math.sqrt(self.minima * p * (1 - p)))
 
 
 def _multipliers(cfg: NearDup) -> tuple[np.ndarray, np.ndarray]:
@@ -156,33 +174,49 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long")
 
 
-def differing(x: Column, y: Column) -> Column:
+def _spread(sig: str, cfg: NearDup, name: str) -> list[Column]:
+    """The longs of a signature as columns, which whole-stage code reads without a check."""
+    return [F.coalesce(F.col(sig)[i], F.lit(0)).alias(f"{name}{i}") for i in range(cfg.minima * cfg.bits // 64)]
+
+
+def differing(x: str, y: str, cfg: NearDup) -> Column:
     """Values of two packed 4-bit signatures that differ, counted on whole longs."""
 
-    def of(p: Column, q: Column) -> Column:
-        d = p.bitwiseXOR(q)
-        for_all = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
-        return F.bit_count(for_all.bitwiseAND(F.lit(NIBBLES)))
+    def of(i: int) -> Column:
+        d = F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))
+        two = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(F.lit(NIBBLES)))
+
+    return functools.reduce(Column.__add__, map(of, range(cfg.minima * cfg.bits // 64)))
 
-    return F.aggregate(F.zip_with(x, y, of), F.lit(0), lambda s, v: s + v)
+
+def _equal_values(pairs: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
+    """Pairs (a, b) with ``equal``, the number of equal values of their signatures."""
+    left, right = (classes.select(F.col("node").alias(n), *_spread("sig", cfg, f"s{n}")) for n in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (cfg.minima - differing("sa", "sb", cfg)).alias("equal"))
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, cfg: NearDup) -> DataFrame:
     """Pairs (a, b) whose signatures do not rule out the threshold."""
-    sig = classes.select("node", "sig")
-    both = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.filter(differing(F.col("sig_a"), F.col("sig_b")) <= cfg.minima - cfg.least_equal).select("a", "b")
+    return _equal_values(pairs, classes, cfg).filter(F.col("equal") >= cfg.least_equal).select("a", "b")
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: NearDup, unique: bool) -> DataFrame:
+def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: NearDup, repeats: DataFrame) -> DataFrame:
     """(node, found) for classes given by node, cls, rep and text_key: one text of each is read.
 
-    ``unique`` says that no id comes with one text twice, so nothing has to be gathered.
+    Only classes whose row is in ``repeats`` (id, text_key of rows that repeat) are gathered,
+    as more than one row reads for them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    rows = texts.join(nodes, (texts["key"] == nodes["text_key"]) & texts["id"].eqNullSafe(nodes["rep"]))
-    sets = shingle_sets(rows, cfg)
-    return sets if unique else sets.groupBy("node").agg(F.first("found").alias("found"))
+    again = repeats.select(F.col("id").alias("again_id"), F.col("text_key").alias("again_key"), F.lit(True).alias("again"))
+    marked = nodes.join(again, (nodes["text_key"] == again["again_key"]) & nodes["rep"].eqNullSafe(again["again_id"]), "left").select("node", "cls", "rep", "text_key", F.coalesce("again", F.lit(False)).alias("again"))
+    marked = settle(marked)
+
+    def read(some: DataFrame) -> DataFrame:
+        return shingle_sets(texts.join(some, (texts["key"] == some["text_key"]) & texts["id"].eqNullSafe(some["rep"])), cfg)
+
+    once, more = read(marked.filter("not again")), read(marked.filter("again"))
+    return once.union(more.groupBy("node").agg(F.first("found").alias("found")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, cfg: NearDup) -> DataFrame:
@@ -203,13 +237,17 @@ def _tokens(rows: DataFrame) -> DataFrame:
     return rows.select("node", "root", "found").mapInArrow(run, "node long, root long, n long, tokens array<long>")
 
 
-def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(rows: DataFrame, signatures: DataFrame, cfg: NearDup, hot: int = 1 << 16, block: int = 1 << 24) -> DataFrame:
     """Pairs (a, b) of different roots that can reach the threshold, of rows (node, root, found).
 
     Exact prefix filter: with shingles in one order, rarest first, two sets at the threshold
     share one of their first n - t n + 1, and the places of the first one they share bound how
     many they can share at all. What only one set has comes first and needs no row.
+
+    Where a shingle has more than ``hot`` pairs to look at, the signatures are compared before
+    a pair is written, and the pairs are dealt in squares of about ``block``.
     """
+    percent = cfg.percent
     sets = _tokens(rows)
     every = sets.select("node", "root", "n", F.explode("tokens").alias("token"))
     often = every.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -220,22 +258,79 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     cut = ordered.withColumn("alone", alone).withColumn("take", prefix - F.col("alone")).filter("take > 0")
     heads = settle(cut.select("node", "root", "n", "alone", F.posexplode(F.slice("sorted", F.lit(1), F.col("take"))).alias("pos", "s")).filter("s.torn").select("node", "root", "n", F.col("s.token").alias("token"), (F.col("pos") + F.col("alone")).alias("at")))
     per = heads.groupBy("token", "root").agg(F.count("*").alias("k"))
-    major = per.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1").select("token", "major")
-    torn = heads.join(major, "token")
-    x = torn.filter("root <> major").select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    y = torn.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    major = per.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots"), F.sum("k").alias("all"), F.max("k").alias("most")).filter("roots > 1")
+    major = settle(major.select("token", "major", ((F.col("all") - F.col("most")) * F.col("all")).alias("pairs")))
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     need = (100 + percent) * room >= percent * (F.col("na") + F.col("nb"))
     near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    found = x.join(y, (x["token"] == y["token"]) & (x["ra"] != y["rb"]) & near & need)
+
+    def sides(torn: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        """The rows outside of a token's greatest root, and all rows."""
+        names = {"node": ("a", "b"), "root": ("ra", "rb"), "n": ("na", "nb"), "at": ("pa", "pb")} | {c: (f"sa{c}", f"sb{c}") for c in torn.columns if c.isdigit()}
+        x, y = ([F.col(n).alias(to[i]) for n, to in names.items() if n in torn.columns] for i in (0, 1))
+        return torn.filter("root <> major").select("token", *more, *x), torn.select("token", *more, *y)
+
+    x, y = sides(heads.join(major.filter(F.col("pairs") <= hot), "token"))
+    found = x.join(y, (x["token"] == y["token"]) & (x["ra"] != y["rb"]) & near & need).select("a", "b")
+
+    parts = major.filter(F.col("pairs") > hot).withColumn("parts", F.ceil(F.sqrt(F.col("pairs") / block)))
+    x, y = sides(heads.join(parts, "token").join(signatures.select("node", *_spread("sig", cfg, "")), "node"), "parts")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    x = x.withColumn("row", F.pmod(F.xxhash64("a"), "parts")).withColumn("col", each).drop("parts")
+    y = y.withColumn("col", F.pmod(F.xxhash64("b"), "parts")).withColumn("row", each).drop("parts")
+    alike = differing("sa", "sb", cfg) <= cfg.minima - cfg.least_equal
+    found = found.union(x.join(y, (x["token"] == y["token"]) & (x["row"] == y["row"]) & (x["col"] == y["col"]) & (x["ra"] != y["rb"]) & near & need & alike).select("a", "b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _torn(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the members of buckets that hold different roots."""
+    placed = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    torn = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return settle(placed.join(torn, "key"))
+
+
+def _next_pairs(torn: DataFrame, classes: DataFrame, cfg: NearDup, turn: int, draws: int = 4) -> DataFrame:
+    """For each node at most one pair: the most similar of the centres that this turn draws from its buckets."""
+    centres = F.array(*(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn * draws + i), "node", "key")) for i in range(draws)))
+    drawn = torn.groupBy("key").agg(centres.alias("cs")).select("key", F.explode(F.array_distinct("cs")).alias("c"))
+    meets = torn.join(drawn, "key").filter(F.col("root") != F.col("c.root")).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+    best = _equal_values(meets, classes, cfg).filter(F.col("equal") >= cfg.likely_equal).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _outside(torn: DataFrame) -> DataFrame:
+    """Nodes that in one of their buckets are not of the greatest root."""
+    per = torn.groupBy("key", "root").agg(F.count("*").alias("k"))
+    major = per.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("major"))
+    return torn.join(major, "key").filter("root <> major").select("node").distinct()
+
+
+def merged(links: DataFrame, members: DataFrame, classes: DataFrame, sets: DataFrame, cfg: NearDup, enough: float = 0.04) -> tuple[DataFrame, DataFrame]:
+    """Roots after rounds of comparisons in torn buckets, and what is torn then (step 4).
+
+    Rounds go on while each links ``enough`` of the nodes that lie outside of their buckets'
+    greatest components, and one in 500 of all that are torn.
+    """
+    roots, turn = components(links), 0
+    while True:
+        torn, turn = _torn(members, roots), turn + 1
+        among = torn.select("node").distinct().count()
+        if not among:
+            return roots, torn
+        found = _verified(_next_pairs(torn, classes, cfg, turn), sets, cfg)
+        n = found.count()
+        if n:
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        if 500 * n < among or n < enough * _outside(torn).count():
+            return roots, _torn(members, roots) if n else torn
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node of the edges (a, b), by alternating star contraction.
 
     Each round hangs neighbours on the least node they see; it needs a number of rounds
-    that grows with the logarithm of the largest component.
+    that grows with the logarithm of the largest component. Without an end in ``rounds`` it raises.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -255,9 +350,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         edges = settle(star(star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == mark or not now[0]:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def groups(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,15 +374,13 @@ def groups(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "doc_id", te
     star = members.select("node", F.col("centre").alias("to")).union(members.join(hub, "key").select("node", F.col("hub").alias("to")))
     pairs = star.filter("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
     nodes = classes.select("node", "cls", "rep", "text_key").join(members.select("node").distinct(), "node")
-    unique = rows.groupBy("id", "text_key").count().filter("count > 1").isEmpty()
-    sets = settle(_sets(nodes, docs, id_col, text_col, cfg, unique))
+    repeats = rows.filter("cls is not null").groupBy("id", "text_key").count().filter("count > 1")
+    sets = settle(_sets(nodes, docs, id_col, text_col, cfg, repeats))
     links = _verified(_plausible(pairs, classes, cfg), sets, cfg)
 
-    roots = components(links)
-    placed = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    torn = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = placed.join(torn, "key").select("node", "root").distinct()
-    more = settle(_plausible(_prefix_pairs(rest.join(sets, "node"), cfg.percent), classes, cfg))
+    roots, torn = merged(links, members, classes, sets, cfg)
+    rest = torn.select("node", "root").distinct()
+    more = settle(_plausible(_prefix_pairs(rest.join(sets, "node"), classes, cfg), classes, cfg))
     if not more.isEmpty():
         found = _verified(more, sets, cfg)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
@@ -315,11 +408,12 @@ def keep_first(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "doc_id"
     if repeated:
         late = firsts.join(again, firsts["component_id"].eqNullSafe(again["component_id"])).filter("text_key <> least")
         gone = gone.union(late.select("doc_id", "text_key"))
-    gone = gone.select(F.col("doc_id").alias("__textloom_id"), F.col("text_key").alias("__textloom_gone")).distinct()
-    keyed = docs.withColumn("__textloom_key", F.xxhash64(text_col))
-    kept = keyed.join(gone, (keyed["__textloom_key"] == gone["__textloom_gone"]) & keyed[id_col].cast("long").eqNullSafe(gone["__textloom_id"]), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"))
+    kept = keyed.join(gone, (keyed["key"] == gone["gone_key"]) & keyed["id"].eqNullSafe(gone["gone_id"]), "left_anti")
     if repeated:
-        one = again.select(F.col("component_id").alias("__textloom_id"), F.col("least").alias("__textloom_one"))
-        same = (kept["__textloom_key"] == one["__textloom_one"]) & kept[id_col].cast("long").eqNullSafe(one["__textloom_id"])
-        kept = kept.join(one, same, "left_anti").union(kept.join(one, same, "left_semi").dropDuplicates([id_col, "__textloom_key"]))
-    return kept.drop("__textloom_key")
+        one = again.select(F.col("component_id").alias("one_id"), F.col("least").alias("one_key"))
+        same = (kept["key"] == one["one_key"]) & kept["id"].eqNullSafe(one["one_id"])
+        kept = kept.join(one, same, "left_anti").union(kept.join(one, same, "left_semi").dropDuplicates(["id", "key"]))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
