@@ -14,6 +14,8 @@ SEGMENT = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 U64 = np.uint64
+#: Factor of the polynomial that ``grams`` hashes runs of words with.
+GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, dtype=U64)
     acc = np.zeros(len(h) - k + 1, dtype=U64)
     for j in range(k):
-        acc = acc * U64(0xC2B2AE3D27D4EB4F) + h[j : len(h) - k + 1 + j]
+        acc = acc * GRAM + h[j : len(h) - k + 1 + j]
     return mix(acc ^ U64(k))
 
 
