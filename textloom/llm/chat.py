@@ -9,18 +9,23 @@ reference, place and expanded token count. A turn then becomes
 with every control string inside roles and texts escaped by a backslash code, so the
 reader gives back exactly what went in. The loss mask covers the content of assistant turns.
 
-Turns are formatted where they lie, one by one. For a whole conversation they are dealt by
+Turns are formatted where they lie, one by one. The formatted turns are dealt by
 conversation, sorted, and read as a stream: hashes and counts go on from turn to turn, so
-no task holds more than one batch, however long a conversation is.
+no task holds more than one batch, however long a conversation or a turn is.
 
 Nulls: a null text or role is empty; a null conversation id is a conversation of its own
-(all such rows together). Rows with equal ids and turns are ordered by role and text;
-repeated rows are turns of their own. Null turn numbers come first.
+(all such rows together). A null part gives nothing. A part without a type is text; a part of
+an unknown type is an attachment of kind "other" and of one token. Sizes that are missing,
+negative or no numbers count as the least size. Null turn numbers come first; rows with
+equal ids and turns are ordered by their formatted text, and repeated rows are turns of
+their own. An empty table gives an empty result. Only named columns are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,7 +39,7 @@ CODES = {"\\": "\\\\", "<": "\\l", ">": "\\g", '"': "\\q", "\x00": "\\0"}
 _OUT = re.compile('[\\\\<>"\x00]')
 _BACK = {v: k for k, v in CODES.items()}
 _IN = re.compile(r"\\.", re.S)
-_TURN = re.compile(r'<turn role="([^"]*)">([^<]*(?:<(?:image|audio|document) \d+>[^<]*)*)</turn>\n')
+_TURN = re.compile(r'<turn role="([^"]*)">([^<]*(?:<(?:image|audio|document|other) \d+>[^<]*)*)</turn>\n')
 
 
 def escape(text: str) -> str:
@@ -45,6 +50,11 @@ def unescape(text: str) -> str:
     return _IN.sub(lambda m: _BACK[m[0]], text)
 
 
+def _size(value: object) -> float:
+    """A size that a part states, 0 if it states none."""
+    return float(value) if isinstance(value, (int, float)) and 0 < value < math.inf else 0.0
+
+
 @dataclass
 class Attachment:
     kind: str
@@ -66,21 +76,27 @@ class Visitor:
     out: list[str] = field(default_factory=list)
     attachments: list[Attachment] = field(default_factory=list)
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type', 'text')}")(part)
+    def visit(self, part: dict | None) -> None:
+        if part is None:
+            return
+        known = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        known.get(part.get("type") or "text", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.out.append(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
-        across, down = (max(1, -(-int(part.get(side) or 1) // self.tile)) for side in ("width", "height"))
+        across, down = (max(1, math.ceil(_size(part.get(side)) / self.tile)) for side in ("width", "height"))
         self._attach("image", part, self.base_tokens + self.tile_tokens * across * down)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, round(float(part.get("seconds") or 0) * self.audio_rate)))
+        self._attach("audio", part, max(1, round(_size(part.get("seconds")) * self.audio_rate)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, -(-int(part.get("chars") or 0) // self.chars_per_token)))
+        self._attach("document", part, max(1, math.ceil(_size(part.get("chars")) / self.chars_per_token)))
+
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 1)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         n = len(self.attachments) + 1
@@ -89,7 +105,7 @@ class Visitor:
 
     def tokens(self) -> int:
         """Expanded count: attachments as given, text by its length."""
-        chars = sum(len(x) for x in self.out if not re.fullmatch(r"<(?:image|audio|document) \d+>", x))
+        chars = sum(len(x) for x in self.out if not re.fullmatch(r"<(?:image|audio|document|other) \d+>", x))
         return sum(a.tokens for a in self.attachments) + -(-chars // self.chars_per_token)
 
 
@@ -123,16 +139,15 @@ def loss_spans(formatted: str, roles: tuple[str, ...] = ("assistant",)) -> list[
     return [span for role, _, span in read_turns(formatted) if role in roles]
 
 
-FORMATTED = "conv_id long, turn long, formatted string, tokens long, attachments array<struct<kind:string,ref:string,number:int,at:int,tokens:int>>"
-_ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("number", pa.int32()), ("at", pa.int32()), ("tokens", pa.int32())]))
+FORMATTED = "conv_id long, turn long, formatted string, tokens long, attachments array<struct<kind:string,ref:string,number:int,at:long,tokens:long>>"
+_ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("number", pa.int32()), ("at", pa.int64()), ("tokens", pa.int64())]))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, parts) to formatted turns in order, dealt by conversation.
+    """(conv_id, turn, role, parts) to formatted turns, each where it lies.
 
     ``parts`` is an array of structs with type, text, ref, width, height, seconds and chars.
     """
-    ordered = turns.select("conv_id", "turn", "role", "parts").repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +155,12 @@ def format_turns(turns: DataFrame) -> DataFrame:
             attached = pa.array([[vars(a) for a in seen.attachments] for _, seen in made], _ATTACHED)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.string()), pa.array([s.tokens() for _, s in made], pa.int64()), attached], names=["conv_id", "turn", "formatted", "tokens", "attachments"])
 
-    return ordered.mapInArrow(run, FORMATTED)
+    return turns.select("conv_id", "turn", "role", "parts").mapInArrow(run, FORMATTED)
+
+
+def in_order(formatted: DataFrame) -> DataFrame:
+    """Formatted turns dealt by conversation, each conversation in order."""
+    return formatted.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "formatted")
 
 
 def text_parts(rows: DataFrame, text_col: str = "text") -> DataFrame:
@@ -188,5 +208,5 @@ def digests(formatted: DataFrame) -> DataFrame:
         if here is not run:
             yield made([row()])
 
-    rows = formatted.select("conv_id", "formatted", "tokens", F.size("attachments").cast("long").alias("n_attachments"))
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long")
+    rows = formatted.select("conv_id", "turn", "formatted", "tokens", F.size("attachments").cast("long").alias("n_attachments"))
+    return in_order(rows).drop("turn").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long")

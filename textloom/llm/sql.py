@@ -8,12 +8,12 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-f AS (SELECT *,
+f AS (SELECT *, role || '">' || replace(replace(replace(replace(text, '\', '\\'), '<', '\l'), '>', '\g'), '"', '\q') || '<' AS formatted,
   length(role) + length(text) + length(regexp_replace(role || text, '[^\\<>"]', '', 'g')) + 22 AS n FROM c)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments,
   sum(ceil((n - 22 - length(role) - length(regexp_replace(role, '[^\\<>"]', '', 'g'))) / 4.0))::BIGINT AS expanded_tokens
 FROM f GROUP BY conv_id
