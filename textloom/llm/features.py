@@ -47,7 +47,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int, seed:
 
     The bound is what makes it safe to fit on the driver. Ids are picked from the label
     table alone, so their set is bounded before it is sent to the documents. A document
-    with several labels has their rounded mean; rows without an id, text or label are left out.
+    with several labels has their rounded mean; of several texts with one id the one with the
+    least hash is taken; rows without an id, text or label are left out.
     """
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(column).isNotNull())
     if keep is not None:
@@ -55,4 +56,5 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int, seed:
     marks = marks.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.round(F.avg(column)).cast("int").alias("label"))
     taken = marks.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(bound)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")).filter("text is not null")
-    return texts.join(F.broadcast(taken), "id")  # at most ``bound`` ids
+    found = texts.join(F.broadcast(taken), "id")  # at most ``bound`` ids
+    return found.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"), F.first("label").alias("label"))
