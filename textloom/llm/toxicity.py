@@ -8,10 +8,12 @@ weighs it, the toxic rows are cut at its terciles, and the ordinal fit goes on f
 
 Features are hashed words and the beginnings of longer words (so inflected forms share
 one), each present or not, so one telling word counts in a long text as in a short one.
-Features whose rows are not toxic for the most part are screened out before the fit.
-It is fitted from at most ``bound`` labelled rows, which alone reach the driver.
-Null, empty and wordless texts have no features and grade 0. Equal texts grade equally.
-Without toxic training rows nothing is rejected.
+Features whose rows are not toxic for the most part are screened out before the fit, so the
+grades of toxic rows say how much evidence there is, not what a judge of severity would.
+It is fitted from at most ``bound`` labelled rows, one an id, which alone reach the driver.
+Null, empty and wordless texts have no features and grade 0. Equal texts grade equally; very
+long texts are read whole. Without toxic training rows nothing is rejected. An empty table
+gives an empty result. Only named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
