@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]+)>""")
+_UNSEEN = {"<!--": "-->", "<![CDATA[": "]]>"}
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template")}
 
@@ -27,6 +29,25 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _token(html: str, at: int, last: int) -> tuple[int, int, re.Match | None] | None:
+    """(from, to, match) of the next comment, declaration (no match) or tag; ``last`` is where the last > is."""
+    at = html.find("<", at)
+    while at >= 0:
+        unseen = next((x for x in _UNSEEN if html.startswith(x, at)), None)
+        if unseen:
+            end = html.find(_UNSEEN[unseen], at + len(unseen))
+            return at, len(html) if end < 0 else end + 3, None
+        if at > last:  # only a comment without an end can begin here
+            begins = [x for x in (html.find(y, at) for y in _UNSEEN) if x >= 0]
+            return (min(begins), len(html), None) if begins else None
+        if html.startswith(("<!", "<?"), at):
+            return at, html.find(">", at) + 1, None
+        if m := _TAG.match(html, at):
+            return at, m.end(), m
+        at = html.find("<", at + 1)
+    return None
+
+
 def events(html: str) -> Iterator[tuple[str, str, str]]:
     """("open", tag, attribute text), ("close", tag, "") and ("text", "", decoded) in order.
 
@@ -34,28 +55,31 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
     elements only open, and the end tags that HTML lets authors omit are supplied.
     """
     stack: list[str] = []
-    at = 0
-    while True:
-        m = _TOKEN.search(html, at)
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag, so that no search walks the stack
+
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close(at: int) -> Iterator[tuple[str, str, str]]:
+        while len(stack) > at:
+            name = stack.pop()
+            places[name].pop()
+            yield "close", name, ""
+
+    at, last = 0, html.rfind(">")
+    while token := _token(html, at, last):
+        start, end, m = token
+        if start > at:
+            yield "text", "", unescape(html[at:start])
+        at = end
         if m is None:
-            break
-        if m.start() > at:
-            yield "text", "", unescape(html[at : m.start()])
-        at = m.end()
-        slash, tag, rest = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
-        if not tag:
             continue
+        slash, tag, rest = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
         tag = tag.lower()
         if slash:
-            bound = _BOUND if tag not in _BOUND else ()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] == tag:
-                    for name in reversed(stack[i:]):
-                        yield "close", name, ""
-                    del stack[i:]
-                    break
-                if stack[i] in bound:
-                    break
+            here = nearest((tag,))
+            if here >= 0 and (tag in _BOUND or here > nearest(_BOUND)):
+                yield from close(here)
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(html, at)
@@ -64,21 +88,16 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         ends, until = _ENDS.get(tag, ({"p"} if tag in BLOCK else (), _BOUND))
         if tag in BLOCK and tag in _ENDS:
             ends = ends | {"p"}
-        for i in range(len(stack) - 1, -1, -1) if ends else ():
-            if stack[i] in until:
-                break
-            if stack[i] in ends:
-                for name in reversed(stack[i:]):
-                    yield "close", name, ""
-                del stack[i:]
-                break
+        here = nearest(ends)
+        if here >= 0 and here > nearest(until):
+            yield from close(here)
         yield "open", tag, rest
         if tag not in VOID:
+            places[tag].append(len(stack))
             stack.append(tag)
     if at < len(html):
         yield "text", "", unescape(html[at:])
-    for name in reversed(stack):
-        yield "close", name, ""
+    yield from close(0)
 
 
 def squeeze(parts: list[str]) -> str:

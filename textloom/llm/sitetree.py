@@ -16,8 +16,10 @@ path, content) with partial sums, so a host with a third of the pages is counted
 pages lie. Paths of one page are left out of the tree: nothing is known of them.
 
 Nulls: null html is the empty page; a null or odd url has the empty host. An empty page
-has empty text. Repeated rows come back as often as they came in. Only the id, url and
-html columns are read.
+has empty text. Repeated rows come back as often as they came in. Very long and very deep
+pages are read whole, in time that grows with their length. Of branches with equal weight the
+first one is the main branch. An empty table gives an empty result. Only the id, url and
+html columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -91,8 +93,9 @@ def parse(html: str | None) -> Page:
     """Blocks of a page in order, and the presentation of its block elements."""
     page = Page()
     root = _hash("")
-    # (tag, path, noise, marked, child tags, header inside an article)
-    stack: list[list] = [["", root, False, False, [], False]]
+    # (tag, path and parent's path of the nearest block element, noise, marked, child tags,
+    # in the header of an article, in a heading)
+    stack: list[tuple] = [("", root, root, False, False, [], False, False)]
     parts: list[str] = []
     links = anchors = 0
 
@@ -101,10 +104,8 @@ def parse(html: str | None) -> Page:
         text = markup.squeeze(parts)
         parts.clear()
         if text:
-            top = next(x for x in reversed(stack) if x[0] in markup.BLOCK or not x[0])
-            up = next((x for x in reversed(stack) if (x[0] in markup.BLOCK or not x[0]) and x is not top), top)
-            noise = stack[-1][2] or any(x[5] for x in stack) and not any(x[0] in _HEADINGS for x in stack)
-            page.blocks.append(Block(top[1], up[1], text, stack[-1][3], noise, links))
+            _, path, parent, noise, marked, _, header, heading = stack[-1]
+            page.blocks.append(Block(path, parent, text, marked, noise or header and not heading, links))
         links = 0
 
     for kind, tag, rest in markup.events(html or ""):
@@ -122,20 +123,20 @@ def parse(html: str | None) -> Page:
                 anchors += 1
             if tag in markup.VOID:
                 continue
-            _, path, noise, marked, children, _ = stack[-1]
+            _, path, parent, noise, marked, children, header, heading = stack[-1]
             attrs = markup.attributes(rest) if rest.strip() else {}
             if tag in markup.BLOCK:
                 children.append(tag)
-                path = _hash(path, tag, attrs.get("class", ""))
+                path, parent = _hash(path, tag, attrs.get("class", "")), path
             noise = noise or _named(tag, attrs, marked)
             marked = marked or not noise and (tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody")
-            stack.append([tag, path, noise, marked, [], tag == "header" and marked])
+            stack.append((tag, path, parent, noise, marked, [], header or tag == "header" and marked, heading or tag in _HEADINGS))
         elif len(stack) > 1 and stack[-1][0] == tag:
             if tag == "a":
                 anchors = max(0, anchors - 1)
-            top = stack.pop()
+            _, path, *_, children, _, _ = stack.pop()
             if tag in markup.BLOCK:
-                page.styles.append((top[1], _hash(*top[4])))
+                page.styles.append((path, _hash(*children)))
     flush()
     return page
 
