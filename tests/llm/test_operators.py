@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -104,6 +105,84 @@ def test_extraction_matches_the_generated_articles(spark, sf_dir):
     assert {r["page_id"]: r["text"] for r in sitetree.extract(pages).collect()} == wanted
 
 
+def test_long_and_deep_pages_are_read_in_time():
+    began = time.perf_counter()
+    for html in ("<div>" * 100000 + "x", "<b><p>" * 60000 + "x", "<ul><li>" * 60000, "<i>" * 60000 + "</b>" * 60000, "<!" * 200000, '<a "' * 200000, "<!--" * 100000):
+        sitetree.parse(html)
+    assert time.perf_counter() - began < 20
+
+
+def brute_importances(pages, damping=0.9):
+    """Importance of (host, path, leaf) of paths on two or more different pages, by its definition."""
+    import math
+
+    trees = {}
+    for host, html in pages:
+        page = sitetree.parse(html)
+        blocks = [b for b in page.blocks if not b.noise]
+        inner = {b.parent for b in blocks}
+        trees[host, tuple(b.text for b in blocks)] = {(b.path, b.parent, True, b.text) for b in blocks} | {(p, p, False, s) for p, s in page.styles if p in inner}
+    where = {}
+    for (host, says), nodes in trees.items():
+        for path, parent, leaf, content in nodes:
+            where.setdefault((host, path, parent, leaf), {}).setdefault(content, set()).add(says)
+    out, under = {}, {}
+    for (host, path, parent, leaf), contents in where.items():
+        counts = [len(x) for x in contents.values()]
+        total, on = sum(counts), len(set().union(*contents.values()))
+        mean_log = sum(k * math.log(k) for k in counts) / total
+        if on < 2:
+            value = 1.0
+        elif leaf:
+            value = 1 - mean_log / math.log(on)
+        else:
+            value = min(1.0, max(0.0, (math.log(total) - mean_log) / math.log(on)))
+        out[host, path, leaf, parent] = value, on
+        if leaf:
+            under.setdefault((host, parent), []).append((value, on))
+    final = {}
+    for (host, path, leaf, parent), (value, on) in out.items():
+        if not leaf and (host, path) in under:
+            children = sum(n for _, n in under[host, path])
+            mean = sum(v * n for v, n in under[host, path]) / children
+            damp = damping ** (children / on)
+            value = (1 - damp) * value + damp * mean
+        elif not leaf:
+            continue
+        if on > 1:
+            final[host, path, leaf] = value, on
+    return final
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_importances_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+
+    def block(depth):
+        if depth == 0 or rng.random() < 0.4:
+            return f"<p class=c{rng.randrange(3)}>{rng.choice(['Immer gleich', f'eigen {rng.randrange(400)}', 'oft gleich'])}</p>"
+        tag = rng.choice(["div", "section", "article", "ul"])
+        return f"<{tag} class=k{rng.randrange(2)}>{''.join(block(depth - 1) for _ in range(rng.randrange(1, 4)))}</{tag}>"
+
+    pages = [(f"h{i % 3}.example", "<body>" + "".join(block(3) for _ in range(3))) for i in range(40)]
+    pages += pages[:5] + [("h0.example", None)]
+    df = spark.createDataFrame([(f"http://{h}/x", html) for h, html in pages], "url string, html string")
+    got = {(r["host"], r["path"], r["leaf"]): (r["importance"], r["on"]) for r in sitetree.importances(df).collect()}
+    want = brute_importances([(h, html) for h, html in pages])
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
+
+
+def test_pages_feed_the_tree(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert sitetree.paths(pages).filter("leaf").count() > pages.count()
+
+
+def test_extract_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/x", ARTICLE, "a", "b", "c")], "page_id long, url string, html string, text string, host string, tree string")
+    assert sitetree.extract(pages).first()["text"].startswith("Kopf")
+
+
 # 2 Media columns
 def test_media_round_trip(spark):
     texts = [t for t in ODD] + ["x" * 192, "y" * 191, "é" * 96, "a\n<b>&c\n\nd"]
@@ -125,6 +204,15 @@ def test_sequences_keep_order_and_captions(spark):
     assert [(p["pos"], p["kind"], p["text"], p["caption"], p["payload"]) for p in parts] == [(0, "text", "vor", None, None), (1, "img", None, "Bild eins", bytearray(b"1")), (2, "text", "mitte", None, None), (3, "img", None, "zwei", None), (4, "text", "nach", None, None)]
 
 
+def test_resolve_clashes_repeats_and_empty_tables(spark):
+    pages = spark.createDataFrame([(1, '<p>a<img src="media:sha256/aa"><img src="x.png"><p>b<audio src="media:sha256/aa">'), (1, "<p>c")], "id long, html string")
+    store = spark.createDataFrame([("aa", "T", 5), ("aa", "T", 5), (None, "N", 1)], "digest string, text string, pos int")
+    seqs = media.sequences(pages, "id", "html")
+    rows = media.resolve(seqs, store, "text", "pos").collect()
+    assert sorted((r["pos"], r["kind"], r["text"], r["media_text"], r["media_pos"]) for r in rows) == [(0, "text", "a", None, None), (0, "text", "c", None, None), (1, "img", None, "T", 5), (2, "img", None, None, None), (3, "text", "b", None, None), (4, "audio", None, "T", 5)]
+    assert media.resolve(seqs.limit(0), store, "text").count() == 0 and media.resolve(seqs, store.limit(0), "text").count() == 6
+
+
 # 3 License scans
 def test_license_base_places_match_brute_force(spark):
     rng = random.Random(1)
@@ -142,11 +230,16 @@ def test_matching_statistics_are_the_longest_runs():
     rng = random.Random(2)
     templates = [[rng.randrange(4) for _ in range(12)] for _ in range(4)]
     automaton = licenses.Automaton(templates)
+    phrases = [templates[0][2:4], templates[1][5:8], templates[1][6:8], templates[2]]
+    automaton.mark(phrases)
     runs = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
     text = [rng.randrange(5) for _ in range(200)]
     for i, (_, length) in enumerate(automaton.statistics(text)):
         assert length == max((n for n in range(i + 2) if n == 0 or tuple(text[i + 1 - n : i + 1]) in runs))
-    for t, found in automaton.matches(text, 3).items():
+    text += templates[2] + templates[1]
+    found_runs, ends = automaton.scan(text, 3)
+    assert sorted(ends) == sorted((i, n) for i in range(len(text)) for n, p in enumerate(phrases) if i + 1 >= len(p) and text[i + 1 - len(p) : i + 1] == p)
+    for t, found in found_runs.items():
         for m in found:
             assert templates[t][m.place : m.place + m.n] == text[m.at : m.at + m.n]
 
@@ -154,8 +247,44 @@ def test_matching_statistics_are_the_longest_runs():
 def test_templates_give_their_labels():
     scanner = licenses.Scanner()
     for label, text in licenses.TEMPLATES:
-        *_, labels, score = scanner.scan(f"some words before. {text} and after".encode())
-        assert label in labels.split(",") and score == pytest.approx(1)
+        *_, labels, score, spans = scanner.scan(f"some words before. {text} and after".encode())
+        assert label in labels.split(",") and score == pytest.approx(1) and max(s["share"] for s in spans) == 1
+
+
+def brute_chain(found, gap):
+    """Most words over all ascending chains, by trying every predecessor."""
+    found = sorted(set(found), key=lambda m: (m.at, m.place))
+    best = []
+    for i, m in enumerate(found):
+        top = m.n
+        for j in range(i):
+            p = found[j]
+            lap = max(0, p.at + p.n - m.at, p.place + p.n - m.place)
+            if p.at < m.at and p.place < m.place and lap < m.n and m.at - p.at - p.n <= gap and m.place - p.place - p.n <= gap:
+                top = max(top, best[j] + m.n - lap)
+        best.append(top)
+    return max(best, default=0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.builds(licenses.Match, st.integers(0, 400), st.integers(0, 200), st.integers(1, 150)), max_size=30), st.integers(0, 8))
+def test_chains_match_brute_force(found, gap):
+    assert licenses.chain(found, gap)[0] == brute_chain(found, gap)
+
+
+def test_one_changed_word_hardly_lowers_a_score():
+    words = [f"w{i}" for i in range(200)]
+    scanner = licenses.Scanner([("x", " ".join(words))], {})
+    words[100] = "other"
+    *_, labels, score, spans = scanner.scan(("before it " + " ".join(words) + " after").encode())
+    assert labels == "x" and score == pytest.approx(0.995) and (spans[0]["lo"], spans[0]["hi"]) == (2, 202)
+
+
+def test_license_scans_of_odd_tables(spark):
+    assert licenses.scan(table(spark, ODD).limit(0)).count() == 0
+    long = " ".join(text for _, text in licenses.TEMPLATES) + " word" * 200000
+    rows = licenses.scan(table(spark, [long, long, None])).collect()
+    assert rows[0]["labels"] == rows[1]["labels"] and {label for label, _ in licenses.TEMPLATES} <= set(rows[0]["labels"].split(",")) and rows[2]["spans"] == []
 
 
 # 4 Chat formatting
@@ -173,13 +302,30 @@ def test_attachments_are_ordered_and_counted():
     assert [(a.kind, a.ref, a.number, a.at, a.tokens) for a in seen.attachments] == [("image", "i", 1, 4, 85 + 340), ("audio", "s", 2, 13, 50), ("document", "d", 3, 22, 11)]
 
 
+def test_parts_of_any_kind_are_defined(spark):
+    kind = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,chars:int>>"
+    part = lambda t, **more: {"type": t, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "chars": None} | more
+    rows = [
+        (1, 0, "user", [part("text", text="a"), None, part(None, text="<b>"), part("video", ref="v"), part("image", ref="i", width=-5, height=None), part("audio", ref="s", seconds=float("nan")), part("document", ref="d", chars=9)], "x"),
+        (1, 1, "assistant", None, "x"),
+        (2, 0, "assistant", [part("text", text="z" * 300000)], "x"),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {kind}, formatted string")
+    made = {(r["conv_id"], r["turn"]): r for r in chat.format_turns(df).collect()}
+    assert made[1, 0]["formatted"] == '<turn role="user">a\\lb\\g<other 1><image 2><audio 3><document 4></turn>\n'
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in made[1, 0]["attachments"]] == [("other", "v", 1), ("image", "i", 255), ("audio", "s", 1), ("document", "d", 3)]
+    out = {r["conv_id"]: r for r in chat.digests(chat.format_turns(df)).collect()}
+    assert (out[1]["n_turns"], out[1]["n_attachments"], out[1]["loss_chars"], out[2]["loss_chars"]) == (2, 4, 0, 300000)
+    assert out[1]["expanded_tokens"] == 1 + 255 + 1 + 3 + 2
+
+
 def test_conversations_match_brute_force(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "a"), (None, 0, "user", "x"), (-7, 0, "user", "\\### Assistant: </turn> ok"), (2, None, None, ""), (2, 0, "assistant", "ä" * 5), (2, 0, "assistant", "ä" * 5)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = {r["conv_id"]: r for r in chat.digests(chat.format_turns(chat.text_parts(df))).collect()}
     assert out.keys() == {1, 2, -7, None}
     for conv, r in out.items():
-        turns = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv))
+        turns = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv), key=lambda x: (x[0], x[1], chat.format_turn(x[2], [{"text": x[3]}])[0]))
         said = "".join(x[3] for x in turns if x[2] == "assistant")
         assert r["n_turns"] == len(turns) and r["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in turns).encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
@@ -197,6 +343,97 @@ def test_sum_of_squares_identity():
     assert quality.raw_score(where, value, (0.3, w, v)) == pytest.approx(0.3 + w[where] @ value + pairs)
 
 
+def plain_statistics(text):
+    """The structure statistics of a text, stated plainly."""
+    import math
+
+    raw = text.encode()
+    words = split(NONSPACE, text)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    n, m = len(raw), max(1, len(words))
+    count = lambda of: sum(chr(b) in of if isinstance(of, str) else of(b) for b in raw)
+    upper = count(lambda b: 65 <= b <= 90)
+    white = count(" \t\n\x0b\x0c\r")
+    letters = upper + count(lambda b: 97 <= b <= 122)
+    symbols = count("".join(chr(b) for b in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))))
+    pairs = {tuple(words[i : i + 2]) for i in range(len(words) - 1)}
+    return [
+        math.log1p(n) / 12, math.log1p(m) / 10, upper / max(1, letters), count("0123456789") / n, symbols / m / 4, count(".,:;?") / m, count(lambda b: b >= 128) / n, white / n, min(2.0, (n - white) / m / 10),
+        len(set(words)) / m, len(pairs) / max(1, m - 1), math.log1p(len(lines)) / 6, len(set(lines)) / max(1, len(lines)), min(1.0, count("|") / m), min(1.0, count("!") / m), max((words.count(w) for w in words), default=0) / m,
+    ]
+
+
+def test_quality_scores_match_brute_force(spark):
+    """All pairs of inputs one by one, on words and statistics found without the operator."""
+    import math
+
+    import numpy as np
+
+    cfg = quality.Machine(dim=64, rank=3)
+    rng = np.random.default_rng(3)
+    size = cfg.dim + len(features.STATS)
+    model = (0.1, rng.normal(size=size), rng.normal(0, 0.3, (size, 3)))
+    texts = ["Ein Satz, zwei Worte! ein ein", "a|b|c 1 2 3\n\nZEILE zwei\nZEILE zwei", "ß ä é Ä x"]
+    for r in quality.score(table(spark, texts), model, cfg).collect():
+        text, x = texts[r["doc_id"]], {}
+        for word in split(ALNUM, text):
+            place = int(wordkit.words(word.encode(), wordkit.ALNUM)[0] % np.uint64(cfg.dim))
+            x[place] = x.get(place, 0) + 1
+        norm = math.sqrt(sum(math.log1p(v) ** 2 for v in x.values()))
+        x = {k: math.log1p(v) / norm for k, v in x.items()} | {cfg.dim + i: v for i, v in enumerate(plain_statistics(text))}
+        z = model[0] + sum(model[1][i] * v for i, v in x.items()) + sum(float(model[2][i] @ model[2][j]) * x[i] * x[j] for i, j in itertools.combinations(x, 2))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9) and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    """Severity from words and beginnings of words, each found without the operator."""
+    import math
+
+    import numpy as np
+
+    cfg = toxicity.Ordinal(stems=range(4, 6))
+    words = ["dumm", "idioten", "Wörter"]
+    place = lambda h: int(h & np.uint64(cfg.dim - 1))
+    of_word = {w: place(wordkit.words(w.lower().encode(), wordkit.ALNUM)[0]) for w in words}
+    weights = {of_word["dumm"]: 1.5, of_word["idioten"]: 2.25}
+    places = np.array(sorted(weights), dtype=np.int32)
+    model = (places, np.array([weights[p] for p in places.tolist()]), np.array([0.5, 1.0, 3.0]))
+    texts = ["so DUMM, dumm", "idioten dumm!", "nichts", None, "", "dumme idiotenhaft"]
+    for r in toxicity.score(table(spark, texts), model, cfg).collect():
+        known = {w.lower() for w in words[:2]} & set(split(ALNUM, texts[r["doc_id"]]))
+        z = sum(weights[of_word[w]] for w in known)
+        p = [1 / (1 + math.exp(t - z)) for t in (0.5, 1.0, 3.0)] if split(ALNUM, texts[r["doc_id"]]) else [0.0] * 3
+        assert r["severity"] == pytest.approx(sum(p)) and r["p_toxic"] == pytest.approx(p[0]) and r["grade"] == sum(x >= 0.5 for x in p) and r["rejected"] == (p[0] >= 0.5)
+
+
+def test_ordinal_fit_lessens_the_loss_to_its_least():
+    """On one feature the fit agrees with a grid search over weight and thresholds."""
+    import numpy as np
+
+    toxic, row = np.array([0, 0, 0, 1, 1, 1, 0, 1]), np.array([3, 4, 5, 0])
+    grade = np.array([0, 0, 0, 1, 2, 2, 0, 1])
+    x = toxicity.Rows(toxic, row, np.zeros(4, dtype=int), np.array([7]), np.zeros(1))
+    w, theta = toxicity.fit_ordinal(x, grade, toxicity.Ordinal(grades=2, steps=4000, l1=0), np.zeros(1), np.zeros(2))
+
+    def loss(w, t):
+        z = np.where(np.isin(np.arange(8), row), w, 0.0)
+        p = np.stack([1 / (1 + np.exp(t[j] - z)) for j in (0, 1)])
+        y = np.stack([grade >= 1, grade >= 2])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    best = min(loss(a, (b, c)) for a in np.arange(0, 6, 0.1) for b in np.arange(-3, 5, 0.1) for c in np.arange(-3, 6, 0.1) if b <= c)
+    assert loss(w[0], theta) <= best + 1e-2
+
+
+def test_training_rows_are_one_an_id(spark):
+    docs = table(spark, ["a", "b", "c", None, "d"], [1, 1, 2, 3, None])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (None, 1), (4, 1)], "doc_id long, quality int")
+    rows = features.labelled(docs, labels, "quality", 10, 1).collect()
+    again = features.labelled(docs.repartition(3), labels, "quality", 10, 1).collect()
+    assert sorted((r["id"], r["label"], bytes(r["text"])) for r in rows) == sorted((r["id"], r["label"], bytes(r["text"])) for r in again)
+    assert sorted((r["id"], r["label"]) for r in rows) == [(1, 1), (2, 0)] and features.labelled(docs, labels, "quality", 1, 1).count() <= 1
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     scored = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").filter("held_out").select("score", "predicted", "quality").collect()
@@ -291,10 +528,49 @@ def test_prefix_filter_loses_no_pair(spark):
     sets = [sorted({*rng.sample(base, rng.randrange(80, 100)), *(rng.randrange(10**9) for _ in range(rng.randrange(0, 12)))}) for _ in range(40)]
     import numpy as np
 
+    cfg = dedup.NearDup(3, 85, 5)
     rows = spark.createDataFrame([(i, i, np.array(s, dtype=np.int64).tobytes()) for i, s in enumerate(sets)], "node long, root long, found binary")
-    got = {(r["a"], r["b"]) for r in dedup._prefix_pairs(rows, 85).collect()}
+    a, b = dedup._multipliers(cfg)
+    signatures = spark.createDataFrame([(i, dedup.pack(dedup.minima(np.array(s, dtype=np.uint64), a, b), 4).tolist()) for i, s in enumerate(sets)], "node long, sig array<long>")
     wanted = {(a, b) for a, b in itertools.combinations(range(40), 2) if 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})}
-    assert wanted and wanted <= got
+    for hot, block in ((1 << 16, 1 << 24), (0, 1 << 24), (0, 16)):  # plain, by signatures, and dealt in squares
+        assert wanted and wanted <= {(r["a"], r["b"]) for r in dedup._prefix_pairs(rows, signatures, cfg, hot, block).collect()}
+
+
+def template_family(n, common, slots, seed=1):
+    rng = random.Random(seed)
+    return [" ".join([f"c{j}" for j in range(common)] + [f"s{j}v{rng.randrange(2)}" for j in range(slots)]) for _ in range(n)]
+
+
+def test_families_near_the_threshold_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """Texts of one template, about 0.78 alike: few pairs are links, and few are looked at."""
+    written = []
+    plain = dedup._prefix_pairs
+    monkeypatch.setattr(dedup, "_prefix_pairs", lambda *args: written.append(dedup.settle(plain(*args))) or written[-1])
+    texts = template_family(300, 60, 14)
+    cfg = dedup.NearDup(1, 85, 5)
+    found = {r["doc_id"]: r["component_id"] for r in dedup.groups(table(spark, texts), cfg).collect()}
+    assert found == {i: c for i, _, c in brute_components(texts, range(300), 1, 85)}
+    assert written[0].count() < 20 * 300
+
+
+def test_long_texts_join_components(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(9000)}" for _ in range(60000)]
+    other = list(base)
+    for i in range(0, 60000, 100):
+        other[i] = "new"
+    texts = [" ".join(base), " ".join(other), " ".join(base[:30000]), "x" * 300000, "x" * 300000, "long " * 40000, "long " * 50000]
+    rows = dedup.groups(table(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == brute_components(texts, list(range(len(texts))), 5, 80)
+
+
+def test_repeated_rows_change_no_component(spark):
+    rng = random.Random(11)
+    texts = families(rng)
+    docs = table(spark, texts)
+    again = {(r["doc_id"], r["component_id"]) for r in dedup.groups(docs.union(docs).union(docs)).collect()}
+    assert again == {(r["doc_id"], r["component_id"]) for r in dedup.groups(docs).collect()}
 
 
 def test_one_row_of_each_group_stays(spark):
@@ -376,6 +652,46 @@ def test_raking_by_spark_agrees_with_arrays(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a) and one == pytest.approx(two, rel=1e-3, abs=1e-6)
 
 
+def brute_factors(cells, targets, sweeps=4000):
+    """Iterative proportional fitting by its definition, on a dict of cells."""
+    held = {k: float(n) for k, n in cells.items()}
+    for _ in range(sweeps):
+        for d in range(3):
+            have = {}
+            for k, x in held.items():
+                have[k[d]] = have.get(k[d], 0.0) + x
+            held = {k: x * targets[d][k[d]] / have[k[d]] for k, x in held.items()}
+    return {k: held[k] / cells[k] for k in cells}
+
+
+def test_weights_match_brute_force_and_given_targets(spark):
+    rng = random.Random(8)
+    cells = {(s, l, t): rng.randrange(5, 400) for s in ("a", "b", "c") for l in ("x", "y") for t in ("p", "q")}
+    total = sum(cells.values())
+    shares = [{"a": 0.2, "b": 0.3, "c": 0.5}, {"x": 0.6, "y": 0.4}, {"p": 0.1, "q": 0.9}]
+    given = {dim: spark.createDataFrame([*(of.items()), ("none", 0.5)] if dim == "source" else list(of.items()), "value string, share double") for dim, of in zip(mixing.DIMS, shares)}
+    want = brute_factors(cells, [{k: v * total for k, v in of.items()} for of in shares])
+    for cfg in (mixing.Mix(strict=True, budget=0.05), mixing.Mix(budget=0.05, broadcast_cells=0, tolerance=1e-4)):
+        rows = mixing.mix(cell_docs(spark, cells), cfg, topic_col="topic", targets=given).collect()
+        assert {(r["source"], r["lang"], r["topic"]): r["weight"] for r in rows} == pytest.approx(want, rel=1e-3 if not cfg.strict else 1e-5)
+    drawn = {}
+    for r in rows:
+        drawn[r["source"]] = drawn.get(r["source"], 0) + r["tokens"] * r["probability"] / total / 0.05
+    assert drawn == pytest.approx(shares[0], rel=1e-3)
+
+
+def test_a_value_without_a_target_is_not_drawn(spark):
+    docs = cell_docs(spark, {("a", "x", "p"): 50, ("b", "x", "p"): 70, (None, "x", "p"): 30})
+    given = {"source": spark.createDataFrame([("a", 1.0), (None, 1.0)], "value string, share double")}
+    rows = {r["source"]: r for r in mixing.mix(docs, mixing.Mix(budget=0.2), topic_col="topic", targets=given).collect()}
+    assert rows["b"]["weight"] < 1e-9 and rows["a"]["weight"] * 50 == pytest.approx(rows[None]["weight"] * 30, rel=1e-5)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = table(spark, ["some words"] * 5).withColumnRenamed("shard", "__source").withColumnRenamed("kept", "tokens").withColumnRenamed("slot", "row")
+    assert {(r["__source"], r["tokens"], r["row"]) for r in mixing.keep_drawn(docs, mixing.Mix(budget=1.0)).collect()} == {("clash", "clash", "clash")}
+
+
 def test_mixing_odd_rows(spark):
     docs = table(spark, ODD, [*range(len(ODD) - 1), None])
     rows = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
@@ -410,6 +726,35 @@ def test_shard_sizes_and_checksums(spark):
         assert (rows[i]["size"], rows[i]["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
     dealt = sharding.deal(table(spark, ODD))
     assert dealt.count() == len(ODD) and dict(dealt.dtypes)["shard"] == "int"
+    assert sharding.deal(table(spark, ODD).limit(0)).count() == 0
+
+
+def test_plan_says_where_deal_puts(spark):
+    docs = table(spark, [f"text {i % 97}" for i in range(480)], [i % 60 if i % 7 else None for i in range(480)])
+    docs = docs.union(docs.limit(50))
+    places = lambda df: sorted(((r["doc_id"], r["shard"], r["slot"]) for r in df.collect()), key=repr)
+    for size in (256, 1 << 20):
+        planned, dealt = places(sharding.plan(docs, bucket_bytes=size)), sharding.deal(docs.repartition(5), bucket_bytes=size)
+        assert len({x[1:] for x in planned}) == 530 and planned == places(dealt)
+    assert set(dealt.columns) == {*docs.columns, "input_shard", "input_slot"}
+    assert {(r["input_shard"], r["input_slot"], r["score"]) for r in dealt.collect()} == {("clash", "clash", "clash")}
+
+
+def test_equal_records_fill_buckets_evenly(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text"))
+    placed = sharding._places(sharding._keyed(rows, F.struct("doc_id"), "text"), 24, 17, 64)
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 400 and max(sizes) < 30
+
+
+def test_swaps_are_a_permutation_that_is_not_sorted(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    one = sharding._places(sharding._keyed(rows, F.struct("doc_id"), "text"), 24, 17, 1 << 30)
+    assert sorted(r["place"] for r in one.collect()) == list(range(2000))
+    other = sharding._places(sharding._keyed(rows, F.struct("doc_id"), "text"), 24, 18, 1 << 30)
+    key = lambda df: {r["row"]["doc_id"]: r["place"] for r in df.collect()}
+    a, b = key(one), key(other)
+    assert sum(a[i] == b[i] for i in a) < 20
 
 
 def test_order_in_buckets_is_mixed(spark):
@@ -455,10 +800,23 @@ def test_hits_match_brute_force(spark, seed, block):
     rows = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
     wanted = brute_hits(texts, items)
     assert rows == dict(enumerate(wanted))
+    joined = decontam.report(decontam.scan(docs, bench, joined_from=-1))
+    assert {r["doc_id"]: tuple(r)[1:] for r in joined.collect()} == rows
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, bench, joined_from=-1).collect()) == [i for i, x in enumerate(wanted) if not x[4]]
     clean = decontam.clean(docs, bench, block_bytes=block)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [i for i, x in enumerate(wanted) if not x[4]]
 
 
+def test_long_and_repeated_words_match_brute_force(spark):
+    rng = random.Random(12)
+    items = [(1, "a " * 2000), (2, "b c " * 300), (3, " ".join(f"w{rng.randrange(30)}" for _ in range(400)))]
+    texts = ["a " * 50000, "b c " * 9000 + "a " * 9, " ".join(f"w{rng.randrange(30)}" for _ in range(20000)) + " " + items[2][1], "x" * 300000 + " " + "a " * 12]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    began = time.perf_counter()
+    rows = {r["doc_id"]: tuple(r)[1:] for r in decontam.report(decontam.scan(table(spark, texts), bench)).collect()}
+    assert time.perf_counter() - began < 20 and rows == dict(enumerate(brute_hits(texts, items)))
+
+
 def test_empty_tables_of_decontamination(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     docs = table(spark, ["a b"])

@@ -1,7 +1,7 @@
 """The pipeline's stages, each against what brute force says of its own input."""
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_hits
+from tests.llm.test_operators import ODD, brute_components, brute_hits, table
 from textloom.llm import mixing
 
 
@@ -32,6 +32,20 @@ def test_stages(spark, sf_dir):
     assert docs.columns == [*columns, "shard", "slot"]
 
 
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Null, empty, very long, tied and repeated rows, and columns whose names clash."""
+    docs = table(spark, [*ODD, *ODD[:4]], [*range(len(ODD) - 1), None, 0, 1, None, 3])
+    for rows in (docs, docs.limit(0)):
+        before = rows.count()
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, sf_dir)
+            if name != "sharding":
+                assert rows.columns == docs.columns
+            rows = spark.createDataFrame(rows.collect(), rows.schema)
+            assert before // 3 <= rows.count() <= before
+        assert rows.columns == [{"shard": "input_shard", "slot": "input_slot"}.get(c, c) for c in docs.columns] + ["shard", "slot"]
+
+
 def test_run_writes_and_reads_stages(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.count() > 0 and {"shard", "slot", "text"} <= set(rows.columns)

@@ -9,8 +9,11 @@ captions stay with their references because the parts are never re-ordered.
 payload, whole files are kept, and the samples are read back from the stored file.
 
 Nulls: a null page has no parts and a null text is the empty text. A reference whose digest
-is not in the store resolves to null. Equal texts share one stored payload. Empty tables
-give empty results. Only named columns are read.
+is not in the store, or that has none, resolves to null; parts without a digest take no part
+in the join, so they gather nowhere. Of store rows with one digest one counts. A store
+column called like a column of the parts comes back with media_ before its name. Equal
+texts share one stored payload. Very long texts are stored whole. Empty tables give empty
+results. Only named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -92,10 +95,20 @@ def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, parts {PARTS}")
 
 
+def attach(refs: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
+    """``refs``, which have a digest each, with the store's ``columns`` for it."""
+    names = [f"media_{c}" if c in refs.columns else c for c in columns]
+    held = store.filter("digest is not null").select(F.col("digest").alias("held"), F.struct(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))).alias("of_held"))
+    one = held.groupBy("held").agg(F.first("of_held").alias("of_held"))  # dealt by digest, as the join is
+    return refs.join(one, refs["digest"] == one["held"], "left").select(*(refs[c] for c in refs.columns), *(F.col("of_held").getField(n).alias(n) for n in names))
+
+
 def resolve(seqs: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
-    """One row a part, in the order (id, pos), with the store's ``columns`` for its digest."""
-    parts = seqs.select("id", F.explode("parts").alias("part")).select("id", "part.*")
-    return parts.join(store.select("digest", *columns), "digest", "left").select("id", "pos", "kind", "text", "digest", "caption", *columns)
+    """One row a part, with the store's ``columns`` for its digest; (id, pos) is the order."""
+    parts = seqs.select("id", F.explode("parts").alias("part")).select("id", "part.*").select("id", "pos", "kind", "text", "digest", "caption")
+    found = attach(parts.filter("digest is not null"), store, *columns)
+    none = [F.lit(None).cast(found.schema[n].dataType).alias(n) for n in found.columns[len(parts.columns) :]]
+    return found.union(parts.filter("digest is null").select("*", *none))
 
 
 def payload(text: bytes) -> bytes:
@@ -147,17 +160,16 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            sizes, texts, refs = [], [], []
             for one in batch.column(1):
                 text = one.as_py()
                 raw = text.encode("utf-8", "surrogatepass")
                 parts = sequence(_page(text, hashlib.sha256(to_wave(payload(raw))).hexdigest()))
-                refs = [p for p in parts if p["digest"]]
-                layout = "".join("t" if p["kind"] == "text" else "m" for p in parts)
-                out.append((len(raw), refs[0]["digest"], refs[0]["pos"], hashlib.sha256((refs[0]["caption"] or "").encode("utf-8", "surrogatepass")).hexdigest()[:16], layout.count("t")))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n_bytes", "digest", "media_pos", "caption_hash", "n_texts"])
+                media = [p for p in parts if p["kind"] != "text"]
+                for p in media:  # a caption can be as long as its text
+                    p["caption"] = hashlib.sha256((p["caption"] or "").encode("utf-8", "surrogatepass")).hexdigest()[:16]
+                sizes.append(len(raw)), texts.append(len(parts) - len(media)), refs.append(media)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(texts, pa.int64()), pa.array(refs, _PARTS)], names=["id", "n_bytes", "n_texts", "parts"])
 
     def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +190,9 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    refs = rows.mapInArrow(refer, "id long, n_bytes long, digest string, media_pos int, caption_hash string, n_texts int")
+    refs = rows.mapInArrow(refer, f"id long, n_bytes long, n_texts long, parts {PARTS}").select("id", "n_bytes", "n_texts", F.explode("parts").alias("p")).select("id", "n_bytes", "n_texts", "p.pos", "p.digest", "p.caption")
     store = rows.mapInArrow(record, "digest string, file binary").groupBy("digest").agg(F.first("file").alias("file"))
     figures = store.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    out = refs.join(figures, "digest")
-    layout = F.concat_ws(";", "feature", F.concat(F.lit("texts="), "n_texts"), F.concat(F.lit("at="), "media_pos"), F.concat(F.lit("caption="), "caption_hash"))
+    out = attach(refs, figures, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    layout = F.concat_ws(";", "feature", F.concat(F.lit("texts="), "n_texts"), F.concat(F.lit("at="), "pos"), F.concat(F.lit("caption="), "caption"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", layout.alias("feature"))
