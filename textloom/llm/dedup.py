@@ -44,6 +44,7 @@ from textloom.llm import wordkit
 from textloom.session import settle
 
 NIBBLES = 0x1111111111111111
+TASK_EDGES = 1 << 13  # so many edges are worth a task of their own
 
 
 @dataclass(frozen=True)
@@ -284,26 +285,37 @@ def _prefix_pairs(rows: DataFrame, signatures: DataFrame, cfg: NearDup, hot: int
 
 
 def _torn(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of the members of buckets that hold different roots."""
+    """(key, node, root) of the members (key, node) of buckets that hold different roots."""
     placed = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     torn = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     return settle(placed.join(torn, "key"))
 
 
-def _next_pairs(torn: DataFrame, classes: DataFrame, cfg: NearDup, turn: int, draws: int = 4) -> DataFrame:
-    """For each node at most one pair: the most similar of the centres that this turn draws from its buckets."""
+def _outside(torn: DataFrame) -> DataFrame:
+    """The rows of ``torn`` that are not of the greatest root of their bucket."""
+    per = torn.groupBy("key", "root").agg(F.count("*").alias("k"))
+    major = per.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("major"))
+    return settle(torn.join(major, "key").filter("root <> major").drop("major"))
+
+
+def _next_pairs(torn: DataFrame, outside: DataFrame, classes: DataFrame, cfg: NearDup, turn: int, draws: int = 4) -> DataFrame:
+    """For each node outside at most one pair: the most similar of the centres that this turn draws from its buckets."""
     centres = F.array(*(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn * draws + i), "node", "key")) for i in range(draws)))
     drawn = torn.groupBy("key").agg(centres.alias("cs")).select("key", F.explode(F.array_distinct("cs")).alias("c"))
-    meets = torn.join(drawn, "key").filter(F.col("root") != F.col("c.root")).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+    meets = outside.join(drawn, "key").filter(F.col("root") != F.col("c.root")).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
     best = _equal_values(meets, classes, cfg).filter(F.col("equal") >= cfg.likely_equal).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _outside(torn: DataFrame) -> DataFrame:
-    """Nodes that in one of their buckets are not of the greatest root."""
-    per = torn.groupBy("key", "root").agg(F.count("*").alias("k"))
-    major = per.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("major"))
-    return torn.join(major, "key").filter("root <> major").select("node").distinct()
+def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` after the links ``found``: only the roots that these touch are gone through."""
+    above = found
+    for n in "ab":
+        of = roots.select(F.col("node").alias("of"), F.col("root").alias(f"root_{n}"))
+        above = above.join(of, above[n] == of["of"], "left").drop("of")
+    touched = components(above.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    to = touched.select(F.col("node").alias("of"), F.col("root").alias("to"))
+    return settle(roots.join(to, roots["root"] == to["of"], "left").select("node", F.coalesce("to", "root").alias("root")).union(touched))
 
 
 def merged(links: DataFrame, members: DataFrame, classes: DataFrame, sets: DataFrame, cfg: NearDup, enough: float = 0.04) -> tuple[DataFrame, DataFrame]:
@@ -313,17 +325,18 @@ def merged(links: DataFrame, members: DataFrame, classes: DataFrame, sets: DataF
     greatest components, and one in 500 of all that are torn.
     """
     roots, turn = components(links), 0
-    while True:
-        torn, turn = _torn(members, roots), turn + 1
-        among = torn.select("node").distinct().count()
-        if not among:
-            return roots, torn
-        found = _verified(_next_pairs(torn, classes, cfg, turn), sets, cfg)
+    torn = _torn(members, roots)
+    while not torn.isEmpty():
+        outside, turn = _outside(torn), turn + 1
+        found = _verified(_next_pairs(torn, outside, classes, cfg, turn), sets, cfg)
         n = found.count()
         if n:
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-        if 500 * n < among or n < enough * _outside(torn).count():
-            return roots, _torn(members, roots) if n else torn
+            ends = 500 * n < torn.select("node").distinct().count() or n < enough * outside.select("node").distinct().count()
+            roots = _contracted(roots, found)
+            torn = _torn(torn, roots)  # a bucket that was whole stays whole
+        if not n or ends:
+            break
+    return roots, torn
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -349,6 +362,7 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     for _ in range(rounds):
         edges = settle(star(star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
+        edges = edges.coalesce(1 + now[0] // TASK_EDGES)
         if now == mark or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
@@ -382,8 +396,7 @@ def groups(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "doc_id", te
     rest = torn.select("node", "root").distinct()
     more = settle(_plausible(_prefix_pairs(rest.join(sets, "node"), classes, cfg), classes, cfg))
     if not more.isEmpty():
-        found = _verified(more, sets, cfg)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        roots = _contracted(roots, _verified(more, sets, cfg))
 
     named = classes.select("node", "cls", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.filter("root <> node").select("root", "rep").union(roots.select("root").distinct().join(classes.select(F.col("node").alias("root"), "rep"), "root")).groupBy("root").agg(F.min("rep").alias("least"))
