@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import re
 import shutil
 import tempfile
@@ -71,3 +72,13 @@ def settle(df: DataFrame) -> DataFrame:
     held = df.checkpoint(eager=True)._jdf
     fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False)
     return DataFrame(fresh, df.sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    Spark's cleaner only learns of them when the driver collects its garbage, which a driver
+    with little to do puts off while the executors' disks fill up in a loop of shuffles.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
