@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import wordkit
-from textloom.session import settle
+from textloom.session import settle, sweep
 
 NIBBLES = 0x1111111111111111
 TASK_EDGES = 1 << 13  # so many edges are worth a task of their own
@@ -222,6 +222,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: Ne
 
 def _verified(pairs: DataFrame, sets: DataFrame, cfg: NearDup) -> DataFrame:
     """The pairs (a, b), given once each, that hold on the full shingle sets."""
+    sweep(sets.sparkSession)
     left = sets.select(F.col("node").alias("a"), F.col("found").alias("found_a"))
     right = sets.select(F.col("node").alias("b"), F.col("found").alias("found_b"))
     return settle(confirmed(pairs.join(left, "a").join(right, "b"), cfg.percent))
@@ -257,6 +258,7 @@ def _prefix_pairs(rows: DataFrame, signatures: DataFrame, cfg: NearDup, hot: int
     alone = (F.col("n") - F.size("sorted")).cast("int")
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     cut = ordered.withColumn("alone", alone).withColumn("take", prefix - F.col("alone")).filter("take > 0")
+    sweep(rows.sparkSession)
     heads = settle(cut.select("node", "root", "n", "alone", F.posexplode(F.slice("sorted", F.lit(1), F.col("take"))).alias("pos", "s")).filter("s.torn").select("node", "root", "n", F.col("s.token").alias("token"), (F.col("pos") + F.col("alone")).alias("at")))
     per = heads.groupBy("token", "root").agg(F.count("*").alias("k"))
     major = per.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots"), F.sum("k").alias("all"), F.max("k").alias("most")).filter("roots > 1")
@@ -364,6 +366,7 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         edges = edges.coalesce(1 + now[0] // TASK_EDGES)
         if now == mark or not now[0]:
+            sweep(edges.sparkSession)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
