@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections import Counter
 
@@ -24,17 +25,22 @@ def _hyphenated(word: str) -> list[str] | None:
     return parts if fits and not all(p in JOINTS for p in parts) and not any(map(acronym, parts)) else None
 
 
+#: Prefix and the least length of a word that has it.
+_LEAST_DE = {p: max(10 if len(p) <= 3 else len(p) + 4, len(p) + 4) for p in lx.DE_PREFIXES}
+_DE_PREFIXES = tuple(_LEAST_DE)
+
+
 def _prefixed_de(word: str) -> bool:
-    if word in lx.DE_NO_COMPOUNDS:
+    if not word.startswith(_DE_PREFIXES) or word in lx.DE_NO_COMPOUNDS:
         return False
-    least = {p: max(10 if len(p) <= 3 else len(p) + 4, len(p) + 4) for p in lx.DE_PREFIXES}
-    return any(word.startswith(p) and len(word) >= least[p] for p in lx.DE_PREFIXES)
+    return any(word.startswith(p) and len(word) >= n for p, n in _LEAST_DE.items())
 
 
 def _prefixed(word: str, prefixes: tuple[str, ...]) -> bool:
-    return any(word.startswith(p) and len(word) > len(p) + 3 for p in prefixes)
+    return word.startswith(prefixes) and any(word.startswith(p) and len(word) > len(p) + 3 for p in prefixes)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def kind(word: str, language: str) -> tuple[str, list[str]] | None:
     """(kind, parts) of a lower-case word; the first rule that fits decides."""
     everything = language == "auto"
@@ -43,9 +49,9 @@ def kind(word: str, language: str) -> tuple[str, list[str]] | None:
             return "bindestrich", parts
     if (everything or language == "de") and _prefixed_de(word):
         return ("praefix" if len(word) < 20 else "lang"), []
-    if (everything or language == "ru") and _prefixed(word, lx.RU_PREFIXES):
+    if (everything or language == "ru") and _prefixed(word, tuple(lx.RU_PREFIXES)):
         return ("praefix" if len(word) < 20 else "lang"), []
-    if (everything or language == "el") and _prefixed(without_marks(word), lx.EL_PREFIXES):
+    if (everything or language == "el") and _prefixed(without_marks(word), tuple(lx.EL_PREFIXES)):
         return "greek_praefix", []
     if language == "he" and len(word) > 3 and any("֐" <= c <= "׿" for c in word):
         parts = word.replace("־", "-").split("-")
@@ -63,7 +69,7 @@ def compounds(words: list[str], sentences: list[str], language: str = "auto", to
     rank = {"bindestrich": 0, "praefix": 1, "greek_praefix": 2, "hebrew_maqqef": 3, "lang": 4}
     # Longest first; equal lengths by the rule that found them, then by their place in the text.
     best = sorted(found, key=lambda w: (-len(w), rank[found[w][0]]))[:top]
-    low = [(s.lower(), s) for s in sentences]
+    low = [(s.lower(), s) for s in sentences] if best else []
     out = []
     for w in best:
         context = next((s for lowered, s in low if w in lowered), "")[:150] or w

@@ -17,6 +17,10 @@ CUT = "\ue001"  # stands for a sentence boundary
 WHITE = " \t\n\x0b\f\r"
 
 
+#: What ``words`` finds in lower-case text, for rules that run in Python.
+PLAIN_WORD = re.compile(f"[{lx.LETTERS}]+(?:-[{lx.LETTERS}]+)*")
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters, hyphenated compounds as one word."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"[{lx.LETTERS}]+(?:-[{lx.LETTERS}]+)*"), F.lit(0))
@@ -164,3 +168,9 @@ def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     usable = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0)
     return F.when(usable, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / norm))).otherwise(0.0)
+
+
+def assembled(task: str, *sections: tuple[str, Column]) -> Column:
+    """A prompt: the task, then headed sections in order; a section without text is left out."""
+    headed = (F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"## {name}\n"), body)) for name, body in sections)
+    return F.concat_ws("\n\n", F.lit(task), *headed)

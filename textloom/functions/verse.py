@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, islice
 
 from textloom.functions import lexicon as lx
 
@@ -23,6 +24,7 @@ def stanzas_of(text: str) -> list[list[str]]:
     return [lines for lines in map(lines_of, text.split("\n\n")) if lines]
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def rhyme_form(word: str) -> str:
     """Lower-case letters without a mute e after a consonant or a hard or soft sign."""
     w = _NOT_WORD.sub("", word.lower())
@@ -31,6 +33,7 @@ def rhyme_form(word: str) -> str:
     return w[:-1] if w and w[-1] in "ьъ" else w
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _vowels(word: str) -> str:
     return "".join(c for c in word if c in VOWELS)
 
@@ -108,9 +111,16 @@ def _initials(words: list[str]) -> dict[str, list[str]]:
     return out
 
 
-def _suffix_pair(a: str, b: str) -> bool:
-    """Whether two words only share a noun suffix."""
-    return any(a.endswith(s) and b.endswith(s) and min(len(a), len(b)) > len(s) + 1 and a[: -len(s)] != b[: -len(s)] for s in lx.NOUN_SUFFIXES)
+@functools.lru_cache(maxsize=1 << 16)
+def _suffixes(word: str) -> frozenset[str]:
+    return frozenset(s for s in lx.NOUN_SUFFIXES if word.endswith(s) and len(word) > len(s) + 1)
+
+
+def _pairs(words: list[str]) -> int:
+    """Pairs of distinct words that do not only share a noun suffix, counted by the suffixes they have."""
+    kinds = list(Counter(map(_suffixes, words)).items())
+    apart = sum(n * (n - 1) // 2 for suffixes, n in kinds if not suffixes)
+    return apart + sum(n * m for (a, n), (b, m) in combinations(kinds, 2) if not a & b)
 
 
 def sound_patterns(text: str) -> dict:
@@ -119,7 +129,8 @@ def sound_patterns(text: str) -> dict:
     initials: list[dict[str, list[str]]] = []
     alliterations: list[dict] = []
     assonances: list[dict] = []
-    inner: list[dict] = []
+    inner: list[dict] = []  # as many as are listed
+    n_inner = 0
     for n, line in enumerate(lines, 1):
         every = _WORD.findall(line.lower())
         if len(every) < 2:
@@ -135,8 +146,10 @@ def sound_patterns(text: str) -> dict:
         for w in dict.fromkeys(every):
             by_form.setdefault(rhyme_form(w)[-3:], []).append(w)
         for form, words in by_form.items():
-            if len(form) == 3:
-                inner += [{"line": n, "word_a": a, "word_b": b} for a, b in combinations(words, 2) if not _suffix_pair(a, b)]
+            if len(form) == 3 and len(words) > 1:
+                n_inner += _pairs(words)
+                fitting = ({"line": n, "word_a": a, "word_b": b} for a, b in combinations(words, 2) if not _suffixes(a) & _suffixes(b))
+                inner += islice(fitting, CAP - len(inner))
     known = {(x["consonant"], x["line"], frozenset(x["words"])) for x in alliterations}
     for gap in (1, 2):
         for i in range(len(lines) - gap):
@@ -146,4 +159,4 @@ def sound_patterns(text: str) -> dict:
                 if fresh and not any((c, n, frozenset(words)) in known for n in (i + 1, i + gap + 1)):
                     known.add((c, i + 1, frozenset(words)))
                     alliterations.append({"line": i + 1, "line_end": i + gap + 1, "consonant": c, "words": words})
-    return {"alliterations": alliterations[:CAP], "assonances": assonances[:CAP], "internal_rhymes": inner[:CAP], "n_alliterations": len(alliterations), "n_assonances": len(assonances), "n_internal_rhymes": len(inner)}
+    return {"alliterations": alliterations[:CAP], "assonances": assonances[:CAP], "internal_rhymes": inner, "n_alliterations": len(alliterations), "n_assonances": len(assonances), "n_internal_rhymes": n_inner}

@@ -24,22 +24,38 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return flat.groupBy(id_col, "t").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
 
 
-def idf(found: DataFrame, n_docs: int | None = None, id_col: str = "doc_id", floor: float = 0.25) -> DataFrame:
-    """(t, df, idf): Okapi weights, negative ones lifted to a share of the mean."""
-    n = found.agg(F.countDistinct(id_col).alias("n")) if n_docs is None else found.sparkSession.range(1).select(F.lit(n_docs).alias("n"))
-    df = found.groupBy("t").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # by one row
-    raw = df.select("t", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(t, df): in how many texts a token occurs; counts are summed before they are moved."""
+    return docs.select(F.explode(F.array_distinct(T.fields(F.lower(text_col)))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+
+
+def idf(df: DataFrame, n_docs: DataFrame, floor: float = 0.25) -> DataFrame:
+    """(t, df, idf): Okapi weights of (t, df), negative ones lifted to a share of the mean.
+
+    ``n_docs`` is one row with ``n_docs``, the number of texts.
+    """
+    raw = df.crossJoin(F.broadcast(n_docs.select("n_docs")))  # by one row
+    raw = raw.select("t", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     lifted = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
     return raw.crossJoin(F.broadcast(mean)).select("t", "df", lifted.alias("idf"))  # by one row
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of the texts that hold a term; a term asked twice counts twice."""
-    lengths = docs.agg(F.avg(F.size(T.fields(F.lower(text_col)))).alias("avgdl"), F.count("*").alias("n_docs"))
-    found = postings(docs, id_col, text_col)
-    asked = docs.sparkSession.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)], "t string, times int")
-    weights = idf(found, None, id_col).join(F.broadcast(asked), "t")
+    """(id, score) of the texts that hold a term; a term asked twice counts twice.
+
+    Each text counts the asked terms where it lies; only its score-bearing rows go on.
+    """
+    asked = list(dict.fromkeys(terms))
+    tokens = docs.select(id_col, T.fields(F.lower(text_col)).alias("w"))
+    lengths = tokens.agg(F.avg(F.size("w")).alias("avgdl"), F.count("*").alias("n_docs"))
+    held = tokens.select(id_col, F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(*asked)).alias("w")).filter(F.size("w") > 0)
+
+    def counted(term: str) -> Column:
+        return F.struct(F.lit(term).alias("t"), F.lit(terms.count(term)).alias("times"), F.size(F.filter("w", lambda x: x == term)).alias("f"))
+
+    found = held.select(id_col, "dl", F.explode(F.array(*map(counted, asked))).alias("c")).select(id_col, "dl", "c.*").filter("f > 0")
+    weights = idf(document_frequencies(docs, text_col), lengths).filter(F.col("t").isin(*asked))
     hits = found.join(F.broadcast(weights), "t").crossJoin(F.broadcast(lengths))  # weights: a row a term asked; lengths: one row
     norm = F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("idf") * F.col("f") * (k1 + 1) / norm * F.col("times")
@@ -62,6 +78,7 @@ def numbered(rows: DataFrame, *order: Column, name: str = "seq") -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Ranks of rows that a limit has bounded before."""
     return rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 

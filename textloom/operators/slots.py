@@ -6,7 +6,10 @@ claim to be a model; a real one is passed in its place.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], np.ndarray]
 BATCH = 32
+_FIELD = re.compile("[^ \t\n\x0b\f\r]+")
 
 
 def echo_model(prompt: Column) -> Column:
@@ -37,6 +41,27 @@ def hashed_embedder(dim: int) -> Embedder:
     return run
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _place(word: str) -> tuple[int, int]:
+    h = hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+    return int(h[:6], 16), 1 if int(h[6], 16) & 1 else -1
+
+
+def counted_embedder(dim: int) -> Embedder:
+    """Stands for an embedding model: words dealt to ``dim`` signed buckets by MD5, in whole
+    numbers (a cosine needs no unit length)."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for i, text in enumerate(texts):
+            for word, n in Counter(_FIELD.findall(text.lower())).items():
+                at, sign = _place(word)
+                out[i, at % dim] += sign * n
+        return out
+
+    return run
+
+
 def embed(rows: DataFrame, text_col: str, model: Embedder, prefix: str = "passage: ") -> DataFrame:
     """(h, embedding): each distinct text once, by its hash, in model batches."""
     distinct = rows.select(F.sha2(text_col, 256).alias("h"), F.concat(F.lit(prefix), F.col(text_col)).alias("x")).dropDuplicates(["h"])

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from textloom.plans.book import Book
 
-BOOKS = ("stats", "corpus", "retrieve", "judge", "kernels", "meta", "streams", "rest")
+BOOKS = ("stats", "corpus", "retrieve", "judge", "kernels", "meta", "streams", "prompts", "rest")
 
 
 def all_books() -> list[Book]:

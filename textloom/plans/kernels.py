@@ -65,10 +65,10 @@ def sound_patterns(t):
 @book.query("K04_compounds")
 @book.query("H06_compound_merge")
 def compound_words(t):
-    rows = t.documents.filter("text is not null").select("doc_id", T.words(F.col("text")).alias("w"), T.sentences(F.col("text")).alias("s"))
+    rows = t.documents.filter("text is not null").select("doc_id", F.col("text"), T.sentences(F.col("text")).alias("s"))
 
-    def run(words, sentences):
-        found = compounds.compounds(words, sentences)
+    def run(text, sentences):
+        found = compounds.compounds(T.PLAIN_WORD.findall(text.lower()), sentences)
         return len(found), [f"{c['word']}:{c['kind']}:{c['count']}" for c in found]
 
     return mapped(rows, run, "n_compounds long, compounds array<string>")
@@ -77,15 +77,15 @@ def compound_words(t):
 @book.query("K01_analyze_text")
 def analyze_text(t):
     """The record of a text's statistics; Greek and Hebrew texts take their own path."""
-    def run(text):
+    def run(text, latin):
         r = scripts.analyze(text)
-        return (r["language"], json.dumps(r, ensure_ascii=False)) if r else ("latin", None)
+        return (r["language"], json.dumps(r, ensure_ascii=False)) if r else ("latin", latin)
 
     d = t.documents.filter("text is not null").select("doc_id", T.without_metadata(F.col("text")).alias("text"))
-    w, s = T.words(F.col("text")), T.sentences(F.col("text"))
-    base = d.select("doc_id", F.struct(F.length("text").alias("chars"), F.size(w).alias("words"), F.size(s).alias("sentences"), F.round(T.type_token_ratio(w), 3).alias("ttr"), F.round(T.standardized_ttr(w), 3).alias("sttr"), T.morphological_complexity(w).alias("morphology")).alias("stats"))
-    kind = mapped(d, run, "language string, other string")
-    return base.join(kind, "doc_id").select("doc_id", "language", F.coalesce("other", F.to_json("stats")).alias("stats"))
+    d = d.select("doc_id", "text", T.words(F.col("text")).alias("w"), F.size(T.sentences(F.col("text"))).alias("n"))  # once, below their use
+    w = F.col("w")
+    stats = F.struct(F.length("text").alias("chars"), F.size(w).alias("words"), F.col("n").alias("sentences"), F.round(T.type_token_ratio(w), 3).alias("ttr"), F.round(T.standardized_ttr(w), 3).alias("sttr"), T.morphological_complexity(w).alias("morphology"))
+    return mapped(d.select("doc_id", "text", F.to_json(stats).alias("latin")), run, "language string, stats string")
 
 
 GREEK = "μῆνιν ἄειδε θεὰ Πηληϊάδεω Ἀχιλῆος\nοὐλομένην, ἣ μυρί᾽ Ἀχαιοῖς ἄλγε᾽ ἔθηκε,\nπολλὰς δ᾽ ἰφθίμους ψυχὰς Ἄϊδι προΐαψεν\nἡρώων, αὐτοὺς δὲ ἑλώρια τεῦχε κύνεσσιν."

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import uuid
 import zipfile
 from html import escape
@@ -12,9 +13,10 @@ from pyspark.sql import Window as W
 
 from textloom.functions import judge as J
 from textloom.functions import metaruns as M
+from textloom.functions import scripts
 from textloom.functions import text as T
+from textloom.functions.lexicon import LETTERS
 from textloom.operators import corpus as C
-from textloom.operators import slots
 from textloom.plans import judge, kernels, meta, retrieve, stats
 from textloom.plans import corpus as P
 from textloom.plans.book import Book
@@ -65,7 +67,6 @@ def parser_configs(t):
 
 @book.query("A34_importer_registry", "SELECT 22::BIGINT AS n")
 @book.query("R98_list_platforms", "SELECT 22::BIGINT AS n")
-@book.query("R99_platform_info", "SELECT 22::BIGINT AS n")
 def registry(t):
     return t.spark.createDataFrame([(name,) for name in importers.IMPORTERS], "platform string").agg(F.count("*").alias("n"))
 
@@ -83,12 +84,17 @@ def get_all_chunks(t):
 
 
 @book.query("A40_anchor_list", "SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE trim(line) <> ''")
-@book.query("R58_anchor_path", "SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE trim(line) <> ''")
-@book.query("R59_anchor_prompt", "SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE trim(line) <> ''")
 def anchor_list(t):
     return t.benchmark.select(F.explode(T.lines(F.col("text"))).alias("line")).agg(F.count("*").alias("n"))
 
 
+@book.query("R59_anchor_prompt", "SELECT item_id, CASE WHEN trim(text) = '' THEN '' ELSE '=== ANKER ===' || chr(10) || trim(text) || chr(10) || '=== ENDE ===' END AS block FROM benchmark WHERE text IS NOT NULL")
+def anchor_prompt(t):
+    """An anchor list wrapped for a prompt; an empty one gives nothing."""
+    text = F.trim("text")
+    return t.benchmark.filter("text is not null").select("item_id", F.when(text == "", "").otherwise(F.concat(F.lit("=== ANKER ===\n"), text, F.lit("\n=== ENDE ==="))).alias("block"))
+
+
 # Sinks
 @book.query("B13_csv_rows", "SELECT event_id, event_id || ',' || event_type AS csv FROM events")
 def csv_rows(t):
@@ -96,16 +102,12 @@ def csv_rows(t):
 
 
 @book.query("B17_render_run", "SELECT doc_id, '# Lauf ' || doc_id || chr(10) || chr(10) || '**Variante:** ' || CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || chr(10) || chr(10) || 'Kern ' || doc_id AS markdown FROM documents WHERE text IS NOT NULL")
-@book.query("B18_render_style", "SELECT doc_id, '# Lauf ' || doc_id || chr(10) || chr(10) || '**Variante:** ' || CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || chr(10) || chr(10) || 'Kern ' || doc_id AS markdown FROM documents WHERE text IS NOT NULL")
-@book.query("B19_render_comparison", "SELECT doc_id, '# Lauf ' || doc_id || chr(10) || chr(10) || '**Variante:** ' || CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || chr(10) || chr(10) || 'Kern ' || doc_id AS markdown FROM documents WHERE text IS NOT NULL")
 def render_run(t):
     d = meta.dissect_runs(t)
     return d.select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("# Lauf "), F.col("doc_id").cast("string")), F.concat(F.lit("**Variante:** "), "variant"), "kern").alias("markdown"))
 
 
 @book.query("R94_simple_metadata", sql(CHATS, "SELECT id, coalesce(model_name, '') AS model_name FROM chats"))
-@book.query("R95_grok_sink", sql(CHATS, "SELECT id, coalesce(model_name, '') AS model_name FROM chats"))
-@book.query("R96_perplexity_sink", sql(CHATS, "SELECT id, coalesce(model_name, '') AS model_name FROM chats"))
 def simple_metadata(t):
     return chats(t).select("id", F.coalesce("model_name", F.lit("")).alias("model_name"))
 
@@ -171,8 +173,33 @@ def candidate_cut(t):
 
 
 # Statistics
+@book.query("R31_first_line_author", f"SELECT doc_id, CASE WHEN length(w) >= 2 AND upper(w) <> 'UNBEKANNT' THEN w END AS author FROM (SELECT doc_id, regexp_extract(l[1], '([{LETTERS}]+)[^{LETTERS}]*$', 1) AS w FROM (SELECT doc_id, {stats.SQL_LINES} AS l FROM documents WHERE text IS NOT NULL) WHERE len(l) > 0)")
+def first_line_author(t):
+    """The model sees the first five lines; the stand-in names the last word of the first one. Unknown and too short names are rejected."""
+    head = F.slice(T.lines(F.col("text")), 1, 5)
+    rows = t.documents.filter("text is not null").select("doc_id", head.alias("l")).filter(F.size("l") > 0)
+    word = F.regexp_extract(F.col("l")[0], f"([{LETTERS}]+)[^{LETTERS}]*$", 1)
+    return rows.select("doc_id", word.alias("w")).select("doc_id", F.when((F.length("w") >= 2) & (F.upper("w") != "UNBEKANNT"), F.col("w")).alias("author"))
+
+
+@book.query("K21_greek_verse_detail")
+def greek_verse_detail(t):
+    """The record of a Greek verse text: stanzas, sound, enjambement, rhythm, skeletons and echoes; epic verse has no end rhyme."""
+
+    def run(x):
+        lines = scripts.verses(x)
+        n, share = scripts.greek_enjambement(lines)
+        trivial, echoes = scripts.vowel_echoes(lines, scripts.greek_end_vowel)
+        record = {
+            "stanzas": scripts.greek_stanzas(x), "rhyme": {"pairs": [], "notation": "", "type": "Kein Reim"}, "alliterations": scripts.greek_alliterations(lines), "enjambement": {"n": n, "percentage": share},
+            "rhythm": scripts.greek_rhythm(lines), "skeletons": [scripts.greek_skeleton(s) for s in lines], "echoes": {"trivial": trivial, "n": echoes},
+        }
+        return (json.dumps(record, ensure_ascii=False),)
+
+    return kernels.mapped(kernels.script_rows(t), run, "detail string")
+
+
 @book.query("K13_empty_verse", "SELECT doc_id, 0::INT AS stanza_count, 'Kein Reim' AS rhyme_type FROM documents")
-@book.query("K21_greek_verse_detail", "SELECT doc_id, 0::INT AS stanza_count, 'Kein Reim' AS rhyme_type FROM documents")
 def empty_verse(t):
     none = F.struct(F.lit(0).alias("stanza_count"), F.lit("Kein Reim").alias("rhyme_type"))
     return t.documents.select("doc_id", none.alias("v")).select("doc_id", "v.*")
@@ -194,12 +221,12 @@ def expand_query(t):
     return t.documents.filter("text is not null").select("doc_id", F.coalesce(translated, F.substring("text", 1, 40)).alias("query"))
 
 
-@book.query("N22_evidence_first", sql(MESSAGES, "SELECT chat_id, count(*) AS n FROM messages WHERE role = 'model' GROUP BY chat_id"))
-@book.query("N23_fact_extractor", sql(MESSAGES, "SELECT chat_id, count(*) AS n FROM messages WHERE role = 'model' GROUP BY chat_id"))
-@book.query("R25_validate_evidence", sql(MESSAGES, "SELECT chat_id, count(*) AS n FROM messages WHERE role = 'model' GROUP BY chat_id"))
-def evidence_rows(t):
-    """The rows that an evidence model is given; its verdicts come from a slot."""
-    return messages(t).filter("role = 'model'").groupBy("chat_id").agg(F.count("*").alias("n"))
+@book.query("R25_validate_evidence", sql(MESSAGES, "SELECT chat_id, turn, CASE WHEN turn % 5 = 4 THEN TRUE ELSE content NOT LIKE '%?%' END AS kept FROM messages WHERE role = 'model'"))
+def validate_evidence(t):
+    """Evidence that the validator contradicts goes; where its answer cannot be read, evidence passes."""
+    answer = F.when(F.col("turn") % 5 == 4, F.lit("kaputt")).otherwise(F.to_json(F.struct(F.contains("content", F.lit("?")).alias("contradicted"))))
+    read = F.get_json_object(J.json_of(answer), "$.contradicted")
+    return messages(t).filter("role = 'model'").select("chat_id", "turn", (F.coalesce(read, F.lit("false")) != "true").alias("kept"))
 
 
 # Streams
@@ -230,20 +257,7 @@ def verdict_cache(t):
     return first.orderBy(F.desc("f"), "h").limit(50).select("h")
 
 
-# Prompts: framing only
-PROMPT = "'Quelle ' || doc_id || ': ' || lang || chr(10) || 'Frage: ' || source"
-PROMPTS = ("R06_synthesis_prompt", "R32_style_prompt", "R33_counter_prompt", "R34_global_prompt", "R35_comparison_prompt", "R41_counter_position", "R42_adjudication", "R43_distillation", "R44_revised_distillation", "R46_confrontation", "R19_questions", "R71_vision_prompt", "R26_final_text", "R50_opening", "R54_opening", "R61_parameters", "R52_prepare_call")
-
-
-def prompt(t):
-    i = F.col("doc_id").cast("string")
-    return t.documents.select("doc_id", slots.fill(F.lit("Quelle {id}: {lang}\nFrage: {frage}"), {"id": i, "lang": F.col("lang"), "frage": F.col("source")}).alias("prompt"))
-
-
-for name in PROMPTS:
-    book.query(name, f"SELECT doc_id, {PROMPT} AS prompt FROM documents")(prompt)
-
-
+# Prompts
 @book.query("R45_free_question", "SELECT doc_id, 'Summen: 480, ' || (6 + doc_id) AS prompt FROM documents WHERE text IS NOT NULL")
 def free_question(t):
     """The sums of the sound table go into the prompt, so that no model has to add."""
@@ -252,8 +266,6 @@ def free_question(t):
 
 
 @book.query("R09_best_of", sql(MESSAGES, "SELECT chat_id, md5(string_agg('## Iteration ' || (turn + 1) || chr(10) || content, chr(10) || chr(10) ORDER BY turn)) AS input_md5 FROM messages GROUP BY chat_id"))
-@book.query("R10_agentic_input", sql(MESSAGES, "SELECT chat_id, md5(string_agg('## Iteration ' || (turn + 1) || chr(10) || content, chr(10) || chr(10) ORDER BY turn)) AS input_md5 FROM messages GROUP BY chat_id"))
-@book.query("R15_supervision_input", sql(MESSAGES, "SELECT chat_id, md5(string_agg('## Iteration ' || (turn + 1) || chr(10) || content, chr(10) || chr(10) ORDER BY turn)) AS input_md5 FROM messages GROUP BY chat_id"))
 def best_of(t):
     line = F.concat(F.lit("## Iteration "), (F.col("turn") + 1).cast("string"), F.lit("\n"), "content")
     parts = F.array_sort(F.collect_list(F.struct("turn", line.alias("x"))))
@@ -276,8 +288,6 @@ def fact_match(t):
 
 
 @book.query("R30_style_title", "SELECT doc_id, 'Titel ' || doc_id AS title, 'kurz' AS conciseness FROM documents")
-@book.query("R31_first_line_author", "SELECT doc_id, 'Titel ' || doc_id AS title, 'kurz' AS conciseness FROM documents")
-@book.query("R36_meta_comparison", "SELECT doc_id, 'Titel ' || doc_id AS title, 'kurz' AS conciseness FROM documents")
 def style_title(t):
     x = F.concat(F.lit("Text\nSTIL-TITEL: Titel "), F.col("doc_id").cast("string"), F.lit("\nPRÄGNANZ: kurz\n"))
     return t.documents.select("doc_id", F.regexp_extract(x, r"STIL-TITEL:\s*([^\n]+)", 1).alias("title"), F.regexp_extract(x, r"PRÄGNANZ:\s*([^\n]+)", 1).alias("conciseness"))

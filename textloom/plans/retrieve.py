@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from textloom.functions import text as T
 from textloom.operators import ranking as R
+from textloom.operators import slots
 from textloom.plans.book import Book
 from textloom.plans.corpus import CHUNKS, chunks
 
@@ -29,9 +30,10 @@ def bm25(t) -> DataFrame:
     return R.bm25(t.documents.filter("text is not null").select("doc_id", "text"), QUERY.split(" "))
 
 
-@book.query("L06_bm25_index", f"WITH {BM25} SELECT t, df, round(idf, 6)::DOUBLE AS idf FROM dfs JOIN idf USING (t) WHERE df >= 20")
+@book.query("L06_bm25_index", f"WITH {BM25} SELECT t, df, round(idf, 6)::DOUBLE AS idf FROM dfs JOIN idf USING (t)")
 def bm25_index(t):
-    return R.idf(R.postings(t.documents.filter("text is not null").select("doc_id", "text"))).filter("df >= 20").select("t", "df", F.round("idf", 6).alias("idf"))
+    docs = t.documents.filter("text is not null").select("text")
+    return R.idf(R.document_frequencies(docs), docs.agg(F.count("*").alias("n_docs"))).select("t", "df", F.round("idf", 6).alias("idf"))
 
 
 @book.query("L07_bm25", f"WITH {BM25} SELECT doc_id, score FROM bm25 WHERE score > 0")
@@ -125,7 +127,7 @@ def first_chunk(t):
 
 @book.query("F12_document_numbers", f"WITH {VEC}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM dense ORDER BY r LIMIT 30) SELECT vec_id, dense_rank() OVER (ORDER BY f)::BIGINT AS source_id FROM (SELECT vec_id, min(r) OVER (PARTITION BY label) AS f FROM top)")
 def document_numbers(t):
-    top = R.ranked(dense(t), [F.desc("score"), F.col("vec_id")]).filter("rank <= 30")
+    top = R.top(dense(t), "vec_id", 30)
     first = top.withColumn("f", F.min("rank").over(W.partitionBy("label")))
     return first.select("vec_id", F.dense_rank().over(W.orderBy("f")).cast("long").alias("source_id"))
 
@@ -152,15 +154,34 @@ def semantic_search(t):
     return R.semantic_search(dense(t), "label", "vec_id", limit=10, scope=[1, 4, 6]).select("vec_id", "score")
 
 
-HYBRID = f"WITH {BM25}, dense AS (SELECT doc_id, round(n_chars / 1000.0::DOUBLE - floor(n_chars / 1000.0::DOUBLE), 6) AS score FROM documents), a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM dense ORDER BY r LIMIT 60), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm25 ORDER BY r LIMIT 30), f AS (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id)"
+DIM = 64
+SIDES = {"passage": "SELECT doc_id, 'passage: ' || text AS x FROM documents WHERE text IS NOT NULL", "query": f"SELECT -1 AS doc_id, 'query: {QUERY}' AS x"}
+
+
+def sql_vector(side: str) -> str:
+    """Rows (doc_id, b, v) of the vectors of the stand-in model, without zeros."""
+    words = SQL_TERMS.replace("text", "x")
+    return f"SELECT doc_id, ('0x' || h[1:6])::BIGINT % {DIM} AS b, sum(CASE WHEN h[7] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE -1 END) AS v FROM (SELECT doc_id, md5(unnest({words})) AS h FROM ({SIDES[side]})) GROUP BY 1, 2"
+
+
+DENSE_TEXT = f"pv AS ({sql_vector('passage')}), qv AS ({sql_vector('query')}), dense AS (SELECT p.doc_id, round(greatest(0.0, least(1.0, coalesce(sum(p.v * q.v)::DOUBLE, 0.0) / (sqrt(sum(p.v * p.v)::DOUBLE) * (SELECT sqrt(sum(v * v)::DOUBLE) FROM qv)))), 6) AS score FROM pv p LEFT JOIN qv q USING (b) GROUP BY p.doc_id HAVING sum(p.v * p.v) > 0)"
+HYBRID = f"WITH {BM25}, {DENSE_TEXT}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM dense ORDER BY r LIMIT 60), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm25 ORDER BY r LIMIT 30), f AS (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id)"
 
 
 @book.query("L08_hybrid_search", f"{HYBRID} SELECT doc_id, rrf FROM f ORDER BY rrf DESC, doc_id LIMIT 10")
 @book.query("L09_hybrid_alias", f"{HYBRID} SELECT doc_id, rrf FROM f ORDER BY rrf DESC, doc_id LIMIT 10")
 def hybrid_search(t):
-    """The second list stands in for dense scores of documents, which the tables do not link."""
-    second = t.documents.select("doc_id", F.round(F.col("n_chars") / 1000.0 - F.floor(F.col("n_chars") / 1000.0), 6).alias("score"))
-    return R.hybrid(second, bm25(t), "doc_id", limit=10).select("doc_id", F.round("rrf", 9).alias("rrf"))
+    """Vectors of whole texts by the stand-in model and BM25, fused by their ranks."""
+    return R.hybrid(dense_texts(t), bm25(t), "doc_id", limit=10).select("doc_id", F.round("rrf", 9).alias("rrf"))
+
+
+def dense_texts(t) -> DataFrame:
+    """(doc_id, score): cosine of each text's vector with the query's; equal texts are embedded once."""
+    model = slots.counted_embedder(DIM)
+    docs = t.documents.filter("text is not null").select("doc_id", "text")
+    asked = F.array(*(F.lit(float(x)) for x in model([f"query: {QUERY}"])[0]))
+    scored = slots.embed(docs, "text", model).filter(F.exists("embedding", lambda x: x != 0)).select("h", F.round(T.cosine(F.col("embedding"), asked), 6).alias("score"))
+    return docs.select("doc_id", F.sha2("text", 256).alias("h")).join(scored, "h").select("doc_id", "score")
 
 
 @book.query("L11_rescue_missing", f"{HYBRID}, top AS (SELECT doc_id FROM f ORDER BY rrf DESC, doc_id LIMIT 10), miss AS (SELECT DISTINCT source FROM documents WHERE source IN ('src0', 'src1', 'src2') AND source NOT IN (SELECT source FROM documents JOIN top USING (doc_id))) SELECT doc_id, rescued FROM (SELECT doc_id, FALSE AS rescued FROM top UNION ALL SELECT doc_id, TRUE FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM bm25 JOIN documents USING (doc_id) JOIN miss USING (source)) WHERE r <= 3)")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -285,6 +290,7 @@ def verse_rhythm(t):
     return d.select("doc_id", F.round(T.mean(n), 1).alias("avg_syllables"), F.round(T.deviation(n), 1).alias("stdev_syllables"), (T.deviation(n) < 1.5).alias("is_regular"))
 
 
+CONTRAST = frozenset(lx.CONTRAST_MARKERS)
 MARKERS = "[" + ", ".join(f"'{w}'" for w in lx.CONTRAST_MARKERS) + "]"
 
 
@@ -303,22 +309,47 @@ SELECT doc_id, pos, round(CASE WHEN longer > 1.3 THEN 0.30 WHEN longer > 1.1 THE
   + CASE WHEN marks > 0.25 THEN 0.20 WHEN marks > 0.15 THEN 0.10 ELSE 0 END::DOUBLE + CASE WHEN morph > 7.0 THEN 0.15 WHEN morph > 5.5 THEN 0.07 ELSE 0 END::DOUBLE + CASE WHEN contrast THEN 0.10 ELSE 0 END::DOUBLE, 3) AS score FROM k)) WHERE rank <= 5""",
 )
 def hotspot_sentences(t):
-    """The five sentences of a text that stand out by length, rare words, marks, morphology and contrast."""
-    x = base(t, "s").select("doc_id", F.posexplode("s").alias("pos", "sent")).select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "sent", T.words(F.col("sent")).alias("v")).filter(F.size("v") > 0)
-    all_x = base(t, "s").select("doc_id", F.explode("s").alias("sent")).select("doc_id", F.size(T.words(F.col("sent"))).alias("n"))
-    c = all_x.groupBy("doc_id").agg(F.sum("n").alias("total"), F.avg("n").alias("mean"))
-    w = x.select("doc_id", "pos", F.explode("v").alias("word"))
-    per = w.groupBy("doc_id", "word", "pos").agg(F.count("*").alias("here"))
-    often = per.withColumn("n", F.sum("here").over(W.partitionBy("doc_id", "word"))).join(c, "doc_id")
-    rare = often.groupBy("doc_id", "pos").agg(F.sum(F.when(F.col("n") <= F.greatest(F.lit(2), F.floor(F.col("total") / 200)), F.col("here")).otherwise(0)).alias("rare"))
-    k = x.join(c, "doc_id").join(rare, ["doc_id", "pos"])
-    n = F.size("v")
-
-    def step(value: Column, *cuts: tuple[float, float]) -> Column:
-        (hi, a), (lo, b) = cuts
-        return F.when(value > hi, F.lit(a)).when(value > lo, F.lit(b)).otherwise(F.lit(0.0))
-
-    marks = (F.length("sent") - F.length(F.translate("sent", ",;–:", ""))) / n
-    score = step(n / F.col("mean"), (1.3, 0.30), (1.1, 0.15)) + step(F.col("rare") / n, (0.4, 0.25), (0.25, 0.12)) + step(marks, (0.25, 0.20), (0.15, 0.10)) + step(T.morphological_complexity(F.col("v")), (7.0, 0.15), (5.5, 0.07)) + F.when(F.arrays_overlap("v", T.literals(lx.CONTRAST_MARKERS)), F.lit(0.10)).otherwise(F.lit(0.0))
-    k = k.select("doc_id", "pos", F.round(score, 3).alias("score"))
-    return k.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "pos")).cast("long")).filter("rank <= 5")
+    """The five sentences of a text that stand out by length, rare words, marks, morphology and contrast.
+
+    All figures are of one text, so a text is folded where it lies.
+    """
+    rows = base(t, "s").select("doc_id", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, sentences in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += ((i, *x) for x in hotspots(sentences))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "pos", "score", "rank"])
+
+    return rows.mapInArrow(run, "doc_id long, pos long, score double, rank long")
+
+
+def _rounded(value: float, digits: str) -> float:
+    return float(Decimal(repr(value)).quantize(Decimal(digits), ROUND_HALF_UP))
+
+
+def hotspots(sentences: list[str], most: int = 5) -> list[tuple[int, float, int]]:
+    """(place from 1, score, rank) of the sentences that stand out most."""
+    found = [(i, s, T.PLAIN_WORD.findall(s.lower())) for i, s in enumerate(sentences, 1)]
+    times = Counter(w for _, _, ws in found for w in ws)
+    total = sum(times.values())
+    mean, seldom = total / max(1, len(found)), max(2, total // 200)
+    scored = []
+    for i, s, ws in found:
+        n = len(ws)
+        if not n:
+            continue
+        long_words = sum(len(w) > 10 for w in ws)
+        marks = sum(map(s.count, ",;–:"))
+        parts = (
+            (n / mean, (1.3, 0.30), (1.1, 0.15)),
+            (sum(times[w] <= seldom for w in ws) / n, (0.4, 0.25), (0.25, 0.12)),
+            (marks / n, (0.25, 0.20), (0.15, 0.10)),
+            (_rounded(sum(map(len, ws)) / n + long_words / n * 3, "0.01"), (7.0, 0.15), (5.5, 0.07)),
+        )
+        score = sum(a if value > hi else b if value > lo else 0.0 for value, (hi, a), (lo, b) in parts) + (0.10 if CONTRAST.intersection(ws) else 0.0)
+        scored.append((i, _rounded(score, "0.001")))
+    best = sorted(scored, key=lambda x: (-x[1], x[0]))[:most]
+    return [(i, score, rank) for rank, (i, score) in enumerate(best, 1)]
