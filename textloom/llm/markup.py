@@ -32,20 +32,18 @@ def attributes(text: str) -> dict[str, str]:
 def _token(html: str, at: int, last: int) -> tuple[int, int, re.Match | None] | None:
     """(from, to, match) of the next comment, declaration (no match) or tag; ``last`` is where the last > is."""
     at = html.find("<", at)
-    while at >= 0:
-        unseen = next((x for x in _UNSEEN if html.startswith(x, at)), None)
-        if unseen:
-            end = html.find(_UNSEEN[unseen], at + len(unseen))
-            return at, len(html) if end < 0 else end + 3, None
-        if at > last:  # only a comment without an end can begin here
-            begins = [x for x in (html.find(y, at) for y in _UNSEEN) if x >= 0]
-            return (min(begins), len(html), None) if begins else None
-        if html.startswith(("<!", "<?"), at):
-            return at, html.find(">", at) + 1, None
+    while 0 <= at <= last:
         if m := _TAG.match(html, at):
             return at, m.end(), m
+        if html.startswith(("<!", "<?"), at):
+            unseen = next((x for x in _UNSEEN if html.startswith(x, at)), None)
+            if unseen is None:
+                return at, html.find(">", at) + 1, None
+            end = html.find(_UNSEEN[unseen], at + len(unseen))
+            return at, len(html) if end < 0 else end + 3, None
         at = html.find("<", at + 1)
-    return None
+    begins = [x for x in (html.find(y, at) for y in _UNSEEN) if x >= 0] if at >= 0 else ()
+    return (min(begins), len(html), None) if begins else None  # only a comment without an end can begin here
 
 
 def events(html: str) -> Iterator[tuple[str, str, str]]:
@@ -58,7 +56,11 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag, so that no search walks the stack
 
     def nearest(tags) -> int:
-        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+        best = -1
+        for t in tags:
+            if (at := places.get(t)) and at[-1] > best:
+                best = at[-1]
+        return best
 
     def close(at: int) -> Iterator[tuple[str, str, str]]:
         while len(stack) > at:
