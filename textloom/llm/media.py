@@ -96,17 +96,19 @@ def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def attach(refs: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
-    """``refs``, which have a digest each, with the store's ``columns`` for it."""
+    """``refs``, which have a digest each, with the ``columns`` of a store that has one row a digest."""
     names = [f"media_{c}" if c in refs.columns else c for c in columns]
-    held = store.filter("digest is not null").select(F.col("digest").alias("held"), F.struct(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))).alias("of_held"))
-    one = held.groupBy("held").agg(F.first("of_held").alias("of_held"))  # dealt by digest, as the join is
-    return refs.join(one, refs["digest"] == one["held"], "left").select(*(refs[c] for c in refs.columns), *(F.col("of_held").getField(n).alias(n) for n in names))
+    held = store.select(F.col("digest").alias("held"), F.struct(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))).alias("of_held"))
+    return refs.join(held, refs["digest"] == held["held"], "left").select(*(refs[c] for c in refs.columns), *(F.col("of_held").getField(n).alias(n) for n in names))
 
 
 def resolve(seqs: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
     """One row a part, with the store's ``columns`` for its digest; (id, pos) is the order."""
     parts = seqs.select("id", F.explode("parts").alias("part")).select("id", "part.*").select("id", "pos", "kind", "text", "digest", "caption")
-    found = attach(parts.filter("digest is not null"), store, *columns)
+    one = store.filter("digest is not null").groupBy("digest").agg(F.first(F.struct(*columns)).alias("held"))
+    # The join deals the digests anew, so that the references of a hot one can be split.
+    one = one.select(F.concat("digest", F.lit("")).alias("digest"), *(F.col("held").getField(c).alias(c) for c in columns))
+    found = attach(parts.filter("digest is not null"), one, *columns)
     none = [F.lit(None).cast(found.schema[n].dataType).alias(n) for n in found.columns[len(parts.columns) :]]
     return found.union(parts.filter("digest is null").select("*", *none))
 
