@@ -167,11 +167,11 @@ def validate_claim(t):
 
 
 # Pages and files
-@book.query("A01_detect_platform", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'grok' ELSE NULL END AS platform, CASE WHEN page_id % 4 = 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS confidence FROM pages WHERE NOT contains(lower(html), 'x.ai')")
+@book.query("A01_detect_platform", "SELECT page_id, CASE WHEN n > 0 THEN 'grok' END AS platform, n / 4.0::DOUBLE AS confidence FROM (SELECT page_id, (CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(html), 'x.ai') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(html), 'grok.com') THEN 1 ELSE 0 END) AS n FROM pages)")
 def detect_platform(t):
     html = F.concat("html", F.when(F.col("page_id") % 4 == 0, "<div class=message-bubble>").otherwise(""))
     name, share = importers.sniff(html, F.lit("html"))
-    return t.pages.filter(~F.contains(F.lower("html"), F.lit("x.ai"))).select("page_id", name.alias("platform"), share.alias("confidence"))
+    return t.pages.select("page_id", name.alias("platform"), share.alias("confidence"))
 
 
 @book.query("A28_parse_html")
@@ -195,7 +195,7 @@ def rich_markdown(t):
 
 
 SAMPLES = {
-    "chatgpt": '<div data-message-author-role="user"><div class="whitespace-pre-wrap">Frage {}</div></div><div data-message-author-role="assistant"><div class="markdown"><p>Antwort</p></div></div>',
+    "chatgpt": '<div data-message-author-role="user"><div class="whitespace-pre-wrap">Frage {}</div></div><div data-message-author-role="assistant"><div class="markdown">Antwort</div></div>',
     "claude": '<div data-testid="user-message"><p class="whitespace-pre-wrap">Frage {}</p></div><div class="font-claude-response">Antwort</div>',
     "deepseek": '<div data-um-id="1"><div class="fbb737a4">Frage {}</div></div><div><div class="ds-markdown">Antwort</div></div>',
     "gemini": '<user-query><div class="query-text">Frage {}</div></user-query><message-content><div class="markdown">Antwort</div></message-content>',
@@ -211,29 +211,59 @@ SAMPLES = {
 IDS = {"A02_config_import": "chatgpt_config", "A03_chatgpt": "chatgpt", "A04_claude": "claude", "A05_deepseek": "deepseek", "A06_gemini": "gemini", "A07_grok": "grok", "A08_perplexity": "perplexity", "A09_kimi": "kimi", "A10_lmarena": "lmarena", "A11_glm": "glm", "A12_hotbot": "hotbot", "A14_gemini_json": "gemini_json"}
 
 
+#: What an answer of the exports holds, and what importers make of it that keep Markdown or plain lines.
+ANSWER = "<p>Antwort {k} &amp; <b>fett</b></p><ul><li>eins</li><li>zwei</li></ul><pre><code>x = {k}</code></pre>"
+MARKDOWN = "'Antwort ' || k || ' & **fett**' || chr(10) || chr(10) || '  * eins' || chr(10) || '  * zwei' || chr(10) || chr(10) || '```' || chr(10) || 'x = ' || k || chr(10) || '```'"
+SAID = dict.fromkeys(SAMPLES, MARKDOWN) | {"grok": MARKDOWN.replace("chr(10) || '  * eins'", "chr(10) || chr(10) || '  * eins'"), "gemini_json": "'Antwort ' || k"}
+SAID |= dict.fromkeys(("claude", "gemini", "kimi", "lmarena"), "'Antwort ' || k || ' &' || chr(10) || 'fett' || chr(10) || 'eins' || chr(10) || 'zwei' || chr(10) || 'x = ' || k")
+
+
+def exports(t, platform: str) -> DataFrame:
+    """An export a document, of one to three turns of a question and an answer with a list and code."""
+    turn, head, between, tail = SAMPLES[platform].replace("{{", "{").replace("}}", "}"), "", "", ""
+    if platform == "gemini_json":
+        head, tail, between = turn[: turn.index("[") + 1], turn[turn.rindex("]") :], ", "
+        turn = turn[len(head) : -len(tail)].replace('"Antwort"', '"Antwort {k}"').replace("{}", "{id}-{k} <a>")
+    else:
+        turn = turn.replace("Antwort", ANSWER).replace("{}", "{id}-{k} &lt;a&gt;")
+
+    def filled(k):
+        return F.replace(F.replace(F.lit(turn), F.lit("{k}"), k.cast("string")), F.lit("{id}"), F.col("doc_id").cast("string"))
+
+    turns = F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 3 + 1)
+    if platform == "lmarena":  # its exports begin with the last turn
+        turns = F.reverse(turns)
+    content = F.concat(F.lit(head), F.array_join(F.transform(turns, filled), between), F.lit(tail))
+    return t.documents.select("doc_id", content.alias("content"), F.lit(platform).alias("platform"))
+
+
 def imported(t, platform: str) -> DataFrame:
-    """A small export a document, read by the platform's importer."""
-    before, _, after = SAMPLES[platform].replace("{{", "{").replace("}}", "}").partition("{}")
-    files = t.documents.select("doc_id", F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after)).alias("content"), F.lit(platform).alias("platform"))
-    return importers.flat(importers.read_messages(files, "doc_id", "content", "platform")).select(F.col("id").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "role", "content")
+    """The messages of the exports, read by the platform's importer."""
+    return importers.flat(importers.read_messages(exports(t, platform), "doc_id", "content", "platform")).select(F.col("id").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "role", "content")
+
+
+def sql_imported(platform: str) -> str:
+    turns = "FROM (SELECT doc_id, unnest(range(1, doc_id % 3 + 2)) AS k FROM documents)"
+    return f"SELECT doc_id, (2 * k - 2)::BIGINT AS pos, 'user' AS role, 'Frage ' || doc_id || '-' || k || ' <a>' AS content {turns} UNION ALL SELECT doc_id, 2 * k - 1, 'model', {SAID[platform]} {turns}"
 
 
 for name, platform in IDS.items():
-    book.query(name, "SELECT doc_id, 0::BIGINT AS pos, 'user' AS role, 'Frage ' || doc_id AS content FROM documents UNION ALL SELECT doc_id, 1, 'model', 'Antwort' FROM documents")(lambda t, platform=platform: imported(t, platform))
+    book.query(name, sql_imported(platform))(lambda t, platform=platform: imported(t, platform))
 
 
-@book.query("A33_validate", "SELECT doc_id, TRUE AS valid FROM documents")
+@book.query("A33_validate", "SELECT doc_id, doc_id % 4 < 2 AS valid FROM documents")
 def validate(t):
-    messages = imported(t, "chatgpt").groupBy("doc_id").agg(F.collect_list(F.struct("role", "content")).alias("m"))
+    """Imports of which some get a role that is none, or a blank message."""
+    i = F.col("doc_id") % 4
+    messages = imported(t, "chatgpt").select("doc_id", F.when((i == 2) & (F.col("pos") == 0), "narrator").otherwise(F.col("role")).alias("role"), F.when((i == 3) & (F.col("pos") == 1), "  ").otherwise(F.col("content")).alias("content"))
+    whole = messages.groupBy("doc_id").agg(F.collect_list(F.struct("role", "content")).alias("m"))
     ok = (F.size("m") > 0) & F.forall("m", lambda m: m["role"].isin("user", "model", "system") & (F.trim(m["content"]) != ""))
-    return messages.select("doc_id", ok.alias("valid"))
+    return whole.select("doc_id", ok.alias("valid"))
 
 
-@book.query("B04_arena_fan_out", "SELECT doc_id || '-0' AS chat_id, role, content FROM (SELECT doc_id, 'user' AS role, 'Frage ' || doc_id AS content FROM documents UNION ALL SELECT doc_id, 'model', 'Antwort' FROM documents)")
+@book.query("B04_arena_fan_out", f"SELECT doc_id || '-0' AS chat_id, role, content FROM ({sql_imported('lmarena')})")
 def arena_fan_out(t):
-    before, _, after = SAMPLES["lmarena"].partition("{}")
-    files = t.documents.select("doc_id", F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after)).alias("content"), F.lit("lmarena").alias("platform"))
-    return importers.arena_chats(importers.flat(importers.read_messages(files, "doc_id", "content", "platform"))).select("chat_id", "role", "content")
+    return importers.arena_chats(importers.flat(importers.read_messages(exports(t, "lmarena"), "doc_id", "content", "platform"))).select("chat_id", "role", "content")
 
 
 @book.query("A13_wikisource")
