@@ -12,8 +12,8 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio()
 
 
-def best_window(quote: str, source: str, head: int = 1536, enough: float = THRESHOLD) -> float:
-    """Best ratio of the quotation and windows of its length in the head of the source.
+def best_window(quote: str, source: str, head: int | None = 1536, enough: float = THRESHOLD) -> float:
+    """Best ratio of the quotation and windows of its length in the head of the source (None: in all of it).
 
     Short quotations are compared with the whole source. The search ends at a window that
     is good enough, so the value is a lower bound from there on.

@@ -17,19 +17,24 @@ book = Book()
 D = "FROM documents WHERE text IS NOT NULL"
 
 
+#: What a run file says of its document: its number and all its words in one line.
+SAYS = "(doc_id || ' ' || trim(lower(regexp_replace(text, '[^A-Za-zÄÖÜäöüß]+', ' ', 'g'))))"
+
+
 def runs(t):
-    """A run file a document, of one of three versions."""
+    """A run file a document, of one of three versions, that holds the words of the document."""
     i = F.col("doc_id").cast("string")
+    said = F.concat(i, F.lit(" "), F.trim(F.lower(F.regexp_replace("text", "[^A-Za-zÄÖÜäöüß]+", " "))))
     version = F.when(F.col("doc_id") % 3 == 0, "v2.3").when(F.col("doc_id") % 3 == 1, "v2.5.1").otherwise("v2.8")
     file = F.concat(
         F.lit("# Meta-Hermeneutic Analyse ("), version, F.lit(")\n**Runs:** "), i, F.lit("\n**Dauer:** 12.5s\n**Modell Beobachten:** m1\n**Etappe-1-Daten:** Ja\n\n## META-SEZIEREN\n| Run | n |\n| --- | --- |\n| r"), i,
-        F.lit(" | 1 |\n\n## META-BEOBACHTEN\nText "), i, F.lit("\n### 4. FREIER RAUM\nfrei\n### 5. Mehr\nx\n\n## META-DESTILLATION\nErster Satz. Letzter Satz "), i,
-        F.lit(".\n\n### GLOBALE SYNTHESE\n**HYPOTHESE**\nKern "), i, F.lit("\n\nBlok (Quelle 1) und Пушкин (Quelle 2)\n\nKlang-Vergleichstabelle\n| QUELLE 1 | 396 | 38 | 4 | 42 |\n| QUELLE 2 | 1 | 2 | 3 | "), i, F.lit(" |\n"),
+        F.lit(" | 1 |\n\n## META-BEOBACHTEN\nText "), said, F.lit("\n### 4. FREIER RAUM\nfrei\n### 5. Mehr\nx\n\n## META-DESTILLATION\nErster Satz. Letzter Satz "), said,
+        F.lit(".\n\n### GLOBALE SYNTHESE\n**HYPOTHESE**\nKern "), said, F.lit("\n\nBlok (Quelle 1) und Пушкин (Quelle 2)\n\nKlang-Vergleichstabelle\n| QUELLE 1 | 396 | 38 | 4 | 42 |\n| QUELLE 2 | 1 | 2 | 3 | "), i, F.lit(" |\n"),
     )
     return t.documents.filter("text is not null").select("doc_id", file.alias("x"))
 
 
-@book.query("J44_core_hypothesis", f"SELECT doc_id, 'Kern ' || doc_id AS kern {D}")
+@book.query("J44_core_hypothesis", f"SELECT doc_id, 'Kern ' || {SAYS} AS kern {D}")
 def core_hypothesis(t):
     return runs(t).select("doc_id", M.core_hypothesis(F.col("x")).alias("kern"))
 
@@ -43,18 +48,18 @@ def lab_sections(t):
     return t.documents.select("doc_id", x.alias("x")).select("doc_id", *(J.section(F.col("x"), h).alias(n) for h, n in (("BEWEISFÜHRUNG", "beweis"), ("FREIER RAUM", "raum"), ("HYPOTHESE", "hypothese"))))
 
 
-@book.query("J49_destillation", f"SELECT doc_id, md5('Erster Satz. Letzter Satz ' || doc_id || '.') AS head_md5 {D}")
+@book.query("J49_destillation", f"SELECT doc_id, md5('Erster Satz. Letzter Satz ' || {SAYS} || '.') AS head_md5 {D}")
 def destillation(t):
     return runs(t).select("doc_id", F.md5(F.regexp_extract(M.destillation(F.col("x")), r"\A([^\n]*)", 1)).alias("head_md5"))
 
 
-@book.query("J50_last_sentence", f"SELECT doc_id, 'Letzter Satz ' || doc_id || '.' AS s {D}")
+@book.query("J50_last_sentence", f"SELECT doc_id, 'Letzter Satz ' || {SAYS} || '.' AS s {D}")
 def last_sentence(t):
     short = F.regexp_replace("x", r"(?s)\n\n### GLOBALE.*", "")
     return runs(t).select("doc_id", M.last_sentence(short).alias("s"))
 
 
-@book.query("J51_beobachten", f"SELECT doc_id, md5('Text ' || doc_id || chr(10) || '### 4. FREIER RAUM' || chr(10) || 'frei' || chr(10) || '### 5. Mehr' || chr(10) || 'x') AS part_md5 {D}")
+@book.query("J51_beobachten", f"SELECT doc_id, md5('Text ' || {SAYS} || chr(10) || '### 4. FREIER RAUM' || chr(10) || 'frei' || chr(10) || '### 5. Mehr' || chr(10) || 'x') AS part_md5 {D}")
 def beobachten(t):
     return runs(t).select("doc_id", F.md5(M.beobachten(F.col("x"))).alias("part_md5"))
 
@@ -87,7 +92,7 @@ def is_run_file(t):
     return runs(t).select("doc_id", M.is_run_file(F.col("x")).alias("is_run"))
 
 
-@book.query("A39_dissect_runs", f"SELECT doc_id, {VERSION} AS version, 'Kern ' || doc_id AS kern, CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS variant {D}")
+@book.query("A39_dissect_runs", f"SELECT doc_id, {VERSION} AS version, 'Kern ' || {SAYS} AS kern, CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS variant {D}")
 def dissect_runs(t):
     h = M.header(F.col("x"))["version"]
     return runs(t).select("doc_id", h.alias("version"), M.core_hypothesis(F.col("x")).alias("kern"), M.variant(h).alias("variant"))

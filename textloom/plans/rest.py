@@ -101,7 +101,7 @@ def csv_rows(t):
     return t.events.select("event_id", F.to_csv(F.struct("event_id", "event_type")).alias("csv"))
 
 
-@book.query("B17_render_run", "SELECT doc_id, '# Lauf ' || doc_id || chr(10) || chr(10) || '**Variante:** ' || CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || chr(10) || chr(10) || 'Kern ' || doc_id AS markdown FROM documents WHERE text IS NOT NULL")
+@book.query("B17_render_run", f"SELECT doc_id, '# Lauf ' || doc_id || chr(10) || chr(10) || '**Variante:** ' || CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || chr(10) || chr(10) || 'Kern ' || {meta.SAYS} AS markdown FROM documents WHERE text IS NOT NULL")
 def render_run(t):
     d = meta.dissect_runs(t)
     return d.select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("# Lauf "), F.col("doc_id").cast("string")), F.concat(F.lit("**Variante:** "), "variant"), "kern").alias("markdown"))
