@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.session import table
+from textloom.session import spread, table
+
+
+#: Tables whose rows are dear to work on.
+TEXTS = ("documents", "pages")
 
 
 class Tables:
@@ -16,7 +20,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        df = table(self.spark, self.sf_dir, name)
+        return spread(df) if name in TEXTS else df
 
 
 class Book:
