@@ -266,6 +266,30 @@ def arena_fan_out(t):
     return importers.arena_chats(importers.flat(importers.read_messages(exports(t, "lmarena"), "doc_id", "content", "platform"))).select("chat_id", "role", "content")
 
 
+#: The model names that imports of a platform get by default.
+DEFAULT_MODELS = {"grok": "Grok (xAI)", "perplexity": "Perplexity AI"}
+
+
+def default_sink(name: str, platform: str) -> None:
+    model = DEFAULT_MODELS[platform]
+    kept = f"SELECT * FROM ({sql_imported(platform)}) WHERE doc_id % 5 <> 4 OR role = 'user' AND doc_id % 10 <> 9"
+
+    @book.query(name, f"WITH k AS ({kept}), n AS (SELECT doc_id, count(*) AS n, string_agg(content, chr(10) ORDER BY pos) FILTER (r <= 3) AS head FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM k) GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS message_count, CASE WHEN n > 0 THEN '{model}' END AS model_name, md5(head) AS title_md5 FROM documents LEFT JOIN n USING (doc_id)")
+    def run(t):
+        """One chat an export: its stored messages, the default model name and what the title is made from. Blank messages are not stored; a chat without messages goes."""
+        i = F.col("doc_id")
+        blank = (i % 5 == 4) & ((F.col("role") != "user") | (i % 10 == 9))
+        stored = imported(t, platform).withColumn("content", F.when(blank, " ").otherwise(F.col("content"))).filter(F.trim("content") != "")
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "content")))
+        chats = stored.groupBy("doc_id").agg(F.count("*").alias("n"), ordered.alias("m"))
+        title = F.array_join(F.transform(F.slice("m", 1, 3), lambda m: m["content"]), "\n")
+        return t.documents.select("doc_id").join(chats, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("message_count"), F.when(F.col("n") > 0, model).alias("model_name"), F.md5(title).alias("title_md5"))
+
+
+default_sink("R95_grok_sink", "grok")
+default_sink("R96_perplexity_sink", "perplexity")
+
+
 @book.query("A13_wikisource")
 def wikisource(t):
     page = F.concat(F.lit('<h1 id="firstHeading">T</h1><meta name="author" content="A"><div class="mw-parser-output"><nav>x</nav>'), F.col("text"), F.lit("</div>"))
