@@ -258,6 +258,12 @@ def vowel_echoes(t):
 CARRY = ", ".join(f"'{w}'" for w in lx.LINE_CARRIERS)
 
 
+def runs_on(line: Column, following: Column) -> Column:
+    """Whether a verse line goes on in the next: no end mark, and a small letter or a carrier follows."""
+    first = F.regexp_replace(F.element_at(F.split(following, f"{WS}+"), 1), "[^\\p{L}\\p{N}_]", "")
+    return ~F.right(line, F.lit(1)).isin(".", "!", "?", ";", ":") & (first.rlike("^\\p{Ll}") | F.lower(first).isin(*lx.LINE_CARRIERS))
+
+
 @book.query(
     "K10_enjambement",
     WITH + f"""SELECT doc_id, count(*) FILTER (run)::BIGINT AS n_runs, round(100.0 * count(*) FILTER (run) / count(*), 1)::DOUBLE AS percentage FROM (
@@ -266,9 +272,7 @@ FROM (SELECT doc_id, l, i, regexp_replace(regexp_split_to_array(l[i + 1], '{WS}+
 )
 def enjambement(t):
     rows = base(t, "l").select("doc_id", F.explode(F.when(F.size("l") > 1, F.arrays_zip(F.slice("l", 1, F.size("l") - 1).alias("a"), F.slice("l", 2, F.size("l") - 1).alias("b")))).alias("p"))
-    first = F.regexp_replace(F.element_at(F.split("p.b", f"{WS}+"), 1), "[^\\p{L}\\p{N}_]", "")
-    run = ~F.right("p.a", F.lit(1)).isin(".", "!", "?", ";", ":") & (first.rlike("^\\p{Ll}") | F.lower(first).isin(*lx.LINE_CARRIERS))
-    n = F.count(F.when(run, 1))
+    n = F.count(F.when(runs_on(F.col("p.a"), F.col("p.b")), 1))
     return rows.groupBy("doc_id").agg(n.alias("n_runs"), F.round(F.lit(100.0) * n / F.count("*"), 1).alias("percentage"))
 
 
@@ -276,15 +280,17 @@ V2 = lx.VOWELS + "AEIOUÄÖУЕЫАОЭЯИЮЁ"
 SYLLABLES = f"list_transform(l, lambda x: list_sum(list_transform(regexp_extract_all(x, '{LINE_WORDS}'), lambda w: greatest(len(regexp_extract_all(w, '[{V2}]+')), 1))))"
 
 
+def syllables(line: Column) -> Column:
+    """Groups of vowels, at least one a word."""
+    found = F.regexp_extract_all(line, F.lit(LINE_WORDS), F.lit(0))
+    return F.aggregate(found, F.lit(0), lambda s, w: s + F.greatest(F.regexp_count(w, F.lit(f"[{V2}]+")), F.lit(1)))
+
+
 @book.query(
     "K11_verse_rhythm",
     WITH + f"SELECT doc_id, round(list_avg(n), 1)::DOUBLE AS avg_syllables, round(coalesce(list_stddev_pop(n), 0), 1)::DOUBLE AS stdev_syllables, coalesce(list_stddev_pop(n), 0) < 1.5 AS is_regular FROM (SELECT doc_id, list_transform({SYLLABLES}, lambda x: coalesce(x, 0)) AS n FROM d WHERE len(l) > 0)",
 )
 def verse_rhythm(t):
-    def syllables(line: Column) -> Column:
-        found = F.regexp_extract_all(line, F.lit(LINE_WORDS), F.lit(0))
-        return F.aggregate(found, F.lit(0), lambda s, w: s + F.greatest(F.regexp_count(w, F.lit(f"[{V2}]+")), F.lit(1)))
-
     d = base(t, "l").filter(F.size("l") > 0).select("doc_id", F.transform("l", syllables).alias("n"))
     n = F.col("n")
     return d.select("doc_id", F.round(T.mean(n), 1).alias("avg_syllables"), F.round(T.deviation(n), 1).alias("stdev_syllables"), (T.deviation(n) < 1.5).alias("is_regular"))

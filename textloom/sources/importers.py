@@ -473,6 +473,50 @@ IMPORTERS: dict[str, Callable[[bytes], list[Message]]] = {
 }
 
 
+@dataclass(frozen=True)
+class Info:
+    title: str
+    formats: tuple[str, ...]
+    experimental: bool
+    description: str
+
+
+# What is shown of each platform.
+INFO = {
+    "chatgpt": Info("ChatGPT (OpenAI)", (".html",), False, "Import von ChatGPT HTML-Exports"),
+    "claude": Info("Claude (Anthropic)", (".html",), False, "Import von Claude HTML-Exports"),
+    "gemini": Info("Gemini (Google)", (".html",), False, "Import von Gemini HTML-Exports"),
+    "gemini_json": Info("Gemini JSON (Chrome Extension)", (".json",), False, "Import von Gemini JSON-Exports (gemini-export Extension)"),
+    "deepseek": Info("DeepSeek", (".html",), False, "Import von DeepSeek HTML-Exports"),
+    "kimi": Info("Kimi (Moonshot)", (".html",), False, "Import von Kimi HTML-Exports"),
+    "grok": Info("Grok (X.ai)", (".html",), True, "Import von Grok HTML-Exports (Experimental)"),
+    "hotbot": Info("HotBot", (".html",), True, "Import von HotBot HTML-Exports (Experimental)"),
+    "perplexity": Info("Perplexity", (".html",), True, "Import von Perplexity HTML-Exports (Experimental)"),
+    "lmarena": Info("LM Arena (Chatbot Arena)", (".html",), True, "Import von LM Arena Conversations (Experimental)"),
+    "glm": Info("GLM-4 (Zhipu AI)", (".html",), True, "Import von GLM-4 HTML-Exports (Experimental)"),
+    "wikisource": Info("Wikisource (MediaWiki)", (".html",), False, "Import von Wikisource/MediaWiki HTML-Seiten"),
+    "pdf": Info("PDF Document", (".pdf",), False, "Import von PDF-Dokumenten"),
+    "epub": Info("EPUB E-Book", (".epub",), False, "Import von EPUB E-Books"),
+    "fb2": Info("FictionBook (FB2)", (".fb2",), False, "Import von FB2 E-Books"),
+    "markdown": Info("Markdown Document", (".md", ".markdown"), False, "Import von Markdown-Texten, Buchfragmenten und Typora-Notizen"),
+    "text_fallback": Info("Text-Parser (Fallback)", (".txt", ".html"), False, "Parser für unbekannte Formate"),
+}
+
+
+def info(platform: Column) -> Column:
+    """What is shown of a platform; an unknown one is experimental and has no formats."""
+    def known(of: Callable[[Info], Column], default: Column) -> Column:
+        cells = [x for name, i in INFO.items() for x in (F.lit(name), of(i))]
+        return F.coalesce(F.try_element_at(F.create_map(*cells), platform), default)
+
+    return F.struct(
+        known(lambda i: F.lit(i.title), platform).alias("title"),
+        known(lambda i: F.array(*map(F.lit, i.formats)), F.array().cast("array<string>")).alias("formats"),
+        known(lambda i: F.lit(i.experimental), F.lit(True)).alias("experimental"),
+        known(lambda i: F.lit(i.description), F.lit("Unbekannte Plattform")).alias("description"),
+    )
+
+
 def importer(platform: str) -> Callable[[bytes], list[Message]]:
     if platform not in IMPORTERS:
         raise ValueError(f"no importer for {platform}; there are {', '.join(sorted(IMPORTERS))}")
