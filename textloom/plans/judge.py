@@ -61,10 +61,11 @@ def keywords(t):
     return t.documents.select("doc_id", F.array_join(J.keywords(F.col("text")), " ").alias("keywords"))
 
 
-@book.query("J06_citation_format", "SELECT doc_id, 'a [' || doc_id || '] b [' || doc_id || ']' AS cleaned FROM documents")
+@book.query("J06_citation_format", "SELECT doc_id, md5(concat_ws(' ', '[' || doc_id || ']', text, '[' || doc_id || ']')) AS cleaned_md5 FROM documents")
 def citation_format(t):
     i = F.col("doc_id").cast("string")
-    return t.documents.select("doc_id", J.citation_format(F.concat(F.lit("a [source_id: "), i, F.lit("] b [Quelle:"), i, F.lit("]"))).alias("cleaned"))
+    x = F.concat_ws(" ", F.concat(F.lit("[source_id: "), i, F.lit("]")), "text", F.concat(F.lit("[Quelle:"), i, F.lit("]")))
+    return t.documents.select("doc_id", F.md5(J.citation_format(x)).alias("cleaned_md5"))
 
 
 @book.query("J07_thought_and_speech", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' || doc_id END AS thought, md5(text) AS speech_md5 FROM documents WHERE text IS NOT NULL")
@@ -169,36 +170,51 @@ def process_chunk(t):
     return titled(t).select("doc_id", F.coalesce(raw, F.lit("Unknown")).alias("model_name"), J.content_type(F.col("line")).alias("content_type"))
 
 
-CRISIS_TEXT = "CASE doc_id % 7 WHEN 0 THEN 'Ich bin verzweifelt und hoffnungslos.' WHEN 1 THEN 'Alles ist sinnlos, ich weiß nicht mehr weiter.' WHEN 2 THEN 'Ich will nicht mehr leben.' WHEN 3 THEN 'Ich will einfach weg.' WHEN 4 THEN 'verzweifelt, hoffnungslos, sinnlos, suizid' ELSE 'Ein guter Tag.' END"
+#: Words of crisis after the text of some documents, and the mode by their language.
+CRISIS_END = ("Ich bin verzweifelt und hoffnungslos.", "Alles ist sinnlos, ich weiß nicht mehr weiter.", "Ich will nicht mehr leben.", "Ich will einfach weg.", "verzweifelt, hoffnungslos, sinnlos, suizid")
+CRISIS_MODE = {"de": "IFS_FIGHT", "en": "IFS_CONTROL", "es": "namaste"}
 
 
-def crisis_text(t):
-    i = F.col("doc_id")
-    x = F.when(i % 7 == 0, "Ich bin verzweifelt und hoffnungslos.").when(i % 7 == 1, "Alles ist sinnlos, ich weiß nicht mehr weiter.").when(i % 7 == 2, "Ich will nicht mehr leben.").when(i % 7 == 3, "Ich will einfach weg.").when(i % 7 == 4, "verzweifelt, hoffnungslos, sinnlos, suizid").otherwise("Ein guter Tag.")
-    return t.documents.select("doc_id", x.alias("x"), F.when(i % 2 == 0, "IFS_CONTROL").otherwise("namaste").alias("mode"))
+def re2(pattern: str) -> str:
+    return pattern.replace("\\w", "[\\p{L}\\p{N}_]")
+
 
+HITS = ", ".join(f"CASE WHEN regexp_matches(x, '{re2(p)}') THEN {w} END" for w, _, p in lx.CRISIS)
+CRISIS = f"""crisis AS (SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN 2 ELSE 3 END AS threshold, lower(concat_ws(' ', text, CASE doc_id % 7 {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(CRISIS_END))} END)) AS x FROM documents),
+hits AS (SELECT doc_id, threshold, list_filter([{HITS}], lambda w: w IS NOT NULL) AS h FROM crisis), scores AS (SELECT doc_id, threshold, coalesce(list_sum(h), 0)::INT AS score, list_reduce([0] || h, lambda s, w: CASE WHEN s >= threshold THEN s ELSE s + w END)::INT AS folded FROM hits)"""
 
-@book.query("M06_crisis_user_input", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 2 WHEN 1 THEN 3 - doc_id % 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END::INT AS score FROM documents".replace("3 - doc_id % 2", "CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END"))
-@book.query("R55_crisis_wrapper")
-@book.query("R65_crisis_user")
+
+def crisis_text(t):
+    """Whole texts, most with a sentence of crisis at their end."""
+    end, mode = F.lit(None).cast("string"), F.col("lang")
+    for k, said in enumerate(CRISIS_END):
+        end = F.when(F.col("doc_id") % 7 == k, said).otherwise(end)
+    for lang, name in CRISIS_MODE.items():
+        mode = F.when(F.col("lang") == lang, name).otherwise(mode)
+    return t.documents.select("doc_id", F.concat_ws(" ", "text", end).alias("x"), mode.alias("mode"))
+
+
+@book.query("M06_crisis_user_input", sql(CRISIS, "SELECT doc_id, folded AS score FROM scores"))
+@book.query("R55_crisis_wrapper", sql(CRISIS, "SELECT doc_id, folded AS score FROM scores"))
+@book.query("R65_crisis_user", sql(CRISIS, "SELECT doc_id, folded AS score FROM scores"))
 def crisis_user_input(t):
     limit = J.crisis_threshold(F.col("mode"))
     return crisis_text(t).select("doc_id", J.folded_score(J.crisis_hits(F.col("x")), limit).cast("int").alias("score"))
 
 
-@book.query("M07_crisis_model_output", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 6 ELSE 0 END::INT AS score FROM documents")
-@book.query("R66_crisis_model")
+@book.query("M07_crisis_model_output", sql(CRISIS, "SELECT doc_id, score FROM scores"))
+@book.query("R66_crisis_model", sql(CRISIS, "SELECT doc_id, score FROM scores"))
 def crisis_model_output(t):
     return crisis_text(t).select("doc_id", F.aggregate(J.crisis_hits(F.col("x")), F.lit(0), lambda s, w: s + w).alias("score"))
 
 
-@book.query("M08_crisis_threshold", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END::INT AS threshold FROM documents")
+@book.query("M08_crisis_threshold", "SELECT doc_id, CASE lang WHEN 'de' THEN 2 WHEN 'es' THEN 2 ELSE 3 END::INT AS threshold FROM documents")
 def crisis_threshold(t):
     return crisis_text(t).select("doc_id", J.crisis_threshold(F.col("mode")).alias("threshold"))
 
 
-@book.query("R56_replace_output", "SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 4) OR doc_id % 2 = 1 AND doc_id % 7 < 5 THEN 'NOTFALL' ELSE 'frei' END AS shown FROM documents")
-@book.query("R57_emergency_text", "SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 4) OR doc_id % 2 = 1 AND doc_id % 7 < 5 THEN 'NOTFALL' ELSE 'frei' END AS shown FROM documents")
+@book.query("R56_replace_output", sql(CRISIS, "SELECT doc_id, CASE WHEN score >= threshold THEN 'NOTFALL' ELSE 'frei' END AS shown FROM scores"))
+@book.query("R57_emergency_text", sql(CRISIS, "SELECT doc_id, CASE WHEN score >= threshold THEN 'NOTFALL' ELSE 'frei' END AS shown FROM scores"))
 def replace_output(t):
     score = F.aggregate(J.crisis_hits(F.col("x")), F.lit(0), lambda s, w: s + w)
     return crisis_text(t).select("doc_id", F.when(score >= J.crisis_threshold(F.col("mode")), "NOTFALL").otherwise("frei").alias("shown"))
@@ -225,21 +241,21 @@ def is_echo(t):
     return overlaps(t).select("id", (F.col("overlap") >= 0.6).alias("echo"))
 
 
-PART_TEXT = "CASE doc_id % 4 WHEN 0 THEN 'Stimme der Kontrolle: ' WHEN 1 THEN ' ifs_fight: ' WHEN 2 THEN 'Der Manager ' ELSE 'Sie ' END || doc_id"
+PART_TEXT = "parts AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Stimme der Kontrolle: ' WHEN 1 THEN ' ifs_fight: ' WHEN 2 THEN 'Der Manager ' ELSE 'Sie ' END || text AS x FROM documents)"
 
 
 def part_text(t):
     i = F.col("doc_id")
-    x = F.concat(F.when(i % 4 == 0, "Stimme der Kontrolle: ").when(i % 4 == 1, " ifs_fight: ").when(i % 4 == 2, "Der Manager ").otherwise("Sie "), i.cast("string"))
+    x = F.concat(F.when(i % 4 == 0, "Stimme der Kontrolle: ").when(i % 4 == 1, " ifs_fight: ").when(i % 4 == 2, "Der Manager ").otherwise("Sie "), "text")
     return t.documents.select("doc_id", x.alias("x"))
 
 
-@book.query("M11_parts_context", "SELECT doc_id, doc_id % 4 < 3 AS context FROM documents")
+@book.query("M11_parts_context", sql(PART_TEXT, f"SELECT doc_id, regexp_matches(coalesce(x, ''), '(?i){'|'.join(lx.PARTS_CONTEXT)}') AS context FROM parts"))
 def parts_context(t):
     return part_text(t).select("doc_id", J.has_parts(F.col("x")).alias("context"))
 
 
-@book.query("M12_part_of_text", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ifs_control' WHEN 1 THEN 'ifs_fight' END AS part FROM documents")
+@book.query("M12_part_of_text", sql(PART_TEXT, "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(x, '(?i){p}') THEN '{name}'" for name, (p, _) in lx.PARTS.items()) + " END AS part FROM parts"))
 def part_of_text(t):
     return part_text(t).select("doc_id", J.part_of(F.col("x")).alias("part"))
 
@@ -249,36 +265,48 @@ def role_label(t):
     return t.conversations.select("conv_id", "turn", J.role_label(F.col("role"), F.col("text"), True).alias("label"))
 
 
-QUERY_TEXT = "CASE doc_id % 5 WHEN 0 THEN 'Vergleiche die Positionen' WHEN 1 THEN 'Was bedeutet das?' WHEN 2 THEN 'Nenne Gedichte' WHEN 3 THEN 'entwicklung der Zahl' ELSE 'Wann?' END"
+def any_of(patterns) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+QUERY_TEXT = f"""asked AS (SELECT doc_id, doc_id % 6 AS speakers, lower(concat_ws(' ', CASE doc_id % 5 WHEN 0 THEN 'Vergleiche die Positionen' WHEN 1 THEN 'Was bedeutet das?' WHEN 2 THEN 'Nenne Gedichte' WHEN 3 THEN 'entwicklung der Zahl' ELSE 'Wann?' END, text)) AS q FROM documents),
+kinds AS (SELECT doc_id, q, CASE WHEN regexp_matches(q, '{any_of(lx.DISCOURSE)}') THEN 'DISCOURSE' WHEN regexp_matches(q, '{any_of(lx.EXEGESIS)}') THEN 'EXEGESIS' WHEN speakers >= 3 THEN 'DISCOURSE' ELSE 'EXEGESIS' END AS kind FROM asked)"""
 
 
 def query_text(t):
+    """Questions that quote a whole text."""
     i = F.col("doc_id")
-    return t.documents.select("doc_id", F.when(i % 5 == 0, "Vergleiche die Positionen").when(i % 5 == 1, "Was bedeutet das?").when(i % 5 == 2, "Nenne Gedichte").when(i % 5 == 3, "entwicklung der Zahl").otherwise("Wann?").alias("q"), (i % 6).alias("speakers"))
+    asked = F.when(i % 5 == 0, "Vergleiche die Positionen").when(i % 5 == 1, "Was bedeutet das?").when(i % 5 == 2, "Nenne Gedichte").when(i % 5 == 3, "entwicklung der Zahl").otherwise("Wann?")
+    return t.documents.select("doc_id", F.concat_ws(" ", asked, "text").alias("q"), (i % 6).alias("speakers"))
 
 
-@book.query("L21_query_class", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'DISCOURSE' WHEN 1 THEN 'EXEGESIS' ELSE CASE WHEN doc_id % 6 >= 3 THEN 'DISCOURSE' ELSE 'EXEGESIS' END END AS kind FROM documents")
+@book.query("L21_query_class", sql(QUERY_TEXT, "SELECT doc_id, kind FROM kinds"))
 def query_class(t):
     return query_text(t).select("doc_id", J.query_type(F.col("q"), F.col("speakers")).alias("kind"))
 
 
-@book.query("L22_enforcer_rules", "SELECT doc_id, k = 'DISCOURSE' OR doc_id % 3 > 1 AS require_citations, CASE k WHEN 'DISCOURSE' THEN 1 ELSE 0 END::INT AS min_citations, k = 'DISCOURSE' AS allow_discourse_markers, TRUE AS strict_temporal_check FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'DISCOURSE' WHEN 1 THEN 'EXEGESIS' ELSE CASE WHEN doc_id % 6 >= 3 THEN 'DISCOURSE' ELSE 'EXEGESIS' END END AS k FROM documents)")
+@book.query("L22_enforcer_rules", sql(QUERY_TEXT, "SELECT doc_id, kind = 'DISCOURSE' OR doc_id % 3 > 1 AS require_citations, CASE kind WHEN 'DISCOURSE' THEN 1 ELSE 0 END::INT AS min_citations, kind = 'DISCOURSE' AS allow_discourse_markers, TRUE AS strict_temporal_check FROM kinds"))
 def enforcer_rules(t):
     kind = J.query_type(F.col("q"), F.col("speakers"))
     return query_text(t).select("doc_id", J.enforcer_rules(kind, F.col("doc_id") % 3).alias("r")).select("doc_id", "r.*")
 
 
-@book.query("L23_rerank_query_type", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'analytical' WHEN 2 THEN 'literary' WHEN 3 THEN 'analytical' ELSE 'factual' END AS kind FROM documents")
+@book.query("L23_rerank_query_type", sql(QUERY_TEXT, f"SELECT doc_id, CASE WHEN {has('q', lx.LITERARY)} THEN 'literary' WHEN {has('q', lx.ANALYTICAL)} THEN 'analytical' ELSE 'factual' END AS kind FROM kinds"))
 def rerank_query_type(t):
     return query_text(t).select("doc_id", J.rerank_type(F.col("q")).alias("kind"))
 
 
-@book.query("L12_route_query", "SELECT doc_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 THEN doc_id % 7 * 20 ELSE 20 END::INT AS top, CASE WHEN doc_id % 3 = 0 THEN 0.65 ELSE doc_id % 3 * 0.5 END::DOUBLE AS threshold FROM documents")
-@book.query("R02_router_context", "SELECT doc_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 THEN doc_id % 7 * 20 ELSE 20 END::INT AS top, CASE WHEN doc_id % 3 = 0 THEN 0.65 ELSE doc_id % 3 * 0.5 END::DOUBLE AS threshold FROM documents")
+ROUTED = "SELECT doc_id, CASE WHEN lang <> 'fr' AND n_chars % 140 BETWEEN 5 AND 100 THEN n_chars % 140 ELSE 20 END::INT AS top, CASE WHEN lang <> 'fr' AND n_chars % 13 <= 10 THEN n_chars % 13 / 10.0::DOUBLE ELSE 0.65 END::DOUBLE AS threshold FROM documents"
+
+
+@book.query("L12_route_query", ROUTED)
+@book.query("R02_router_context", ROUTED)
 def route_query(t):
-    """Limits and thresholds of a router's answer, made sane."""
-    top, cut = (F.col("doc_id") % 7 * 20).cast("int"), F.when(F.col("doc_id") % 3 == 0, 1.5).otherwise(F.col("doc_id") % 3 * 0.5)
-    return t.documents.select("doc_id", F.when(top.between(5, 100), top).otherwise(20).alias("top"), F.when(cut.between(0, 1), cut).otherwise(0.65).alias("threshold"))
+    """Limits and thresholds of a router's answer, made sane; an answer that cannot be read gives the defaults."""
+    answer = F.concat(F.lit('Plan: {"top": '), (F.col("n_chars") % 140).cast("string"), F.lit(', "threshold": '), (F.col("n_chars") % 13 / 10.0).cast("string"), F.lit("}"))
+    plan = t.documents.select("doc_id", J.json_of(F.when(F.col("lang") == "fr", "keine Ahnung").otherwise(answer)).alias("plan"))
+    top, cut = F.get_json_object("plan", "$.top").try_cast("int"), F.get_json_object("plan", "$.threshold").try_cast("double")
+    return plan.select("doc_id", F.when(top.between(5, 100), top).otherwise(20).alias("top"), F.when(cut.between(0, 1), cut).otherwise(0.65).alias("threshold"))
 
 
 @book.query("L17_document_label", sql(TITLED, "SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN 'PRIMÄRQUELLE' WHEN 2 THEN 'PRIMÄRQUELLE' WHEN 6 THEN 'PRIMÄRQUELLE' ELSE 'ANALYSE' END AS label FROM titled"))
@@ -344,10 +372,14 @@ def detect_truncation(t):
     return d.select("doc_id", "t.is_truncated", "t.mid_sentence", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("missing"))
 
 
-@book.query("N12_structural_marker", "SELECT doc_id, doc_id % 4 < 3 AS marker FROM documents")
+MARKER = r"^(?:#{1,3}\s+QUELLE\s*\[[0-9]+\]|[0-9]+\.\s+(?:" + "|".join(lx.CLAIM_FIELDS) + r")|#{1,2}\s+GLOBALE\s+SYNTHESE|(?:" + "|".join(lx.SYNTHESIS_FIELDS) + "):)"
+
+
+@book.query("N12_structural_marker", f"SELECT doc_id, regexp_matches(regexp_replace(concat_ws(' ', CASE doc_id % 5 WHEN 0 THEN '### QUELLE [3]:' WHEN 1 THEN ' 1. BEFUND:' WHEN 2 THEN 'KONVERGENZEN:' WHEN 3 THEN 'Ein Satz [1].' END, text), '^{WS}+', ''), '{MARKER}') AS marker FROM documents")
 def structural_marker(t):
+    """Claims that begin like a line of a structured answer, before whole texts."""
     i = F.col("doc_id")
-    x = F.when(i % 4 == 0, "### QUELLE [3]: Titel").when(i % 4 == 1, " 1. BEFUND: gut").when(i % 4 == 2, "KONVERGENZEN: alle").otherwise("Ein Satz [1].")
+    x = F.concat_ws(" ", F.when(i % 5 == 0, "### QUELLE [3]:").when(i % 5 == 1, " 1. BEFUND:").when(i % 5 == 2, "KONVERGENZEN:").when(i % 5 == 3, "Ein Satz [1]."), "text")
     return t.documents.select("doc_id", J.structural_marker(x).alias("marker"))
 
 
@@ -383,24 +415,36 @@ def post_process(t):
     return drafts(t).select("doc_id", F.md5(J.only_valid_references(short, [1, 2, 3])).alias("text_md5"))
 
 
-@book.query("R21_judge_answer", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM documents")
+NOTE = "concat_ws(' ', text, CASE doc_id % 3 WHEN 0 THEN 'Note: 0,75' WHEN 1 THEN 'keine' ELSE '3' END)"
+
+
+@book.query("R21_judge_answer", f"SELECT doc_id, least(1.0, coalesce(try_cast(replace(regexp_extract({NOTE}, '([0-9]+(?:[.,][0-9]+)?)', 1), ',', '.') AS DOUBLE), 0.5))::DOUBLE AS score FROM documents")
 def judge_answer(t):
     i = F.col("doc_id")
-    raw = F.when(i % 3 == 0, "Note: 0,75").when(i % 3 == 1, "keine").otherwise("3")
+    raw = F.concat_ws(" ", "text", F.when(i % 3 == 0, "Note: 0,75").when(i % 3 == 1, "keine").otherwise("3"))
     return t.documents.select("doc_id", J.first_decimal(raw).alias("score"))
 
 
-@book.query("J10_json_in_answer", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE '{\"a\":' || doc_id || '}' END AS value FROM documents")
-@book.query("J09_extraction_json", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE '{\"a\":' || doc_id || '}' END AS value FROM documents")
+VALUE = "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE doc_id::VARCHAR END AS a, CASE doc_id % 4 WHEN 3 THEN NULL ELSE md5(text) END AS text_md5 FROM documents WHERE text IS NOT NULL"
+
+
+@book.query("J10_json_in_answer", VALUE)
+@book.query("J09_extraction_json", VALUE)
 def json_in_answer(t):
+    """An object that holds a whole text, bare, fenced, amid prose or missing."""
     i = F.col("doc_id")
-    obj = F.concat(F.lit('{"a": '), i.cast("string"), F.lit("}"))
+    obj = F.to_json(F.struct(i.alias("a"), F.col("text").alias("t")))
     raw = F.when(i % 4 == 0, obj).when(i % 4 == 1, F.concat(F.lit("Hier: ```json\n"), obj, F.lit("\n```"))).when(i % 4 == 2, F.concat(F.lit("Antwort "), obj, F.lit(" fertig"))).otherwise("nichts")
-    return t.documents.select("doc_id", J.json_of(raw).alias("value"))
+    d = t.documents.filter("text is not null").select("doc_id", J.json_of(raw).alias("value"))
+    return d.select("doc_id", F.get_json_object("value", "$.a").alias("a"), F.md5(F.get_json_object("value", "$.t")).alias("text_md5"))
+
+
+SAID = "lower(regexp_replace(text, '[^A-Za-zÄÖÜäöüß]+', ' ', 'g'))"
 
 
-@book.query("J43_section", "SELECT doc_id, 'Inhalt ' || doc_id AS fazit FROM documents")
-@book.query("J45_fazit", "SELECT doc_id, 'Inhalt ' || doc_id AS fazit FROM documents")
+@book.query("J43_section", f"SELECT doc_id, md5(rtrim('Inhalt ' || {SAID})) AS fazit_md5 FROM documents WHERE text IS NOT NULL")
+@book.query("J45_fazit", f"SELECT doc_id, md5(rtrim('Inhalt ' || {SAID})) AS fazit_md5 FROM documents WHERE text IS NOT NULL")
 def fazit(t):
-    run = F.concat(F.lit("# Kopf\nx\n## **FAZIT**\nInhalt "), F.col("doc_id").cast("string"), F.lit("\n\n## Weiter\ny"))
-    return t.documents.select("doc_id", J.section(run, "FAZIT").alias("fazit"))
+    said = F.lower(F.regexp_replace("text", "[^A-Za-zÄÖÜäöüß]+", " "))
+    run = F.concat(F.lit("# Kopf\nx\n## **FAZIT**\nInhalt "), said, F.lit("\n\n## Weiter\ny"))
+    return t.documents.filter("text is not null").select("doc_id", F.md5(J.section(run, "FAZIT")).alias("fazit_md5"))

@@ -39,13 +39,17 @@ def core_hypothesis(t):
     return runs(t).select("doc_id", M.core_hypothesis(F.col("x")).alias("kern"))
 
 
-@book.query("J46_beweisfuehrung", "SELECT doc_id, 'b' || doc_id AS beweis, 'r' || doc_id AS raum, 'h' || doc_id AS hypothese FROM documents")
-@book.query("J47_freier_raum", "SELECT doc_id, 'b' || doc_id AS beweis, 'r' || doc_id AS raum, 'h' || doc_id AS hypothese FROM documents")
-@book.query("J48_hypothese", "SELECT doc_id, 'b' || doc_id AS beweis, 'r' || doc_id AS raum, 'h' || doc_id AS hypothese FROM documents")
+LAB = f"SELECT doc_id, 'b' || {SAYS} AS beweis, 'r' || doc_id AS raum, 'h' || {SAYS} AS hypothese {D}"
+
+
+@book.query("J46_beweisfuehrung", LAB)
+@book.query("J47_freier_raum", LAB)
+@book.query("J48_hypothese", LAB)
 def lab_sections(t):
     i = F.col("doc_id").cast("string")
-    x = F.concat(F.lit("## BEWEISFÜHRUNG\nb"), i, F.lit("\n## FREIER RAUM\nr"), i, F.lit("\n## HYPOTHESE\nh"), i)
-    return t.documents.select("doc_id", x.alias("x")).select("doc_id", *(J.section(F.col("x"), h).alias(n) for h, n in (("BEWEISFÜHRUNG", "beweis"), ("FREIER RAUM", "raum"), ("HYPOTHESE", "hypothese"))))
+    said = F.concat(i, F.lit(" "), F.trim(F.lower(F.regexp_replace("text", "[^A-Za-zÄÖÜäöüß]+", " "))))
+    x = F.concat(F.lit("## BEWEISFÜHRUNG\nb"), said, F.lit("\n## FREIER RAUM\nr"), i, F.lit("\n## HYPOTHESE\nh"), said)
+    return t.documents.filter("text is not null").select("doc_id", x.alias("x")).select("doc_id", *(J.section(F.col("x"), h).alias(n) for h, n in (("BEWEISFÜHRUNG", "beweis"), ("FREIER RAUM", "raum"), ("HYPOTHESE", "hypothese"))))
 
 
 @book.query("J49_destillation", f"SELECT doc_id, md5('Erster Satz. Letzter Satz ' || {SAYS} || '.') AS head_md5 {D}")
@@ -288,28 +292,39 @@ def quotes_per_document(t):
     return one.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
 
 
-@book.query("R17_accept_correction", "SELECT doc_id, doc_id % 3 = 0 AS accepted FROM documents")
+DRAFTED = "'### QUELLE [1]: ' || text || chr(10) || '### QUELLE [2]: b'"
+FIXED = "'### QUELLE [1]: ' || text[1:length(text) * (6 + doc_id % 5) // 10] || CASE WHEN contains(text, 'e') THEN chr(10) || '### QUELLE [2]: b' ELSE '' END"
+
+
+@book.query("R17_accept_correction", f"SELECT doc_id, length({FIXED}) >= 0.8 * length({DRAFTED}) AND contains(text, 'e') AS accepted {D}")
 def accept_correction(t):
     """A corrected draft counts if it is long enough and still has the last source's heading."""
-    draft = F.lit("### QUELLE [1]: a\n### QUELLE [2]: b lang genug")
-    i = F.col("doc_id") % 3
-    fixed = F.when(i == 0, draft).when(i == 1, "kurz").otherwise("### QUELLE [1]: a, aber ohne die zweite Quelle, lang genug")
-    return t.documents.select("doc_id", slots.accepted(draft, fixed, F.lit(2)).alias("accepted"))
+    first, last = F.lit("### QUELLE [1]: "), F.lit("\n### QUELLE [2]: b")
+    kept = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") * (F.col("doc_id") % 5 + 6) / 10).cast("int"))
+    fixed = F.concat(first, kept, F.when(F.contains("text", F.lit("e")), last).otherwise(""))
+    return t.documents.filter("text is not null").select("doc_id", slots.accepted(F.concat(first, "text", last), fixed, F.lit(2)).alias("accepted"))
 
 
-@book.query("R18_missing_after_continuation", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '3' END AS missing FROM documents")
+SIGNS = "ßéñwz"
+
+
+@book.query("R18_missing_after_continuation", f"SELECT doc_id, concat_ws(',', {', '.join(f"CASE WHEN NOT contains(text, '{c}') THEN '{k}' END" for k, c in enumerate(SIGNS, 1))}) AS missing {D}")
 def missing_after_continuation(t):
-    added = F.when(F.col("doc_id") % 2 == 0, "\n### QUELLE [3]: c").otherwise("")
-    draft = F.concat(F.lit("### QUELLE [1]: a\n### QUELLE [2]: b"), added)
-    return t.documents.select("doc_id", F.array_join(F.transform(J.missing_sections(draft, F.lit(3)), lambda x: x.cast("string")), ",").alias("missing"))
+    """Sections that a draft still lacks; it has one for each of the signs that its text holds."""
+    heads = (F.when(F.contains("text", F.lit(c)), F.concat(F.lit(f"### QUELLE [{k}]: "), "text")) for k, c in enumerate(SIGNS, 1))
+    draft = F.concat_ws("\n", *heads)
+    return t.documents.filter("text is not null").select("doc_id", F.array_join(F.transform(J.missing_sections(draft, F.lit(len(SIGNS))), lambda x: x.cast("string")), ",").alias("missing"))
+
+
+JUDGED = "SELECT (r - 1) // 4 AS batch, count(*) AS n, count(*) FILTER (NOT contains(text, 'ß')) = count(*) AS complete FROM (SELECT text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE text IS NOT NULL) WHERE r <= 100 GROUP BY 1"
 
 
-@book.query("R20_judge_batch", "SELECT (r - 1) // 4 AS batch, count(*) AS n, count(*) FILTER (doc_id % 13 <> 0) = count(*) AS complete FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 100) GROUP BY 1")
-@book.query("D08_scores_to_batch", "SELECT (r - 1) // 4 AS batch, count(*) AS n, count(*) FILTER (doc_id % 13 <> 0) = count(*) AS complete FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 100) GROUP BY 1")
+@book.query("R20_judge_batch", JUDGED)
+@book.query("D08_scores_to_batch", JUDGED)
 def judge_batch(t):
     """The best hundred in batches of four; a batch with a missing verdict is not complete."""
-    top = t.documents.orderBy("doc_id").limit(100).select("doc_id", F.row_number().over(W.orderBy("doc_id")).alias("r"))
-    verdicts = top.filter("doc_id % 13 <> 0").select(F.col("doc_id").alias("judged"))
+    top = t.documents.filter("text is not null").orderBy(F.desc("n_chars"), "doc_id").limit(100).select("doc_id", "text", F.row_number().over(W.orderBy(F.desc("n_chars"), "doc_id")).alias("r"))
+    verdicts = top.filter(~F.contains("text", F.lit("ß"))).select(F.col("doc_id").alias("judged"))
     both = top.join(verdicts, F.col("doc_id") == F.col("judged"), "left").withColumn("batch", F.floor((F.col("r") - 1) / 4))
     return both.groupBy("batch").agg(F.count("*").alias("n"), (F.count("judged") == F.count("*")).alias("complete"))
 

@@ -71,11 +71,14 @@ def registry(t):
     return t.spark.createDataFrame([(name,) for name in importers.IMPORTERS], "platform string").agg(F.count("*").alias("n"))
 
 
-@book.query("A29_thinking_block", "SELECT page_id, '> **Thinking:**' || chr(10) || '> erst' || chr(10) || '> dann ' || page_id || chr(10) || chr(10) AS thought FROM pages")
-@book.query("R90_thinking_variant", "SELECT page_id, '> **Thinking:**' || chr(10) || '> erst' || chr(10) || '> dann ' || page_id || chr(10) || chr(10) AS thought FROM pages")
+THOUGHT = "SELECT page_id, '> **Thinking:**' || chr(10) || '> erst' || chr(10) || '> dann ' || url || chr(10) || chr(10) AS thought FROM pages WHERE url IS NOT NULL"
+
+
+@book.query("A29_thinking_block", THOUGHT)
+@book.query("R90_thinking_variant", THOUGHT)
 def thinking_block(t):
-    html = F.concat(F.lit('<div><div class="thinking-content">Thought for 5 seconds<p>erst</p><p>dann '), F.col("page_id").cast("string"), F.lit("</p></div></div>"))
-    return kernels.mapped(t.pages.select("page_id", html.alias("h")), lambda h: (importers.thinking(dom.parse(h)),), "thought string")
+    html = F.concat(F.lit('<div><div class="thinking-content">Thought for 5 seconds<p>erst</p><p>dann '), "url", F.lit("</p></div></div>"))
+    return kernels.mapped(t.pages.filter("url is not null").select("page_id", html.alias("h")), lambda h: (importers.thinking(dom.parse(h)),), "thought string")
 
 
 @book.query("A38_get_all_chunks", sql(P.REGISTRY, "SELECT seq, chunk_id FROM registry"))
@@ -278,12 +281,16 @@ def style_profiles(t):
     return t.documents.filter(F.length("text") >= 50).select("doc_id", (F.length("text") > 50).alias("kept"), (F.size(T.fields(F.col("text"))) < 80).alias("short"))
 
 
-@book.query("R13_fact_match", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TRUE ELSE FALSE END AS valid FROM documents")
-@book.query("R14_fact_match_multi", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TRUE ELSE FALSE END AS valid FROM documents")
-@book.query("R22_verdict_view", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TRUE ELSE FALSE END AS valid FROM documents")
+VERDICT = "SELECT doc_id, coalesce(contains(text, 'ß'), FALSE) AS valid FROM documents"
+
+
+@book.query("R13_fact_match", VERDICT)
+@book.query("R14_fact_match_multi", VERDICT)
+@book.query("R22_verdict_view", VERDICT)
 def fact_match(t):
-    """A verdict that is missing or malformed counts as invalid."""
-    answer = F.when(F.col("doc_id") % 3 == 0, '{"valid": true}').when(F.col("doc_id") % 3 == 1, '{"x": 1}').otherwise("Fehler")
+    """A verdict on a text that is missing or malformed counts as invalid."""
+    has = lambda c: F.contains("text", F.lit(c))
+    answer = F.when(has("ß"), '{"valid": true}').when(has("é"), '{"x": 1}').when(has("ñ"), "Fehler").otherwise('Nein: {"valid": false}')
     return t.documents.select("doc_id", F.coalesce(F.get_json_object(J.json_of(answer), "$.valid") == "true", F.lit(False)).alias("valid"))
 
 
@@ -296,8 +303,8 @@ def style_title(t):
 book.query("R37_run_meta", meta.book.oracles["A39_dissect_runs"])(meta.dissect_runs)
 
 
-@book.query("R47_guarded_answer", "SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 4) OR doc_id % 2 = 1 AND doc_id % 7 < 5 THEN 'notfall' ELSE 'antwort' END AS route FROM documents")
-@book.query("R51_guarded_answer", "SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 4) OR doc_id % 2 = 1 AND doc_id % 7 < 5 THEN 'notfall' ELSE 'antwort' END AS route FROM documents")
+@book.query("R47_guarded_answer", sql(judge.CRISIS, "SELECT doc_id, CASE WHEN folded >= threshold THEN 'notfall' ELSE 'antwort' END AS route FROM scores"))
+@book.query("R51_guarded_answer", sql(judge.CRISIS, "SELECT doc_id, CASE WHEN folded >= threshold THEN 'notfall' ELSE 'antwort' END AS route FROM scores"))
 def guarded_answer(t):
     """Crisis check of the message, else the model, whose echo would be asked again."""
     d = judge.crisis_text(t)
