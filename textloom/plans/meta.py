@@ -124,52 +124,79 @@ def source_authors(t):
     return found.groupBy("source").agg(F.min_by("author", F.struct("priority", "doc_id", "pos")).alias("author"))
 
 
-@book.query("J57_likely_author", "SELECT * FROM (VALUES ('Blok', TRUE), ('Synthese', FALSE), ('Texts', FALSE), ('AufSicht', FALSE), ('Mandelstam', TRUE), ('Die', FALSE)) v(name, likely)")
-@book.query("J60_likely_author_lab", "SELECT * FROM (VALUES ('Blok', TRUE), ('Synthese', FALSE), ('Texts', FALSE), ('AufSicht', FALSE), ('Mandelstam', TRUE), ('Die', FALSE)) v(name, likely)")
+NAMES = ["Blok", "Synthese", "Texts", "AufSicht", "Mandelstam", "Die", *(way for ways in M.AUTHORS.values() for way in ways)]
+SQL_NAMES = f"WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-ZÄÖÜ][a-zäöüß]+')) AS name FROM documents UNION SELECT unnest({NAMES}))"
+
+
+def names(t):
+    """Capitalised words of all texts, and names that are known."""
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-ZÄÖÜ][a-zäöüß]+"), F.lit(0))).alias("name"))
+    return words.union(t.spark.createDataFrame([(n,) for n in NAMES], "name string")).distinct()
+
+
+LIKELY = f"""{SQL_NAMES} SELECT name, length(name) >= 4 AND NOT list_contains({list(M.NO_NAMES)}, name)
+AND NOT (ends_with(name, 's') AND (list_contains({list(M.NO_NAMES)}, regexp_replace(name, 's$', '')) OR list_contains({list(M.NO_NAMES)}, regexp_replace(name, 'es$', '')) OR length(name) <= 6))
+AND NOT regexp_matches(name, '^(Auf|Bei|Durch|Für|Gegen|In|Mit|Nach|Über|Um|Unter|Vom|Von|Vor|Zu)[A-ZÄÖÜ][a-zäöüß]+') AND NOT regexp_matches(name, '({"|".join(M.NO_SURNAME_ENDINGS)})$') AS likely FROM names"""
+
+
+@book.query("J57_likely_author", LIKELY)
+@book.query("J60_likely_author_lab", LIKELY)
 def likely_author(t):
-    names = T.literals(["Blok", "Synthese", "Texts", "AufSicht", "Mandelstam", "Die"])
-    return t.spark.range(1).select(F.explode(names).alias("name")).select("name", M.likely_author(F.col("name")).alias("likely"))
+    return names(t).select("name", M.likely_author(F.col("name")).alias("likely"))
+
 
+FORMS = ", ".join(f"('{way}', '{form}')" for form, ways in M.AUTHORS.items() for way in ways)
 
-@book.query("J58_canonical_author", "SELECT * FROM (VALUES ('Пушкин', 'Puschkin'), ('Brodsky', 'Brodskij'), ('Neu', 'Neu')) v(name, form)")
+
+@book.query("J58_canonical_author", f"{SQL_NAMES} SELECT name, coalesce(form, name) AS form FROM names LEFT JOIN (VALUES {FORMS}) v(way, form) ON way = name")
 def canonical_author(t):
-    return t.spark.range(1).select(F.explode(T.literals(["Пушкин", "Brodsky", "Neu"])).alias("name")).select("name", M.canonical(F.col("name")).alias("form"))
+    return names(t).select("name", M.canonical(F.col("name")).alias("form"))
 
 
-@book.query("J59_authors_sidecar", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"QUELLE 1\":\"A' || doc_id || '\"}' END AS sidecar FROM documents")
+@book.query("J59_authors_sidecar", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"QUELLE 1\":\"' || source || '\"}' END AS sidecar FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
 def authors_sidecar(t):
-    i = F.col("doc_id")
-    x = F.when(i % 2 == 0, F.concat(F.lit('<!-- AUTHORS {"QUELLE 1":"A'), i.cast("string"), F.lit('"} -->\nText'))).otherwise("Text")
-    return t.documents.select("doc_id", J.author_sidecar(x).alias("sidecar"))
+    head = F.concat(F.lit('<!-- AUTHORS {"QUELLE 1":"'), "source", F.lit('"} -->\n'), "text")
+    d = t.documents.filter("text is not null and source is not null")
+    return d.select("doc_id", J.author_sidecar(F.when(F.col("doc_id") % 2 == 0, head).otherwise(F.col("text"))).alias("sidecar"))
 
 
-@book.query("B20_embed_sidecar", "SELECT doc_id, '<!-- AUTHORS {\"QUELLE 1\":\"A' || doc_id || '\"} -->' || chr(10) || 'Text' AS markdown FROM documents")
+@book.query("B20_embed_sidecar", "SELECT doc_id, md5('<!-- AUTHORS {\"QUELLE 1\":\"' || source || '\"} -->' || chr(10) || text) AS markdown_md5 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
 def embed_sidecar(t):
-    i = F.col("doc_id")
-    authors = F.create_map(F.lit("QUELLE 1"), F.concat(F.lit("A"), i.cast("string")))
-    once = slots.with_sidecar(F.lit("Text"), authors)
-    return t.documents.select("doc_id", slots.with_sidecar(once, authors).alias("markdown"))
+    """A text keeps the sidecar that it has."""
+    authors = F.create_map(F.lit("QUELLE 1"), F.col("source"))
+    once = t.documents.filter("text is not null and source is not null").select("doc_id", "source", slots.with_sidecar(F.col("text"), authors).alias("x"))
+    return once.select("doc_id", F.md5(slots.with_sidecar(F.col("x"), authors)).alias("markdown_md5"))
 
 
-@book.query("K26_author_priority", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'user' WHEN doc_id % 4 = 1 THEN 'sidecar' WHEN doc_id % 4 = 2 THEN 'model' ELSE 'unresolved' END AS provenance FROM documents")
+@book.query("K26_author_priority", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'user' WHEN contains(text, 'é') THEN 'sidecar' WHEN n_chars > 2000 THEN 'model' ELSE 'unresolved' END AS provenance FROM documents")
 def author_priority(t):
-    i = F.col("doc_id")
-    given = [(F.when(i % 4 == 0, "a"), "user"), (F.when(i % 4 <= 1, "b"), "sidecar"), (F.when(i % 4 <= 2, "c"), "model")]
+    """Who names the author of a text: the user, else its sidecar, else the model."""
+    given = [(F.when(F.col("lang") == "de", "a"), "user"), (F.when(F.contains("text", F.lit("é")), "b"), "sidecar"), (F.when(F.col("n_chars") > 2000, "c"), "model")]
     told = F.coalesce(*(F.when(c.isNotNull(), n) for c, n in given), F.lit("unresolved"))
     return t.documents.select("doc_id", told.alias("provenance"))
 
 
-@book.query("J11_agency_json", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'aktiv' END AS agency FROM documents")
-@book.query("R39_agency_per_run", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'aktiv' END AS agency FROM documents")
+AGENCY = "SELECT doc_id, CASE lang WHEN 'de' THEN 'aktiv' WHEN 'en' THEN 'passiv' END AS agency FROM documents"
+
+
+@book.query("J11_agency_json", AGENCY)
+@book.query("R39_agency_per_run", AGENCY)
 def agency_json(t):
-    x = F.when(F.col("doc_id") % 2 == 0, 'Hier: {"Blok": "aktiv"').otherwise('{"Blok": "sonst"}')
-    return t.documents.select("doc_id", M.json_map(x, ("aktiv", "passiv"))["Blok"].alias("agency"))
+    """Answers of which some break off and some leave the vocabulary."""
+    said = F.when(F.col("lang") == "de", '"aktiv"').when(F.col("lang") == "en", '"passiv"}').when(F.col("lang") == "fr", "null}").otherwise('"sonst"}')
+    return t.documents.select("doc_id", M.json_map(F.concat(F.lit('Hier: {"Blok": '), said), ("aktiv", "passiv"))["Blok"].alias("agency"))
+
 
+TERMS = "SELECT doc_id, CASE WHEN contains(text, 'é') THEN 2 ELSE 1 END::BIGINT AS n, source AS term FROM documents WHERE text IS NOT NULL AND source IS NOT NULL"
 
-@book.query("J12_terms_json", "SELECT doc_id, 1::BIGINT AS n FROM documents")
-@book.query("R38_terms_per_run", "SELECT doc_id, 1::BIGINT AS n FROM documents")
+
+@book.query("J12_terms_json", TERMS)
+@book.query("R38_terms_per_run", TERMS)
 def terms_json(t):
-    return t.documents.select("doc_id", F.size(M.json_map(F.concat(F.lit('{"a": "x'), F.col("doc_id").cast("string"), F.lit('", "b": null}')))).cast("long").alias("n"))
+    """Terms of a run; those without a meaning go."""
+    x = F.concat(F.lit('{"a": "'), "source", F.lit('", "b": null, "c": '), F.when(F.contains("text", F.lit("é")), '"x"').otherwise("null"), F.lit("}"))
+    d = t.documents.filter("text is not null and source is not null").select("doc_id", M.json_map(x).alias("m"))
+    return d.select("doc_id", F.size("m").cast("long").alias("n"), F.col("m")["a"].alias("term"))
 
 
 @book.query("J26_strip_metadata", f"SELECT doc_id, md5(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS text_md5 {D} AND NOT regexp_matches(text, 'uszug|[—–-].*[«\"„]|\\[|\\n\\n\\n|Chapter|Source:|Language:|Published')")
@@ -178,9 +205,11 @@ def strip_metadata(t):
     return clean.select("doc_id", F.md5(T.without_metadata(F.concat(F.lit("**[Buch-Auszug Teil 1]**\nQUELLE 1: x\n"), F.col("text")))).alias("text_md5"))
 
 
-@book.query("J41_template", "SELECT doc_id, 'Frage ' || doc_id || ' {offen}' AS x FROM documents")
+@book.query("J41_template", f"SELECT doc_id, md5('Frage ' || doc_id || ' {{offen}} ' || text) AS filled_md5 {D}")
 def template(t):
-    return t.documents.select("doc_id", slots.fill(F.lit("Frage {id} {offen}"), {"id": F.col("doc_id").cast("string")}).alias("x"))
+    """Known names are filled in, others stay."""
+    x = slots.fill(F.lit("Frage {id} {offen} {text}"), {"id": F.col("doc_id").cast("string"), "text": F.col("text")})
+    return t.documents.filter("text is not null").select("doc_id", F.md5(x).alias("filled_md5"))
 
 
 @book.query("R40_stability", "SELECT source, CASE WHEN s >= 0.88 THEN 'stabil' WHEN s >= 0.59 THEN 'häufig' ELSE 'variabel' END AS stability FROM (SELECT source, count(*) FILTER (lang = 'en') / count(*)::DOUBLE AS s FROM documents GROUP BY source)")
@@ -359,11 +388,11 @@ def title_input(t):
     return messages(t).groupBy("chat_id").agg(F.nullif(F.array_join(F.transform(parts, lambda p: p["x"]), "\n"), F.lit("")).alias("input"))
 
 
-@book.query("R48_temperature", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.7 WHEN 2 THEN 0.5 ELSE 0.6 END::DOUBLE AS temperature FROM documents")
-@book.query("R72_domain_profile", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.7 WHEN 2 THEN 0.5 ELSE 0.6 END::DOUBLE AS temperature FROM documents")
+@book.query("R48_temperature", "SELECT doc_id, CASE lang WHEN 'de' THEN 0.3 WHEN 'en' THEN 0.7 WHEN 'fr' THEN 0.5 ELSE 0.6 END::DOUBLE AS temperature FROM documents")
+@book.query("R72_domain_profile", "SELECT doc_id, CASE lang WHEN 'de' THEN 0.3 WHEN 'en' THEN 0.7 WHEN 'fr' THEN 0.5 ELSE 0.6 END::DOUBLE AS temperature FROM documents")
 def temperature(t):
-    parts = F.create_map(*(F.lit(x) for kv in {0: 0.3, 1: 0.7, 2: 0.5}.items() for x in kv))
-    return t.documents.select("doc_id", F.coalesce(F.try_element_at(parts, (F.col("doc_id") % 4).cast("int")), F.lit(0.6)).alias("temperature"))
+    parts = F.create_map(*(F.lit(x) for kv in {"de": 0.3, "en": 0.7, "fr": 0.5}.items() for x in kv))
+    return t.documents.select("doc_id", F.coalesce(F.try_element_at(parts, F.col("lang")), F.lit(0.6)).alias("temperature"))
 
 
 @book.query("R74_text_of_parts", "SELECT doc_id, lang AS x FROM documents")
@@ -371,10 +400,11 @@ def text_of_parts(t):
     return t.documents.select("doc_id", F.try_element_at(F.array("lang", "source"), F.lit(1)).alias("x"))
 
 
-@book.query("R78_model_for_task", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'gross' ELSE 'klein' END AS model FROM documents")
+@book.query("R78_model_for_task", "SELECT doc_id, CASE lang WHEN 'de' THEN 'gross' ELSE 'klein' END AS model FROM documents")
 def model_for_task(t):
+    """The model of a task; an unknown task gets the one for chats."""
     models = F.create_map(F.lit("synthesis"), F.lit("gross"), F.lit("chat"), F.lit("klein"))
-    task = F.when(F.col("doc_id") % 2 == 0, "synthesis").otherwise("unbekannt")
+    task = F.when(F.col("lang") == "de", "synthesis").when(F.col("lang") == "en", "chat").otherwise("unbekannt")
     return t.documents.select("doc_id", F.coalesce(F.try_element_at(models, task), models["chat"]).alias("model"))
 
 
@@ -390,12 +420,15 @@ def book_title(t):
     return t.documents.select("doc_id", F.trim(F.regexp_extract(F.concat(F.lit("**Titel:** T"), F.col("doc_id").cast("string"), F.lit("\nText")), r"\*\*Titel:\*\*\s*([^\n]+)", 1)).alias("title"))
 
 
-@book.query("N05_warning_tags", "SELECT doc_id, doc_id % 2 = 0 AS tagged FROM documents")
+QUOTED = "[text[1:30], text[length(text) // 2 + 1:length(text) // 2 + 30]]"
+
+
+@book.query("N05_warning_tags", f"SELECT doc_id, len(list_filter(string_split('Anfang' || chr(10) || chr(10) || text, chr(10) || chr(10)), lambda p: len(list_filter({QUOTED}, lambda q: contains(p, q))) >= 2)) > 0 AS tagged {D}")
 def warning_tags(t):
-    """Paragraphs in which two or more quotations failed get a warning."""
-    quote = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("falsch eins"), F.lit("falsch zwei"))).otherwise(F.array(F.lit("falsch eins")))
-    draft = F.lit("Anfang\n\nHier falsch eins und falsch zwei.\n\nEnde")
-    return t.documents.select("doc_id", F.contains(slots.warned(draft, quote), F.lit("<WARNUNG")).alias("tagged"))
+    """Paragraphs in which two or more quotations failed get a warning; here a text's head and middle."""
+    quote = F.array(F.substring("text", 1, 30), F.substring(F.col("text"), F.floor(F.length("text") / 2).cast("int") + 1, F.lit(30)))
+    draft = F.concat(F.lit("Anfang\n\n"), "text")
+    return t.documents.filter("text is not null").select("doc_id", F.contains(slots.warned(draft, quote), F.lit("<WARNUNG")).alias("tagged"))
 
 
 @book.query("N06_validate_draft")

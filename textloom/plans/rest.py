@@ -294,10 +294,12 @@ def fact_match(t):
     return t.documents.select("doc_id", F.coalesce(F.get_json_object(J.json_of(answer), "$.valid") == "true", F.lit(False)).alias("valid"))
 
 
-@book.query("R30_style_title", "SELECT doc_id, 'Titel ' || doc_id AS title, 'kurz' AS conciseness FROM documents")
+@book.query("R30_style_title", "SELECT doc_id, source AS title, lang AS conciseness FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
 def style_title(t):
-    x = F.concat(F.lit("Text\nSTIL-TITEL: Titel "), F.col("doc_id").cast("string"), F.lit("\nPRÄGNANZ: kurz\n"))
-    return t.documents.select("doc_id", F.regexp_extract(x, r"STIL-TITEL:\s*([^\n]+)", 1).alias("title"), F.regexp_extract(x, r"PRÄGNANZ:\s*([^\n]+)", 1).alias("conciseness"))
+    """Title and conciseness, named after a whole text."""
+    x = F.concat("text", F.lit("\nSTIL-TITEL: "), "source", F.lit("\nPRÄGNANZ: "), "lang", F.lit("\n"))
+    d = t.documents.filter("text is not null and source is not null and lang is not null").select("doc_id", x.alias("x"))
+    return d.select("doc_id", F.regexp_extract("x", r"STIL-TITEL:\s*([^\n]+)", 1).alias("title"), F.regexp_extract("x", r"PRÄGNANZ:\s*([^\n]+)", 1).alias("conciseness"))
 
 
 book.query("R37_run_meta", meta.book.oracles["A39_dissect_runs"])(meta.dissect_runs)
