@@ -1,11 +1,11 @@
-"""Queries of the ten operators over the input tables, with production parameters."""
+"""Queries of the operators over the input tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, decontam, dedup, licenses, media, mixing, quality, sharding, sitetree, toxicity
+from textloom.llm import chat, decontam, dedup, lexical, licenses, media, mixing, quality, repair, rules, sharding, sitetree, toxicity
 from textloom.llm.sql import ORACLES
 from textloom.session import table
 
@@ -57,6 +57,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_license_scans, op4_chat_formatting, op5_quality_classifier, op6_minhash_near_dedup, op7_mixing_sources, op8_sharding, op9_benchmark_decontamination, op10_toxicity)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    ordered = rules.order(rules.estimate(docs), given=shown)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return rules.verdicts(docs, ordered, shown).select("doc_id", *shown, failed.alias("base_failed"), "kept")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_media_columns, op3_license_scans, op4_chat_formatting, op5_quality_classifier, op6_minhash_near_dedup, op7_mixing_sources, op8_sharding, op9_benchmark_decontamination, op10_toxicity, op11_quality_rules, op12_lexical_search, op13_conversation_repair)}
 
 __all__ = ["ORACLES", "QUERIES"]
