@@ -757,6 +757,18 @@ def test_swaps_are_a_permutation_that_is_not_sorted(spark):
     assert sum(a[i] == b[i] for i in a) < 20
 
 
+def test_no_setting_changes_a_place(spark):
+    rows = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 40).alias("text"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("5", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found += [sorted((r["doc_id"], r["shard"], r["slot"]) for r in make(rows, bucket_bytes=4096).collect()) for make in (sharding.plan, sharding.deal)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] == found[3]
+
+
 def test_order_in_buckets_is_mixed(spark):
     rows = sharding.plan(spark.range(2400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))).filter("shard = 0").orderBy("slot").collect()
     ids = [r["doc_id"] for r in rows]

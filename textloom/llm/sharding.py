@@ -1,17 +1,18 @@
 """Two-pass external shuffle into shards (operator 8, native).
 
 Pass 1 scatters records by a seeded hash into buckets of about ``bucket_bytes``. Pass 2
-shuffles each bucket by Fisher-Yates (Spark's seeded ``shuffle`` of an array, here of the
-places in the bucket) and deals the buckets, one after the other, round robin over the
-shards (law ``rows``: shard sizes differ by one row at most). ``plan`` says where each
-record goes and ``deal`` hands out the records themselves; both use the same key, so they
-agree. Rows of ``deal`` lie bucket by bucket in shuffled order, and are written so.
+reads a bucket as one partition, puts its records in the order of their keys, shuffles them by
+Fisher-Yates (Spark's seeded ``shuffle`` of an array) and deals the buckets, one after the
+other, round robin over the shards (law ``rows``: shard sizes differ by one row at most).
+``plan`` says where each record goes and ``deal`` hands out the records themselves; both use
+the same key, so they agree. Rows of ``deal`` lie bucket by bucket in shuffled order, and are
+written so.
 
 The key of a record is 128 bits of a hash of all its columns, with a number for each copy of
 a repeated record. So copies, however many, are scattered like other records, and ties are
-equal in every column. The swaps of a bucket depend on the seed, on the number of shuffle
-partitions and on the sizes of the buckets, but on no row order: a bucket that is made again
-after a lost executor comes out in the same order.
+equal in every column. The swaps of a bucket depend on the seed, its number and its size, but on
+no setting and no row order: a bucket that is made again after a lost executor comes out in
+the same order.
 
 Nulls: a null text has size 8 and the crc32 of no bytes; a null id is a value like any
 other. Very long texts fill a bucket of their own size. An empty table gives an empty
@@ -59,18 +60,20 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _places(rows: DataFrame, n_shards: int, seed: int, bucket_bytes: int) -> DataFrame:
-    """(row, size, bucket, place, shard, slot) of rows that have size, a and b."""
+    """(row, size, bucket, place, shard, slot) of rows that have size, a and b.
+
+    Partition and bucket are one, so that the draws of a bucket come from the seed and its number alone.
+    """
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_buckets = max(1, -(-total // bucket_bytes))
-    rows = _numbered(rows).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "a", "b", "copy"), F.lit(n_buckets)))
+    rows = _numbered(rows).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "a", "b", "copy"), F.lit(n_buckets)).cast("int"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # a row a bucket
-    starts = counts.select("bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_turn = starts.repartition(parts, "bucket").sortWithinPartitions("bucket")  # the draws go on from bucket to bucket
-    swapped = in_turn.select(F.col("bucket").alias("of"), "start", F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(seed)).alias("swapped"))
-    at = rows.withColumn("pos", (F.row_number().over(W.partitionBy("bucket").orderBy("a", "b", "copy")) - 1).cast("int"))
-    at = at.join(swapped, F.col("bucket") == F.col("of")).select("row", "size", "bucket", (F.col("start") + F.col("swapped")[F.col("pos")]).alias("place"))
+    starts = counts.select(F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    held = rows.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("a", "b", "copy", "size", "row"))).alias("records"))
+    shuffled = held.join(F.broadcast(starts), F.col("bucket") == F.col("of")).select("bucket", "start", F.shuffle("records", F.lit(seed)).alias("records"))  # starts: a row for each ``bucket_bytes``
+    at = shuffled.select("bucket", "start", F.posexplode("records").alias("pos", "record"))
+    at = at.select("record.row", "record.size", "bucket", (F.col("start") + F.col("pos")).alias("place"))
     return at.withColumns({"shard": F.pmod("place", F.lit(n_shards)).cast("int"), "slot": F.floor(F.col("place") / n_shards).cast("long")})
 
 
@@ -86,5 +89,5 @@ def deal(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: int
     """The records themselves with their shard and slot, each bucket in shuffled order."""
     names = {c: f"input_{c}" if c in ("shard", "slot") else c for c in docs.columns}
     row = F.struct(*(F.col(f"`{c}`").alias(name) for c, name in names.items()))
-    out = _places(_keyed(docs, row, text_col), n_shards, seed, bucket_bytes).sortWithinPartitions("bucket", "place")
+    out = _places(_keyed(docs, row, text_col), n_shards, seed, bucket_bytes)
     return out.select(*(F.col("row").getField(name).alias(name) for name in names.values()), "shard", "slot")
