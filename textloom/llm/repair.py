@@ -158,8 +158,9 @@ def _pieces(marked: DataFrame) -> DataFrame:
                 here["last"] = initial
                 in_piece += 1
                 here["n"] += 1
-                fault = "x" if fault == "x" or again else fault
-                here["blank" if fault == "x" and not again else "duplicate"] += fault == "x"
+                here["blank"] += fault == "x"
+                here["duplicate"] += again and fault != "x"
+                fault = "x" if again else fault
                 here["truncated"] += fault == "t"
                 piece.append(len(rows) - 1)
                 number.append(in_piece)
