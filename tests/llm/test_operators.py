@@ -213,6 +213,14 @@ def test_resolve_clashes_repeats_and_empty_tables(spark):
     assert media.resolve(seqs.limit(0), store, "text").count() == 0 and media.resolve(seqs, store.limit(0), "text").count() == 6
 
 
+def test_the_least_of_equal_digests_counts(spark):
+    pages = spark.createDataFrame([(1, '<img src="media:sha256/aa"><p>b<img src="media:sha256/bb" alt="zwei"><img src="media:sha256/aa" alt="drei">')], "id long, html string")
+    store = spark.createDataFrame([("aa", n, f"v{n}") for n in (9, 4, 7, 4, 30)] * 10 + [("bb", 1, "w")], "digest string, rank int, value string")
+    for parts in (1, 2, 5, 8):
+        rows = media.resolve(media.sequences(pages, "id", "html"), store.repartition(parts), "rank", "value").orderBy("pos").collect()
+        assert [(r["kind"], r["caption"], r["rank"], r["value"]) for r in rows] == [("img", None, 4, "v4"), ("text", None, None, None), ("img", "zwei", 1, "w"), ("img", "drei", 4, "v4")]
+
+
 # 3 License scans
 def test_license_base_places_match_brute_force(spark):
     rng = random.Random(1)
@@ -687,6 +695,16 @@ def test_a_value_without_a_target_is_not_drawn(spark):
     assert rows["b"]["weight"] < 1e-9 and rows["a"]["weight"] * 50 == pytest.approx(rows[None]["weight"] * 30, rel=1e-5)
 
 
+def test_targets_that_cannot_be_met_stand_in_the_rows(spark):
+    given = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "value string, share double"), "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "value string, share double")}
+    cells = {("a", "x", "t"): 1000, ("b", "y", "t"): 1000}
+    rows = mixing.mix(cell_docs(spark, cells), topic_col="topic", targets=given).collect()
+    assert {r["weight_error"] > 0.1 for r in rows} == {True} and len({r["weight_error"] for r in rows}) == 1
+    grid = {(s, x, "t"): 1000 for s in "ab" for x in "xy"}
+    met = mixing.mix(cell_docs(spark, grid), topic_col="topic", targets=given).first()
+    assert met["weight_error"] <= 2e-6
+
+
 def test_mixing_keeps_columns_of_any_name(spark):
     docs = table(spark, ["some words"] * 5).withColumnRenamed("shard", "__source").withColumnRenamed("kept", "tokens").withColumnRenamed("slot", "row")
     assert {(r["__source"], r["tokens"], r["row"]) for r in mixing.keep_drawn(docs, mixing.Mix(budget=1.0)).collect()} == {("clash", "clash", "clash")}

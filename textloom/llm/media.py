@@ -10,7 +10,7 @@ payload, whole files are kept, and the samples are read back from the stored fil
 
 Nulls: a null page has no parts and a null text is the empty text. A reference whose digest
 is not in the store, or that has none, resolves to null; parts without a digest take no part
-in the join, so they gather nowhere. Of store rows with one digest one counts. A store
+in the join, so they gather nowhere. Of store rows with one digest the least counts. A store
 column called like a column of the parts comes back with media_ before its name. Equal
 texts share one stored payload. Very long texts are stored whole. Empty tables give empty
 results. Only named columns are read, so other columns cannot clash.
@@ -105,7 +105,7 @@ def attach(refs: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
 def resolve(seqs: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
     """One row a part, with the store's ``columns`` for its digest; (id, pos) is the order."""
     parts = seqs.select("id", F.explode("parts").alias("part")).select("id", "part.*").select("id", "pos", "kind", "text", "digest", "caption")
-    one = store.filter("digest is not null").groupBy("digest").agg(F.first(F.struct(*columns)).alias("held"))
+    one = store.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(*columns)).alias("held"))
     # The join deals the digests anew, so that the references of a hot one can be split.
     one = one.select(F.concat("digest", F.lit("")).alias("digest"), *(F.col("held").getField(c).alias(c) for c in columns))
     found = attach(parts.filter("digest is not null"), one, *columns)

@@ -8,8 +8,9 @@ tables (value, share), one a dimension; a value that such a table lacks has shar
 probabilities are raked likewise, to the same shares of the ``budget``: cells at probability
 one stay there and the others make up for them. What a value has too few tokens for, even
 with all of them drawn, goes to the other values of its dimension in proportion to their
-targets. An error that no sweep can lessen is logged, or raised if ``strict``. Each row is
-drawn by a seeded hash of its id and text.
+targets. An error that no sweep can lessen stands in every row (``weight_error``,
+``probability_error``: the largest relative error of a marginal), is logged, or raised if
+``strict``. Each row is drawn by a seeded hash of its id and text.
 
 The topic is told by the form of a text (fragment, table, shout, noise, long, prose)
 unless a column is named. Cells are summed before they are moved; the raking works on
@@ -234,19 +235,21 @@ def fitted(found: DataFrame, cfg: Mix) -> tuple[DataFrame, dict[str, float]]:
 
 
 def drawn(rows: DataFrame, cfg: Mix, targets: Targets | None = None) -> DataFrame:
-    """``rows`` with weight, probability and sampled of their cell."""
-    found = settle(fitted(cells_of(rows, targets), cfg)[0]).select(*(F.col(d).alias(f"c_{d}") for d in DIMS), F.col("factor").alias("weight"), "probability")
+    """``rows`` with weight, probability and sampled of their cell, and the errors that the raking left."""
+    made, errors = fitted(cells_of(rows, targets), cfg)
+    found = settle(made).select(*(F.col(d).alias(f"c_{d}") for d in DIMS), F.col("factor").alias("weight"), "probability")
     cells = F.broadcast(found) if found.count() <= cfg.broadcast_cells else found
     on = [rows[d].eqNullSafe(found[f"c_{d}"]) for d in DIMS]
     keep = (F.col("tokens") == 0) | F.coalesce(F.col("draw") < F.col("probability"), F.lit(True))
-    return rows.join(cells, on, "left").drop(*(f"c_{d}" for d in DIMS)).withColumn("sampled", keep)
+    left = {f"{name}_error": F.lit(errors.get(name, 0.0)) for name in ("weight", "probability")}
+    return rows.join(cells, on, "left").drop(*(f"c_{d}" for d in DIMS)).withColumns({"sampled": keep, **left})
 
 
 def mix(docs: DataFrame, cfg: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: Targets | None = None) -> DataFrame:
-    """Per row: doc_id, source, lang, topic, tokens, weight, probability, sampled."""
+    """Per row: doc_id, source, lang, topic, tokens, weight, probability, sampled, weight_error, probability_error."""
     used = docs.select(*dict.fromkeys(c for c in (id_col, text_col, source_col, lang_col, topic_col) if c))
     rows = measured(used, cfg, id_col, text_col, source_col, lang_col, topic_col).select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), *DIMS, "tokens", "draw")
-    return drawn(settle(rows), cfg, targets).select("doc_id", *DIMS, "tokens", "weight", "probability", "sampled")  # the texts are read once
+    return drawn(settle(rows), cfg, targets).select("doc_id", *DIMS, "tokens", "weight", "probability", "sampled", "weight_error", "probability_error")  # the texts are read once
 
 
 def keep_drawn(docs: DataFrame, cfg: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: Targets | None = None) -> DataFrame:
