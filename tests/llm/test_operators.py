@@ -80,6 +80,55 @@ def test_site_tree_judges_marked_branches(spark):
     assert "Folgen" in sitetree.extract(copies.union(copies).union(copies).union(copies)).first()["text"]
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 9, 20, 200])
+def test_marked_articles_on_series_of_pages(spark, n):
+    """Varying text beside the article goes, and its shared heading stays, on however many pages; what the tree knows to be shared goes."""
+    page = "<body><article><h1>Weekly report</h1><p>wort{0} erster Absatz</p><p class=n>Write to us</p></article><div class=x7><p>Read next: other story {0}</p></div><div class=who><p>Author {0} lives in {0}</p></div>"
+    pages = spark.createDataFrame([(i, "https://site.example/p", page.format(i)) for i in range(n)], "page_id long, url string, html string")
+    own = "" if n >= 9 else "\n\nWrite to us"
+    assert {r["page_id"]: r["text"] for r in sitetree.extract(pages).collect()} == {i: f"Weekly report\n\nwort{i} erster Absatz{own}" for i in range(n)}
+
+
+def brute_text(html, known, threshold=0.3, prior=2):
+    """The choice of blocks as the docstrings state it, block by block."""
+    blocks = [b for b in sitetree.parse(html).blocks if not b.noise]
+
+    def belief(path, leaf, says):
+        value, on = known.get((path, leaf), (1.0, 1))
+        return (value * (on - 1) + says * prior) / (on + prior - 1)
+
+    mass = {}
+    for b in blocks:
+        says = 1 if b.marked else 0.5
+        if belief(b.path, True, says) >= threshold or b.marked and b.heading:
+            key = "marked" if b.marked else b.parent
+            mass.setdefault(key, []).append((len(b.text) - b.links) * (prior if b.marked else belief(b.parent, False, says)))
+    main = max(mass, key=lambda k: sum(mass[k]), default=None)
+    if main == "marked":
+        return "\n\n".join(b.text for b in blocks if b.marked and (b.heading or belief(b.path, True, 1) >= threshold))
+    return "\n\n".join(b.text for b in blocks if belief(b.path, True, 0.5) >= threshold and ((not b.marked and b.parent == main) or b.links < 0.8 * len(b.text)))
+
+
+def test_texts_match_a_brute_force_choice_and_the_tree_changes_them(spark):
+    rng = random.Random(8)
+
+    def block(i):
+        text = rng.choice(["Immer gleich und lang genug", "oft gleich", f"eigen {i} {rng.random()}"])
+        return rng.choice([f"<p class=c{rng.randrange(3)}>{text}</p>", f"<div class=d><a href=x>{text}</a></div>", f"<h2>{text}</h2>", f"<p>{text}"])
+
+    pages = []
+    for i in range(120):
+        inner = "".join(block(i) for _ in range(rng.randrange(1, 5))) + "<p class=legal>Alle Rechte vorbehalten</p>" * rng.randrange(2)
+        main = f"<article>{inner}</article>" if i % 3 else f"<div class=body>{inner}</div>"
+        pages.append((i, f"https://h{i % 4}.example/p", f"<body>{block(i)}{main}<div class=end>{block(i)}</div>"))
+    known = brute_importances([(f"h{i % 4}.example", html) for i, _, html in pages])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {i: brute_text(html, {(p, leaf): v for (h, p, leaf), v in known.items() if h == f"h{i % 4}.example"}) for i, _, html in pages}
+    for paths in (1 << 17, 0):
+        assert {r["page_id"]: r["text"] for r in sitetree.extract(df, broadcast_paths=paths).collect()} == want
+    assert sum(brute_text(html, {}) != want[i] for i, _, html in pages) > 30
+
+
 def test_teaser_articles_do_not_hide_the_main_text(spark):
     page = "<body><div class=text><p>{0} Absatz mit vielen eigenen Wörtern, die nur auf dieser Seite stehen</p></div><article><p>Lesen Sie auch: Lösungen</p></article>"
     pages = spark.createDataFrame([(i, "https://site.example/p", page.format(f"wort{i}")) for i in range(8)], "page_id long, url string, html string")

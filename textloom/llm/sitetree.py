@@ -57,6 +57,7 @@ class Block:
     marked: bool  # inside the branch that the page marks as its article
     noise: bool
     links: int = 0
+    heading: bool = False
 
 
 #: (path, leaf) to importance and number of pages; a path that is not in it is on one page.
@@ -105,7 +106,7 @@ def parse(html: str | None) -> Page:
         parts.clear()
         if text:
             _, path, parent, noise, marked, _, header, heading = stack[-1]
-            page.blocks.append(Block(path, parent, text, marked, noise or header and not heading, links))
+            page.blocks.append(Block(path, parent, text, marked, noise or header and not heading, links, heading))
         links = 0
 
     for kind, tag, rest in markup.events(html or ""):
@@ -145,22 +146,30 @@ def main_text(page: Page, tree: Tree, threshold: float = 0.3, prior: float = 2.0
     """The article: blocks outside named noise whose importance is not low.
 
     The markup weighs as much as ``prior`` further pages: inside the marked branch it says
-    important, beside it unimportant. Where the main branch is not marked, it says neither.
+    important, beside it unimportant. Where the marked branch is the main one the text is taken from it
+    alone, as text beside it may differ on every page and still be teasers or notes on authors; its headings
+    stay, as the pages of a series may share them. Where the main branch is not marked, the
+    markup says neither.
     """
 
     def belief(path: int, leaf: bool, says: float) -> float:
         importance, on = tree.get((path, leaf), (1.0, 1))
         return ((on - 1) * importance + prior * says) / (on - 1 + prior)
 
+    def stays(b: Block, says: float) -> bool:
+        return b.marked and b.heading or belief(b.path, True, says) >= threshold
+
     open_blocks = [b for b in page.blocks if not b.noise]
     weight: dict[int | None, float] = {}
     for b in open_blocks:
         says = 1.0 if b.marked else 0.5
-        if belief(b.path, True, says) >= threshold:
+        if stays(b, says):
             branch = None if b.marked else b.parent  # marked text is one branch
-            weight[branch] = weight.get(branch, 0.0) + (len(b.text) - b.links) * belief(b.parent, False, says)
+            weight[branch] = weight.get(branch, 0.0) + (len(b.text) - b.links) * (prior if b.marked else belief(b.parent, False, says))
     best = max(weight, key=lambda p: weight[p], default=0)
-    kept = [b for b in open_blocks if belief(b.path, True, 0.5 if best is not None else float(b.marked)) >= threshold]
+    if best is None:
+        return "\n\n".join(b.text for b in open_blocks if b.marked and stays(b, 1.0))
+    kept = [b for b in open_blocks if belief(b.path, True, 0.5) >= threshold]
     return "\n\n".join(b.text for b in kept if (None if b.marked else b.parent) == best or b.links < 0.8 * len(b.text))
 
 
@@ -217,24 +226,35 @@ def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html",
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_paths: int = 1 << 17) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
-    The importances are sent to all tasks if they number at most ``broadcast_paths`` (25
+    The importances are sent to all tasks once if they number at most ``broadcast_paths`` (25
     bytes each). Otherwise they are joined by host and path to the paths of each page.
     """
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for html, found in zip(batch.column(2), batch.column(3), strict=True):
-                columns = [found.values.field(i).to_pylist() for i in range(4)] if found.is_valid else [[]] * 4
-                out.append(main_text(parse(html.as_py()), {(path, leaf): (importance, on) for path, leaf, importance, on in zip(*columns)}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
     found = settle(importances(pages, url_col, html_col))
-    tree = F.collect_list(F.struct("path", "leaf", "importance", "on")).alias("tree")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"), F.xxhash64(html_col).alias("html_key"))
     if found.count() <= broadcast_paths:
-        joined = rows.join(F.broadcast(found.groupBy("host").agg(tree)), ["host"], "left")
+        shared = pages.sparkSession.sparkContext.broadcast(found.select("host", "path", "leaf", "importance", "on").toArrow())
+        trees: dict[str, Tree] = {}
+
+        def tree_of(name: str | None, _) -> Tree:
+            if not trees:
+                trees[""] = {}
+                for of, path, leaf, importance, on in zip(*(c.to_pylist() for c in shared.value.columns), strict=True):
+                    trees.setdefault(of, {})[path, leaf] = (importance, on)
+            return trees.get(name, {})
+
+        joined = rows.select("page_id", "url", "html", "host", F.lit(None).cast("string").alias("own"))
     else:
         own = paths(pages, url_col, html_col).select("host", "html_key", "path", "leaf").distinct().join(found, ["host", "path", "leaf"])
-        joined = rows.join(own.groupBy("host", "html_key").agg(tree), ["host", "html_key"], "left")
-    return joined.select("page_id", "url", "html", "tree").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+        own = own.groupBy("host", "html_key").agg(F.collect_list(F.struct("path", "leaf", "importance", "on")).alias("own"))  # no more than the page has paths
+
+        def tree_of(name: str | None, own: pa.Scalar) -> Tree:
+            return {(x["path"], x["leaf"]): (x["importance"], x["on"]) for x in own.as_py() or []}
+
+        joined = rows.join(own, ["host", "html_key"], "left").select("page_id", "url", "html", "host", "own")
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [main_text(parse(html.as_py()), tree_of(name.as_py(), own)) for html, name, own in zip(*batch.columns[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
