@@ -103,7 +103,7 @@ def brute_text(html, known, threshold=0.3, prior=2):
         if belief(b.path, True, says) >= threshold or b.marked and b.heading:
             key = "marked" if b.marked else b.parent
             mass.setdefault(key, []).append((len(b.text) - b.links) * (prior if b.marked else belief(b.parent, False, says)))
-    main = max(mass, key=lambda k: sum(mass[k]), default=None)
+    main = max(mass, key=lambda k: round(sum(mass[k]), 6), default=None)
     if main == "marked":
         return "\n\n".join(b.text for b in blocks if b.marked and (b.heading or belief(b.path, True, 1) >= threshold))
     return "\n\n".join(b.text for b in blocks if belief(b.path, True, 0.5) >= threshold and ((not b.marked and b.parent == main) or b.links < 0.8 * len(b.text)))
@@ -199,7 +199,7 @@ def brute_importances(pages, damping=0.9):
         elif not leaf:
             continue
         if on > 1:
-            final[host, path, leaf] = value, on
+            final[host, path, leaf] = round(value, 9), on
     return final
 
 

@@ -166,7 +166,7 @@ def main_text(page: Page, tree: Tree, threshold: float = 0.3, prior: float = 2.0
         if stays(b, says):
             branch = None if b.marked else b.parent  # marked text is one branch
             weight[branch] = weight.get(branch, 0.0) + (len(b.text) - b.links) * (prior if b.marked else belief(b.parent, False, says))
-    best = max(weight, key=lambda p: weight[p], default=0)
+    best = max(weight, key=lambda p: round(weight[p], 6), default=0)
     if best is None:
         return "\n\n".join(b.text for b in open_blocks if b.marked and stays(b, 1.0))
     kept = [b for b in open_blocks if belief(b.path, True, 0.5) >= threshold]
@@ -220,7 +220,8 @@ def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     damp = F.pow(F.lit(damping), F.col("children") / F.col("on"))  # by the children on a page
     inner = scored.filter("not leaf").select("host", F.col("path").alias("parent"), "importance", "on").join(under, ["host", "parent"])
     inner = inner.select("host", F.col("parent").alias("path"), F.lit(False).alias("leaf"), ((1 - damp) * F.col("importance") + damp * F.col("mean")).alias("importance"), "on")
-    return leaves.select("host", "path", "leaf", "importance", "on").union(inner).filter("on > 1")
+    # Rounded, so that the order of summing decides no tie.
+    return leaves.select("host", "path", "leaf", "importance", "on").union(inner).filter("on > 1").withColumn("importance", F.round("importance", 9))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_paths: int = 1 << 17) -> DataFrame:
