@@ -170,7 +170,8 @@ def brute_importances(pages, damping=0.9):
         page = sitetree.parse(html)
         blocks = [b for b in page.blocks if not b.noise]
         inner = {b.parent for b in blocks}
-        trees[host, tuple(b.text for b in blocks)] = {(b.path, b.parent, True, b.text) for b in blocks} | {(p, p, False, s) for p, s in page.styles if p in inner}
+        nodes = {(b.path, b.parent, True, b.text) for b in blocks} | {(p, p, False, s) for p, s in page.styles if p in inner}
+        trees.setdefault((host, tuple(b.text for b in blocks)), set()).update(nodes)
     where = {}
     for (host, says), nodes in trees.items():
         for path, parent, leaf, content in nodes:
