@@ -1,0 +1,106 @@
+"""Indexes and tables that are kept in a folder: built in batches, changed, compacted, searched."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from textloom.operators import postings, vectors
+from textloom.plans import retrieve
+from textloom.plans.book import Book, Tables
+from textloom.plans.streams import stream
+from textloom.session import remove, settle, shared_folder
+
+book = Book()
+BUCKETS = 8
+
+
+@contextmanager
+def folder(t: Tables) -> Iterator[str]:
+    """A folder of its own in the shared one, gone afterwards."""
+    at = f"{shared_folder(t.spark)}/kept-{uuid.uuid4().hex}"
+    try:
+        yield at
+    finally:
+        remove(t.spark, at)
+
+
+def inserts(t: Tables) -> DataFrame:
+    return t.documents.filter("text is not null").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("seq"), F.lit("insert").alias("op"), "text")
+
+
+def appended(t: Tables, at: str) -> postings.Index:
+    """The documents brought in by two batches, the second one delivered twice."""
+    index = postings.Index(t.spark, at, BUCKETS)
+    rows = inserts(t)
+    for number, part in ((0, rows.filter("id % 3 > 0")), (1, rows.filter("id % 3 = 0")), (1, rows.filter("id % 3 = 0"))):
+        index.apply(part, number)
+    return index
+
+
+@book.query("L07_kept_bm25", f"WITH {retrieve.BM25} SELECT doc_id, score FROM bm25 WHERE score > 0")
+def kept_bm25(t):
+    """BM25 from the buckets of the asked terms; the corpus is not counted again."""
+    with folder(t) as at:
+        return settle(appended(t, at).bm25(retrieve.QUERY.split(" ")).filter("score > 0").select(F.col("id").alias("doc_id"), "score"))
+
+
+@book.query("I18_appended_index", f"WITH {retrieve.BM25} SELECT t, df FROM dfs")
+def appended_index(t):
+    with folder(t) as at:
+        return settle(appended(t, at).vocabulary())
+
+
+#: What the documents are after the changes of ``changed``.
+CHANGED = "now AS (SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'wieder da ' || text WHEN doc_id % 5 = 1 THEN text || ' the of neu' ELSE text END AS text FROM documents WHERE text IS NOT NULL AND (doc_id % 7 <> 0 OR doc_id % 14 = 0))"
+
+
+def changed(t: Tables, at: str) -> postings.Index:
+    """Inserts as a stream, then updates and deletes, compaction in between, then texts that come back."""
+    index = postings.Index(t.spark, f"{at}/index", BUCKETS)
+    stream(t, "documents").select("doc_id", "text").writeStream.foreachBatch(index.appender()).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows, next_batch = inserts(t), max(index.batches()[1]) + 1
+    more = rows.filter("id % 5 = 1").select("id", F.lit(1).cast("long").alias("seq"), F.lit("update").alias("op"), F.concat("text", F.lit(" the of neu")).alias("text"))
+    gone = rows.filter("id % 7 = 0").select("id", F.lit(2).cast("long").alias("seq"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"))
+    index.apply(more.union(gone), next_batch)
+    index.compact()
+    back = rows.filter("id % 14 = 0").select("id", F.lit(3).cast("long").alias("seq"), F.lit("insert").alias("op"), F.concat(F.lit("wieder da "), "text").alias("text"))
+    for _ in range(2):  # delivered twice
+        index.apply(back, next_batch + 1)
+    index.apply(more, next_batch)  # and one that the compaction has folded in
+    return index
+
+
+@book.query("O03_changed_index", f"WITH {CHANGED}, {retrieve.BM25.replace('FROM documents', 'FROM now')} SELECT doc_id, score FROM bm25")
+def changed_index(t):
+    with folder(t) as at:
+        return settle(changed(t, at).bm25(retrieve.QUERY.split(" ")).select(F.col("id").alias("doc_id"), "score"))
+
+
+@book.query("O02_incremental_index", f"SELECT doc_id, count(DISTINCT t) AS n_terms FROM (SELECT doc_id, unnest({retrieve.SQL_TERMS}) AS t FROM documents) GROUP BY doc_id")
+def incremental_index(t):
+    """Documents arrive as a stream; each batch adds its postings to the index."""
+    with folder(t) as at:
+        index = postings.Index(t.spark, f"{at}/index", BUCKETS)
+        stream(t, "documents").select("doc_id", "text").writeStream.foreachBatch(index.appender()).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+        return settle(index.table("postings").groupBy(F.col("id").alias("doc_id")).agg(F.sum("sign").alias("n_terms")))
+
+
+NEAREST = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_dot_product(a.v, b.v), 9) AS score FROM u a, u b WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM s)
+SELECT query, id, rank FROM r WHERE rank <= 10"""
+
+
+@book.query("L05_indexed_search", NEAREST)
+def indexed_search(t):
+    """The ten nearest of every twentieth vector, by cells; cells that the bounds rule out are not read."""
+    with folder(t) as at:
+        index = vectors.Index(t.spark, at)
+        index.build(t.embeddings, cells=32)
+        found = index.search(t.embeddings.filter("vec_id % 20 = 0"), 10, probes=8, exact=True)
+        return settle(found.select("query", "id", "rank"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 from html import escape
 
@@ -22,8 +21,6 @@ from textloom.plans import corpus as P
 from textloom.plans.book import Book
 from textloom.plans.corpus import CHATS, CHUNKS, MESSAGES, chats, chunks, messages, sql
 from textloom.sources import dom, importers
-from textloom.session import shared_folder
-from textloom.streaming import events as E
 
 book = Book()
 
@@ -243,16 +240,6 @@ def token_stream(t):
     return pieces.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
 
 
-@book.query("O02_incremental_index", f"SELECT doc_id, count(DISTINCT t) AS n_terms FROM (SELECT doc_id, unnest({retrieve.SQL_TERMS}) AS t FROM documents) GROUP BY doc_id")
-def incremental_index(t):
-    """Documents arrive as a stream; each batch adds its postings to the index."""
-    from textloom.plans.streams import stream
-
-    at = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
-    stream(t, "documents").select("doc_id", "text").writeStream.foreachBatch(E.index_appender(at)).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(at).groupBy("doc_id").agg(F.count("*").alias("n_terms"))
-
-
 @book.query("O07_verdict_cache", "SELECT h FROM (SELECT md5(source || lang) AS h, min(doc_id) AS f FROM documents GROUP BY 1) ORDER BY f DESC, h LIMIT 50")
 def verdict_cache(t):
     """What a cache of fifty verdicts with eviction by first entry holds at the end."""

@@ -16,11 +16,12 @@ book = Book()
 QUERY = "the thion of ereand"
 WSPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 SQL_TERMS = f"list_filter(regexp_split_to_array(lower(text), '{WSPLIT}'), lambda w: w <> '')"
-BM25 = f"""toks AS (SELECT doc_id, {SQL_TERMS} AS w FROM documents WHERE text IS NOT NULL),
-n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks),
-dfs AS (SELECT t, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS t FROM toks) GROUP BY t),
-idf0 AS (SELECT t, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfs, n),
-idf AS (SELECT t, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
+BM25 = f"""toks AS MATERIALIZED (SELECT doc_id, {SQL_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+n AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks),
+dfs AS MATERIALIZED (SELECT t, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS t FROM toks) GROUP BY t),
+idf0 AS MATERIALIZED (SELECT t, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfs, n),
+mean AS MATERIALIZED (SELECT avg(idf) AS mean FROM idf0),
+idf AS MATERIALIZED (SELECT t, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM idf0, mean),
 q AS (SELECT unnest(string_split('{QUERY}', ' ')) AS t),
 tf AS (SELECT doc_id, t, count(*) AS f FROM (SELECT doc_id, unnest(w) AS t FROM toks) JOIN (SELECT DISTINCT t FROM q) USING (t) GROUP BY doc_id, t),
 bm25 AS (SELECT doc_id, round(sum(idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(w) / avgdl))), 6) AS score FROM tf JOIN q USING (t) JOIN idf USING (t) JOIN toks USING (doc_id), n GROUP BY doc_id)"""

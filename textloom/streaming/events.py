@@ -1,4 +1,4 @@
-"""Event streams: windowed counts, call statistics, dialogue state, incremental index.
+"""Event streams: windowed counts, call statistics, dialogue state.
 
 Every function takes a streaming (or static) DataFrame and gives one; sinks are the caller's.
 """
@@ -6,15 +6,13 @@ Every function takes a streaming (or static) DataFrame and gives one; sinks are
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textloom.operators import ranking as R
-
 TURN_CAP = 50
 
 
@@ -49,15 +47,6 @@ def dialogue_state(turns: DataFrame, cap: int = TURN_CAP) -> DataFrame:
     return turns.select("conv_id", "role").groupBy("conv_id").applyInPandasWithState(step, "conv_id long, kept long, user_turns long", "kept long, users long", "update", GroupStateTimeout.NoTimeout)
 
 
-def index_appender(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that adds the postings of new documents; a batch that is run again replaces itself."""
-
-    def append(batch: DataFrame, number: int) -> None:
-        R.postings(batch, "doc_id", "text").write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return append
-
-
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Everything a stream holds now, by way of a memory table."""
     spark = SparkSession.active()
