@@ -138,3 +138,13 @@ def test_sentences_and_words(spark):
     found = one(spark, T.sentences(F.lit("Dr. Meier kam z.B. heute. Er ging. Am 3. Mai! Gut so?")))
     assert found == ["Dr. Meier kam z.B. heute.", "Er ging.", "Am 3. Mai!", "Gut so?"]
     assert one(spark, T.words(F.lit("Бронзово-Острое, Haus!"))) == ["бронзово-острое", "haus"]
+
+
+def test_words_of_analyses_are_no_authors(spark):
+    """Read off the list of the words by hand, not from the library."""
+    none = "Die Demontage Exklusion Verklärung Verdichtung Zertrümmerung Entgrenzung Expansion Entwertung Redefinition Subsumption Imperativ Appell Vision Prophetie Polemik Polemischer Agency Responsive Keim Vorbereitung Hegemonie Imperialer Wendung Gedichts Stile Texten Werke Dichters Perioden Stadien Schritte Identifikation Klassifikation Radikalisierung Eskalation Konstitution Dekonstruktion Dispersion Genealogie Kontinuität Stabilität Variabilität Validierung Falsifikation Adjudikation Gegenposition Bestätigung Reimes Wertes Fremdwörter TTR DESTILLATION Vergleichstabelle Blo Celans AufSicht Чёрная".split()
+    some = "Blok Mandelstam Achmatowa Пушкин Маяковский Толстой Tsvetaeva".split()
+    rows = spark.createDataFrame([(x,) for x in none + some], "name string").select("name", metaruns.likely_author(F.col("name")).alias("a"), metaruns.likely_lab_author(F.col("name")).alias("b")).collect()
+    assert [r["name"] for r in rows if r["a"]] == some
+    lab = {r["name"] for r in rows if r["b"]}
+    assert {"Verdichtung", "Celans", "AufSicht", "Blok"} <= lab and not {"Quelle", "Reimes", "DESTILLATION", "Blo"} & lab

@@ -20,12 +20,31 @@ AUTHORS = {
 # Words that look like names and are none.
 NO_NAMES = tuple(
     """Die Der Das Ein Eine Keine Seine Ihre Diese Jede Alle Auch Dabei Zudem Hierbei Welche Während Weder Wenige Manche Eigene
-    Quelle Beweisführung Hypothese Dominante Operation Vers Satz Stil Grundoperation Kennzahl Kennzahlen Vergleich Kernhypothese Synthese Analyse
-    Ergebnis Übersetzung Original Text Werk Form Lösung Inhalt Weg Wort Reim Rhythmus Klang Bild Kraft Stimme Fluss Grund Sinn Art Weise
-    Mittel Werkzeug Zeichen Ausdruck Wirkung Natur Seele Geist Welt Raum Zeit Sprache Dichtung Poesie Lyrik Epik Morphologie Lexik Syntax
-    Enjambement Satzlänge Komposita Kompositum Fremdwort Hotspot Statistik Verfahren Prinzip Methode Technik Strategie Haltung Position Perspektive
-    Ansatz Modus Funktion Rolle Wert Bedeutung Effekt Charakter Typus Profil Muster Struktur Spannung Kontrast Differenz Beziehung
-    Gedicht Autor Autoren Dichter Lyriker Phase Periode Stadium Stufe Schritt Interpretation Untersuchung Transformation Entwicklung""".split()
+    Quelle DESTILLATION Beweisführung Hypothese Dominante Operation Vers Satz Stil Grundoperation Kennzahl Kennzahlen Vergleich
+    Kernhypothese Synthese Analyse Ergebnis Übersetzung Original Originals Text Werk
+    Form Lösung Inhalt Inhalts Weg Wort Reim Rhythmus Klang Bild Kraft Stimme Flusses Fluss Grund Sinn Art Weise
+    Mittel Werkzeug Zeichen Ausdruck Wirkung Natur Seele Geist Welt Raum Zeit Sprache Dichtung Poesie Lyrik Epik
+    Morphologie Morphologische Lexik Syntax Enjambement TTR Satzlänge Satzlängen Komposita Kompositum Fremdwort Fremdwörter
+    Hotspot Statistik Vergleichstabelle
+    Verfahren Prinzip Methode Technik Strategie Haltung Position Perspektive Ansatz Modus Funktion Rolle Wert Bedeutung Effekt
+    Charakter Typus Profil Muster Struktur Spannung Kontrast Differenz Beziehung Homers
+    Demontage Gemeinschaftsbildung Machtdemonstration Selbstexpansion Mobilisierung Exklusion Verklärung Verdichtung Fragmentierung
+    Zertrümmerung Entgrenzung Transzendierung Expansion Diskreditierung Delegitimierung Entwertung Redefinition Rekonfiguration
+    Subsumption Imperativ Imperativbildung Appell Vision Visionär Prophetie Prophezeiung Polemik Polemische Polemischer
+    Agency Intentional Intentionale Intentionaler Responsiv Responsive Entbündelnd Entbündelnde Entbündelnder Keim Keime Vorbereitung
+    Hegemonie Hegemoniale Imperiale Imperialer Wendung Entwicklung Transformation
+    Gedicht Gedichts Gedichte Stils Stile Texte Texten Werks Werke Autor Autors Autoren Dichter Dichters Lyriker Lyrikers
+    Phase Phasen Periode Perioden Stadium Stadien Stufe Stufen Schritt Schritte
+    Identifikation Identifizierung Klassifikation Kategorisierung Interpretation Untersuchung Vergleichs Radikalisierung Eskalation
+    Konstitution Konstruktion Dekonstruktion Dispersion Genealogie Kontinuität Stabilität Instabilität Variabilität
+    Validierung Falsifikation Verifikation Adjudikation Gegenposition Bestätigung""".split()
+)
+# The shorter list of the style laboratory.
+NO_LAB_NAMES = tuple(
+    """Quelle DESTILLATION Beweisführung Hypothese Dominante Operation Vers Satz Stil Grundoperation Kennzahl Vergleich Synthese
+    Übersetzung Original Originals Text Werk Form Lösung Inhalt Wort Reim Rhythmus Klang Bild Kraft Stimme Grund Sinn
+    Sprache Dichtung Poesie Lyrik Epik Morphologie Enjambement Komposita
+    Verfahren Prinzip Methode Technik Strategie Haltung Position Modus Funktion Charakter Homers""".split()
 )
 NO_SURNAME_ENDINGS = ("ая", "яя", "ое", "ее", "ого", "его", "ому", "ему", "ыми", "ими")
 UPPER, LOWER = "\\p{Lu}", "\\p{Ll}"
@@ -91,11 +110,20 @@ def core_hypothesis(text: Column) -> Column:
     return F.try_element_at(F.filter(parts, lambda p: (p != "") & ~p.rlike(rf"(?i)^\s*{marker}\s*$") & ~p.rlike(r"^#{1,6}\s")), F.lit(1))
 
 
+def genitive_of(name: Column, words: tuple[str, ...]) -> Column:
+    """Whether a name is one of the words with a genitive ending."""
+    return F.endswith(name, F.lit("s")) & (F.regexp_replace(name, "s$", "").isin(*words) | (F.length(name) > 4) & F.regexp_replace(name, "es$", "").isin(*words))
+
+
 def likely_author(name: Column) -> Column:
-    stem = F.regexp_replace(name, "s$", "")
-    genitive = F.endswith(name, F.lit("s")) & (stem.isin(*NO_NAMES) | F.regexp_replace(name, "es$", "").isin(*NO_NAMES) | (F.length(name) <= 6))
+    short = F.endswith(name, F.lit("s")) & (F.length(name) <= 6) & name.rlike(f"^{UPPER}")
     compound = name.rlike("^(?:Auf|Bei|Durch|Für|Gegen|In|Mit|Nach|Über|Um|Unter|Vom|Von|Vor|Zu)[A-ZÄÖÜ][a-zäöüß]+")
-    return (F.length(name) >= 4) & ~name.isin(*NO_NAMES) & ~genitive & ~compound & ~name.rlike(f"(?:{'|'.join(NO_SURNAME_ENDINGS)})$")
+    return (F.length(name) >= 4) & ~name.isin(*NO_NAMES) & ~genitive_of(name, NO_NAMES) & ~short & ~compound & ~name.rlike(f"(?:{'|'.join(NO_SURNAME_ENDINGS)})$")
+
+
+def likely_lab_author(name: Column) -> Column:
+    """As ``likely_author``, by the shorter list and the genitive alone."""
+    return (F.length(name) >= 4) & ~name.isin(*NO_LAB_NAMES) & ~genitive_of(name, NO_LAB_NAMES)
 
 
 def canonical(name: Column) -> Column:

@@ -124,7 +124,7 @@ def source_authors(t):
     return found.groupBy("source").agg(F.min_by("author", F.struct("priority", "doc_id", "pos")).alias("author"))
 
 
-NAMES = ["Blok", "Synthese", "Texts", "AufSicht", "Mandelstam", "Die", *(way for ways in M.AUTHORS.values() for way in ways)]
+NAMES = ["Blok", "Synthese", "Texts", "AufSicht", "Mandelstam", "Die", "Verdichtung", "Imperativs", "Stabilität", "Wertes", "Reimes", "Celans", *(way for ways in M.AUTHORS.values() for way in ways)]
 SQL_NAMES = f"WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-ZÄÖÜ][a-zäöüß]+')) AS name FROM documents UNION SELECT unnest({NAMES}))"
 
 
@@ -140,11 +140,15 @@ AND NOT regexp_matches(name, '^(Auf|Bei|Durch|Für|Gegen|In|Mit|Nach|Über|Um|Un
 
 
 @book.query("J57_likely_author", LIKELY)
-@book.query("J60_likely_author_lab", LIKELY)
 def likely_author(t):
     return names(t).select("name", M.likely_author(F.col("name")).alias("likely"))
 
 
+@book.query("J60_likely_author_lab", f"{SQL_NAMES} SELECT name, length(name) >= 4 AND name NOT IN {M.NO_LAB_NAMES} AND NOT (ends_with(name, 's') AND (name[:-2] IN {M.NO_LAB_NAMES} OR length(name) > 4 AND ends_with(name, 'es') AND name[:-3] IN {M.NO_LAB_NAMES})) AS likely FROM names")
+def likely_author_lab(t):
+    return names(t).select("name", M.likely_lab_author(F.col("name")).alias("likely"))
+
+
 FORMS = ", ".join(f"('{way}', '{form}')" for form, ways in M.AUTHORS.items() for way in ways)
 
 
