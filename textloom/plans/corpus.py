@@ -502,12 +502,18 @@ def consecutive_duplicates(t):
     return t.documents.withColumn("before", before).filter("before is null or before <> text").select("doc_id")
 
 
-@book.query("F09_speaker_carry_forward", sql(MESSAGES, "SELECT id, coalesce(last_value(CASE WHEN role = 'user' THEN content[1:5] END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'Unknown') AS speaker FROM messages"))
-@book.query("O05_speaker_state", sql(MESSAGES, "SELECT id, coalesce(last_value(CASE WHEN role = 'user' THEN content[1:5] END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'Unknown') AS speaker FROM messages"))
+SPEAKERS = sql(MESSAGES, "SELECT id, coalesce(last_value(CASE WHEN role = 'user' THEN nullif(regexp_extract(content, '^[^ \\n]+'), '') END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'Unknown') AS speaker FROM messages")
+
+
+def named_speakers(t) -> DataFrame:
+    """Messages with ``said``: the first word of a user turn stands for a speaker that a text names."""
+    return messages(t).withColumn("said", F.when(F.col("role") == "user", F.nullif(F.regexp_extract("content", "^[^ \\n]+", 0), F.lit(""))))
+
+
+@book.query("F09_speaker_carry_forward", SPEAKERS)
 def carry_forward(t):
-    said = F.when(F.col("role") == "user", F.substring("content", 1, 5))
     w = W.partitionBy("chat_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    return messages(t).select("id", F.coalesce(F.last(said, ignorenulls=True).over(w), F.lit("Unknown")).alias("speaker"))
+    return named_speakers(t).select("id", F.coalesce(F.last("said", ignorenulls=True).over(w), F.lit("Unknown")).alias("speaker"))
 
 
 # Sinks as rows

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import postings, vectors
-from textloom.plans import retrieve
+from textloom.plans import corpus, retrieve
 from textloom.plans.book import Book, Tables
 from textloom.plans.streams import stream
 from textloom.session import remove, settle, shared_folder
+from textloom.streaming import events as E
 
 book = Book()
 BUCKETS = 8
@@ -90,6 +91,16 @@ def incremental_index(t):
         return settle(index.table("postings").groupBy(F.col("id").alias("doc_id")).agg(F.sum("sign").alias("n_terms")))
 
 
+@book.query("O05_speaker_state", corpus.SPEAKERS)
+def speaker_state(t):
+    """The same as a stream whose files hold the turns of a chat out of order."""
+    rows = corpus.named_speakers(t).select("chat_id", "id", F.timestamp_seconds(F.col("turn") + 10**9).alias("ts"), "said")
+    end = t.spark.range(1).select(F.lit("").alias("chat_id"), F.lit(-1).cast("long").alias("id"), F.timestamp_seconds(F.lit(2 * 10**9)).alias("ts"), F.lit(None).cast("string").alias("said"))
+    with folder(t) as at:
+        parts = [rows.filter(F.col("id") % 3 == i) for i in (1, 2, 0)] + [end]
+        return settle(E.drain(E.carry_forward(E.replay(parts, f"{at}/turns"), late="1 day"), "append").filter("id >= 0").select("id", "speaker"))
+
+
 NEAREST = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_dot_product(a.v, b.v), 9) AS score FROM u a, u b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM s)

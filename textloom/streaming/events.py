@@ -5,6 +5,8 @@ Every function takes a streaming (or static) DataFrame and gives one; sinks are
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +49,44 @@ def dialogue_state(turns: DataFrame, cap: int = TURN_CAP) -> DataFrame:
     return turns.select("conv_id", "role").groupBy("conv_id").applyInPandasWithState(step, "conv_id long, kept long, user_turns long", "kept long, users long", "update", GroupStateTimeout.NoTimeout)
 
 
+def carry_forward(rows: DataFrame, late: str = "10 minutes", unknown: str = "Unknown") -> DataFrame:
+    """(chat_id, id, speaker): who speaks in each row (chat_id, id, ts, said): ``said`` or the last one said before.
+
+    Rows may come in any order within ``late``: they wait in their chat's state until the watermark
+    has passed them, and are then told in the order of ``ts`` and ``id``. Rows that come later are
+    left out. A chat's state is its last speaker and the rows of one stretch of ``late``.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = json.loads(state.get[0]) if state.exists else (unknown, [])
+        for batch in batches:
+            waiting += [[int(ts.value // 1000), int(i), None if pd.isna(said) else said] for ts, i, said in zip(batch["ts"], batch["id"], batch["said"])]
+        waiting.sort(key=lambda x: x[:2])
+        passed = state.getCurrentWatermarkMs() * 1000
+        out = []
+        while waiting and waiting[0][0] <= passed:
+            _, i, said = waiting.pop(0)
+            last = said or last
+            out.append((key[0], i, last))
+        state.update((json.dumps([last, waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed // 1000) + 1)
+        yield pd.DataFrame(out, columns=["chat_id", "id", "speaker"])
+
+    timed = rows.select("chat_id", F.col("id").cast("long").alias("id"), "ts", "said").withWatermark("ts", late)
+    return timed.groupBy("chat_id").applyInPandasWithState(step, "chat_id string, id long, speaker string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replay(parts: list[DataFrame], path: str) -> DataFrame:
+    """A stream of the parts, each one batch, from files in ``path``."""
+    for number, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{path}/part={number}")
+        if number + 1 < len(parts):
+            time.sleep(1.1)  # files are taken by the time they were written, in whole seconds on some stores
+    spark = parts[0].sparkSession
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Everything a stream holds now, by way of a memory table."""
     spark = SparkSession.active()
