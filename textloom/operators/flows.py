@@ -1,19 +1,22 @@
 """Flows of several model calls: what goes into each call and what becomes of its answer.
 
 A model is a function from the Column of a prompt to the Column of its answer; null stands for
-a call that failed. The calls of a row run where the row lies; no flow moves rows.
+a call that failed. The calls of a row run where the row lies; but for ``last_said`` no flow moves rows.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import judge as J
 from textloom.functions import text as T
+from textloom.session import settle
 
 Model = Callable[[Column], Column]
 
@@ -135,3 +138,70 @@ def vision_call(images: Column, question: Column, origin: Column, instruction: s
 def first_path(setting: Column, default: Column, exists: Column, fallback: str) -> Column:
     """The path of a list: the one that is set, else the default if it is there, else ``fallback``."""
     return F.coalesce(F.when(setting != "", setting), F.when(exists, default), F.lit(fallback))
+
+
+def guarded(df: DataFrame, out: str, said: Column, mode: Column, model: Model, sharper: Model, refusal: str, opening: str = "__START__", echo: float = 0.6) -> DataFrame:
+    """An answer between guards: ``out`` is a struct of answer, route and number of calls.
+
+    A message that says crisis (unless it is the ``opening``) is not answered by the model, and an answer
+    that does is replaced. An answer that repeats the message is asked for once more, sharper;
+    the second one is only guarded against crisis. A failed call gives an empty answer. A null message
+    is empty; the limits depend on the ``mode``.
+    """
+    do = Steps(df)
+    message = do.put(F.coalesce(said, F.lit("")))
+    limit = do.put(J.crisis_threshold(mode))
+    alarm = lambda text: do.put(F.coalesce(J.folded_score(J.crisis_hits(text), limit) >= limit, F.lit(False)))
+    heard = do.put(alarm(message) & (message != opening))
+    first = do.put(F.when(~heard, F.coalesce(model(message), F.lit(""))))
+    answered = alarm(F.coalesce(first, F.lit("")))
+    echoes = lambda answer: F.coalesce(J.echo_overlap(message, answer) >= echo, F.lit(False))
+    again = do.put(~heard & ~answered & echoes(first))
+    second = do.put(F.when(again, F.coalesce(sharper(message), F.lit(""))))
+    worse = alarm(F.coalesce(second, F.lit("")))
+    route = F.when(heard, "crisis in message").when(answered, "crisis in answer").when(worse, "crisis in second answer").when(again & echoes(second), "still an echo").when(again, "second answer").otherwise("answer")
+    answer = F.when(heard | answered | worse, refusal).otherwise(F.coalesce(second, first))
+    return do.done(out, F.struct(answer.alias("answer"), route.alias("route"), F.when(heard, 0).when(again, 2).otherwise(1).alias("calls")))
+
+
+def last_said(turns: DataFrame, chat: str = "chat_id", turn: str = "turn", role: str = "role", content: str = "content") -> DataFrame:
+    """``turns`` with ``said``: the user turn before each turn, wherever other turns stand between them."""
+    before = W.partitionBy(chat).orderBy(turn).rowsBetween(W.unboundedPreceding, -1)
+    return turns.withColumn("said", F.last(F.when(F.col(role) == "user", F.col(content)), ignorenulls=True).over(before))
+
+
+def phases(drafts: DataFrame, draft: str, n_sources: Column, go_on: Model, correct: Callable[[Column, Column], Column], errors: Callable[[Column], Column], rounds: int = 2) -> DataFrame:
+    """Drafts brought to an end: ``draft`` is replaced, ``continued`` and ``corrected`` say in how many rounds.
+
+    A draft that breaks off goes on from its last whole paragraph, at most ``rounds`` times; one with
+    ``errors`` (a list) is corrected until none are left, at most ``rounds`` times, and a correction
+    that loses a fifth of the length or the last source's heading is refused, which ends
+    the attempts. Only unfinished drafts are worked on; the lineage is cut after every round.
+    """
+    todo = drafts.withColumns({"continued": F.lit(0), "corrected": F.lit(0)})
+    done: list[DataFrame] = []
+
+    def loop(todo: DataFrame, name: str, finished: Callable[[DataFrame], Column], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        done.clear()
+        for _ in range(rounds):
+            held = settle(todo.withColumn("__end", F.coalesce(finished(todo), F.lit(True))))
+            done.append(held.filter("__end").drop("__end"))
+            todo = held.filter("not __end").drop("__end")
+            if todo.isEmpty():
+                break
+            todo = step(todo).withColumn(name, F.col(name) + 1)
+        return settle(functools.reduce(DataFrame.unionByName, [*done, todo.select(*done[0].columns)]))
+
+    def longer(df: DataFrame) -> DataFrame:
+        kept = J.truncated(F.col(draft), n_sources)["complete"]
+        more = F.coalesce(go_on(kept), F.lit(""))
+        return df.withColumn(draft, F.when(more != "", F.concat(F.rtrim(kept), F.lit("\n\n"), F.ltrim(more))).otherwise(kept))
+
+    def better(df: DataFrame) -> DataFrame:
+        new = correct(F.col(draft), errors(F.col(draft)))
+        fits = F.coalesce((F.length(new) >= 0.8 * F.length(draft)) & F.contains(new, F.concat(F.lit("QUELLE ["), n_sources.cast("string"), F.lit("]"))), F.lit(False))
+        return df.withColumns({draft: F.when(fits, new).otherwise(F.col(draft)), "__refused": F.col("__refused") | ~fits})
+
+    whole = loop(todo, "continued", lambda _: ~J.truncated(F.col(draft), n_sources)["is_truncated"], longer)
+    ended = loop(whole.withColumn("__refused", F.lit(False)), "corrected", lambda _: (F.size(errors(F.col(draft))) == 0) | F.col("__refused"), better)
+    return ended.withColumn("refused", F.col("__refused")).drop("__refused")

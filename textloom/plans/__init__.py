@@ -6,7 +6,7 @@ from importlib import import_module
 
 from textloom.plans.book import Book
 
-BOOKS = ("stats", "corpus", "retrieve", "judge", "kernels", "meta", "streams", "prompts", "flows", "rest", "kept")
+BOOKS = ("stats", "corpus", "retrieve", "judge", "kernels", "meta", "streams", "prompts", "flows", "rest", "kept", "answers")
 
 
 def all_books() -> list[Book]:

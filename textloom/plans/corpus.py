@@ -393,47 +393,6 @@ def exact_dedup(t):
 
 
 # Rewrites: each gives the table as it is after the change
-@book.query("I01_delete_chat", sql(MESSAGES, "SELECT id FROM messages WHERE chat_id NOT IN ('3', '5')"))
-def delete_chat(t):
-    gone = t.spark.createDataFrame([("3",), ("5",)], "chat_id string")
-    return messages(t).join(F.broadcast(gone), "chat_id", "left_anti").select("id")
-
-
-@book.query("I02_update_message", sql(MESSAGES, "SELECT id, CASE WHEN id = 7000 THEN 'neu' ELSE content END AS content FROM messages"))
-def update_message(t):
-    return messages(t).select("id", F.when(F.col("id") == 7000, "neu").otherwise(F.col("content")).alias("content"))
-
-
-@book.query("I03_delete_after", sql(MESSAGES, "SELECT id FROM messages WHERE NOT (chat_id = '7' AND turn > 1)"))
-def delete_after(t):
-    return messages(t).filter(~((F.col("chat_id") == "7") & (F.col("turn") > 1))).select("id")
-
-
-@book.query("I04_delete_message", sql(MESSAGES, "SELECT id FROM messages WHERE id <> 7000"))
-def delete_message(t):
-    return messages(t).filter("id <> 7000").select("id")
-
-
-@book.query("I05_delete_messages", sql(MESSAGES, "SELECT id FROM messages WHERE id NOT IN (7000, 7001, 8000)"))
-def delete_messages(t):
-    return messages(t).filter(~F.col("id").isin(7000, 7001, 8000)).select("id")
-
-
-@book.query("I06_rename_chat", sql(CHATS, "SELECT id, CASE WHEN id = '4' THEN 'Neu' ELSE title END AS title FROM chats"))
-def rename_chat(t):
-    return chats(t).select("id", F.when(F.col("id") == "4", "Neu").otherwise(F.col("title")).alias("title"))
-
-
-def update_metadata(df, key, changes, allowed=("title", "model_name")):
-    """The row of ``key`` with changed columns; columns outside of the list are left alone."""
-    return df.withColumns({c: F.when(F.col("id") == key, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items() if c in allowed})
-
-
-@book.query("I07_update_chat_metadata", sql(CHATS, "SELECT id, title, CASE WHEN id = '4' THEN 'claude' ELSE model_name END AS model_name, updated FROM chats"))
-def update_chat_metadata(t):
-    return update_metadata(chats(t), "4", {"model_name": "claude", "updated": 1}).select("id", "title", "model_name", "updated")
-
-
 @book.query("I08_mark_reviewed", sql(REVIEWS, "SELECT id, CASE WHEN confidence > 0.5 THEN 1 ELSE human_valid END AS human_valid FROM reviews"))
 def mark_reviewed(t):
     return reviews(t).select("id", F.when(F.col("confidence") > 0.5, 1).otherwise(F.col("human_valid")).alias("human_valid"))
@@ -534,10 +493,3 @@ def chat_markdown(t):
 @book.query("B12_chunk_dump", sql(REGISTRY, "SELECT chunk_id FROM (SELECT * FROM registry ORDER BY seq LIMIT 1000) JOIN chunks USING (chunk_id) WHERE contains(lower(content), 'the')"))
 def chunk_dump(t):
     return registry(t).orderBy("seq").limit(1000).join(chunks(t).select("chunk_id", "content"), "chunk_id").filter(F.contains(F.lower("content"), F.lit("the"))).select("chunk_id")
-
-
-@book.query("B15_insert_or_ignore", sql(REVIEWS, "SELECT id, version FROM reviews WHERE version = 'v0' UNION SELECT id, 'v0' FROM reviews WHERE confidence > 0.5"))
-def insert_or_ignore(t):
-    old = reviews(t).filter("version = 'v0'").select("id", "version")
-    new = reviews(t).filter("confidence > 0.5").select("id", F.lit("v0").alias("version")).distinct()
-    return old.union(new.join(old, ["id", "version"], "left_anti"))

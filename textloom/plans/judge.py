@@ -230,7 +230,6 @@ def overlaps(t):
 
 
 @book.query("M09_echo_overlap", sql(f"{MESSAGES}, {PAIRS}", "SELECT id, round(overlap, 6) AS overlap FROM o"))
-@book.query("O06_echo_guard", sql(f"{MESSAGES}, {PAIRS}", "SELECT id, round(overlap, 6) AS overlap FROM o"))
 def echo_overlap(t):
     return overlaps(t).select("id", F.round("overlap", 6).alias("overlap"))
 
@@ -384,7 +383,6 @@ def structural_marker(t):
 
 
 @book.query("N17_review_sample", "SELECT doc_id FROM documents WHERE ('0x' || sha256(lower(source) || doc_id)[1:8])::BIGINT % 5 = 0")
-@book.query("D17_version_probe", "SELECT doc_id FROM documents WHERE ('0x' || sha256(lower(source) || doc_id)[1:8])::BIGINT % 5 = 0")
 def review_sample(t):
     """One claim in five by its hash, so a repeated run samples the same claims."""
     return t.documents.filter(F.conv(F.substring(J.claim_hash(F.col("source"), F.col("doc_id")), 1, 8), 16, 10).cast("long") % 5 == 0).select("doc_id")

@@ -9,9 +9,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import postings, vectors
+from textloom.functions import judge as J
+from textloom.operators import postings, stores, vectors
 from textloom.plans import corpus, retrieve
 from textloom.plans.book import Book, Tables
+from textloom.plans.corpus import CHATS, CHUNKS, MESSAGES, REVIEWS, sql
 from textloom.plans.streams import stream
 from textloom.session import remove, settle, shared_folder
 from textloom.streaming import events as E
@@ -101,6 +103,122 @@ def speaker_state(t):
         return settle(E.drain(E.carry_forward(E.replay(parts, f"{at}/turns"), late="1 day"), "append").filter("id >= 0").select("id", "speaker"))
 
 
+# Tables that are changed where they lie
+def messages_after(t: Tables, change) -> DataFrame:
+    """The messages, kept by chat, after a change, read back."""
+    with folder(t) as at:
+        rows = corpus.messages(t)
+        kept = stores.Buckets(t.spark, at, rows.schema, "chat_id", BUCKETS)
+        kept.create(rows)
+        change(kept)
+        return settle(kept.rows())
+
+
+@book.query("I01_delete_chat", sql(f"{CHUNKS}, {CHATS}, {MESSAGES}", "SELECT 'chats' AS name, id AS key FROM chats WHERE id NOT IN ('3', '5') UNION ALL SELECT 'messages', id::VARCHAR FROM messages WHERE chat_id NOT IN ('3', '5') UNION ALL SELECT 'chunks', chunk_id FROM chunks WHERE chat_id NOT IN ('3', '5')"))
+def delete_chat(t):
+    """Registry, messages and chat go one after the other; a call that is repeated finds nothing left."""
+    with folder(t) as at:
+        tables = {"chunks": (corpus.chunks(t).select("chat_id", "chunk_id"), "chat_id", "chunk_id"), "messages": (corpus.messages(t), "chat_id", "id"), "chats": (corpus.chats(t), "id", "id")}
+        kept = {name: stores.Buckets(t.spark, f"{at}/{name}", rows.schema, key, BUCKETS) for name, (rows, key, _) in tables.items()}
+        for name, (rows, _, _) in tables.items():
+            kept[name].create(rows)
+        for _ in range(2):
+            stores.cascade(list(kept.values()), ["3", "5"])
+        parts = [kept[name].rows().select(F.lit(name).alias("name"), F.col(shown).cast("string").alias("key")) for name, (_, _, shown) in tables.items()]
+        return settle(parts[0].union(parts[1]).union(parts[2]))
+
+
+@book.query("I02_update_message", sql(MESSAGES, "SELECT id, CASE WHEN id = 7000 THEN 'neu' ELSE content END AS content FROM messages"))
+def update_message(t):
+    return messages_after(t, lambda kept: kept.update(["7"], {"content": F.lit("neu")}, F.col("id") == 7000)).select("id", "content")
+
+
+@book.query("I03_delete_after", sql(MESSAGES, "SELECT id FROM messages WHERE NOT (chat_id = '7' AND turn > 1)"))
+def delete_after(t):
+    return messages_after(t, lambda kept: kept.delete(["7"], F.col("turn") > 1)).select("id")
+
+
+@book.query("I04_delete_message", sql(MESSAGES, "SELECT id FROM messages WHERE id <> 7000"))
+def delete_message(t):
+    return messages_after(t, lambda kept: kept.delete(["7"], F.col("id") == 7000)).select("id")
+
+
+@book.query("I05_delete_messages", sql(MESSAGES, "SELECT id FROM messages WHERE id NOT IN (7000, 7001, 8000)"))
+def delete_messages(t):
+    return messages_after(t, lambda kept: kept.delete(["7", "8"], F.col("id").isin(7000, 7001, 8000))).select("id")
+
+
+#: Columns of a chat that a caller may change.
+CHANGEABLE = ("title", "model_name")
+
+
+def chats_after(t: Tables, key: str, values: dict[str, str]) -> DataFrame:
+    with folder(t) as at:
+        rows = corpus.chats(t)
+        kept = stores.Buckets(t.spark, at, rows.schema, "id", BUCKETS)
+        kept.create(rows)
+        kept.update([key], {c: F.lit(v) for c, v in values.items() if c in CHANGEABLE})
+        return settle(kept.rows())
+
+
+@book.query("I06_rename_chat", sql(CHATS, "SELECT id, CASE WHEN id = '4' THEN 'Neu' ELSE title END AS title FROM chats"))
+def rename_chat(t):
+    return chats_after(t, "4", {"title": "Neu"}).select("id", "title")
+
+
+@book.query("I07_update_chat_metadata", sql(CHATS, "SELECT id, title, CASE WHEN id = '4' THEN 'claude' ELSE model_name END AS model_name, updated FROM chats"))
+def update_chat_metadata(t):
+    return chats_after(t, "4", {"model_name": "claude", "updated": "1"}).select("id", "title", "model_name", "updated")
+
+
+# Rows that are taken once
+@book.query("B15_insert_or_ignore", sql(REVIEWS, "SELECT id, version FROM reviews WHERE version = 'v0' UNION SELECT id, 'v0' FROM reviews WHERE confidence > 0.5"))
+def insert_or_ignore(t):
+    """Reviews by id and version, the second batch delivered twice."""
+    rows = corpus.reviews(t)
+    with folder(t) as at:
+        kept = stores.Ignoring(t.spark, at, "id long, version string", ["id", "version"], ["id"])
+        kept.put(rows.filter("version = 'v0'"), 0)
+        for _ in range(2):
+            kept.put(rows.filter("confidence > 0.5").select("id", F.lit("v0").alias("version")), 1)
+        return settle(kept.rows().select("id", "version"))
+
+
+@book.query("B16_cache_embedding", "SELECT sha256(vec_id::VARCHAR) AS h, len(embedding)::BIGINT AS n FROM embeddings")
+def cache_embedding(t):
+    """Embeddings by the hash of what was embedded; asked for in overlapping batches, each is stored once."""
+    rows = t.embeddings.select(F.sha2(F.col("vec_id").cast("string"), 256).alias("h"), "embedding", "vec_id")
+    with folder(t) as at:
+        kept = stores.Ignoring(t.spark, at, "h string, embedding array<float>", ["h"], ["h"])
+        for number, part in enumerate((rows.filter("vec_id % 3 < 2"), rows.filter("vec_id % 3 > 0"), rows)):
+            kept.put(part, number)
+        return settle(kept.rows().select("h", F.size("embedding").cast("long").alias("n")))
+
+
+@book.query("D17_version_probe", "SELECT doc_id FROM documents WHERE ('0x' || sha256(lower(source) || doc_id)[1:8])::BIGINT % 5 = 0 AND doc_id % 3 <> 0")
+def version_probe(t):
+    """Sampled claims that have no verdict of this version yet."""
+    claims = t.documents.select("doc_id", J.claim_hash(F.col("source"), F.col("doc_id")).alias("claim_hash")).filter("claim_hash is not null")
+    with folder(t) as at:
+        kept = stores.Ignoring(t.spark, at, "claim_hash string, version string", ["claim_hash", "version"], ["claim_hash"])
+        kept.put(claims.filter("doc_id % 3 = 0").select("claim_hash", F.lit("v2").alias("version")), 0)
+        kept.put(claims.filter("doc_id % 3 = 1").select("claim_hash", F.lit("v1").alias("version")), 1)
+        known = kept.rows().filter("version = 'v2'").select("claim_hash")
+        sampled = claims.filter(F.conv(F.substring("claim_hash", 1, 8), 16, 10).cast("long") % 5 == 0)
+        return settle(sampled.join(known, "claim_hash", "left_anti").select("doc_id"))
+
+
+@book.query("O07_verdict_cache", "SELECT h FROM (SELECT md5(source || lang) AS h, min(doc_id) AS f FROM documents GROUP BY 1) ORDER BY f DESC, h LIMIT 50")
+def verdict_cache(t):
+    """A cache of fifty verdicts: the ones inserted first go, a hit does not move."""
+    asked = t.documents.select(F.md5(F.concat("source", "lang")).alias("h"), F.col("doc_id").alias("at"))
+    with folder(t) as at:
+        kept = stores.Ignoring(t.spark, at, "h string, at long", ["h"], ["at"], most=50)
+        for _ in range(2):
+            kept.put(asked, 0)
+        return settle(kept.rows().select("h"))
+
+
 NEAREST = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_dot_product(a.v, b.v), 9) AS score FROM u a, u b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM s)

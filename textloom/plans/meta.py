@@ -184,7 +184,6 @@ AGENCY = "SELECT doc_id, CASE lang WHEN 'de' THEN 'aktiv' WHEN 'en' THEN 'passiv
 
 
 @book.query("J11_agency_json", AGENCY)
-@book.query("R39_agency_per_run", AGENCY)
 def agency_json(t):
     """Answers of which some break off and some leave the vocabulary."""
     said = F.when(F.col("lang") == "de", '"aktiv"').when(F.col("lang") == "en", '"passiv"}').when(F.col("lang") == "fr", "null}").otherwise('"sonst"}')
@@ -268,11 +267,6 @@ def save_analysis(t):
     return t.documents.filter("n_chars > 8000").groupBy("lang").agg(F.to_json(ids).alias("ids"))
 
 
-@book.query("B16_cache_embedding", "SELECT sha256(vec_id::VARCHAR) AS h, len(embedding)::BIGINT AS n FROM embeddings")
-def cache_embedding(t):
-    return t.embeddings.select(F.sha2(F.col("vec_id").cast("string"), 256).alias("h"), F.size(F.col("embedding").cast("array<float>")).cast("long").alias("n"))
-
-
 @book.query("B22_comparison_markdown", "SELECT lang, string_agg('| ' || source || ' | ' || n || ' |', chr(10) ORDER BY source) AS markdown FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source) GROUP BY lang")
 def comparison_markdown(t):
     per = t.documents.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -309,7 +303,6 @@ def embed_passages(t):
 
 
 @book.query("R21_llm_slot", "SELECT doc_id, 'echo: ' || text[1:20] AS answer " + D)
-@book.query("R67_llm_call", "SELECT doc_id, 'echo: ' || text[1:20] AS answer " + D)
 def llm_slot(t):
     return t.documents.filter("text is not null").select("doc_id", slots.echo_model(F.col("text")).alias("answer"))
 
@@ -436,7 +429,6 @@ def warning_tags(t):
 
 
 @book.query("N06_validate_draft")
-@book.query("N09_three_phases")
 def validate_draft(t):
     """All findings of a draft: range, presence, bare references, missing sections."""
     from textloom.plans import judge, kernels

@@ -240,13 +240,6 @@ def token_stream(t):
     return pieces.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
 
 
-@book.query("O07_verdict_cache", "SELECT h FROM (SELECT md5(source || lang) AS h, min(doc_id) AS f FROM documents GROUP BY 1) ORDER BY f DESC, h LIMIT 50")
-def verdict_cache(t):
-    """What a cache of fifty verdicts with eviction by first entry holds at the end."""
-    first = t.documents.groupBy(F.md5(F.concat("source", "lang")).alias("h")).agg(F.min("doc_id").alias("f"))
-    return first.orderBy(F.desc("f"), "h").limit(50).select("h")
-
-
 # Prompts
 @book.query("R45_free_question", "SELECT doc_id, 'Summen: 480, ' || (6 + doc_id) AS prompt FROM documents WHERE text IS NOT NULL")
 def free_question(t):
@@ -292,15 +285,6 @@ def style_title(t):
 book.query("R37_run_meta", meta.book.oracles["A39_dissect_runs"])(meta.dissect_runs)
 
 
-@book.query("R47_guarded_answer", sql(judge.CRISIS, "SELECT doc_id, CASE WHEN folded >= threshold THEN 'notfall' ELSE 'antwort' END AS route FROM scores"))
-@book.query("R51_guarded_answer", sql(judge.CRISIS, "SELECT doc_id, CASE WHEN folded >= threshold THEN 'notfall' ELSE 'antwort' END AS route FROM scores"))
-def guarded_answer(t):
-    """Crisis check of the message, else the model, whose echo would be asked again."""
-    d = judge.crisis_text(t)
-    score = J.folded_score(J.crisis_hits(F.col("x")), J.crisis_threshold(F.col("mode")))
-    return d.select("doc_id", F.when(score >= J.crisis_threshold(F.col("mode")), "notfall").otherwise("antwort").alias("route"))
-
-
 @book.query("R63_session_defaults", "SELECT * FROM (VALUES ('history', '[]'), ('turns', '3')) v(name, value)")
 @book.query("R64_reset_session", "SELECT * FROM (VALUES ('history', '[]'), ('turns', '3')) v(name, value)")
 def session_defaults(t):
@@ -310,13 +294,6 @@ def session_defaults(t):
     return t.spark.range(1).select(F.explode(merged).alias("name", "value"))
 
 
-@book.query("R68_llm_json", judge.book.oracles["J10_json_in_answer"])
-@book.query("R69_llm_structured", judge.book.oracles["J10_json_in_answer"])
-def llm_json(t):
-    return judge.json_in_answer(t)
-
-
-@book.query("R73_back_off", "SELECT * FROM (VALUES (0, 1.5::DOUBLE, 2.0::DOUBLE), (1, 3.0, 4.0), (2, 6.0, 8.0)) v(attempt, empty_wait, error_wait)")
 @book.query("R79_probe_back_off", "SELECT * FROM (VALUES (0, 1.5::DOUBLE, 2.0::DOUBLE), (1, 3.0, 4.0), (2, 6.0, 8.0)) v(attempt, empty_wait, error_wait)")
 def back_off(t):
     k = F.col("id").cast("int")
