@@ -171,7 +171,7 @@ def call_json(rows: DataFrame, prompt: Column, model: Model, schema: str, out: s
     names = S.StructType.fromDDL(schema).names
     fits = reduce(Column.__or__, [F.coalesce(value[n].isNotNull(), F.lit(False)) for n in names])
     c = F.col("__call")
-    error = F.when(c["error"].isNotNull() & F.col("__json").isNull(), c["error"]).when(F.col("__json").isNull() & c["answer"].isNotNull(), "no JSON").when(~fits, "not of the schema")
+    error = F.when(c["error"].isNotNull() & F.col("__json").isNull(), c["error"]).when(F.col("__json").isNull() & c["answer"].isNotNull(), "no JSON").when(c["answer"].isNotNull() & ~fits, "not of the schema")
     return texts.select(*rows.columns, F.struct(F.when(fits, value).alias("value"), c["tries"].alias("tries"), c["waited"].alias("waited"), error.alias("error")).alias(out))
 
 
