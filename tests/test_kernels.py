@@ -2,13 +2,14 @@
 
 import itertools
 import json
+import random
 import re
 from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 from difflib import SequenceMatcher
 
+from textloom.functions import fuzzy, verse
 from textloom.functions import lexicon as lx
-from textloom.functions import verse
 from textloom.operators import slots
 from textloom.plans import all_books
 
@@ -114,3 +115,53 @@ def test_greek_verse_records(spark, sf_dir):
     skeletons = {r["doc_id"]: r["skeletons"] for r in QUERIES["K14_greek_skeleton"](spark, sf_dir).collect()}
     for i, record in rows.items():
         assert record["rhythm"]["description"] == rhythm[i] and record["skeletons"] == skeletons[i] and record["rhyme"]["type"] == "Kein Reim"
+
+
+def brute_ratio(quote, source, enough=0.85):
+    """Best ratio over all windows, each compared in full; None below ``enough``."""
+    q, s = quote.lower(), source.lower()
+    if len(q) < 20:
+        windows = [s]
+    else:
+        step = max(len(q) // 10, 20)
+        windows = [s[i : i + len(q)] for i in range(0, len(s) - len(q) + 1, step)] + ([s[len(s) - len(q) :]] if len(s) > len(q) else []) or ([s] if s else [])
+    best = max((SequenceMatcher(None, q, w).ratio() for w in windows), default=0.0)
+    return best if best >= enough else None
+
+
+def test_whole_sources_are_searched_as_by_brute_force():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["the", "an", "er", "ß", "ou", "z"]) for _ in range(rng.randrange(1, 4)))
+    met = 0
+    for _ in range(250):
+        source = " ".join(word() for _ in range(rng.randrange(0, 160)))
+        at = rng.randrange(len(source) + 1)
+        quote = list(source[at : at + rng.choice([5, 25, 60, 200, 300])] or "nirgends zu finden, ganz bestimmt")
+        for _ in range(int(len(quote) * rng.choice([0, 0.03, 0.08, 0.12, 0.3]))):
+            i = rng.randrange(len(quote))
+            quote[i : i + rng.randrange(2)] = rng.choice(["", "x", "E", "qu"])
+        quote = "".join(quote)
+        want = brute_ratio(quote, source)
+        assert fuzzy.best_in_source(quote, source) == want, (quote, source)
+        met += want is not None and len(quote) >= 20
+    assert 40 < met < 240
+    for a, b in (("", ""), ("abc", ""), ("", "abc"), ("kitten", "sitting"), ("abcbdab", "bdcaba")):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        assert fuzzy.common_subsequence(a, b) == table[-1][-1]
+
+
+def test_bent_quotations_in_whole_documents(spark, sf_dir):
+    of = texts(spark, sf_dir)
+    rows = {r["doc_id"]: r for r in QUERIES["N02_fuzzy_whole"](spark, sf_dir).collect()}
+    assert rows
+    for i, r in rows.items():
+        x = of[i]
+        quote = {0: x[10:110], 1: x[10:100] + " und noch etwas", 2: "Frei erfunden ist dieses Zitat.", 3: x[50:90]}[i % 4]
+        want = brute_ratio(quote, x)
+        assert r["accepted"] == (want is not None) and (want is None or abs(r["ratio"] - want) < 1e-4)
+    many = {r["doc_id"]: r for r in QUERIES["N16_validate_claim_multisource"](spark, sf_dir).collect()}
+    assert {"direct", "false_quote"} <= {r["kind"] for r in many.values()} <= {"direct", "paraphrase", "false_quote"}
+    for i, r in many.items():
+        assert r["valid"] == (r["source"] is not None) and (i % 4 == 2 or r["source"] == i or r["kind"] != "direct")

@@ -132,7 +132,6 @@ per_script("K22_greek_sentence_types", lambda x: ([scripts.greek_clause(s) for s
 
 
 @book.query("N02_fuzzy_window")
-@book.query("N11_verify_quotes")
 def fuzzy_window(t):
     """Quotations that are not in their source word for word, with the best window's ratio."""
     d = drafts(t).filter(~F.contains(T.squeeze(F.col("text")), T.squeeze(F.col("quote"))))
@@ -140,6 +139,15 @@ def fuzzy_window(t):
     return rated.select("doc_id", F.round("ratio", 4).alias("ratio"), (F.col("ratio") >= fuzzy.THRESHOLD).alias("accepted"))
 
 
+@book.query("N02_fuzzy_whole")
+@book.query("N11_verify_quotes")
+def fuzzy_whole(t):
+    """As ``fuzzy_window``, but in whole sources."""
+    d = drafts(t).filter(~F.contains(T.squeeze(F.col("text")), T.squeeze(F.col("quote"))))
+    rated = mapped(d.select("doc_id", "quote", "text"), lambda q, s: (fuzzy.best_in_source(q, s),), "ratio double")
+    return rated.select("doc_id", F.round("ratio", 4).alias("ratio"), F.col("ratio").isNotNull().alias("accepted"))
+
+
 @book.query("N03_document_names")
 @book.query("N13_fuzzy_ratio")
 def document_names(t):
@@ -156,7 +164,6 @@ def best_source(t):
 
 
 @book.query("N15_validate_claim")
-@book.query("N16_validate_claim_multisource")
 def validate_claim(t):
     """What remains of a verdict without a judge: the gate, upgraded by the fuzzy ratio."""
     from textloom.functions import judge as J
@@ -166,6 +173,19 @@ def validate_claim(t):
     return rated.select("doc_id", "valid", F.when(F.col("valid"), F.col("kind")).otherwise("false_quote").alias("kind"))
 
 
+@book.query("N16_validate_claim_multisource")
+def validate_claim_multisource(t):
+    """Each quotation against three whole sources: the document that it is taken from and the two after it."""
+    from textloom.functions import judge as J
+
+    claims = drafts(t).select("doc_id", "quote", F.explode(F.sequence(F.col("doc_id"), F.col("doc_id") + 2)).alias("source"))
+    sources = t.documents.filter("text is not null").select(F.col("doc_id").alias("source"), F.col("text").alias("said"))
+    met = claims.join(sources, "source").select("doc_id", "source", "quote", "said", J.gate(F.col("quote"), F.col("said")).alias("exact"))
+    rated = mapped(met.select("doc_id", "quote", "said", "exact", "source"), lambda q, s, ok, i: (1.0 if ok else fuzzy.best_in_source(q, s), i), "ratio double, source long")
+    best = rated.groupBy("doc_id").agg(F.max(F.struct(F.col("ratio"), (-F.col("source")).alias("i"))).alias("b"))
+    return best.select("doc_id", F.col("b.ratio").isNotNull().alias("valid"), F.when(F.col("b.ratio").isNotNull(), -F.col("b.i")).alias("source"), F.when(F.col("b.ratio") == 1, "direct").when(F.col("b.ratio").isNotNull(), "paraphrase").otherwise("false_quote").alias("kind"))
+
+
 # Pages and files
 @book.query("A01_detect_platform", "SELECT page_id, CASE WHEN n > 0 THEN 'grok' END AS platform, n / 4.0::DOUBLE AS confidence FROM (SELECT page_id, (CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(html), 'x.ai') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(html), 'grok.com') THEN 1 ELSE 0 END) AS n FROM pages)")
 def detect_platform(t):
