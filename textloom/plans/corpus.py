@@ -457,8 +457,8 @@ def last_turns(t):
 
 @book.query("F15_consecutive_duplicates", "SELECT doc_id FROM (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) WHERE before IS NULL OR before <> text")
 def consecutive_duplicates(t):
-    before = F.lag("text").over(W.partitionBy("source").orderBy("doc_id"))
-    return t.documents.withColumn("before", before).filter("before is null or before <> text").select("doc_id")
+    rows = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    return rows.withColumn("before", F.lag("h").over(W.partitionBy("source").orderBy("doc_id"))).filter("before is null or before <> h").select("doc_id")
 
 
 SPEAKERS = sql(MESSAGES, "SELECT id, coalesce(last_value(CASE WHEN role = 'user' THEN nullif(regexp_extract(content, '^[^ \\n]+'), '') END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'Unknown') AS speaker FROM messages")

@@ -10,6 +10,7 @@ from textloom.functions import metaruns as M
 from textloom.functions import text as T
 from textloom.operators import corpus as C
 from textloom.operators import slots
+from textloom.plans import judge
 from textloom.plans.book import Book
 from textloom.plans.corpus import CHATS, MESSAGES, chats, messages, sql
 
@@ -202,10 +203,20 @@ def terms_json(t):
     return d.select("doc_id", F.size("m").cast("long").alias("n"), F.col("m")["a"].alias("term"))
 
 
-@book.query("J26_strip_metadata", f"SELECT doc_id, md5(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS text_md5 {D} AND NOT regexp_matches(text, 'uszug|[—–-].*[«\"„]|\\[|\\n\\n\\n|Chapter|Source:|Language:|Published')")
+STRIPPED = "'**[Buch-Auszug Teil 1]**' || chr(10) || 'QUELLE 1: x' || chr(10) || text || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'Chapter: 3' || chr(10) || '[ein Hinweis]' WHEN 1 THEN chr(10) || '(Published 1999)' || chr(10) || chr(10) || chr(10) || 'Ende' ELSE '' END"
+for _pattern, _by in (
+    (r"\*\*\[.*?\]\*\*[ \t\n\x0b\f\r]*", ""), (r"(?m)^.*[Aa]uszug.*$", ""), (r"(?m)^.{3,60}[—–-]\s*[«„\x22].*?[»“\x22].*?\([0-9]{4}\)\s*$", ""), (r"(?m)^.{3,60}[—–-]\s*[«„\x22].*?[»“\x22]\s*$", ""),
+    (r"(?m)^\((?:Опубликовано|Veröffentlicht|Published).*?\)\s*$", ""), (r"\n{3,}", "\n\n"), (r"(?m)^QUELLE\s+[0-9]+:\s*.*$", ""), (r"(?m)^\[.{3,300}\]\s*$", ""), (r"(?m)^(?:Sprache|Language|Kapitel|Chapter|Source):.*$", ""),
+):
+    STRIPPED = f"regexp_replace({STRIPPED}, '{_pattern}', '{_by}', 'g')"
+
+
+@book.query("J26_strip_metadata", f"SELECT doc_id, md5(regexp_replace({STRIPPED}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS text_md5 {D}")
 def strip_metadata(t):
-    clean = t.documents.filter(~F.col("text").rlike("uszug|[—–-].*[«\"„]|\\[|\\n\\n\\n|Chapter|Source:|Language:|Published"))
-    return clean.select("doc_id", F.md5(T.without_metadata(F.concat(F.lit("**[Buch-Auszug Teil 1]**\nQUELLE 1: x\n"), F.col("text")))).alias("text_md5"))
+    """Whole texts with lines of importers before and after them."""
+    i, n = F.col("doc_id") % 3, "\n"
+    end = F.when(i == 0, f"{n}Chapter: 3{n}[ein Hinweis]").when(i == 1, f"{n}(Published 1999){n}{n}{n}Ende").otherwise("")
+    return t.documents.filter("text is not null").select("doc_id", F.md5(T.without_metadata(F.concat(F.lit(f"**[Buch-Auszug Teil 1]**{n}QUELLE 1: x{n}"), F.col("text"), end))).alias("text_md5"))
 
 
 @book.query("J41_template", f"SELECT doc_id, md5('Frage ' || doc_id || ' {{offen}} ' || text) AS filled_md5 {D}")
@@ -302,7 +313,7 @@ def embed_passages(t):
     return slots.embed(t.documents.filter("text is not null").select("text"), "text", slots.hashed_embedder(16)).select("h", F.size("embedding").alias("n"))
 
 
-@book.query("R21_llm_slot", "SELECT doc_id, 'echo: ' || text[1:20] AS answer " + D)
+@book.query("R21_llm_slot", "SELECT doc_id, 'echo: ' || text AS answer " + D)
 def llm_slot(t):
     return t.documents.filter("text is not null").select("doc_id", slots.echo_model(F.col("text")).alias("answer"))
 
@@ -355,9 +366,9 @@ def judge_batch(t):
     return both.groupBy("batch").agg(F.count("*").alias("n"), (F.count("judged") == F.count("*")).alias("complete"))
 
 
-@book.query("R23_context_lines", sql(MESSAGES, "SELECT chat_id, string_agg('SOURCE_ID [' || turn || '] | ' || role || ' | ' || content[1:40], chr(10) ORDER BY turn) AS context FROM messages GROUP BY chat_id"))
+@book.query("R23_context_lines", sql(MESSAGES, "SELECT chat_id, string_agg('SOURCE_ID [' || turn || '] | ' || role || ' | ' || content, chr(10) ORDER BY turn) AS context FROM messages GROUP BY chat_id"))
 def context_lines(t):
-    line = F.format_string("SOURCE_ID [%d] | %s | %s", "turn", "role", F.substring("content", 1, 40))
+    line = F.format_string("SOURCE_ID [%d] | %s | %s", "turn", "role", "content")
     parts = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return messages(t).groupBy("chat_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("context"))
 
@@ -379,12 +390,19 @@ def chat_ids(t):
 
 
 @book.query("R28_title_input", sql(MESSAGES, "SELECT chat_id, string_agg(content[1:300], chr(10) ORDER BY turn) FILTER (turn < 4) AS input FROM messages GROUP BY chat_id"))
-@book.query("R29_topic_input", sql(MESSAGES, "SELECT chat_id, string_agg(content[1:300], chr(10) ORDER BY turn) FILTER (turn < 4) AS input FROM messages GROUP BY chat_id"))
 def title_input(t):
     parts = F.array_sort(F.collect_list(F.when(F.col("turn") < 4, F.struct("turn", F.substring("content", 1, 300).alias("x")))))
     return messages(t).groupBy("chat_id").agg(F.nullif(F.array_join(F.transform(parts, lambda p: p["x"]), "\n"), F.lit("")).alias("input"))
 
 
+@book.query("R29_topic_input", sql(MESSAGES, "SELECT chat_id, coalesce(nullif(string_agg(content[1:500], chr(10) ORDER BY turn) FILTER (turn < 4 AND role = 'user'), ''), 'Analyse') AS input FROM messages GROUP BY chat_id"))
+def topic_input(t):
+    """What a topic is found from: the heads of the first user turns, or the default topic."""
+    parts = F.array_sort(F.collect_list(F.when((F.col("turn") < 4) & (F.col("role") == "user"), F.struct("turn", F.substring("content", 1, 500).alias("x")))))
+    said = F.nullif(F.array_join(F.transform(parts, lambda p: p["x"]), "\n"), F.lit(""))
+    return messages(t).groupBy("chat_id").agg(F.coalesce(said, F.lit("Analyse")).alias("input"))
+
+
 @book.query("R48_temperature", "SELECT doc_id, CASE lang WHEN 'de' THEN 0.3 WHEN 'en' THEN 0.7 WHEN 'fr' THEN 0.5 ELSE 0.6 END::DOUBLE AS temperature FROM documents")
 @book.query("R72_domain_profile", "SELECT doc_id, CASE lang WHEN 'de' THEN 0.3 WHEN 'en' THEN 0.7 WHEN 'fr' THEN 0.5 ELSE 0.6 END::DOUBLE AS temperature FROM documents")
 def temperature(t):
@@ -431,7 +449,7 @@ def warning_tags(t):
 @book.query("N06_validate_draft")
 def validate_draft(t):
     """All findings of a draft: range, presence, bare references, missing sections."""
-    from textloom.plans import judge, kernels
+    from textloom.plans import kernels
 
     tags = judge.quote_tags(t).filter("code <> 'ok'").select("doc_id", F.when(F.col("code") == "C1", "C1").otherwise("C2?").alias("code"))
     fuzzy = kernels.fuzzy_window(t).filter("not accepted").select("doc_id", F.lit("C2").alias("code"))
@@ -439,9 +457,13 @@ def validate_draft(t):
     return tags.filter("code = 'C1'").union(fuzzy).union(refs).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
-@book.query("N08_correction_prompt", "SELECT doc_id, 'Korrigiere: C2 [' || doc_id || ']' AS prompt FROM documents")
+@book.query("N08_correction_prompt", sql(judge.DRAFTS, f"SELECT doc_id, 'Korrigiere:' || chr(10) || string_agg('- ' || code || ' [' || source_id || ']', chr(10) ORDER BY code, source_id) AS prompt FROM (SELECT doc_id, source_id, CASE WHEN source_id > 3 THEN 'C1' WHEN NOT contains({judge.SQ.format('text')}, {judge.SQ.format('quote')}) THEN 'C2' END AS code FROM drafts UNION ALL SELECT doc_id, r, CASE WHEN r BETWEEN 1 AND 3 THEN 'C5' ELSE 'C6' END FROM drafts, (VALUES (1), (2), (9)) v(r)) WHERE code IS NOT NULL GROUP BY doc_id"))
 def correction_prompt(t):
-    return t.documents.select("doc_id", F.format_string("Korrigiere: %s [%d]", F.lit("C2"), "doc_id").alias("prompt"))
+    """The findings of a draft as the lines of a correction."""
+    tags = judge.quote_tags(t).filter("code <> 'ok'").select("doc_id", "source_id", F.when(F.col("code") == "C1", "C1").otherwise("C2").alias("code"))
+    found = tags.unionByName(judge.orphan_references(t).select("doc_id", "source_id", "code"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("code", "source_id"))), lambda x: F.concat(F.lit("- "), x["code"], F.lit(" ["), x["source_id"].cast("string"), F.lit("]")))
+    return found.groupBy("doc_id").agg(F.concat(F.lit("Korrigiere:\n"), F.array_join(lines, "\n")).alias("prompt"))
 
 
 @book.query("R01_dry_run_answer")

@@ -105,7 +105,7 @@ for _name, (_task, _headings) in PROMPTS.items():
     register(_name, _task, [h.replace("_", " ") for h in _headings.split()])
 
 
-@book.query("R36_meta_comparison", f"{ANSWERS} SELECT answer, 'echo: ' || concat_ws(chr(10) || chr(10), 'Vergleiche die beiden Texte.', '## Frage' || chr(10) || question, '## Text A' || chr(10) || first, '## Text B' || chr(10) || last)[1:20] AS said FROM answers WHERE first <> last")
+@book.query("R36_meta_comparison", f"{ANSWERS} SELECT answer, 'echo: ' || concat_ws(chr(10) || chr(10), 'Vergleiche die beiden Texte.', '## Frage' || chr(10) || question, '## Text A' || chr(10) || first, '## Text B' || chr(10) || last) AS said FROM answers WHERE first <> last")
 def meta_comparison(t):
     """Both sides in one call; equal sides are not compared."""
     from textloom.operators import slots

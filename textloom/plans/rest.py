@@ -16,6 +16,7 @@ from textloom.functions import scripts
 from textloom.functions import text as T
 from textloom.functions.lexicon import LETTERS
 from textloom.operators import corpus as C
+from textloom.operators import ranking as R
 from textloom.plans import judge, kernels, meta, retrieve, stats
 from textloom.plans import corpus as P
 from textloom.plans.book import Book
@@ -122,7 +123,8 @@ def unknown_roles(t):
 @book.query("R04_source_texts", "SELECT d.doc_id, s.source_id FROM documents d JOIN (SELECT source, dense_rank() OVER (ORDER BY min(doc_id)) AS source_id FROM documents GROUP BY source) s USING (source)")
 def source_ids(t):
     first = t.documents.groupBy("source").agg(F.min("doc_id").alias("f"))
-    return t.documents.select("doc_id", "source").join(first.select("source", F.dense_rank().over(W.orderBy("f")).cast("long").alias("source_id")), "source").select("doc_id", "source_id")
+    numbers = R.numbered(first, F.col("f"), F.col("source"), name="source_id")  # no two sources begin with one document
+    return t.documents.select("doc_id", "source").join(numbers.select("source", "source_id"), "source").select("doc_id", "source_id")
 
 
 @book.query("D13_label_suggestions", sql(CHUNKS, "SELECT chunk_id, coalesce(s, 'Unbekannt') AS speaker FROM chunks LEFT JOIN (SELECT doc_id::VARCHAR AS c, lang AS s FROM documents WHERE lang <> 'en') ON c = chat_id"))
@@ -214,11 +216,11 @@ def score_and_rerank(t):
     return top.withColumn("n", n).filter(F.col("score") >= F.when(F.col("n") < 5, 0.35).otherwise(0.99)).select("vec_id")
 
 
-@book.query("L20_expand_query", "SELECT doc_id, text[1:40] AS query FROM documents WHERE text IS NOT NULL")
+@book.query("L20_expand_query", "SELECT doc_id, CASE lang WHEN 'de' THEN text || ' ' || replace(text, 'ung', 'tion') WHEN 'fr' THEN text || ' ' || replace(text, 'é', 'e') ELSE text END AS query FROM documents WHERE text IS NOT NULL")
 def expand_query(t):
-    """Without a translator the query stays as it is."""
-    translated = F.lit(None).cast("string")
-    return t.documents.filter("text is not null").select("doc_id", F.coalesce(translated, F.substring("text", 1, 40)).alias("query"))
+    """A query and its translation; without one, as where the translator fails, the query stays as it is."""
+    translated = F.when(F.col("lang") == "de", F.replace("text", F.lit("ung"), F.lit("tion"))).when(F.col("lang") == "fr", F.replace("text", F.lit("é"), F.lit("e")))
+    return t.documents.filter("text is not null").select("doc_id", F.concat_ws(" ", "text", translated).alias("query"))
 
 
 @book.query("R25_validate_evidence", sql(MESSAGES, "SELECT chat_id, turn, CASE WHEN turn % 5 = 4 THEN TRUE ELSE content NOT LIKE '%?%' END AS kept FROM messages WHERE role = 'model'"))

@@ -42,10 +42,19 @@ def bm25_scores(t):
     return bm25(t).filter("score > 0")
 
 
-@book.query("G04_bm25_top", f"WITH {BM25} SELECT doc_id FROM (SELECT doc_id FROM bm25 ORDER BY score DESC, doc_id LIMIT 200) WHERE doc_id % 2 = 0 LIMIT 9999")
+@book.query("G04_bm25_top", f"WITH {BM25} SELECT doc_id, score FROM (SELECT doc_id, score FROM bm25 ORDER BY score DESC, doc_id LIMIT 2000) JOIN (SELECT doc_id FROM documents WHERE lang IN ('de', 'en')) USING (doc_id) ORDER BY score DESC, doc_id LIMIT 30")
 def bm25_top(t):
-    """The filter comes after the cut, as a search over a capped list does."""
-    return bm25(t).orderBy(F.desc("score"), "doc_id").limit(200).filter("doc_id % 2 = 0").select("doc_id")
+    """The best two thousand, of which those in scope, of which the first three times ten: the filter comes after the cut, as it is defined."""
+    best = bm25(t).orderBy(F.desc("score"), "doc_id").limit(2000)
+    scope = t.documents.filter(F.col("lang").isin("de", "en")).select("doc_id")
+    return best.join(scope, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(30).select("doc_id", "score")
+
+
+@book.query("G04_scoped_bm25_top", f"WITH {BM25} SELECT doc_id, score FROM bm25 JOIN (SELECT doc_id FROM documents WHERE lang IN ('de', 'en')) USING (doc_id) ORDER BY score DESC, doc_id LIMIT 30")
+def scoped_bm25_top(t):
+    """The exact way: the best thirty in scope, however many rank before them."""
+    scope = t.documents.filter(F.col("lang").isin("de", "en")).select("doc_id")
+    return bm25(t).join(scope, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(30).select("doc_id", "score")
 
 
 VEC = "vec AS (SELECT vec_id, label, embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q FROM embeddings), dense AS (SELECT vec_id, label, round(greatest(0, least(1, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))))), 6) AS score FROM vec)"

@@ -16,7 +16,7 @@ def read_exports(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     The platform is told by content, then by extension; text that tells nothing is read as plain text.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    text = F.try_validate_utf8(F.when(F.length("content") < (64 << 20), F.col("content")))
+    text = F.try_validate_utf8("content")
     name, _ = importers.sniff(F.coalesce(text, F.lit("")), F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     told = files.select("path", "content", F.coalesce(name, F.lit("text")).alias("platform"))
     return importers.flat(importers.read_messages(told, "path", "content", "platform")).withColumnRenamed("id", "file")
