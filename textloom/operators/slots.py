@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 Embedder = Callable[[list[str]], np.ndarray]
 BATCH = 32
@@ -76,6 +77,21 @@ def embed(rows: DataFrame, text_col: str, model: Embedder, prefix: str = "passag
     return distinct.mapInArrow(run, "h string, embedding array<float>")
 
 
+def embed_rows(rows: DataFrame, text_col: str, model: Embedder, prefix: str = "passage: ") -> DataFrame:
+    """``rows`` without the text and with its embedding, made where the text lies; equal texts are embedded each."""
+    kept = [c for c in rows.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                vectors = model(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(list(vectors), pa.list_(pa.float32()))], names=[*kept, "embedding"])
+
+    told = rows.select(F.concat(F.lit(prefix), F.col(text_col)).alias("__text"), *kept)
+    return told.mapInArrow(run, S.StructType([*(rows.schema[c] for c in kept), S.StructField("embedding", S.ArrayType(S.FloatType()))]))
+
+
 def fill(template: Column, values: Mapping[str, Column]) -> Column:
     """Names in braces replaced by their values; unknown names stay."""
     for name, value in values.items():

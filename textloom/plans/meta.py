@@ -305,12 +305,12 @@ def stats_report(t):
 
 
 # Model slots and what stands around them
-@book.query("L02_embed_passages")
-@book.query("L03_embed_queries")
-@book.query("L04_embed_batches")
-def embed_passages(t):
-    """Vectors of the deterministic stand-in for an embedding model, one a distinct text."""
-    return slots.embed(t.documents.filter("text is not null").select("text"), "text", slots.hashed_embedder(16)).select("h", F.size("embedding").alias("n"))
+@book.query("L04_embed_batches", "SELECT DISTINCT sha256(text) AS h, 16::INTEGER AS n, TRUE AS unit " + D)
+def embed_batches(t):
+    """Vectors of the deterministic stand-in for an embedding model, one a distinct text, in batches of the model's size."""
+    made = slots.embed(t.documents.filter("text is not null").select("text"), "text", slots.hashed_embedder(16))
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return made.select("h", F.size("embedding").alias("n"), (F.abs(length - 1) < 1e-5).alias("unit"))
 
 
 @book.query("R21_llm_slot", "SELECT doc_id, 'echo: ' || text AS answer " + D)

@@ -165,7 +165,7 @@ def semantic_search(t):
 
 
 DIM = 64
-SIDES = {"passage": "SELECT doc_id, 'passage: ' || text AS x FROM documents WHERE text IS NOT NULL", "query": f"SELECT -1 AS doc_id, 'query: {QUERY}' AS x"}
+SIDES = {"passage": "SELECT doc_id, 'passage: ' || text AS x FROM documents WHERE text IS NOT NULL", "asked": "SELECT doc_id, 'query: ' || text AS x FROM documents WHERE text IS NOT NULL", "query": f"SELECT -1 AS doc_id, 'query: {QUERY}' AS x"}
 
 
 def sql_vector(side: str) -> str:
@@ -186,12 +186,30 @@ def hybrid_search(t):
 
 
 def dense_texts(t) -> DataFrame:
-    """(doc_id, score): cosine of each text's vector with the query's; equal texts are embedded once."""
+    """(doc_id, score): cosine of each text's vector with the query's; no text is moved."""
     model = slots.counted_embedder(DIM)
     docs = t.documents.filter("text is not null").select("doc_id", "text")
     asked = F.array(*(F.lit(float(x)) for x in model([f"query: {QUERY}"])[0]))
-    scored = slots.embed(docs, "text", model).filter(F.exists("embedding", lambda x: x != 0)).select("h", F.round(T.cosine(F.col("embedding"), asked), 6).alias("score"))
-    return docs.select("doc_id", F.sha2("text", 256).alias("h")).join(scored, "h").select("doc_id", "score")
+    vectors = slots.embed_rows(docs, "text", model).filter(F.exists("embedding", lambda x: x != 0))
+    return vectors.select("doc_id", F.round(T.cosine(F.col("embedding"), asked), 6).alias("score"))
+
+
+def coordinates(t, prefix: str) -> DataFrame:
+    """(doc_id, b, v): the vectors of whole texts without their zeros."""
+    made = slots.embed_rows(t.documents.filter("text is not null").select("doc_id", "text"), "text", slots.counted_embedder(DIM), prefix)
+    return made.select("doc_id", F.posexplode("embedding").alias("b", "v")).filter("v <> 0").select("doc_id", F.col("b").cast("long").alias("b"), F.col("v").cast("long").alias("v"))
+
+
+@book.query("L02_embed_passages", f"SELECT doc_id, b, v::BIGINT AS v FROM ({sql_vector('passage')}) WHERE v <> 0")
+def embed_passages(t):
+    """The stand-in's vectors of all texts as passages."""
+    return coordinates(t, "passage: ")
+
+
+@book.query("L03_embed_queries", f"SELECT doc_id, b, v::BIGINT AS v FROM ({sql_vector('asked')}) WHERE v <> 0")
+def embed_queries(t):
+    """The same texts as queries: the prefix is part of what is embedded."""
+    return coordinates(t, "query: ")
 
 
 @book.query("L11_rescue_missing", f"{HYBRID}, top AS (SELECT doc_id FROM f ORDER BY rrf DESC, doc_id LIMIT 10), miss AS (SELECT DISTINCT source FROM documents WHERE source IN ('src0', 'src1', 'src2') AND source NOT IN (SELECT source FROM documents JOIN top USING (doc_id))) SELECT doc_id, rescued FROM (SELECT doc_id, FALSE AS rescued FROM top UNION ALL SELECT doc_id, TRUE FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM bm25 JOIN documents USING (doc_id) JOIN miss USING (source)) WHERE r <= 3)")
