@@ -30,8 +30,8 @@ import hashlib
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,12 +168,18 @@ def _pieces(marked: DataFrame) -> DataFrame:
                 before = (conv, block, turn, role, key)
             if not rows:
                 continue
-            con.register("turns", pa.table({"piece": pa.array(piece, pa.int64()), "i": pa.array(number, pa.int64()), "kind": kinds}))
-            con.register("pieces", pa.table({"piece": pa.array(range(len(rows)), pa.int64()), "n": pa.array([r["n"] for r in rows], pa.int64()), "leads": [r["leads"] for r in rows]}))
             for r in rows:
                 r["ways"] = []
-            for i, begun, state, cost, audit in con.execute(ADVANCE).fetchall():
-                rows[i]["ways"].append({"begun": begun, "state": state, "cost": cost, "audit": audit})
+            of_turn, lengths = np.array(piece), np.array([r["n"] for r in rows])
+            all_turns = pa.table({"piece": pa.array(piece, pa.int64()), "i": pa.array(number, pa.int64()), "kind": kinds})
+            all_pieces = pa.table({"piece": pa.array(range(len(rows)), pa.int64()), "n": pa.array(lengths), "leads": [r["leads"] for r in rows]})
+            # Pieces of about one length together, so that the many steps of long ones look at no others.
+            size = np.log2(lengths).astype(int) // 2
+            for one in np.unique(size):
+                con.register("turns", all_turns.filter(pa.array(size[of_turn] == one)))
+                con.register("pieces", all_pieces.filter(pa.array(size == one)))
+                for i, begun, state, cost, audit in con.execute(ADVANCE).fetchall():
+                    rows[i]["ways"].append({"begun": begun, "state": state, "cost": cost, "audit": audit})
             yield pa.RecordBatch.from_pylist(rows, schema=schema(batch.schema.field("conv").type))
 
     def schema(conv: pa.DataType) -> pa.Schema:
