@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -351,23 +352,55 @@ def quote_tags(t):
     return tags.select("doc_id", "source_id", F.when(~F.col("source_id").between(1, 3), "C1").when(~ok, "fuzzy").otherwise("ok").alias("code"))
 
 
-@book.query("N10_validate_citations", sql(DRAFTS, "SELECT doc_id, FALSE AS valid FROM drafts"))
+# Drafts with several outcomes: whole, with a section, broken off, with a wrong number, without any
+VARIED = """bodies AS (SELECT doc_id, translate(text, '#[]<>', '     ') AS body FROM documents WHERE length(text) > 0),
+varied AS (SELECT doc_id, CASE doc_id % 5
+  WHEN 0 THEN '### QUELLE [1]: T' || chr(10) || body || ' [1].' || chr(10) || chr(10) || '### QUELLE [2]: T' || chr(10) || '<ZITAT quelle="2">' || body || '</ZITAT>.' || chr(10) || chr(10) || '### QUELLE [3]: T' || chr(10) || body || ' [3] und [1].'
+  WHEN 1 THEN '### QUELLE [2]: T' || chr(10) || body || ' [2].' WHEN 2 THEN '### QUELLE [1]: T' || chr(10) || body || chr(10) || chr(10) || body || ' bricht'
+  WHEN 3 THEN '### QUELLE [3]: T' || chr(10) || '<ZITAT quelle="8">' || body || '</ZITAT> und [3], [12]!' ELSE body END AS draft FROM bodies)"""
+
+
+def varied(t) -> DataFrame:
+    i, body = F.col("doc_id") % 5, F.translate("text", "#[]<>", "     ")
+    head = lambda n: F.lit(f"### QUELLE [{n}]: T\n")
+    quoted = lambda n: F.concat(F.lit(f'<ZITAT quelle="{n}">'), body, F.lit("</ZITAT>"))
+    whole = F.concat_ws("\n\n", F.concat(head(1), body, F.lit(" [1].")), F.concat(head(2), quoted(2), F.lit(".")), F.concat(head(3), body, F.lit(" [3] und [1].")))
+    broken = F.concat(head(1), body, F.lit("\n\n"), body, F.lit(" bricht"))
+    draft = F.when(i == 0, whole).when(i == 1, F.concat(head(2), body, F.lit(" [2]."))).when(i == 2, broken).when(i == 3, F.concat(head(3), quoted(8), F.lit(" und [3], [12]!"))).otherwise(body)
+    return t.documents.filter("length(text) > 0").select("doc_id", draft.alias("draft"))
+
+
+BARE = "regexp_replace(draft, '<ZITAT quelle=\"[0-9]+\">[^<]*</ZITAT>', '', 'g')"
+NUMBERS = "list_transform(regexp_extract_all({}, '{}', 1), lambda x: x::INTEGER)"
+CITED = f"list_concat({NUMBERS.format('draft', chr(92) + '[([0-9]+)' + chr(92) + ']')}, {NUMBERS.format('draft', '<ZITAT quelle=.([0-9]+).>')})"
+
+
+@book.query("N10_validate_citations", sql(VARIED, f"SELECT doc_id, len(ids) > 0 AND len(list_filter(ids, lambda i: i < 1 OR i > 3)) = 0 AS valid FROM (SELECT doc_id, {CITED} AS ids FROM varied)"))
 def validate_citations(t):
     ids = F.concat(J.cited(F.col("draft")), F.transform(J.quotes(F.col("draft")), lambda z: z["source_id"]))
-    return drafts(t).select("doc_id", ((F.size(ids) > 0) & F.forall(ids, lambda i: i.between(1, 3))).alias("valid"))
+    return varied(t).select("doc_id", ((F.size(ids) > 0) & F.forall(ids, lambda i: i.between(1, 3))).alias("valid"))
 
 
-@book.query("N04_orphan_references", sql(DRAFTS, "SELECT doc_id, r AS source_id, CASE WHEN r BETWEEN 1 AND 3 THEN 'C5' ELSE 'C6' END AS code FROM drafts, (VALUES (1), (2), (9)) v(r)"))
-def orphan_references(t):
+@book.query("N04_orphan_references", sql(VARIED, f"SELECT doc_id, r AS source_id, CASE WHEN r BETWEEN 1 AND 3 THEN 'C5' ELSE 'C6' END AS code FROM (SELECT doc_id, unnest(list_distinct({NUMBERS.format(BARE, chr(92) + '[([0-9]+)' + chr(92) + ']')})) AS r FROM varied)"))
+def varied_references(t):
+    return orphans(varied(t))
+
+
+def orphans(rows: DataFrame) -> DataFrame:
+    """References outside of quotations, by whether there is such a source."""
     bare = F.regexp_replace("draft", r'(?s)<ZITAT quelle="[0-9]+">.*?</ZITAT>', "")
-    refs = drafts(t).select("doc_id", F.explode(F.array_distinct(J.cited(bare))).alias("source_id"))
+    refs = rows.select("doc_id", F.explode(F.array_distinct(J.cited(bare))).alias("source_id"))
     return refs.select("doc_id", "source_id", F.when(F.col("source_id").between(1, 3), "C5").otherwise("C6").alias("code"))
 
 
-@book.query("N07_detect_truncation", sql(DRAFTS, "SELECT doc_id, TRUE AS is_truncated, TRUE AS mid_sentence, '2,3' AS missing FROM drafts"))
+def orphan_references(t):
+    return orphans(drafts(t))
+
+
+@book.query("N07_detect_truncation", sql(VARIED, "SELECT doc_id, len(m) > 0 AS is_truncated, len(m) > 0 AND right(rtrim(draft), 1) NOT IN ('.', '!', '?', ':', ';', '»', '\"', chr(10)) AS mid_sentence, array_to_string(m, ',') AS missing FROM (SELECT doc_id, draft, list_filter(['1', '2', '3'], lambda n: NOT list_contains(regexp_extract_all(draft, '###\\s+QUELLE\\s+\\[([0-9]+)\\]', 1), n)) AS m FROM varied)"))
 def detect_truncation(t):
     n = F.lit(3)
-    d = drafts(t).select("doc_id", J.truncated(F.col("draft"), n).alias("t"), J.missing_sections(F.col("draft"), n).alias("m"))
+    d = varied(t).select("doc_id", J.truncated(F.col("draft"), n).alias("t"), J.missing_sections(F.col("draft"), n).alias("m"))
     return d.select("doc_id", "t.is_truncated", "t.mid_sentence", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("missing"))
 
 
