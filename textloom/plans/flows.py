@@ -183,10 +183,10 @@ def styled(t) -> DataFrame:
     upto = F.greatest(F.size("l") - 1, F.lit(0))
     carried = F.zip_with(F.slice("l", 1, upto), F.slice("l", 2, upto), stats.runs_on)
     fields = {
-        "chars": F.length("text"), "words": F.size("w"), "sentences": F.size("s"), "avg_sentence": F.round(F.when(F.size("n") == 0, F.lit(0.0)).otherwise(T.mean(F.col("n"))), 1),
+        "chars": F.length("text"), "words": F.size("w"), "sentences": F.size("s"), "avg_sentence": T.rounded(F.when(F.size("n") == 0, F.lit(0.0)).otherwise(T.mean(F.col("n"))), 1),
         **{name: F.size("k") - F.size(F.array_remove("k", kind)) for name, kind in (("hs", "HS"), ("ns", "NS"), ("mixed", "gemischt"))},
-        "ttr": F.round(T.type_token_ratio(F.col("w")), 3), "morphology": T.morphological_complexity(F.col("w")).cast("double"), "commas": T.occurrences(F.col("text"), ","),
-        "verse": F.when(few, "ja").otherwise("nein"), "stanzas": F.size(blocks), "syllables": F.when(F.size("y") > 0, F.round(T.mean(F.col("y")), 1)), "enjambements": F.when(upto > 0, F.size(F.filter(carried, lambda x: x))),
+        "ttr": T.rounded(T.type_token_ratio(F.col("w")), 3), "morphology": T.morphological_complexity(F.col("w")).cast("double"), "commas": T.occurrences(F.col("text"), ","),
+        "verse": F.when(few, "ja").otherwise("nein"), "stanzas": F.size(blocks), "syllables": F.when(F.size("y") > 0, T.rounded(T.mean(F.col("y")), 1)), "enjambements": F.when(upto > 0, F.size(F.filter(carried, lambda x: x))),
         **{name: F.lit(None).cast("string") for name in ("rhyme", "alliterations", "assonances", "internal_rhymes", "echoes")}, "said": F.try_element_at("s", F.lit(1)),
     }
     return d.select("doc_id", F.concat("source", F.lit(" "), F.col("doc_id").cast("string")).alias("label"), *(x.alias(name) for name, x in fields.items()))

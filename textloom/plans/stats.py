@@ -45,7 +45,7 @@ def base(t: Tables, *columns: str) -> DataFrame:
 
 
 def r6(c: Column) -> Column:
-    return F.round(c.cast("double"), 6)
+    return T.rounded(c, 6)
 
 
 @book.query("J18_tokenize", WITH + "SELECT doc_id, len(w)::BIGINT AS n_words, w[1] AS first_word, w[-1] AS last_word, md5(array_to_string(w, ' ')) AS words_md5 FROM d")
@@ -101,7 +101,7 @@ def sentence_lengths(t):
     n = F.when(F.size("s") == 0, F.array(F.lit(0))).otherwise(F.transform("s", lambda x: F.size(T.words(x))))
     d = base(t, "s").select("doc_id", n.alias("n"))
     n = F.col("n")
-    return d.select("doc_id", F.round(T.mean(n), 1).alias("avg_length"), F.element_at(F.array_sort(n), (F.floor(F.size(n) / 2) + 1).cast("int")).cast("long").alias("median_length"), F.array_max(n).cast("long").alias("max_length"), F.array_min(n).cast("long").alias("min_length"))
+    return d.select("doc_id", T.rounded(T.mean(n), 1).alias("avg_length"), F.element_at(F.array_sort(n), (F.floor(F.size(n) / 2) + 1).cast("int")).cast("long").alias("median_length"), F.array_max(n).cast("long").alias("max_length"), F.array_min(n).cast("long").alias("min_length"))
 
 
 STARTERS = "[" + ", ".join(f"'{w}'" for w in lx.CLAUSE_STARTERS) + "]"
@@ -148,7 +148,7 @@ def paragraph_stats(t):
     n = F.transform(T.paragraphs(F.col("text")), F.length)
     d = base(t).select("doc_id", F.when(F.size(n) == 0, F.array(F.length("text"))).otherwise(n).alias("n"))
     n = F.col("n")
-    return d.select("doc_id", F.size(n).cast("long").alias("n_paragraphs"), F.round(T.mean(n), 1).alias("avg_chars"), F.array_min(n).cast("long").alias("min_chars"), F.array_max(n).cast("long").alias("max_chars"), F.round(T.deviation(n), 1).alias("length_stdev"))
+    return d.select("doc_id", F.size(n).cast("long").alias("n_paragraphs"), T.rounded(T.mean(n), 1).alias("avg_chars"), F.array_min(n).cast("long").alias("min_chars"), F.array_max(n).cast("long").alias("max_chars"), T.rounded(T.deviation(n), 1).alias("length_stdev"))
 
 
 VERSE = f"list_filter({SQL_LINES}, lambda s: NOT regexp_matches(s, '^[0-9]{{1,4}}[a-z]?$'))"
@@ -167,7 +167,7 @@ def verse_structure(t):
     d = d.select("doc_id", F.size(n).alias("k"), F.when(F.size(n) < 2, F.lit(0.0)).otherwise(T.mean(n)).alias("a"), F.when(F.size(n) < 2, F.lit(0.0)).otherwise(T.deviation(n)).alias("s"))
     few, even = F.col("a") < 12, F.col("s") < 3
     signal = F.when(F.col("k") < 2, "kein").when(few & even, "stark").when(few | even, "mittel").otherwise("kein")
-    return d.select("doc_id", F.col("k").cast("long").alias("line_count"), F.round("a", 1).alias("avg_words_per_line"), F.round("s", 1).alias("stdev_words_per_line"), signal.alias("signal_strength"))
+    return d.select("doc_id", F.col("k").cast("long").alias("line_count"), T.rounded(F.col("a"), 1).alias("avg_words_per_line"), T.rounded(F.col("s"), 1).alias("stdev_words_per_line"), signal.alias("signal_strength"))
 
 
 def top_words(t: Tables, function: bool, k: int) -> DataFrame:
@@ -197,7 +197,7 @@ def corpus_summary(t):
 def comparison_table(t):
     d = base(t, "w", "s", "l")
     avg = F.when(F.size("s") == 0, F.lit(0.0)).otherwise(T.mean(F.transform("s", lambda x: F.size(T.words(x)))))
-    return d.select("doc_id", F.length("text").cast("long").alias("chars"), F.size("w").cast("long").alias("words"), F.size("s").cast("long").alias("sentences"), F.round(avg, 1).alias("avg_sentence"), F.round(T.type_token_ratio(F.col("w")), 3).alias("ttr"), F.size("l").cast("long").alias("lines"), T.occurrences(F.col("text"), ",").cast("long").alias("commas"))
+    return d.select("doc_id", F.length("text").cast("long").alias("chars"), F.size("w").cast("long").alias("words"), F.size("s").cast("long").alias("sentences"), T.rounded(avg, 1).alias("avg_sentence"), T.rounded(T.type_token_ratio(F.col("w")), 3).alias("ttr"), F.size("l").cast("long").alias("lines"), T.occurrences(F.col("text"), ",").cast("long").alias("commas"))
 
 
 @book.query("J08_language", "SELECT doc_id, CASE WHEN length(text) >= 50 AND c + l > 0 AND c / (c + l)::DOUBLE > 0.30 THEN 'ru' ELSE 'de' END AS language FROM (SELECT doc_id, text, len(regexp_extract_all(text[1:2000], '[а-яА-ЯёЁ]')) AS c, len(regexp_extract_all(text[1:2000], '[a-zA-Z]')) AS l FROM documents WHERE text IS NOT NULL)")
@@ -273,7 +273,7 @@ FROM (SELECT doc_id, l, i, regexp_replace(regexp_split_to_array(l[i + 1], '{WS}+
 def enjambement(t):
     rows = base(t, "l").select("doc_id", F.explode(F.when(F.size("l") > 1, F.arrays_zip(F.slice("l", 1, F.size("l") - 1).alias("a"), F.slice("l", 2, F.size("l") - 1).alias("b")))).alias("p"))
     n = F.count(F.when(runs_on(F.col("p.a"), F.col("p.b")), 1))
-    return rows.groupBy("doc_id").agg(n.alias("n_runs"), F.round(F.lit(100.0) * n / F.count("*"), 1).alias("percentage"))
+    return rows.groupBy("doc_id").agg(n.alias("n_runs"), T.rounded(F.lit(100.0) * n / F.count("*"), 1).alias("percentage"))
 
 
 V2 = lx.VOWELS + "AEIOUÄÖУЕЫАОЭЯИЮЁ"
@@ -293,7 +293,7 @@ def syllables(line: Column) -> Column:
 def verse_rhythm(t):
     d = base(t, "l").filter(F.size("l") > 0).select("doc_id", F.transform("l", syllables).alias("n"))
     n = F.col("n")
-    return d.select("doc_id", F.round(T.mean(n), 1).alias("avg_syllables"), F.round(T.deviation(n), 1).alias("stdev_syllables"), (T.deviation(n) < 1.5).alias("is_regular"))
+    return d.select("doc_id", T.rounded(T.mean(n), 1).alias("avg_syllables"), T.rounded(T.deviation(n), 1).alias("stdev_syllables"), (T.deviation(n) < 1.5).alias("is_regular"))
 
 
 CONTRAST = frozenset(lx.CONTRAST_MARKERS)
