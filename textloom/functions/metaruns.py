@@ -106,7 +106,7 @@ def core_hypothesis(text: Column) -> Column:
     """The first paragraph of the global synthesis that is no marker and no heading."""
     body = F.coalesce(F.nullif(F.regexp_extract(text, r"(?ims)^###[ \t]+GLOBALE\s+SYNTHESE[^\n]*\n(.*)", 1), F.lit("")), J.section(text, "GLOBALE SYNTHESE"))
     marker = rf"\*{{0,2}}\s*(?:{'|'.join(MARKERS)})\s*[:*]*"
-    parts = F.transform(F.split(F.regexp_replace(body, rf"(?i)({marker})\n(?!\n)", "$1\n\n"), "\n\n"), T.strip)
+    parts = F.transform(F.split(F.regexp_replace(body, rf"(?i)({marker})\n(?!\n)", "$1\n\n"), "\n\n"), T.strip_lines)
     return F.try_element_at(F.filter(parts, lambda p: (p != "") & ~p.rlike(rf"(?i)^\s*{marker}\s*$") & ~p.rlike(r"^#{1,6}\s")), F.lit(1))
 
 

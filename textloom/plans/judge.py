@@ -478,4 +478,4 @@ SAID = "lower(regexp_replace(text, '[^A-Za-zÄÖÜäöüß]+', ' ', 'g'))"
 def fazit(t):
     said = F.lower(F.regexp_replace("text", "[^A-Za-zÄÖÜäöüß]+", " "))
     run = F.concat(F.lit("# Kopf\nx\n## **FAZIT**\nInhalt "), said, F.lit("\n\n## Weiter\ny"))
-    return t.documents.filter("text is not null").select("doc_id", F.md5(J.section(run, "FAZIT")).alias("fazit_md5"))
+    return t.documents.filter("text is not null").select("doc_id", F.md5(F.rtrim(J.section(run, "FAZIT"))).alias("fazit_md5"))
