@@ -37,6 +37,8 @@ def hashed_embedder(dim: int) -> Embedder:
             for word in text.lower().split():
                 h = hashlib.blake2b(word.encode(), digest_size=4).digest()
                 out[i, int.from_bytes(h[:3], "little") % dim] += 1 if h[3] & 1 else -1
+            if not out[i].any():  # words that cancel out, or none: the text as one word
+                out[i, int.from_bytes(hashlib.blake2b(text.encode(), digest_size=3).digest(), "little") % dim] = 1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     return run
