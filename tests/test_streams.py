@@ -46,3 +46,9 @@ def test_late_events_are_left_out_of_windows(spark, tmp_path):
     stream = E.replay([spark.createDataFrame(p, schema) for p in parts], str(tmp_path / "in"))
     rows = E.drain(E.windowed(stream), "append").filter(F.col("event_type") == "a").collect()
     assert sorted((r["start"], r["n"], r["total"]) for r in rows) == [(at(0), 1, 1.0), (at(7200), 2, 3.0)]
+
+
+def test_drain_holds_no_rows_in_the_driver(spark, sf_dir):
+    before = {x.name for x in spark.catalog.listTables()}
+    found = E.drain(E.sessions(spark.readStream.schema("user_id long, ts timestamp").parquet(f"{sf_dir}/events.parque[t]"), late="60 days"))
+    assert found.count() > 0 and {x.name for x in spark.catalog.listTables()} == before

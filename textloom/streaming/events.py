@@ -11,10 +11,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textloom.session import remove, settle, shared_folder
+
 TURN_CAP = 50
 
 
@@ -88,9 +90,18 @@ def replay(parts: list[DataFrame], path: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything a stream holds now, by way of a memory table."""
-    spark = SparkSession.active()
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Everything a stream holds now, by way of files in the shared folder; the driver holds no rows."""
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    kept: set[str] = set()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{at}/rows/{0 if mode == 'complete' else number}"
+        batch.write.mode("overwrite").parquet(path)
+        kept.add(path)
+
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+        return settle(spark.read.schema(stream.schema).parquet(*sorted(kept)) if kept else spark.createDataFrame([], stream.schema))
+    finally:
+        remove(spark, at)
