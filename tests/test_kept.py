@@ -129,3 +129,18 @@ def test_empty_vector_table(spark, tmp_path):
     index = vectors.Index(spark, str(tmp_path / "index"))
     index.build(df)
     assert index.search(df, 5, exact=True).count() == 0
+
+
+def test_nearest_vectors_meet_in_blocks(spark, tmp_path, monkeypatch):
+    """Cells of many vectors are cut into blocks; ties go by id across them."""
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-1, 2, 4).astype(float).tolist()) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = vectors.Index(spark, str(tmp_path))
+    index.build(table, cells=3)
+    found = {(r["query"], r["rank"]): r["id"] for r in index.search(table.filter("vec_id < 20"), 9, probes=1, exact=True).collect()}
+    v = {i: np.array(x) / np.linalg.norm(x) for i, x in rows if any(x)}
+    for q in (i for i in range(20) if i in v):
+        best = sorted(v, key=lambda i: (-round(float(v[q] @ v[i]), 9), i))[:9]
+        assert [found[q, n] for n in range(1, 10)] == best

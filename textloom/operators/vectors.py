@@ -12,12 +12,13 @@ than the sample's first are an error. Ties are ranked by id. Repeated rows are f
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from textloom.session import settle
 
 SAMPLE = 20_000  # vectors that the centroids are fitted on
 ROUNDS = 12
+BLOCK = 8192  # vectors of a cell, and queries to it, that one step holds
+SLICE = 256  # queries that are scored at once
 #: Angles are compared with this much room for rounding.
 SLACK = 1e-6
 
@@ -113,8 +116,45 @@ class Index:
         return 1
 
     def _best(self, pairs: DataFrame, k: int) -> DataFrame:
-        met = self.vectors().join(pairs.select("query", "q", "cell"), "cell")
-        return _ranked(met.select("query", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score")), k)
+        """The ``k`` nearest of each query in its cells. Large cells, and the queries to one, are cut into blocks, and every two blocks of a cell meet once."""
+        blocks = lambda n, name: F.ceil(n / BLOCK).cast("int").alias(name)
+        asked = pairs.select("cell", F.col("query").cast("long").alias("id"), F.col("q").alias("v"))
+        held = self.spark.read.schema("cell int, least double, n long").parquet(f"{self.path}/cells").select("cell", blocks(F.col("n"), "n_held"))
+        sizes = F.broadcast(asked.groupBy("cell").agg(blocks(F.count("*"), "n_asked")).join(held, "cell"))  # a row a cell
+
+        def dealt(rows: DataFrame, own: str, other: str) -> GroupedData:
+            at = F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).cast("int").alias(own)
+            each = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other)
+            return rows.join(sizes, "cell").select("cell", "id", "v", at, each).groupBy("cell", "held", "asked")
+
+        met = dealt(self.vectors().select("cell", "id", "v"), "held", "asked").cogroup(dealt(asked, "asked", "held"))
+        return _ranked(met.applyInArrow(functools.partial(_nearest, k=k), "query long, id long, score double"), k)
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows, by id."""
+    ids = table.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+
+
+def _nearest(held: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """(query, id, score): the ``k`` nearest of ``held`` to each of ``asked``, equal scores by id."""
+    out: list[tuple[np.ndarray, ...]] = []
+    if held.num_rows and asked.num_rows:
+        (ids, v), (queries, q) = _matrix(held), _matrix(asked)
+        for at in range(0, len(queries), SLICE):
+            score = np.round(q[at : at + SLICE] @ v.T, 9)
+            least = np.partition(score, -k, axis=1)[:, -k, None] if k < len(ids) else -np.inf
+            row, column = np.nonzero(score >= least)
+            found = score[row, column]
+            order = np.lexsort((column, -found, row))
+            row, column, found = row[order], column[order], found[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((queries[at + row[first]], ids[column[first]], found[first]))
+    names, kinds = ("query", "id", "score"), (pa.int64(), pa.int64(), pa.float64())
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+    return pa.table({n: pa.array(c, kind) for n, c, kind in zip(names, columns, kinds, strict=True)})
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
