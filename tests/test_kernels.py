@@ -165,3 +165,47 @@ def test_bent_quotations_in_whole_documents(spark, sf_dir):
     assert {"direct", "false_quote"} <= {r["kind"] for r in many.values()} <= {"direct", "paraphrase", "false_quote"}
     for i, r in many.items():
         assert r["valid"] == (r["source"] is not None) and (i % 4 == 2 or r["source"] == i or r["kind"] != "direct")
+
+
+def test_a_step_holds_the_results_of_few_texts(spark, monkeypatch):
+    """However many rows an Arrow batch has, results leave a Python step in slices."""
+    from textloom.plans import kernels, stats
+
+    for module in (kernels, stats):
+        monkeypatch.setattr(module, "SLICE", 3)
+    rows = spark.range(20).selectExpr("id as doc_id", "repeat('a b ', cast(id as int)) as x").coalesce(1)
+    one = {r["doc_id"]: r["n"] for r in kernels.mapped(rows, lambda x: (len(x),), "n long").collect()}
+    many = [(r["doc_id"], r["w"]) for r in stats.folded(rows, lambda x: ((w,) for w in x.split()), "w string").collect()]
+    assert one == {i: 4 * i for i in range(20)} and sorted(many) == sorted((i, w) for i in range(20) for w in ["a", "b"] * i)
+
+
+def test_counts_of_a_text_need_no_shuffle(spark, tmp_path):
+    from textloom.plans import stats
+    from textloom.plans.book import Tables
+
+    spark.createDataFrame([(i, "a b a b und und") for i in range(9)], "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("E25_bigrams", "E25_trigrams", "E30_top_content_words", "E30_top_function_words", "K08_vowel_echoes"):
+        plan = stats.book.queries[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Window" not in plan and Tables(spark, str(tmp_path)).documents.count() == 9
+
+
+def test_a_book_is_read_once(spark, tmp_path, monkeypatch):
+    from textloom.plans import kernels, rest
+
+    spark.createDataFrame([(1, "Ein Satz. " * 30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = []
+    monkeypatch.setattr(kernels, "mapped", lambda rows, fn, schema: [fn(r["text"]) for r in rows.collect()])
+    real = rest.importers.epub
+    monkeypatch.setattr(rest.importers, "epub", lambda x: asked.append(1) or real(x))
+    assert rest.book.queries["A18_epub"](spark, str(tmp_path))[0][0] == 1 and len(asked) == 1
+
+
+def test_forms_of_a_word_are_kept():
+    """Long texts repeat their words: each is normalised once."""
+    from textloom.functions import scripts
+
+    scripts.greek_words("μῆνιν ἄειδε")
+    before = scripts._greek_token.cache_info().misses
+    assert scripts.greek_words("μῆνιν ἄειδε " * 99) == scripts.greek_words("μῆνιν ἄειδε") * 99
+    assert scripts._greek_token.cache_info().misses == before
+    assert scripts.script_of("a\U0001d167" + "ἔνθα" * 9) == "greek"

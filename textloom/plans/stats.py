@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.functions import lexicon as lx
+from textloom.functions import scripts
 from textloom.functions import text as T
 from textloom.plans.book import Book, Tables
 
 book = Book()
+SLICE = 64  # texts that a Python step holds the results of
 ABBR = "|".join(a.replace(".", "\\.") for a in lx.ABBREVIATIONS)
 WS = "[ \\t\\n\\x0B\\f\\r]"
 SQL_WORDS = f"regexp_extract_all(lower(text), '[{lx.LETTERS}]+(?:-[{lx.LETTERS}]+)*')"
@@ -121,11 +126,37 @@ def sentence_types(t):
     return d.groupBy("doc_id").agg(*(F.sum(F.size("k") - F.size(F.array_remove("k", k))).cast("long").alias(n) for n, k in (("hs", "HS"), ("ns", "NS"), ("mixed", "gemischt"))))
 
 
+def folded(rows: DataFrame, fn: Callable[[Any], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows (doc_id, x) to the rows that a Python function finds in x. All figures are of one text, so a text is folded where it lies."""
+    fields = S.StructType.fromDDL(f"doc_id long, {schema}")
+    target = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                out = [(i, *x) for i, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in fn(value)]
+                cols = list(zip(*out, strict=True)) or [[]] * len(target)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+
+    return rows.mapInArrow(run, fields)
+
+
+def most(counted: Iterable[tuple[Any, int]], k: int) -> list[tuple[Any, int]]:
+    """The ``k`` highest counts, equal ones in their order."""
+    return sorted(counted, key=lambda x: -x[1])[:k]
+
+
 def top_grams(t: Tables, n: int) -> DataFrame:
-    grams = base(t, "w").select("doc_id", F.posexplode(T.n_grams(F.col("w"), n)).alias("pos", "gram"))
-    counted = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    order = W.partitionBy("doc_id").orderBy(F.desc("n"), "pos")
-    return counted.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 20 and n >= 2").select("doc_id", "gram", "n", "rank")
+    """The commonest runs of words of a text, equal counts in the order they first stand."""
+
+    def run(lowered: str) -> Iterator[tuple]:
+        words = T.PLAIN_WORD.findall(lowered)
+        times = Counter(zip(*(words[i:] for i in range(n)), strict=False))
+        for rank, (gram, k) in enumerate(most((x for x in times.items() if x[1] >= 2), 20), 1):
+            yield " ".join(gram), k, rank
+
+    return folded(base(t).select("doc_id", F.lower("text")), run, "gram string, n long, rank long")
 
 
 def sql_grams(n: int) -> str:
@@ -171,9 +202,15 @@ def verse_structure(t):
 
 
 def top_words(t: Tables, function: bool, k: int) -> DataFrame:
-    w = base(t, "w").select("doc_id", F.posexplode("w").alias("pos", "word")).filter(T.is_function_word(F.col("word")) == function)
-    counted = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    return counted.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "pos")).cast("long")).filter(F.col("rank") <= k).select("doc_id", "word", "n", "rank")
+    """The commonest content or function words of a text, equal counts in the order they first stand."""
+    known = frozenset(lx.DE_FUNCTION_WORDS + lx.RU_FUNCTION_WORDS)
+
+    def run(lowered: str) -> Iterator[tuple]:
+        times = Counter(T.PLAIN_WORD.findall(lowered))
+        for rank, (word, n) in enumerate(most((x for x in times.items() if (x[0] in known) == function), k), 1):
+            yield word, n, rank
+
+    return folded(base(t).select("doc_id", F.lower("text")), run, "word string, n long, rank long")
 
 
 def sql_top_words(negate: str, k: int) -> str:
@@ -229,11 +266,10 @@ def vowel_skeletons(t):
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.array_join(parts, "-").alias("skeleton")).filter("skeleton <> ''")
 
 
-def line_ends(t: Tables) -> DataFrame:
-    """doc_id, line and the last vowel of its last word."""
-    rows = base(t, "l").filter(F.size("l") >= 2).select("doc_id", F.posexplode("l").alias("i", "x"))
-    last = F.try_element_at(F.regexp_extract_all(F.lower("x"), F.lit(LINE_WORDS), F.lit(0)), F.lit(-1))
-    return rows.select("doc_id", (F.col("i") + 1).alias("line"), F.nullif(F.right(F.regexp_replace(last, f"[^{lx.VOWELS}]", ""), F.lit(1)), F.lit("")).alias("v")).filter("v is not null")
+def last_vowel(line: Column) -> Column:
+    """The last vowel of the last word of a line."""
+    last = F.try_element_at(F.regexp_extract_all(F.lower(line), F.lit(LINE_WORDS), F.lit(0)), F.lit(-1))
+    return F.nullif(F.right(F.regexp_replace(last, f"[^{lx.VOWELS}]", ""), F.lit(1)), F.lit(""))
 
 
 @book.query(
@@ -247,12 +283,13 @@ SELECT m.doc_id, m.trivial_vowel, (SELECT count(*) FROM f a JOIN f b ON a.doc_id
 )
 def vowel_echoes(t):
     """Pairs of lines at most five apart that end on one vowel, by the lines themselves: five lags, no self-join."""
-    ends = line_ends(t)
-    counts = ends.groupBy("doc_id", "v").agg(F.count("*").alias("n"), F.min("line").alias("first"))
-    trivial = counts.groupBy("doc_id").agg(F.when(F.max("n") / F.sum("n") > 0.5, F.max_by("v", F.struct("n", -F.col("first")))).alias("trivial_vowel"))
-    lists = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "v"))).alias("e")).join(trivial, "doc_id")
-    echoes = F.aggregate("e", F.lit(0).cast("long"), lambda s, a: s + F.size(F.filter("e", lambda b: (b["v"] == a["v"]) & (b["line"] - a["line"]).between(1, 5) & (F.col("trivial_vowel").isNull() | (a["v"] != F.col("trivial_vowel"))))))
-    return lists.select("doc_id", "trivial_vowel", echoes.alias("n_echoes"))
+    ends = base(t, "l").filter(F.size("l") >= 2).select("doc_id", F.transform("l", last_vowel).alias("v"))
+
+    def run(vowels: list[str | None]) -> Iterator[tuple]:
+        if any(vowels):
+            yield scripts.vowel_echoes(vowels, lambda v: v)
+
+    return folded(ends, run, "trivial_vowel string, n_echoes long")
 
 
 CARRY = ", ".join(f"'{w}'" for w in lx.LINE_CARRIERS)
