@@ -40,7 +40,13 @@ def _epub(text: str) -> bytes:
 @book.query("R92_epub_title")
 def epub(t):
     """Each text as a book of one chapter, read back by the importer."""
-    return kernels.mapped(t.documents.filter("text is not null").select("doc_id", "text"), lambda x: (len(importers.epub(_epub(x))), sum(len(m["content"]) for m in importers.epub(_epub(x)))), "n_messages long, n_chars long")
+
+
+    def run(x):
+        out = importers.epub(_epub(x))
+        return len(out), sum(len(m["content"]) for m in out)
+
+    return kernels.mapped(t.documents.filter("text is not null").select("doc_id", "text"), run, "n_messages long, n_chars long")
 
 
 @book.query("A19_fb2")
