@@ -82,7 +82,7 @@ def carry_forward(rows: DataFrame, late: str = "10 minutes", unknown: str = "Unk
 def replay(parts: list[DataFrame], path: str) -> DataFrame:
     """A stream of the parts, each one batch, from files in ``path``."""
     for number, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{path}/part={number}")
+        part.repartition(1).write.parquet(f"{path}/part={number}")  # one file, but what it is made from stays spread
         if number + 1 < len(parts):
             time.sleep(1.1)  # files are taken by the time they were written, in whole seconds on some stores
     spark = parts[0].sparkSession
