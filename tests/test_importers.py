@@ -1,10 +1,12 @@
 """One small export of each platform, and files that are broken."""
 
 import io
+import random
 import zipfile
 
 import pytest
 
+from textloom.plans import kernels
 from textloom.plans.kernels import SAMPLES
 from textloom.sources import dom, importers
 
@@ -30,6 +32,58 @@ def test_markdown_rendering():
     assert dom.markdown(root) == "## T\na **b**\n\n\n  * x\n  * y\n\n| h |\n| --- |\n| 1 |".replace("\n\n\n", "\n\n")
 
 
+def recursive_markdown(node, links, fences):
+    """The rules of an element, one inside the other."""
+    def inner(n):
+        return "".join(c if isinstance(c, str) else recursive_markdown(c, links, fences) for c in n.children)
+
+    tag, wrap, head = node.tag, {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}, {"h2": "##", "h3": "###", "h4": "####"}
+    if tag in head:
+        return f"\n{head[tag]} {inner(node)}\n"
+    if tag in wrap:
+        return wrap[tag] + inner(node) + wrap[tag]
+    if tag == "hr":
+        return "\n\n---\n\n"
+    if tag in ("ul", "ol"):
+        items = [c for c in node.children if isinstance(c, dom.Node) and c.tag == "li"]
+        return "\n" + "\n".join("  * " + inner(i).strip() for i in items) + "\n" if items else inner(node)
+    if tag == "pre":
+        code = node.first("code")
+        name = next((c.removeprefix("language-") for c in (code.classes if code else []) if c.startswith("language-")), "") if fences else ""
+        return f"\n```{name}\n{''.join(node.strings())}\n```\n"
+    if tag == "table" and (heads := [h.text("") for h in node.select("th")]):
+        rows = [[d.text("") for d in r.select("td")] for r in node.select("tr")]
+        return f"\n\n| {' | '.join(heads)} |\n| {' | '.join(['---'] * len(heads))} |\n" + "".join(f"| {' | '.join(r)} |\n" for r in rows if r) + "\n"
+    if tag == "p":
+        return inner(node) + "\n\n"
+    if tag == "a" and links:
+        label = inner(node).strip()
+        if "citation" in node.attrs.get("class", "") or len(label) < 3:
+            return ""
+        return f"[{label}]({node.attrs['href']})" if node.attrs.get("href") else label
+    return inner(node)
+
+
+def test_markdown_of_random_trees_follows_the_rules():
+    rng = random.Random(4)
+    bits = [f"<{t}>" for t in "h2 b code hr ul ol li li pre table tr td th p a div".split()] + ["<a href=u>"] * 3 + ['<a class="citation" href=u>', '<code class="language-py">']
+    bits += [f"</{t}>" for t in "h2 b code ul ol li pre table tr td th p a a div".split()] + ["x", "ab", "lang", " ", "\n", " \n\n\n\n", "\u00a0", " y "] * 3
+    for _ in range(4000):
+        root = dom.parse("".join(rng.choices(bits, k=rng.randrange(1, 40))))
+        for links, fences in ((False, False), (True, False), (True, True)):
+            assert dom._render(root, links, fences) == recursive_markdown(root, links, fences)
+
+
+@pytest.mark.parametrize("name", ["A30_html_to_markdown", "A31_rich_markdown", "A32_link_markdown"])
+def test_pages_of_any_depth_are_rendered(spark, tmp_path, name):
+    n = 30000
+    pages = ["<div>" * n + "unten", "<ul><li> " * n + "tief", "<a href=u> " * n + "drei", "<table>" * n + "<b>x</b>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: r["markdown"] for r in kernels.book.queries[name](spark, str(tmp_path)).collect()}
+    assert found[0] == "unten" and found[1] == "* " * n + "tief" and found[3] == "**x**"
+    assert found[2] == ("drei" if name.startswith("A30") else "[" * n + "drei" + "](u)" * n)
+
+
 def test_notes_and_chats():
     assert len(importers.chat_markdown("User: a\nAssistant: b")) == 1
     assert [m["role"] for m in importers.chat_markdown("x\nUser: a\nAssistant: b\nUser: c")] == ["system", "user", "model", "user"]
