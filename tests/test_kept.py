@@ -76,6 +76,36 @@ def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
     assert held > 8 and index.table("postings").filter(F.col("bucket") == index.table("postings").filter("t = 'wort7'").first()["bucket"]).count() < 200
 
 
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("sent", [postings.SENT, 0])
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch, sent):
+    """A batch and a compaction shuffle texts and terms, and the postings of changed texts at most."""
+    monkeypatch.setattr(postings, "SENT", sent)
+    index, words = postings.Index(spark, str(tmp_path / "index"), 3), [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words) for i in range(60)}
+    spark.createDataFrame([(i, 0, "insert", x) for i, x in texts.items()], postings.CHANGE).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    before = shuffled(spark)
+    index.apply(spark.read.parquet(f"{tmp_path}/rows"), 0)
+    once = shuffled(spark) - before
+    assert once < 60 * 401 / 2
+    changes = [(1, 0, "update", "w1 neu"), (2, 0, "delete", None), (3, 0, "insert", ""), (99, 0, "delete", None)]
+    index.apply(spark.createDataFrame(changes, postings.CHANGE), 1)
+    before = shuffled(spark)
+    index.compact()
+    assert not sent or shuffled(spark) - before < 60 * 401 / 2
+    texts = texts | {1: "w1 neu", 3: ""}
+    del texts[2]
+    live = {(r["t"], r["id"], r["f"], r["dl"], r["sign"]) for r in index.table("postings").collect()}
+    assert live == {(t, i, 1, len(x.split()), 1) for i, x in texts.items() for t in x.split()}
+    want, got = scores(texts, ["w1", "neu"]), {r["id"]: r["score"] for r in index.bm25(["w1", "neu"]).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+
+
 def embeddings(n, dim, groups, seed=3):
     rng = np.random.default_rng(seed)
     middle = rng.normal(size=(groups, dim))
