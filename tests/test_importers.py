@@ -2,6 +2,8 @@
 
 import io
 import random
+import re
+import time
 import zipfile
 
 import pytest
@@ -89,6 +91,24 @@ def test_notes_and_chats():
     assert [m["role"] for m in importers.chat_markdown("x\nUser: a\nAssistant: b\nUser: c")] == ["system", "user", "model", "user"]
 
 
+def test_role_lines_after_blank_lines():
+    """A role may follow any blank lines, which are read once."""
+    rng, role = random.Random(8), re.compile(r"(?im)^\s*(?:#{1,4}\s*)?(?:\*\*)?(user|human|nutzer|assistant|model|ai|system)(?:\*\*)?\s*:(?:\*\*)?[ \t]*")
+    bits = ["\n", "\n", " ", "\t", "\r", "\r\n", "\u2028", "\x0b", "# ", "##", "**", "User", "AI", "system", "model", ":", ":", "x", "User: a\n", "\n \n Assistant: b\n"]
+    for _ in range(5000):
+        content = "".join(rng.choices(bits, k=rng.randrange(40)))
+        text = re.sub(r"\n{3,}", "\n\n", content.replace("\r\n", "\n"))
+        marks = list(role.finditer(text))
+        names = {"assistant": "model", "model": "model", "ai": "model", "system": "system"}
+        want = [("user", text.strip())] if len(marks) <= 2 else [("system", text[: marks[0].start()].strip())]
+        ends = [*(m.start() for m in marks[1:]), len(text)]
+        want += [(names.get(m[1].lower(), "user"), text[m.end() : end].strip()) for m, end in zip(marks, ends)] if len(marks) > 2 else []
+        assert [(m["role"], m["content"]) for m in importers.chat_markdown(content)] == [x for x in want if x[1]]
+    began = time.perf_counter()
+    assert len(importers.chat_markdown("\n \n" * 20000 + "User: a\nAI: b" + "\n \n" * 20000 + "User: c")) == 3
+    assert time.perf_counter() - began < 2
+
+
 def test_epub_reads_the_spine():
     box = io.BytesIO()
     with zipfile.ZipFile(box, "w") as z:
